@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, simhash
+from . import byte_bpe, decontaminate, exact_dedup, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(name), public_tokenizers.PATTERN)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.json") -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(name))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -31,6 +40,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
