@@ -8,7 +8,7 @@ import public_tokenizers
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash, token_counts
+from . import byte_bpe, decontaminate, exact_dedup, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_multi_5
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(name), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.json") -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(name))
 
@@ -41,6 +45,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
