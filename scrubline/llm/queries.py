@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash, token_counts, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, simhash, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.concat_ws(" ", "host_words").alias("host_words"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(name), public_tokenizers.PATTERN)
 
@@ -44,6 +49,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
