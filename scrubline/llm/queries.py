@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash, token_counts, toxicity, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_text, simhash, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_multi_5
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(name), public_tokenizers.PATTERN)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
