@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, simhash, token_counts, toxicity, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_text, pii, simhash, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {
