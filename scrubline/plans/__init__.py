@@ -1,2 +1,8 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The registered queries and their DuckDB SQL, and the domain pipelines."""
+
+from __future__ import annotations
+
+from . import cleaning, linking, upkeep
+
+QUERIES = {**cleaning.QUERIES, **upkeep.QUERIES, **linking.QUERIES}
+ORACLES = {**cleaning.ORACLES, **upkeep.ORACLES, **linking.ORACLES}
