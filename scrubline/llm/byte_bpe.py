@@ -18,17 +18,18 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .pretokens import Memo, cutter, pieces_of, spelled
+from .pretokens import Memo, cutter
 
 #: At most 256: a position is held in a byte.
 LONG_WORD = 256
-#: Entries of a worker's caches, about 300 bytes each, twice; older ones go.
-MEMO_PIECES, MEMO_WORDS = 120_000, 250_000
+#: Entries of a worker's cache, about 280 bytes each, twice; older ones go.
+MEMO_WORDS = 450_000
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 4_000_000
 #: Words of one recursive query, which bounds its memory.
@@ -77,7 +78,8 @@ class Coder:
 
         self.ranks = read_ranks(path)
         self.cut = cutter(pattern)
-        self.memo, self.words = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
+        self.memo = Memo(MEMO_WORDS)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         ids = {r: b for b, r in self.ranks.items()}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         pairs = [(self.ranks[b[:i]], self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks]
@@ -120,15 +122,14 @@ class Coder:
         for i, w in enumerate(words):
             if len(w) > LONG_WORD:
                 out[i] = ",".join(map(str, self._by_heap(w)))
-        single = [self.ranks[bytes([b])] for b in range(256)]
         for lo in range(0, len(short), QUERY_WORDS):
-            part = short[lo : lo + QUERY_WORDS]
-            at = [k for k, i in enumerate(part) for _ in words[i]]
-            pos = [p for i in part for p in range(len(words[i]))]
-            token = [single[b] for i in part for b in words[i]]
-            self.db.register("start", pa.table({"word": pa.array(at, pa.int32()), "pos": pa.array(pos, pa.int32()), "token": pa.array(token, pa.int32())}))
-            for k, ids in self.db.execute(ENCODE).fetchall():
-                out[part[k]] = ids
+            part = [words[i] for i in short[lo : lo + QUERY_WORDS]]
+            size = np.array([len(w) for w in part])
+            token = self.single[np.frombuffer(b"".join(part), dtype=np.uint8)]
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            self.db.register("start", pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": pos.astype(np.int32), "token": token}))
+            for i, ids in zip(short[lo : lo + QUERY_WORDS], self.db.execute(ENCODE).fetchall(), strict=True):
+                out[i] = ids[1]
             self.db.unregister("start")
         return out
 
@@ -143,28 +144,22 @@ class Coder:
             self.db.unregister("coded")
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put (ids, how many, decoded bytes) of new pieces into the memo."""
-        pieces = sorted(pieces)
-        cuts = [self.cut(spelled(p)) for p in pieces]
-        new = sorted(self.words.wanted(w for c in cuts for w in c))
-        coded = self.encode([w.encode() for w in new])
-        for w, ids, text in zip(new, coded, self.decode(coded), strict=True):
-            self.words[w] = (ids, ids.count(",") + 1, text)
-        for p, c in zip(pieces, cuts, strict=True):
-            found = [self.words[w] for w in c]
-            self.memo[p] = (",".join(f[0] for f in found), sum(f[1] for f in found), b"".join(f[2] for f in found))
+    def learn(self, new: set[str]) -> None:
+        """Put (ids, decoded bytes) of new words into the memo."""
+        words = list(new)
+        coded = self.encode([w.encode() for w in words])
+        self.memo.update(zip(words, zip(coded, self.decode(coded), strict=True), strict=True))
 
     def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, how many, decoded bytes) of each text; new pieces of all are learned together."""
-        # a text that can't be cut at spaces is cut by the pattern at once, into pieces without a space in front
-        parts = [p if (p := pieces_of(t)) is not None else ["\x00" + w for w in self.cut(t)] for t in texts]
-        if new := self.memo.wanted(x for p in parts for x in p):
+        """(ids joined by commas, how many, decoded bytes) of each text; new words of all are learned together."""
+        cuts = list(map(self.cut, texts))
+        if new := self.memo.wanted(w for c in cuts for w in c):
             self.learn(new)
         out = []
-        for p in parts:
-            found = [self.memo[x] for x in p]
-            out.append((",".join(f[0] for f in found if f[0]), sum(f[1] for f in found), b"".join(f[2] for f in found)))
+        for c in cuts:
+            ids, decoded = zip(*map(self.memo.__getitem__, c), strict=True) if c else ((), ())
+            joined = ",".join(ids)
+            out.append((joined, joined.count(",") + 1 if joined else 0, b"".join(decoded)))
         return out
 
 
