@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.missing import is_blank
 from ..functions.places import COUNTRY_ALIASES, country_code
@@ -48,7 +49,7 @@ def spell_dictionary(values: DataFrame, column: str, terms: DataFrame) -> DataFr
     return best.select("value", F.col("b.term").alias("suggestion"), F.lit(1).alias("distance"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _closest_country(names: pd.Series) -> pd.Series:
     """The code of the closest known spelling at a ratio of 0.80 or more."""
     found = names.map(lambda n: next(iter(difflib.get_close_matches(n, COUNTRY_ALIASES, n=1, cutoff=0.80)), None))

@@ -168,7 +168,7 @@ def format_rows(df: DataFrame) -> DataFrame:
 def parse_text_table(df: DataFrame, column: str) -> DataFrame:
     """(id, postal_code, municipality, notes) of lines '| id | postal | municipality | notes |'; N/A and empty as null, the last line of an id counts."""
     lines = df.select(F.posexplode(F.split(column, "\n")).alias("pos", "line")).where("line LIKE '|%' AND NOT line RLIKE '^[|\\\\s:-]+$'")
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\|\s*|\s*\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\|\s*|\s*\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     rows = lines.select("pos", cells.alias("c")).where("size(c) >= 3").withColumn("id", F.expr("try_cast(c[0] AS LONG)")).where("id IS NOT NULL")
     value = lambda i: F.expr(f"CASE WHEN upper(get(c, {i})) IN ('N/A', '') THEN NULL ELSE get(c, {i}) END")
     rows = rows.select("id", "pos", value(1).alias("postal_code"), value(2).alias("municipality"), F.coalesce(F.expr("get(c, 3)"), F.lit("")).alias("notes"))

@@ -103,7 +103,9 @@ def with_names(names: tuple[str, ...]) -> list[str]:
 def oracle(body: str, *names: str) -> str:
     """DuckDB SQL: ``body`` over fixtures as common table expressions (``body`` may begin with more of them and a comma)."""
     ctes = ", ".join(f"{n} AS ({FIXTURES[n]})" for n in with_names(names))
-    return f"WITH {ctes}{body}" if body.startswith(", ") else f"WITH {ctes} {body}" if ctes else body
+    if not ctes:
+        return "WITH " + body[2:] if body.startswith(", ") else body
+    return f"WITH {ctes}{body}" if body.startswith(", ") else f"WITH {ctes} {body}"
 
 
 class Tables:

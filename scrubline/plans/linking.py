@@ -1,3 +1,137 @@
+"""Queries of entity linkage, enrichment, plans and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import learning, linkage, lookups
+from ..streaming import feeds
+from . import pipeline
 from .registry import Registry
+
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
+
+COLUMNS = ["address", "city", "email"]
+BLOCK = ["postal_code"]
+
+
+def _bigrams(x: str) -> str:
+    return f"(CASE WHEN length({x}) < 2 THEN [{x}] ELSE list_distinct([{x}[i:i+1] FOR i IN range(1, length({x}))]) END)"
+
+
+def _similarity(x: str, y: str) -> str:
+    a, b = _bigrams(x), _bigrams(y)
+    return (
+        f"CASE WHEN {x} = {y} THEN CASE WHEN {x} = '' THEN 0::DOUBLE ELSE 1::DOUBLE END WHEN {x} = '' OR {y} = '' THEN 0::DOUBLE ELSE "
+        f"0.5::DOUBLE * (len(list_intersect({a}, {b})) / greatest(len(list_distinct(list_concat({a}, {b}))), 1)) + 0.5::DOUBLE * (1 - levenshtein({x}, {y}) / greatest(length({x}), length({y}), 1)) END"
+    )
+
+
+PAIRS = ", n AS (SELECT id, postal_code, lower(trim(coalesce(email, ''))) AS e, trim(concat_ws(' ', lower(trim(coalesce(address, ''))), lower(trim(coalesce(city, ''))))) AS x FROM listings), p AS (SELECT a.id AS id_a, b.id AS id_b, a.e AS ea, b.e AS eb, a.x AS xa, b.x AS xb FROM n a JOIN n b ON a.postal_code = b.postal_code AND a.id < b.id)"
+MATCHES = PAIRS + f", s AS (SELECT *, {_similarity('xa', 'xb')} AS sim FROM p), m AS (SELECT id_a, id_b, CASE WHEN ea = eb AND ea <> '' THEN 'email' WHEN xa <> '' AND xb <> '' AND sim >= 0.9 THEN 'address' END AS rule, CASE WHEN ea = eb AND ea <> '' THEN 1::DOUBLE ELSE round(sim * 0.9, 3) END AS confidence FROM s)"
+
+
+@reg.add(PAIRS + " SELECT id_a, id_b FROM p", "listings")
+def candidate_pairs(t) -> DataFrame:
+    return linkage.candidate_pairs(t.listings, BLOCK, COLUMNS).select("id_a", "id_b")
+
+
+@reg.add(MATCHES + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
+def match_rules(t) -> DataFrame:
+    return linkage.match(linkage.candidate_pairs(t.listings, BLOCK, COLUMNS))
+
+
+@reg.add(PAIRS + f" SELECT id_a, id_b, round({_similarity('xa', 'xb')}, 6) AS similarity FROM p", "listings")
+def fuzzy_similarity(t) -> DataFrame:
+    pairs = linkage.candidate_pairs(t.listings, BLOCK, COLUMNS)
+    x, y = (F.trim(F.concat_ws(" ", *[F.lower(F.trim(F.coalesce(f"{c}_{s}", F.lit("")))) for c in ("address", "city")])) for s in "ab")
+    return pairs.select("id_a", "id_b", F.round(linkage.fuzzy_similarity(x, y), 6).alias("similarity"))
+
+
+LINKS = MATCHES + ", k AS (SELECT lower(trim(email)) AS e, min(id) AS lo FROM listings WHERE coalesce(trim(email), '') <> '' GROUP BY 1), l AS (SELECT id_a, id_b FROM m WHERE rule = 'address' UNION SELECT lo, id FROM listings JOIN k ON k.e = lower(trim(email)) WHERE lo < id)"
+
+
+@reg.add(
+    LINKS + ", b AS (SELECT id_a AS x, id_b AS y FROM l UNION SELECT id_b, id_a FROM l) SELECT id, (SELECT min(r.y) FROM r WHERE r.x = id) AS group_id FROM listings",
+    "listings",
+)
+def link_components(t) -> DataFrame:
+    pairs = linkage.match(linkage.candidate_pairs(t.listings, BLOCK, COLUMNS), tuple(r for r in linkage.RULES if r.kind == "fuzzy"))
+    links = pairs.select("id_a", "id_b").unionByName(linkage.by_exact_keys(t.listings, linkage.RULES))
+    return linkage.link_components(t.listings.select("id"), links)
+
+
+# the closure of the links, as a recursive query
+_CTES, _BODY = ORACLES["link_components"].rsplit(" SELECT id, (", 1)
+ORACLES["link_components"] = _CTES.replace("WITH ", "WITH RECURSIVE ", 1) + ", r(x, y) AS (SELECT id, id FROM listings UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y) SELECT id, (" + _BODY
+ORACLES["link_components"] = ORACLES["link_components"].replace("SELECT id, (SELECT min(r.y) FROM r WHERE r.x = id) AS group_id FROM listings", "SELECT x AS id, min(y) AS group_id FROM r GROUP BY x")
+
+
+@reg.add(MATCHES.replace("a.id < b.id", "a.id <> b.id AND a.id % 10 = 0 AND b.id % 2 = 1") + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
+def link_candidates(t) -> DataFrame:
+    return linkage.link_candidates(t.listings.where("id % 10 = 0"), t.listings.where("id % 2 = 1"), BLOCK, COLUMNS)
+
+
+@reg.add(
+    r""", g AS (SELECT id, municipality, country FROM listings WHERE municipality_confidence < 0.7), e AS (SELECT record_id, CASE WHEN gap = 'unknown_country' THEN CASE WHEN regexp_matches(text, '\bCanada\b', 'i') THEN 'CA' WHEN regexp_matches(text, '\bUnited States\b|\bUSA\b|\bU\.S\.A\b', 'i') THEN 'US' WHEN regexp_matches(text, '\bUnited Kingdom\b|\bUK\b|\bGB\b', 'i') THEN 'GB' END END AS v FROM search_results)
+SELECT id, municipality, coalesce(v, country) AS country, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS evidence FROM g LEFT JOIN e ON record_id = id""",
+    "listings",
+    "search_results",
+)
+def enrich_from_evidence(t) -> DataFrame:
+    records = t.listings.where("municipality_confidence < 0.7").select("id", "municipality", "country")
+    gaps = records.select("id", F.lit("unknown_country").alias("gap"), F.lit(0).alias("gap_pos"))
+    return learning.enrich(records, gaps, t.search_results.withColumn("rank", F.lit(1)))
+
+
+@reg.add(", s AS (SELECT id, coalesce(trim(city), '') <> '' AS c FROM listings) SELECT id, CASE WHEN c THEN 'standardize_address,fsa_lookup' ELSE '' END AS plan FROM s", "listings")
+def plan_lookup(t) -> DataFrame:
+    signed = pipeline.record_signature(t.listings, ["city"], "year", "real_estate")
+    both = signed.join(t.listings.select("id", "city"), "id").groupBy("signature").agg(F.max(F.coalesce(F.trim("city"), F.lit("")) != "").alias("c"))
+    plans = both.select("signature", F.array(F.lit("fsa_lookup"), F.lit("unheard_of"), F.lit("standardize_address")).alias("steps"), F.expr("CASE WHEN c THEN timestamp'2025-01-02' ELSE timestamp'2024-12-31' END").alias("expires_at"))
+    known = ["spell_override", "standardize_address", "fsa_lookup"]
+    out = learning.plan_lookup(signed, plans, F.lit("2025-01-01").cast("timestamp"), known)
+    return out.select("id", F.coalesce("plan", F.lit("")).alias("plan"))
+
+
+def _place(t) -> str:
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _events(t) -> DataFrame:
+    return feeds.read_feed(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@reg.add("SELECT event_id, 'https://' || lower(event_type) || '.org' AS query FROM events")
+def stream_clean(t) -> DataFrame:
+    out = _events(t).select("event_id", text.normalize_search_query(F.concat(F.lit(" https://"), F.upper("event_type"), F.lit(".org ."))).alias("query"))
+    return feeds.run_available(out, _place(t)).select("event_id", F.trim("query").alias("query"))
+
+
+@reg.add(", m AS (SELECT fsa, min(normalized_municipality) AS n FROM fsa_map GROUP BY 1), e AS (SELECT event_id, ['M0A', 'V8L', 'X9X'][CAST(event_id % 3 AS INT) + 1] AS f FROM events) SELECT event_id, n AS fsa_municipality FROM e LEFT JOIN m ON fsa = f", "listings", "fsa_map")
+def stream_lookup(t) -> DataFrame:
+    feed = _events(t).select("event_id", F.expr("array('M0A 1H0', 'V8L', 'x9x')[event_id % 3]").alias("postal_code"))
+    return feeds.run_available(lookups.fsa_lookup(feed, t.fsa_map).select("event_id", "fsa_municipality"), _place(t))
+
+
+@reg.add()
+def stream_route_counts(t) -> DataFrame:
+    return feeds.run_available(feeds.route_counts(feeds.outcomes_of(_events(t))), _place(t))
+
+
+@reg.add("SELECT DISTINCT user_id, event_type FROM events")
+def stream_insert_ignore(t) -> DataFrame:
+    out = feeds.first_of_key(_events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"])
+    return feeds.run_available(out, _place(t)).select("user_id", "event_type")
+
+
+@reg.add()
+def stream_outcomes(t) -> DataFrame:
+    return feeds.run_available(feeds.source_trust(feeds.outcomes_of(_events(t))), _place(t), "update").groupBy("domain", "url_host").agg(F.max_by("trust_score", "batch").alias("trust_score"))
