@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, linking, upkeep
+from . import cleaning, linking, patterns, upkeep
 
-QUERIES = {**cleaning.QUERIES, **upkeep.QUERIES, **linking.QUERIES}
-ORACLES = {**cleaning.ORACLES, **upkeep.ORACLES, **linking.ORACLES}
+QUERIES = {**cleaning.QUERIES, **upkeep.QUERIES, **linking.QUERIES, **patterns.QUERIES}
+ORACLES = {**cleaning.ORACLES, **upkeep.ORACLES, **linking.ORACLES, **patterns.ORACLES}
