@@ -83,6 +83,30 @@ def by_exact_keys(df: DataFrame, rules: tuple[Rule, ...], limit_to: list[str] |
     return out
 
 
+def by_fuzzy_text(df: DataFrame, blocks: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """Links of fuzzy rules inside blocks without all pairs: rows of one text are linked to the least id of it, and
+    different texts meet only over a bigram of their prefixes.
+
+    A similarity of t needs a Jaccard similarity of 2t - 1, so of n bigrams in a fixed order one of the first
+    n - ceil((2t - 1) n) + 1 is shared (all of them, if t is 0.5 or less).
+    """
+    out = None
+    for r in (r for r in rules if r.kind == "fuzzy"):
+        text = F.trim(F.concat_ws(" ", *[_norm(f) for f in r.fields]))
+        rows = df.select(*blocks, "id", text.alias("_x")).where("_x <> ''")
+        texts = rows.groupBy(*blocks, "_x").agg(F.min("id").alias("id_a"))
+        same = rows.join(texts, [*blocks, "_x"]).where("id_a < id").select("id_a", F.col("id").alias("id_b"))
+        keys = F.array_sort(F.transform(bigrams(F.col("_x")), lambda g: F.xxhash64(g)))
+        least = max(0.0, 2 * r.threshold - 1)
+        first = F.slice(keys, F.lit(1), F.greatest(F.size(keys) - F.ceil(F.lit(least) * F.size(keys) - 1e-9).cast("int") + (1 if least else 0), F.lit(1)))
+        a, b = (texts.select(*blocks, F.col("id_a").alias(f"id_{s}"), F.col("_x").alias(f"x_{s}"), F.explode(first).alias("_g")) for s in "ab")
+        near = F.least(F.length("x_a"), F.length("x_b")) >= least * F.greatest(F.length("x_a"), F.length("x_b"))
+        pairs = a.join(b, [*blocks, "_g"]).where("id_a < id_b").where(near).select("id_a", "id_b", "x_a", "x_b").distinct()
+        links = same.unionByName(pairs.where(fuzzy_similarity(F.col("x_a"), F.col("x_b")) >= r.threshold).select("id_a", "id_b"))
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
 def _shared(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
 

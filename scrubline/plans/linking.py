@@ -62,8 +62,7 @@ LINKS = MATCHES + ", k AS (SELECT lower(trim(email)) AS e, min(id) AS lo FROM li
     "listings",
 )
 def link_components(t) -> DataFrame:
-    pairs = linkage.match(linkage.candidate_pairs(t.listings, BLOCK, COLUMNS), tuple(r for r in linkage.RULES if r.kind == "fuzzy"))
-    links = pairs.select("id_a", "id_b").unionByName(linkage.by_exact_keys(t.listings, linkage.RULES))
+    links = linkage.by_fuzzy_text(t.listings, BLOCK, linkage.RULES).unionByName(linkage.by_exact_keys(t.listings, linkage.RULES))
     return linkage.link_components(t.listings.select("id"), links)
 
 

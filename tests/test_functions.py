@@ -162,3 +162,12 @@ def test_cycles_and_missing_steps_are_errors():
         pipeline.Domain("d", (step("a", 1, "low", ("b",)), step("b", 1, "low", ("a",)))).ordered()
     with pytest.raises(ValueError, match="no step"):
         pipeline.Domain("d", (step("a", 1, "low", ("b",)),)).ordered()
+
+
+def test_fuzzy_links_connect_what_all_pairs_do(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").selectExpr("c_custkey AS id", "c_custkey % 3 AS block", "concat(c_custkey % 40, ' King Street') AS address", "'Toronto' AS city", "'' AS email")
+    rules = (linkage.Rule("address", ("address", "city"), "fuzzy", 0.85),)
+    all_pairs = linkage.match(linkage.candidate_pairs(df, ["block"], ["address", "city"]), rules).select("id_a", "id_b")
+    few = linkage.by_fuzzy_text(df, ["block"], rules)
+    groups = [{r["id"]: r["group_id"] for r in linkage.link_components(df, links).collect()} for links in (all_pairs, few)]
+    assert groups[0] == groups[1] and few.count() < all_pairs.count()
