@@ -111,8 +111,10 @@ def _shared(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share, and read again: a round's lineage ends here."""
+def _written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written to the folder that all executors share, and read again: a round's lineage ends here. Few rows go to few files."""
+    if rows is not None:
+        df = df.coalesce(max(4, rows // 100_000))
     path = f"{_shared(df.sparkSession)}/links-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -125,18 +127,19 @@ def link_components(df: DataFrame, links: DataFrame, rounds: int = 60) -> DataFr
     the neighbourhood. Minima combine in the map stage, so a hub costs a row for each task.
     """
     edges = _written(links.select(F.greatest("id_a", "id_b").alias("hi"), F.least("id_a", "id_b").alias("lo")).where("hi <> lo").distinct())
-    state = None
     for _ in range(rounds):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == state:
+        # done when every id has one edge, and those it leads to have none
+        ends = edges.select(F.col("hi").alias("at"), F.lit(1).alias("up")).unionByName(edges.select(F.col("lo").alias("at"), F.lit(0).alias("up")))
+        each = ends.groupBy("at").agg(F.sum("up").alias("up"), F.count("*").alias("all"))
+        now = each.agg(F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("all") > F.col("up")))).alias("open")).first()
+        if not now["open"]:
             break
-        state = now
         ends = edges.select(F.col("hi").alias("at"), F.col("lo").alias("to")).unionByName(edges.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
         least = ends.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("lo"))
         large = ends.where("to > at").join(least, "at").select(F.col("to").alias("hi"), "lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).unionByName(least.select("hi", F.col("least").alias("lo")))
-        edges = _written(small.where("hi <> lo").distinct())
+        edges = _written(small.where("hi <> lo").distinct(), now["n"])
     roots = edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("group_id"))
     return df.join(roots, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
 
