@@ -1,7 +1,7 @@
 """URL filters: rules first, else host words judged by naive Bayes.
 
 Host labels and path segments are runs of letters, often several words in one. Unigram counts over
-all page titles, urls and the training names say how likely a word is, and the Viterbi path over a
+all page titles and the training names say how likely a word is, and the Viterbi path over a
 run's substrings splits it. Substrings meet the unigram table in a join, so neither is held whole
 by anyone. Multinomial naive Bayes, taught by labelled names, judges the words.
 """
@@ -55,10 +55,9 @@ def runs_of(text: Column) -> Column:
 
 
 def unigrams(pages: DataFrame, training: dict[str, str]) -> DataFrame:
-    """(word, n) over all titles and urls, and the training words."""
+    """(word, n) over all pages' titles, and the training words. Urls don't count: a joined name would be a word."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    text = F.concat_ws(" ", title, F.coalesce("url", F.lit("")))
-    counted = pages.select(F.explode(runs_of(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = pages.select(F.explode(runs_of(title)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # a training word counts as often as it would among a thousand words
     own = pages.sparkSession.createDataFrame(sorted({(w, 10) for v in training.values() for w in v.split()}), "word string, n long")
     return counted.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
