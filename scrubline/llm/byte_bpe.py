@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import for_texts, text_of
 from .pretokens import Memo, cutter
 
 #: At most 256: a position is held in a byte.
 LONG_WORD = 256
 #: Entries of a worker's cache, about 280 bytes each, twice; older ones go.
-MEMO_WORDS = 450_000
+MEMO_WORDS = 200_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Words of one recursive query, which bounds its memory.
 QUERY_WORDS = 20_000
 
@@ -81,7 +81,7 @@ class Coder:
         self.memo = Memo(MEMO_WORDS)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         ids = {r: b for b, r in self.ranks.items()}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         pairs = [(self.ranks[b[:i]], self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks]
         merges = pa.table([pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)], ["a", "b", "merged"])
         vocabulary = pa.table({"token": pa.array(list(ids), pa.int32()), "hex": [b.hex() for b in ids.values()]})
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         ids = [list(map(int, i.split(","))) if i else [] for i, _, _ in coded]
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32())), pa.array([d.decode() for _, _, d in coded], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _batches_of(b, path, pattern, out), "doc_id long, ids array<int>, decoded string")
+    return for_texts(docs).select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _batches_of(b, path, pattern, out), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -214,4 +214,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _batches_of(b, path, pattern, out), kind)
+    return for_texts(docs).select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _batches_of(b, path, pattern, out), kind)

@@ -21,10 +21,28 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
+#: Rows are whole texts, so what readers and Arrow hold at once is bounded by fewer rows than their defaults allow.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
+
+
+def for_texts(df: DataFrame) -> DataFrame:
+    """df, after the session's batch sizes are brought down to ``BATCHES``; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for name, rows in BATCHES.items():
+        if int(conf.get(name)) > rows or int(conf.get(name)) <= 0:
+            conf.set(name, str(rows))
+    return df
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    ``rows``: about how many there are, where that is known; few rows then go to few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(4, rows // 100_000))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,25 +79,27 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
     Alternating large-star and small-star rounds over edges between nodes. Each round is one
     aggregation with map-side minima, so that a hub costs a row for each task and not a group.
-    Rounds are staged, and end when the edges no longer change.
+    Rounds are staged, and end when all pairs lead to roots.
     """
     pairs = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(),
         "edges",
     )
-    last = None
     for _ in range(max_rounds):
-        stat = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
-        if stat["n"] == 0 or (stat["n"], stat["h"]) == last:
+        # done when each node has one pair, and none of those that pairs lead to has one
+        ends = pairs.select(F.col("v").alias("x"), F.lit(1).alias("from_")).unionByName(pairs.select(F.col("u").alias("x"), F.lit(0).alias("from_")))
+        each = ends.groupBy("x").agg(F.sum("from_").alias("out"), (F.count("*") - F.sum("from_")).alias("in_"))
+        stat = each.agg(F.sum("out").alias("n"), F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in_") > 0))).alias("open")).first()
+        if not stat["open"]:
             break
-        last = (stat["n"], stat["h"])
+        n = stat["n"]
         # large star: every larger neighbour of v goes to the smallest of v's neighbourhood
         both = pairs.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(
             pairs.select(F.col("u").alias("x"), F.col("v").alias("y"))
         )
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(low, "x").where("y <> m").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
-        large = staged(large, "large")
+        large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = staged(large, "large", n)
         # small star: the smaller neighbours of v and v itself go to the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(low, "v")
@@ -89,6 +109,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             .where("v <> u")
             .distinct(),
             "small",
+            n,
         )
     roots = pairs.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, id_out, sized_broadcast, small, staged, text_of
+from .common import for_texts, id_of, id_out, sized_broadcast, small, staged, text_of
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -67,7 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     widths = sorted(r[0] for r in items.select("width").distinct().limit(width).collect()) or [width]
     sketch = staged(sketches(items, containment), "sketches")
     keys = sketch.select("hash").distinct()
-    texts = docs.select(id_of().alias("id"), words_of(text_of()).alias("w"))
+    texts = for_texts(docs).select(id_of().alias("id"), words_of(text_of()).alias("w"))
     hashed = texts.select("id", F.explode(F.concat(*[hashes_of("w", k) for k in widths])).alias("hash"))
     # a document is a candidate if it holds any item's sketch hash
     seen = staged(hashed.join(sized_broadcast(keys), "hash", "left_semi").select("id").distinct(), "candidates")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NO_ID, id_of, id_out, sized_broadcast, staged, text_of
+from .common import BROADCAST_ROWS, NO_ID, for_texts, id_of, id_out, sized_broadcast, staged, text_of
 
 FINGERPRINT_BITS = 52
 BLOCK_ROWS = 200_000
@@ -153,7 +153,7 @@ def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
     such id (kept is by id). An empty table gives an empty table.
     """
     docs = docs.select([c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256", "squeezed")])
-    full = docs.withColumn("squeezed", squeezed())
+    full = for_texts(docs).withColumn("squeezed", squeezed())
     seen = suspects(full.select("doc_id", "squeezed"))
     # most code points, then least id, as one number, so that grouping keeps fixed-width state
     best = F.max(F.expr(f"CAST(length(coalesce(text, '')) AS DECIMAL(38,0)) * {SPAN} + CAST({NO_ID} - coalesce(doc_id, {NO_ID}) AS DECIMAL(20,0))"))

@@ -20,7 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import for_texts, staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -78,7 +78,7 @@ def found(docs: DataFrame) -> DataFrame:
 
     Texts are read once: what the patterns match is staged, and all that follows reads that.
     """
-    texts = docs.select("doc_id", text_of().alias("t"))
+    texts = for_texts(docs).select("doc_id", text_of().alias("t"))
     raw = {f"b{i}": F.expr(_valid(k)) for i, k in enumerate(KINDS)} | {f"w{i}": F.expr(_spans(k, WIDER[k], WIDER_HINT[k])) for i, k in enumerate(KINDS)}
     raw = staged(texts.select("doc_id", *[c.alias(n) for n, c in raw.items()]), "matches")
     base, wide = (F.expr("array_sort(concat(" + ", ".join(f"{x}{i}" for i in range(len(KINDS))) + "))") for x in "bw")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_of, id_out, sized_broadcast, staged, text_of
+from .common import components, for_texts, id_of, id_out, sized_broadcast, staged, text_of
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -57,7 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(id, print) of every document; null text as empty, null doc_id as the largest id."""
-    return docs.select(id_of().alias("id"), text_of().cast("binary").alias("t")).mapInArrow(_fingerprints, "id long, print long")
+    return for_texts(docs).select(id_of().alias("id"), text_of().cast("binary").alias("t")).mapInArrow(_fingerprints, "id long, print long")
 
 
 def _half(segment: int):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import for_texts, text_of
 from .pretokens import Memo, pieces_of, spelled
 
 #: Pieces in the broadcast table, and those that a partition names for it.
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     ``path``: a file of the tokenizers library (.json) or of sentencepiece (.model), on every worker.
     Equal rows stay apart, other columns are ignored.
     """
-    docs = docs.select("doc_id", text_of().alias("text"))
+    docs = for_texts(docs).select("doc_id", text_of().alias("text"))
     splits = Counting(path).splits
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path) if splits else None)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, sized_broadcast, staged, text_of
+from .common import for_texts, id_of, sized_broadcast, staged, text_of
 from .pretokens import Memo
 
 #: Labelled texts that the classifier is fitted on: all up to so many, else those with the least hash of the text.
@@ -31,7 +31,7 @@ TRAINING_ROWS = 20_000
 #: ratio statistic that sets it off from chance (a family of near copies gives its words some by itself).
 MODEL_FEATURES, LEAST_ODDS, LEAST_RATIO = 20_000, 2.5, 40.0
 BEGINNINGS = (4, 5, 6)
-MEMO_PIECES = 250_000
+MEMO_PIECES = 100_000
 
 # What a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -246,7 +246,7 @@ def _curve(points: list[tuple[float, int, float]]) -> tuple[float, float]:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, float], tuple[float, float]]:
     """The character model, the features' weights, and the curve. Without both labels among the rows, no feature has weight."""
-    model = character_model(docs)
+    model = character_model(for_texts(docs))
     train = staged(training_rows(docs, labels), "training").repartition(32)
     sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     ill, fine = sizes.get(1, 0), sizes.get(0, 0)
