@@ -323,6 +323,29 @@ def test_repeated_passages(spark, empty):
     assert passages.repeated(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_passages_whose_parts_have_other_first_holders(spark, parts):
+    rng = random.Random(29)
+    one, two, three = (words(rng, 30) for _ in "abc")
+    holds = {1: one, 2: two, 3: three, 10: f"{one} {two}", 11: one, 12: two, 13: f"{one} {two}", 20: f"{two} {three}", 21: f"{two} {three}"}
+    docs = spark.createDataFrame([(i, f"{words(rng, 50)} {t} {words(rng, 50)}") for i, t in holds.items()], "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: (r.class_id, [tuple(map(int, s.split(":"))) for s in r.spans.split(",")]) for r in passages.repeated(docs).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {10: 10, 13: 10, 20: 20, 21: 20}
+    assert all(spans == [(50, 110)] for _, spans in got.values())
+
+
+def test_every_shared_run_of_the_least_length_is_found(spark):
+    rng = random.Random(31)
+    rows = []
+    for g in range(40):  # runs of just MIN_WORDS words, and one word less; their halves are first in other documents
+        size = passages.MIN_WORDS - (g % 4 == 3)
+        run = words(rng, size).split()
+        held = [run[: size // 2], run[size // 2 :], run, run]
+        rows += [(10 * g + i, f"{words(rng, 30)} {' '.join(h)} {words(rng, 30)}") for i, h in enumerate(held)]
+    got = {r.doc_id: r.class_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10 * g + i: 10 * g + 2 for g in range(40) if g % 4 != 3 for i in (2, 3)}
+
+
 def test_odd_rows_do_not_break_passages(odd):
     got = {r.doc_id: r.class_id for r in passages.repeated(odd).collect()}
     assert got[4] == got[6] == got[13] == 4 and got[7] == got[8] == 7 and 2 not in got
