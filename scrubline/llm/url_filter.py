@@ -58,8 +58,10 @@ def unigrams(pages: DataFrame, training: dict[str, str]) -> DataFrame:
     """(word, n) over all pages' titles, and the training words. Urls don't count: a joined name would be a word."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     counted = pages.select(F.explode(runs_of(title)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    # a training word counts as often as it would among a thousand words
-    own = pages.sparkSession.createDataFrame(sorted({(w, 10) for v in training.values() for w in v.split()}), "word string, n long")
+    counted = staged(counted, "titles")
+    # a training word counts for a hundredth of the titles' words, whatever their number; for ten if they are under a thousand
+    n = max(10, (counted.agg(F.sum("n")).first()[0] or 0) // 100)
+    own = pages.sparkSession.createDataFrame(sorted({(w, n) for v in training.values() for w in v.split()}), "word string, n long")
     return counted.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
 
 

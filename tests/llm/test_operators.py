@@ -291,6 +291,16 @@ def test_url_verdicts(spark):
     assert url_filter.judged(pages).count() == len(urls) + 1
 
 
+def test_words_and_verdicts_do_not_change_with_size(spark):
+    hosts = {"freebetwin": ["free", "bet", "win"], "hotfreewin": ["hot", "free", "win"], "sexadsbet": ["sex", "ads", "bet"], "freepornxxx": ["free", "porn", "xxx"], "museumlibrary": ["museum", "library"]}
+    urls = spark.createDataFrame([(i, f"http://{h}.net/", None) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    for size in (1, 100, 20_000):  # up to 4.6 million words of titles
+        titles = spark.range(min(size, 400)).select((F.col("id") + 100).alias("page_id"), F.lit("http://x.org/").alias("url"), F.concat(F.lit("<title>"), F.repeat(F.lit(" ".join(["the of be t w in to and a on for weather"] * 19 + ["rare win free"]) + " "), F.lit(max(1, size // 400))), F.lit("</title>")).alias("html"))
+        got = {r.page_id: r for r in url_filter.judged(urls.unionByName(titles)).where("page_id < 100").collect()}
+        assert [got[i].host_words[:-1] for i in range(len(hosts))] == list(hosts.values()), size
+        assert [got[i].verdict for i in range(len(hosts))] == ["block"] * 4 + ["allow"], size
+
+
 ARTICLE = "<h1>T &amp; x</h1><p>a&nbsp;b  <b>c</b>\n d<p>e<ul><li>f<li>g</ul>"
 
 
