@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -21,25 +23,30 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"try_divide({dot}, sqrt({norm.format(a)}) * sqrt({norm.format(b)}))")
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """queries in blocks of about half of QUERY_ROWS by a hash of their ids, or whole if they are few enough."""
+    n = -(-queries.count() // QUERY_ROWS)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(2 * n)) == i) for i in range(2 * n)]
+
+
 def _against_all(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """Similarity of a stated, bounded block of queries to every row of base."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).limit(QUERY_ROWS + 1)
-    if q.count() > QUERY_ROWS:
-        raise ValueError(f"over {QUERY_ROWS} queries: pass them in blocks, or use candidates()")
+    """Similarity of a block of queries to every row of base."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("similarity", cosine("q", "embedding"))
 
 
 def topk_cosine(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank) of the k nearest rows; ties by vec_id. Tasks keep k of their own first."""
+    """(query_id, vec_id, similarity, rank) of the k nearest rows; ties by vec_id. Tasks keep k of their own first. Any
+    number of queries: a block of them goes to every task, and base is read once for each block."""
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    scored = _against_all(queries, base).select("query_id", "vec_id", "similarity")
-    return scored.withColumn("rank", order).where(F.col("rank") <= k)
+    blocks = [_against_all(q, base).select("query_id", "vec_id", "similarity").withColumn("rank", order).where(F.col("rank") <= k) for q in _blocks(queries)]
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def nearest_within(queries: DataFrame, base: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(query_id, vec_id, similarity): the nearest row over the threshold; queries without one are left out."""
-    near = _against_all(queries, base).where(F.col("similarity") > threshold)
-    best = near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("minus"))).alias("b"))
+    """(query_id, vec_id, similarity): the nearest row over the threshold; queries without one are left out. Blocks as in topk_cosine."""
+    nearest = F.max(F.struct("similarity", (-F.col("vec_id")).alias("minus"))).alias("b")
+    best = reduce(DataFrame.unionByName, [_against_all(q, base).where(F.col("similarity") > threshold).groupBy("query_id").agg(nearest) for q in _blocks(queries)])
     return best.select("query_id", (-F.col("b.minus")).alias("vec_id"), F.col("b.similarity").alias("similarity"))
 
 
