@@ -1,21 +1,22 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
-The distinct pre-tokens of a batch become rows (word, position, token), one token for each byte.
-A recursive query joins neighbouring rows with the merge table, finds each word's leftmost pair of
-least rank, contracts it, and goes on until no word has a pair. What it gives is kept by worker,
-so each pre-token is encoded about once for each worker. Decoding is an aggregation of the tokens'
-bytes in order.
-
-A recursive query passes over a word's rows once for each merge, so the time for a word grows with
-the square of its length. Words over ``LONG_WORD`` bytes (runs without any space) take the same
-merges from a heap.
+The distinct pre-tokens of a batch are lists of tokens, one token for each byte. A recursive query
+spells them out as rows (word, position, token, next token), joins these with the merge table,
+contracts each word's leftmost pair of least rank, and goes on until no word has a pair. Decoding is
+an aggregation of the tokens' bytes in order. What a query gives is kept by worker, so each
+pre-token is encoded about once for each worker.
+
+A query passes over a word's rows once for each round, so the time for a word would grow with the
+square of its length. Words over ``LONG_WORD`` bytes therefore go through a query that contracts all
+pairs of a word's least rank in one round, wherever that gives the same tokens: a contraction can't
+come before another of the same rank unless the new token stands in a pair of lesser rank (such
+ranks are marked, and their pairs contracted singly).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,45 +24,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, text_of
+from .common import mapped, text_of
 from .pretokens import Memo, cutter
 
-#: At most 256: a position is held in a byte.
-LONG_WORD = 256
-#: Entries of a worker's cache, about 280 bytes each, twice; older ones go.
-MEMO_WORDS = 200_000
+#: Bytes from which words are contracted at all places of a rank in one round.
+LONG_WORD = 64
+#: Entries of a worker's cache, about 250 bytes each, twice; older ones go.
+MEMO_WORDS = 120_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 2_000_000
-#: Words of one recursive query, which bounds its memory.
-QUERY_WORDS = 20_000
-
-ENCODE = """
-WITH RECURSIVE step(word, last, pos, token, next_pos, next_token) AS (
-    SELECT word, false, pos, token, lead(pos) OVER w, lead(token) OVER w
-    FROM start WINDOW w AS (PARTITION BY word ORDER BY pos)
+SLICE_BYTES = 4_000_000
+#: Words of one recursive query, and their bytes, which bound its memory.
+QUERY_WORDS, QUERY_BYTES = 20_000, 400_000
+DUCKDB_MEMORY = "192MB"
+
+#: Rows of pairs (word, a, b, pos) of what a round has.
+_PAIRS = "SELECT word, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, generate_subscripts(tokens[2:], 1) AS pos FROM step"
+
+SHORT = f"""
+WITH RECURSIVE step(word, tokens) AS (
+    SELECT word, tokens FROM start
   UNION ALL
+    SELECT s.word, list_concat(list_append(s.tokens[:(best & 4294967295) - 1], (best >> 32)::INTEGER), s.tokens[(best & 4294967295) + 2:])
+    FROM step s JOIN (
+        SELECT word, min((merged::BIGINT << 32) + pos) AS best FROM ({_PAIRS}) JOIN merges USING (a, b) GROUP BY word) USING (word)
+), done AS MATERIALIZED (SELECT word, arg_min(tokens, len(tokens)) AS ids FROM step GROUP BY word)"""
+
+LONG = f"""
+WITH RECURSIVE step(word, tokens) USING KEY (word) AS (
+    SELECT word, tokens FROM start
+  UNION
     SELECT * FROM (
-        WITH ranked AS (
-            SELECT s.*, m.merged * 256 + s.pos AS rank
-            FROM step s LEFT JOIN merges m ON m.a = s.token AND m.b = s.next_token WHERE NOT s.last),
-        best AS (SELECT word, min(rank) AS best FROM ranked GROUP BY word),
-        contracted AS (
-            SELECT r.word, b.best IS NULL AS last, r.pos, b.best, r.next_pos,
-                   CASE WHEN r.pos = (b.best & 255) THEN (b.best >> 8)::INTEGER ELSE r.token END AS token
-            FROM ranked r JOIN best b USING (word)),
-        taken AS (SELECT word, next_pos AS pos FROM contracted WHERE pos = (best & 255))
-        SELECT word, last, pos, token, lead(pos) OVER w, lead(token) OVER w
-        FROM (SELECT c.* FROM contracted c ANTI JOIN taken t ON t.word = c.word AND t.pos = c.pos)
-        WINDOW w AS (PARTITION BY word ORDER BY pos))
-)
-SELECT word, string_agg(token::VARCHAR, ',' ORDER BY pos) AS ids
-FROM step WHERE last GROUP BY word ORDER BY word
-"""
-
-DECODE = """
-SELECT word, string_agg(v.hex, '' ORDER BY i) AS hex
-FROM (SELECT word, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM coded) JOIN vocabulary v USING (token)
-GROUP BY word ORDER BY word
+        WITH ranked AS (SELECT word, pos, merged, calm FROM ({_PAIRS}) JOIN merges USING (a, b)),
+        hits AS (
+            SELECT r.*, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth
+            FROM ranked r JOIN (SELECT word, min(merged) AS merged FROM ranked GROUP BY word) USING (word, merged)),
+        -- of pairs that overlap, as in a run of one token, every other one
+        turns AS (SELECT *, row_number() OVER (PARTITION BY word, pos - nth ORDER BY pos) AS turn FROM hits),
+        taken AS (SELECT word, pos, merged FROM turns WHERE turn % 2 = 1 AND (calm OR nth = 1)),
+        flat AS (SELECT word, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM step SEMI JOIN taken USING (word))
+        SELECT word, list(coalesce(t.merged, f.token) ORDER BY f.pos) AS tokens
+        FROM flat f ANTI JOIN (SELECT word, pos + 1 AS pos FROM taken) g USING (word, pos) LEFT JOIN taken t USING (word, pos)
+        GROUP BY word)
+), done AS MATERIALIZED (SELECT word, tokens AS ids FROM step)"""
+
+DECODE = """, said AS (
+    SELECT word, list(hex ORDER BY i) AS hex
+    FROM (SELECT word, unnest(ids) AS token, generate_subscripts(ids, 1) AS i FROM done) JOIN vocabulary USING (token) GROUP BY word)
+SELECT array_to_string(ids, ',') AS ids, array_to_string(hex, '') AS hex FROM done JOIN said USING (word) ORDER BY word
 """
 
 
@@ -80,75 +89,40 @@ class Coder:
         self.cut = cutter(pattern)
         self.memo = Memo(MEMO_WORDS)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        ids = {r: b for b, r in self.ranks.items()}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         pairs = [(self.ranks[b[:i]], self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks]
-        merges = pa.table([pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)], ["a", "b", "merged"])
-        vocabulary = pa.table({"token": pa.array(list(ids), pa.int32()), "hex": [b.hex() for b in ids.values()]})
+        hasty = {x for a, b, r in pairs for x in (a, b) if r < x}  # tokens in a pair that comes before they do
+        merges = pa.table([*(pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)), pa.array([r not in hasty for _, _, r in pairs])], ["a", "b", "merged", "calm"])
+        vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [b.hex() for b in self.ranks]})
         for name, t in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", t)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _by_heap(self, word: bytes) -> list[int]:
-        """The same merges for one long word: pairs in a heap by (rank, position)."""
-        token = [self.ranks[bytes([b])] for b in word]
-        text = [bytes([b]) for b in word]
-        after, before = list(range(1, len(word))) + [-1], list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (r := self.ranks.get(both := text[i] + text[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, both))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            r, i, both = heapq.heappop(heap)
-            if not text[i] or after[i] < 0 or text[i] + text[after[i]] != both:
-                continue
-            j = after[i]
-            token[i], text[i], text[j], after[i] = r, both, b"", after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [t for t, b in zip(token, text, strict=True) if b]
-
-    def encode(self, words: list[bytes]) -> list[str]:
-        """The ids of each word, joined by commas."""
-        out: list[str] = [""] * len(words)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = ",".join(map(str, self._by_heap(w)))
-        for lo in range(0, len(short), QUERY_WORDS):
-            part = [words[i] for i in short[lo : lo + QUERY_WORDS]]
-            size = np.array([len(w) for w in part])
-            token = self.single[np.frombuffer(b"".join(part), dtype=np.uint8)]
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            self.db.register("start", pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": pos.astype(np.int32), "token": token}))
-            for i, ids in zip(short[lo : lo + QUERY_WORDS], self.db.execute(ENCODE).fetchall(), strict=True):
-                out[i] = ids[1]
+    def coded(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """(ids joined by commas, bytes decoded from them) of each word; an empty one has none."""
+        out: list[tuple[str, bytes]] = [("", b"")] * len(words)
+        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
+        lo = 0
+        while lo < len(order):
+            query, hi, held = (SHORT if len(words[order[lo]]) <= LONG_WORD else LONG), lo, 0
+            while hi < len(order) and hi - lo < QUERY_WORDS and (hi == lo or held + len(words[order[hi]]) <= QUERY_BYTES) and (query is LONG or len(words[order[hi]]) <= LONG_WORD):
+                held += len(words[order[hi]])
+                hi += 1
+            part = [words[i] for i in order[lo:hi]]
+            ends = np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.single[np.frombuffer(b"".join(part), dtype=np.uint8)]))
+            self.db.register("start", pa.table({"word": pa.array(range(len(part)), pa.int32()), "tokens": tokens}))
+            for i, (ids, text) in zip(order[lo:hi], self.db.execute(query + DECODE).fetchall(), strict=True):
+                out[i] = ids, bytes.fromhex(text)
             self.db.unregister("start")
-        return out
-
-    def decode(self, ids: list[str]) -> list[bytes]:
-        """The bytes of each list of ids, by aggregation in order."""
-        out: list[bytes] = [b""] * len(ids)
-        for lo in range(0, len(ids), QUERY_WORDS):
-            lists = [[int(x) for x in s.split(",")] if s else [] for s in ids[lo : lo + QUERY_WORDS]]
-            self.db.register("coded", pa.table({"word": pa.array(range(len(lists)), pa.int32()), "ids": pa.array(lists, pa.list_(pa.int32()))}))
-            for k, h in self.db.execute(DECODE).fetchall():
-                out[lo + k] = bytes.fromhex(h)
-            self.db.unregister("coded")
+            lo = hi
         return out
 
     def learn(self, new: set[str]) -> None:
         """Put (ids, decoded bytes) of new words into the memo."""
         words = list(new)
-        coded = self.encode([w.encode() for w in words])
-        self.memo.update(zip(words, zip(coded, self.decode(coded), strict=True), strict=True))
+        self.memo.update(zip(words, self.coded([w.encode() for w in words]), strict=True))
 
     def texts(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """(ids joined by commas, how many, decoded bytes) of each text; new words of all are learned together."""
@@ -163,15 +137,6 @@ class Coder:
         return out
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
-def _coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
-
-
 def slices(texts: list[str], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` characters."""
     start = held = 0
@@ -184,25 +149,37 @@ def slices(texts: list[str], size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+#: A worker's coder, kept from task to task; one at a time.
+_coder: dict[tuple[str, str], Coder] = {}
+
+
 def _batches_of(batches: Iterator[pa.RecordBatch], path: str, pattern: str, out):
-    coder = _coder(path, pattern)
+    if (coder := _coder.get((path, pattern))) is None:
+        _coder.clear()
+        coder = _coder[path, pattern] = Coder(path, pattern)
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for lo, hi in slices(texts):
             yield out(batch.column(0)[lo:hi], coder.texts(texts[lo:hi]))
 
 
+def _coded(docs: DataFrame, path: str, pattern: str, out, kind: str) -> DataFrame:
+    return mapped(docs.select("doc_id", text_of().alias("text")), lambda b: _batches_of(b, path, pattern, out), kind, rows=2_000)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) of every whole text; null as empty, with no ids.
+    """(doc_id, ids array<int>, decoded string) of every whole text.
 
-    ``path``: a rank file on every worker, ``pattern``: what cuts texts. Rows keep their number, repeated ids too.
+    ``path``: a rank file on every worker, ``pattern``: what cuts texts. Null and empty texts have no ids and
+    decode to the empty text. Rows keep their number, equal ones and null or repeated doc_ids too; other columns
+    are ignored, whatever their names; an empty table gives an empty table.
     """
 
     def out(doc_ids, coded):
         ids = [list(map(int, i.split(","))) if i else [] for i, _, _ in coded]
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32())), pa.array([d.decode() for _, _, d in coded], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return for_texts(docs).select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _batches_of(b, path, pattern, out), "doc_id long, ids array<int>, decoded string")
+    return _coded(docs, path, pattern, out, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -213,5 +190,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         n, ids, decoded = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return for_texts(docs).select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _batches_of(b, path, pattern, out), kind)
+    return _coded(docs, path, pattern, out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,50 +1,97 @@
-"""What the text operators share: input shaping, the shared scratch folder, components."""
+"""What the text operators share: Arrow batches, the shared scratch folder, filters by key, components."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from ..ship import ship
 
 #: Rows up to which a table of a few fixed-width columns may be broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
+#: Bits of a Bloom filter for each key, its most bits (32 MB), and bits set by a key.
+BLOOM_BITS, BLOOM_MOST, BLOOM_HASHES = 12, 1 << 28, 3
+#: Rows of a Parquet row group hold so many bytes at most, so that a writer holds little of the heap.
+ROW_GROUP = 16 << 20
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str, rows: int = 1_000) -> DataFrame:
+    """df.mapInArrow(run), with the package sent to the workers and batches cut to ``rows`` rows (rows are whole texts)."""
+    ship(df.sparkSession)
+
+    def cut(batches: Batches) -> Batches:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                yield b[lo : lo + rows]
+
+    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
+    """A folder of this application inside the one in spark.checkpoint.dir, which driver and executors share.
 
+    Where that isn't set a local master (as in tests) gets a temporary folder; a cluster gets an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_dir()
+    path = f"{root.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if path not in _used:
+        _used.add(path)
+        atexit.register(_removed, spark, path)
+    return path
+
+
+_used: set[str] = set()
+_local: list[str] = []
 
-#: Rows are whole texts, so what readers and Arrow hold at once is bounded by fewer rows than their defaults allow.
-BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
 
+def _local_dir() -> str:
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    return _local[0]
 
-def for_texts(df: DataFrame) -> DataFrame:
-    """df, after the session's batch sizes are brought down to ``BATCHES``; smaller settings stay."""
-    conf = df.sparkSession.conf
-    for name, rows in BATCHES.items():
-        if int(conf.get(name)) > rows or int(conf.get(name)) <= 0:
-            conf.set(name, str(rows))
-    return df
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, unless the session has ended."""
+    if spark.sparkContext._jsc is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
-    ``rows``: about how many there are, where that is known; few rows then go to few files.
+    ``rows``: about how many there are, where that is known; few rows then go to few files. The folder goes with
+    ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(4, rows // 100_000))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that no later step reads."""
+    for t in tables:
+        _removed(t.sparkSession, t._staged_at)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -57,6 +104,44 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def _positions(key: str, bits: int) -> list[Column]:
+    return [F.xxhash64(F.col(key), F.lit(i)).bitwiseAND(bits - 1) for i in range(BLOOM_HASHES)]
+
+
+def bloom(keys: DataFrame, key: str, rows: int) -> np.ndarray:
+    """A Bloom filter of a long column: bits built by the partitions, 32 MB at most on the driver and in each executor."""
+    bits = min(BLOOM_MOST, 1 << max(15, (rows * BLOOM_BITS).bit_length()))
+    at = keys.select(F.explode(F.array(*_positions(key, bits))).alias("at")).select((F.col("at") + 1).alias("at"))  # bitmaps count from 1
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        lo = (r["bucket"] - 1) * 4096
+        out[lo : lo + 4096] = np.frombuffer(r["map"], np.uint8)
+    return out
+
+
+def parted(df: DataFrame, key: str, keys: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have one of the keys, all others); ``keys`` is staged, its rows are distinct longs named as ``key``.
+
+    Few keys are broadcast, and the first part is exact. More go to a Bloom filter of a fixed largest size, so
+    that rows are told apart in the map stage and the others never shuffled; the first part then holds some rows
+    without a key, and more of them the more keys there are over a tenth of a billion.
+    """
+    if small(keys, limit):
+        told = F.broadcast(keys.withColumnRenamed(key, "__key"))
+        return df.join(told, df[key] == F.col("__key"), "left_semi"), df.join(told, df[key] == F.col("__key"), "left_anti")
+    table = bloom(keys, key, keys.count())
+    ship(df.sparkSession)
+    sent, bits = df.sparkSession.sparkContext.broadcast(table), len(table) * 8
+
+    @F.pandas_udf(BooleanType())
+    def may(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(np.logical_and.reduce([(sent.value[x.to_numpy() >> 3] >> (x.to_numpy() & 7)) & 1 for x in (a, b, c)]).astype(bool))
+
+    held = may(*_positions(key, bits))
+    return df.where(held), df.where(~held)
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -79,7 +164,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
     Alternating large-star and small-star rounds over edges between nodes. Each round is one
     aggregation with map-side minima, so that a hub costs a row for each task and not a group.
-    Rounds are staged, and end when all pairs lead to roots.
+    Rounds are staged, and end when all pairs lead to roots; an error if they don't after ``max_rounds``.
     """
     pairs = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(),
@@ -103,6 +188,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         # small star: the smaller neighbours of v and v itself go to the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(low, "v")
+        before = pairs
         pairs = staged(
             moved.select(F.col("u").alias("v"), F.col("m").alias("u"))
             .unionByName(low.select("v", F.col("m").alias("u")))
@@ -111,5 +197,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             "small",
             n,
         )
+        discard(before, large)
+    else:
+        raise RuntimeError(f"links are still open after {max_rounds} rounds")
     roots = pairs.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, id_of, id_out, sized_broadcast, small, staged, text_of
+from .common import id_of, id_out, sized_broadcast, small, staged, text_of
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -56,26 +56,36 @@ def sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     return hashed.select("item", F.explode(F.slice("h", F.lit(1), F.greatest(length, F.lit(1)))).alias("hash"))
 
 
+def _held(docs: DataFrame, benchmark: DataFrame, containment: float, width: int) -> DataFrame:
+    """(id, h, item_id, n_shared, n) for each document, told by its id and its text's hash, and each item inside it."""
+    items = staged(item_shingles(benchmark, width), "items")
+    widths = sorted(r[0] for r in items.select("width").distinct().limit(width).collect()) or [width]
+    keys = staged(sketches(items, containment).select("hash").distinct(), "sketches")
+    texts = docs.select(id_of().alias("id"), F.xxhash64(text_of()).alias("h"), text_of().alias("t"))
+    hashed = F.explode(F.concat(*[hashes_of("w", k) for k in widths])).alias("hash")
+    # a document is a candidate if it holds any item's sketch hash; only candidates' texts leave their task
+    if small(keys):
+        hits = texts.withColumn("w", words_of(F.col("t"))).select("id", "h", "t", hashed).join(F.broadcast(keys), "hash", "left_semi")
+        again = staged(hits.groupBy("id", "h").agg(F.first("t").alias("t")), "candidates")
+    else:
+        hits = texts.withColumn("w", words_of(F.col("t"))).select("id", "h", hashed).join(keys, "hash", "left_semi")
+        again = texts.join(sized_broadcast(staged(hits.select("id", "h").distinct(), "candidates")), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+    again = again.withColumn("w", words_of(F.col("t")))
+    spelled = again.select("id", "h", F.explode(F.array_distinct(F.concat(*[shingles_of("w", k) for k in widths]))).alias("shingle"))
+    held = items if not small(items, 100_000) else F.broadcast(items)
+    shared = spelled.join(held, "shingle").groupBy("id", "h", "item", "item_id", "n").agg(F.count("*").alias("n_shared"))
+    return shared.where(F.col("n_shared") >= F.lit(containment) * F.col("n") - 1e-9)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each document and each item inside it.
 
     Null texts are empty and match nothing; so do items without a word. An item of fewer than ``width`` words
-    is one shingle of all its words. Items with the same id are held apart if their words differ. Rows with
-    the same doc_id count as one document. Other columns are ignored; empty tables give an empty result.
+    is one shingle of all its words. Items with the same id are held apart if their words differ. Rows with null or
+    the same doc_ids are held apart if their texts differ, and are one document if not even those do. Other columns are
+    ignored; empty tables give an empty result.
     """
-    items = staged(item_shingles(benchmark, width), "items")
-    widths = sorted(r[0] for r in items.select("width").distinct().limit(width).collect()) or [width]
-    sketch = staged(sketches(items, containment), "sketches")
-    keys = sketch.select("hash").distinct()
-    texts = for_texts(docs).select(id_of().alias("id"), words_of(text_of()).alias("w"))
-    hashed = texts.select("id", F.explode(F.concat(*[hashes_of("w", k) for k in widths])).alias("hash"))
-    # a document is a candidate if it holds any item's sketch hash
-    seen = staged(hashed.join(sized_broadcast(keys), "hash", "left_semi").select("id").distinct(), "candidates")
-    again = texts.join(sized_broadcast(seen), "id", "left_semi")
-    spelled = again.select("id", F.explode(F.array_distinct(F.concat(*[shingles_of("w", k) for k in widths]))).alias("shingle"))
-    held = items if not small(items, 100_000) else F.broadcast(items)
-    shared = spelled.join(held, "shingle").groupBy("id", "item", "item_id", "n").agg(F.count_distinct("shingle").alias("n_shared"))
-    return shared.where(F.col("n_shared") >= F.lit(containment) * F.col("n") - 1e-9).select(
+    return _held(docs, benchmark, containment, width).select(
         id_out(F.col("id")).alias("doc_id"),
         id_out(F.col("item_id")).alias("item_id"),
         "n_shared",
@@ -85,6 +95,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    gone = staged(contaminated(docs, benchmark).select(id_of().alias("__gone")).distinct(), "leaks")
-    return docs.join(sized_broadcast(gone), id_of() == F.col("__gone"), "left_anti")
+    """docs without the rows whose text holds a benchmark item.
+
+    Each row is judged by its own text; equal rows go or stay together, rows with null or repeated doc_ids don't touch
+    each other. Null and empty texts stay. All columns pass, whatever their names (but those that begin with two
+    underscores). Empty tables take nothing away.
+    """
+    gone = _held(docs, benchmark, CONTAINMENT, SHINGLE_WORDS).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    gone = sized_broadcast(staged(gone, "leaks"))
+    return docs.join(gone, (id_of() == F.col("__id")) & (F.xxhash64(text_of()) == F.col("__h")), "left_anti")

@@ -4,11 +4,13 @@
    fingerprint space). What an owner gets is a Golomb-Rice code of the sorted distinct values.
 2. An owner decodes what all blocks sent, and answers each block with a bitmap: bit i is set if
    the block's i-th value also came from elsewhere.
-3. Only the rows whose bit is set (or that repeat inside their block) are suspects. Their texts
+3. Only rows with a value whose bit is set (or that repeats inside its block) are suspects; they
+   are told from the others in the map stage, and written with a row number each. Their texts
    are grouped by the whole text, so equality is of bytes; the grouping combines in the map
-   stage, and a text with a million copies sends one row for each task.
+   stage, and a text with a million copies sends one row for each task. No other text is shuffled.
 
-A block of 10,000 texts sends some 45 KB, whatever the length of its texts.
+A block of 10,000 texts sends some 45 KB, whatever the length of its texts. There are so many owners that
+one decodes about OWNER_ROWS values.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, NO_ID, for_texts, id_of, id_out, sized_broadcast, staged, text_of
+from .common import BROADCAST_ROWS, NO_ID, id_of, id_out, mapped, parted, sized_broadcast, staged, text_of
 
 FINGERPRINT_BITS = 52
-BLOCK_ROWS = 200_000
+BLOCK_ROWS, OWNER_ROWS = 200_000, 2_000_000
 #: Over all ids: (code points, id) as one number.
 SPAN = "CAST(18446744073709551616 AS DECIMAL(20,0))"
 
@@ -59,41 +61,31 @@ def squeezed(col: str | Column = "text") -> Column:
 
 
 def _blocks(owners: int, bits: int, block_rows: int):
-    """Rows (block, owner, n, blob, ids, repeats): ids sorted by fingerprint, repeats[i] rows of the i-th value."""
+    """Rows (block, owner, n, blob, twice): twice is a bitmap of the values that more than one row of the block has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
+        width = -(-(1 << bits) // owners)
 
-        def block(ids: np.ndarray, prints: np.ndarray, number: int) -> pa.RecordBatch:
-            order = np.lexsort((ids, prints))
-            ids, prints = ids[order], prints[order]
-            width = -(-(1 << bits) // owners)
-            owner = prints // width
+        def block(prints: np.ndarray, number: int) -> pa.RecordBatch:
+            values, times = np.unique(prints, return_counts=True)
+            owner = values // width
             rows: list[tuple] = []
             for o in np.unique(owner):
                 lo, hi = np.searchsorted(owner, [o, o + 1])
-                values, repeats = np.unique(prints[lo:hi] - o * width, return_counts=True)
-                rows.append(((part << 24) + number, int(o), len(values), rice_encode(values), ids[lo:hi], repeats))
-            return pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([r[0] for r in rows], pa.int64()),
-                    "owner": pa.array([r[1] for r in rows], pa.int32()),
-                    "n": pa.array([r[2] for r in rows], pa.int32()),
-                    "blob": pa.array([r[3] for r in rows], pa.binary()),
-                    "ids": pa.array([r[4] for r in rows], pa.list_(pa.int64())),
-                    "repeats": pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                }
-            )
+                rows.append(((part << 24) + number, int(o), int(hi - lo), rice_encode(values[lo:hi] - o * width), np.packbits(times[lo:hi] > 1).tobytes()))
+            kinds = (("block", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("blob", pa.binary()), ("twice", pa.binary()))
+            return pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
 
         held, count = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
             count += batch.num_rows
             if count >= block_rows:
-                yield block(*(np.concatenate(x) for x in zip(*held, strict=True)), number)
+                yield block(np.concatenate(held), number)
                 held, count, number = [], 0, number + 1
         if count:
-            yield block(*(np.concatenate(x) for x in zip(*held, strict=True)), number)
+            yield block(np.concatenate(held), number)
 
     return run
 
@@ -118,30 +110,50 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids of a block whose value's bit is set, or whose value is there twice."""
-    for batch in batches:
-        for ids, repeats, bitmap in zip(*(batch.column(c).to_pylist() for c in ("ids", "repeats", "bitmap")), strict=True):
-            repeats = np.array(repeats, dtype=np.int64)
-            hit = repeats > 1
-            if bitmap is not None:
-                hit |= np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8))[: len(hit)].astype(bool)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(np.array(ids, dtype=np.int64)[np.repeat(hit, repeats)], pa.int64())})
-
-
-def suspects(docs: DataFrame, owners: int | None = None, bits: int = FINGERPRINT_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id) of the rows whose fingerprint another row has too: a superset of the rows with a copy."""
-    owners = owners or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    prints = docs.select(id_of().alias("id"), F.expr(f"xxhash64(squeezed) & {(1 << bits) - 1}L").alias("print"))
-    blocks = staged(
-        prints.mapInArrow(_blocks(owners, bits, block_rows), "block long, owner int, n int, blob binary, ids array<long>, repeats array<long>"),
-        "golomb",
-    )
-    answers = (
-        blocks.select("block", "owner", "n", "blob").repartition(owners, "owner").mapInArrow(_answers, "block long, owner int, bitmap binary")
-    )
-    told = blocks.select("block", "owner", "ids", "repeats").join(answers, ["block", "owner"], "left")
-    return staged(told.mapInArrow(_suspects, "id long").distinct(), "suspects")
+def _suspects(owners: int, bits: int):
+    """The values of a block whose bit is set in the owner's answer, or that are there twice."""
+    width = -(-(1 << bits) // owners)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, n, blob, twice, bitmap in zip(*(batch.column(c).to_pylist() for c in ("owner", "n", "blob", "twice", "bitmap")), strict=True):
+                hit = np.frombuffer(twice, np.uint8) | np.frombuffer(bitmap, np.uint8)
+                values = rice_decode(blob, n)[np.unpackbits(hit)[:n].astype(bool)] + owner * width
+                yield pa.RecordBatch.from_pydict({"print": pa.array(values, pa.int64())})
+
+    return run
+
+
+def suspects(prints: DataFrame, owners: int | None = None, bits: int = FINGERPRINT_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(print), each once, of the fingerprints that more than one row has; ``prints``: staged (print), a row for each text."""
+    owners = owners or max(16, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // OWNER_ROWS)
+    blocks = staged(mapped(prints, _blocks(owners, bits, block_rows), "block long, owner int, n int, blob binary, twice binary", BLOCK_ROWS), "golomb")
+    answers = mapped(blocks.select("block", "owner", "n", "blob").repartition(owners, "owner"), _answers, "block long, owner int, bitmap binary")
+    told = blocks.join(answers, ["block", "owner"]).select("owner", "n", "blob", "twice", "bitmap")
+    return staged(mapped(told, _suspects(owners, bits), "print long").distinct(), "suspects")
+
+
+def _marked(docs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """docs with __keep, __size, __kept, __sha behind its columns."""
+    mine = F.expr(f"CAST({NO_ID} - coalesce(doc_id, {NO_ID}) AS DECIMAL(20,0))")
+    full = docs.withColumn("__print", F.xxhash64(squeezed()).bitwiseAND((1 << FINGERPRINT_BITS) - 1))
+    seen = suspects(staged(full.select(F.col("__print").alias("print")), "prints")).withColumnRenamed("print", "__print")
+    some, rest = parted(full, "__print", seen, broadcast_rows)
+    sha = F.sha2(squeezed(), 256).alias("__sha")
+    rest = rest.select(*docs.columns, id_of().alias("__keep"), F.lit(1).cast("long").alias("__size"), F.lit(True).alias("__kept"), sha)
+    # most code points, then least id, as one number, so that grouping keeps fixed-width state
+    value = (F.length(text_of()).cast("decimal(38,0)") * F.expr(SPAN) + mine).cast("decimal(38,0)")
+    some = staged(some.select(*docs.columns, sha, value.alias("__value"), F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = some.groupBy(squeezed().alias("__squeezed")).agg(F.count("*").alias("__size"), F.max("__value").alias("__best"))
+    groups = staged(groups.where("__size > 1").select(F.sha2("__squeezed", 256).alias("__sha"), "__size", "__best"), "groups")
+    # of rows with the same length and id one stays
+    told = sized_broadcast(groups, broadcast_rows // 4)
+    first = some.select("__sha", "__value", "__row").join(told, "__sha").where("__value = __best").groupBy("__sha").agg(F.min("__row").alias("__first"))
+    groups = staged(groups.join(first, "__sha"), "kept")
+    some = some.join(sized_broadcast(groups, broadcast_rows // 4), "__sha", "left")
+    keep = F.expr(f"CAST({NO_ID} - __best % {SPAN} AS LONG)")
+    some = some.select(*docs.columns, F.coalesce(keep, id_of()).alias("__keep"), F.coalesce("__size", F.lit(1)).alias("__size"), F.coalesce(F.col("__row") == F.col("__first"), F.lit(True)).alias("__kept"), "__sha")
+    return rest.unionByName(some)
 
 
 def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -149,35 +161,18 @@ def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
 
     Rows are equal if their texts are without ``[\\x20\\x09-\\x0D]``; null text is empty, and empty texts are
     equal. The row with the most code points stays, then the smallest doc_id; a null doc_id comes last and a
-    null keep_id stands for it. Rows with the same doc_id and text count singly, and one of them is kept for each
-    such id (kept is by id). An empty table gives an empty table.
+    null keep_id stands for it. Rows with the same doc_id and text count singly: just one row of a group is kept,
+    any one of those that tie. Columns named like the four added ones give way to them. An empty table gives an empty table.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256", "squeezed")])
-    full = for_texts(docs).withColumn("squeezed", squeezed())
-    seen = suspects(full.select("doc_id", "squeezed"))
-    # most code points, then least id, as one number, so that grouping keeps fixed-width state
-    best = F.max(F.expr(f"CAST(length(coalesce(text, '')) AS DECIMAL(38,0)) * {SPAN} + CAST({NO_ID} - coalesce(doc_id, {NO_ID}) AS DECIMAL(20,0))"))
-    groups = (
-        full.select("doc_id", "text", "squeezed")
-        .join(sized_broadcast(seen.withColumnRenamed("id", "_id"), broadcast_rows), id_of() == F.col("_id"), "left_semi")
-        .groupBy("squeezed")
-        .agg(F.count("*").alias("group_size"), best.alias("best"))
-        .where("group_size > 1")
-    )
-    keep = F.expr(f"CAST({NO_ID} - best % {SPAN} AS LONG)")
-    groups = staged(groups.select(F.sha2("squeezed", 256).alias("text_sha256"), "group_size", keep.alias("__keep")), "groups")
-    out = full.withColumn("text_sha256", F.sha2("squeezed", 256)).drop("squeezed")
-    out = out.join(sized_broadcast(groups, broadcast_rows // 4), "text_sha256", "left")
-    keep_id = F.coalesce("__keep", id_of())
-    return out.select(
-        *docs.columns,
-        id_out(keep_id).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (keep_id == id_of()).alias("kept"),
-        "text_sha256",
-    )
-
-
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each set of equal texts."""
-    return exact_groups(docs).where("kept").select(docs.columns)
+    docs = docs.select([c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")])
+    added = (id_out(F.col("__keep")).alias("keep_id"), F.col("__size").alias("group_size"), F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
+    return _marked(docs, broadcast_rows).select(*docs.columns, *added)
+
+
+def drop_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with one row of each set of equal texts, as exact_groups() tells them: the one that is kept.
+
+    Null texts are equal to empty ones, so one row of all of them stays. Of equal rows, null or repeated doc_ids too, one
+    stays. All columns pass, whatever their names (but those that begin with two underscores). An empty table gives an empty table.
+    """
+    return _marked(docs, broadcast_rows).where("__kept").select(docs.columns)

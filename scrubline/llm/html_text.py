@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, small, staged
+from .common import mapped, small, staged
 from .url_filter import parts_of
 
 #: The share of a host's pages that a template token is on, and of its text that the main slot holds.
@@ -157,7 +157,7 @@ def templates(pages: DataFrame) -> DataFrame:
     The equivalence classes of a host are the groups of tokens with one occurrence vector. A class is valid if
     its tokens are once on each page they are on, and on SUPPORT of the host's pages; such classes nest by their paths.
     """
-    seen = pages.mapInArrow(_tokens, "host string, path string, n long, held long, mark long")
+    seen = mapped(pages, _tokens, "host string, path string, n long, held long, mark long")
     tokens = seen.groupBy("host", "path").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum("held").alias("held"), F.sum("mark").alias("vector"))
     tokens = staged(tokens, "tokens")
     whole = tokens.where("path = ''").select("host", F.col("pages").alias("of"), F.col("held").alias("all_held"))
@@ -194,8 +194,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     stay apart, other columns are ignored, an empty table gives an empty table.
     """
     host = F.coalesce(parts_of()[0], F.lit(""))
-    base = for_texts(pages).select("page_id", "url", "html", host.alias("host"))
+    base = pages.select("page_id", "url", "html", host.alias("host"))
     found = staged(templates(base.select(F.xxhash64("page_id", "url").alias("key"), "host", "html")), "templates")
     told = base.join(F.broadcast(found) if small(found, BROADCAST_HOSTS) else found, "host", "left").select("page_id", "url", "html", "slot")
-    out = told.mapInArrow(_extract, "page_id long, url string, text string")
+    out = mapped(told, _extract, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

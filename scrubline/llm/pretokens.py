@@ -41,12 +41,11 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         new = set()
-        for k in set(keys):
-            if k not in self:
-                if k in self.old:
-                    self[k] = self.old[k]
-                else:
-                    new.add(k)
+        for k in set(keys).difference(self):
+            if k in self.old:
+                self[k] = self.old[k]
+            else:
+                new.add(k)
         return new
 
 

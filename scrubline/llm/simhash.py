@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, for_texts, id_of, id_out, sized_broadcast, staged, text_of
+from .common import BROADCAST_ROWS, components, id_of, id_out, mapped, parted, sized_broadcast, staged, text_of
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -57,7 +58,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(id, print) of every document; null text as empty, null doc_id as the largest id."""
-    return for_texts(docs).select(id_of().alias("id"), text_of().cast("binary").alias("t")).mapInArrow(_fingerprints, "id long, print long")
+    return mapped(docs.select(id_of().alias("id"), text_of().cast("binary").alias("t")), _fingerprints, "id long, print long")
 
 
 def _half(segment: int):
@@ -97,21 +98,25 @@ def links(prints: DataFrame, busy: int = BUSY) -> DataFrame:
     return found.unionByName(asked.where("a <> b").join(prints.select(F.col("print").alias("b")), "b").select("a", "b"))
 
 
+def _groups(found: DataFrame) -> DataFrame:
+    """(print, root, component) of the fingerprints in components of several rows; found: staged (id, print), component: the least id."""
+    distinct = staged(found.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "prints")
+    edges = links(distinct.select("print"))
+    rooted = components(distinct.select(F.col("print").alias("node")), edges)
+    rooted = staged(rooted.join(distinct, F.col("node") == F.col("print")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("members"))
+    return staged(rooted.select("print", "root").join(least.where("members > 1"), "root").select("print", "root", "component"), "near")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
-    """docs with fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
+    """(doc_id, fingerprint, component_id) for every row: 16 hex digits, and the smallest doc_id reachable over links.
 
     Null text is empty; texts without words have fingerprint zero and link like any other. A null doc_id
-    comes after all others, and a null component_id stands for it. An empty table gives an empty table.
+    comes after all others, and a null component_id stands for it. Equal rows stay apart; other columns are
+    ignored; an empty table gives an empty table.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("fingerprint", "component_id")])
     found = staged(fingerprints(docs), "simhash")
-    distinct = staged(found.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "prints")
-    edges = links(distinct.select("print"))
-    rooted = components(distinct.select(F.col("print").alias("node")), edges)
-    rooted = rooted.join(distinct, F.col("node") == F.col("print"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("members"))
-    grouped = staged(rooted.select("print", "root").join(least.where("members > 1"), "root").select("print", "component"), "near")
-    told = found.join(sized_broadcast(grouped), "print", "left")
+    told = found.join(sized_broadcast(_groups(found)), "print", "left")
     return told.select(
         id_out(F.col("id")).alias("doc_id"),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
@@ -119,7 +124,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id: one document of each group stays."""
-    gone = staged(near_groups(docs).where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(id_of().alias("__gone")).distinct(), "gone")
-    return docs.join(sized_broadcast(gone), id_of() == F.col("__gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id, any one of those that tie.
+
+    Null doc_ids come last; null and empty texts are one component. All columns pass, whatever their names (but those
+    that begin with two underscores). An empty table gives an empty table.
+    """
+    at, names = docs.columns.index("text"), [*docs.columns, "__print"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array([fingerprint((t or "").encode()) for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names)
+
+    # written once with a number for each row, so that equal rows can be told apart
+    rows = staged(mapped(docs, run, StructType([*docs.schema.fields, StructField("__print", LongType())])).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = _groups(rows.select(id_of().alias("id"), F.col("__print").alias("print"))).select(F.col("print").alias("__print"), F.col("root").alias("__root"))
+    some, rest = parted(rows, "__print", groups.select("__print"), broadcast_rows)
+    some = some.join(sized_broadcast(groups, broadcast_rows), "__print", "left")
+    own = F.struct(id_of().alias("id"), F.col("__row").alias("row"))
+    first = staged(some.where("__root IS NOT NULL").groupBy("__root").agg(F.min(own).alias("b")).select(F.col("__root").alias("__of"), F.col("b.row").alias("__first")), "first")
+    kept = some.join(sized_broadcast(first, broadcast_rows), F.col("__root") == F.col("__of"), "left").where("__root IS NULL OR __row = __first")
+    return rest.select(docs.columns).unionByName(kept.select(docs.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, text_of
+from .common import mapped, text_of
 from .pretokens import Memo, pieces_of, spelled
 
 #: Pieces in the broadcast table, and those that a partition names for it.
@@ -105,7 +105,7 @@ _counting: dict[str, Counting] = {}
 
 def frequent_lengths(docs: DataFrame, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, lengths) of the most frequent pieces of all documents; two pieces of one hash are left out."""
-    named = docs.select(text_of().alias("text")).mapInArrow(_named, "piece string, n long")
+    named = mapped(docs.select(text_of().alias("text")), _named, "piece string, n long")
     top = [r[0] for r in named.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_PIECES).collect()]
     lengths = Counting(path).lengths_of(list(map(spelled, top))) if top else []
     by: dict[int, int] = {}
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     ``path``: a file of the tokenizers library (.json) or of sentencepiece (.model), on every worker.
     Equal rows stay apart, other columns are ignored.
     """
-    docs = for_texts(docs).select("doc_id", text_of().alias("text"))
+    docs = docs.select("doc_id", text_of().alias("text"))
     splits = Counting(path).splits
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path) if splits else None)
 
@@ -152,4 +152,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", rows=2_000)

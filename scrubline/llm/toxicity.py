@@ -5,9 +5,10 @@ A writer hides a word by look-alikes (1d10t), by spacing (i d i o t, i.d.i.o.t)
 for each reading, and the Viterbi path under a character trigram model gives the restored text.
 The model's counts come from all documents.
 
-Words of restored labelled texts, and their beginnings, get log odds between toxic and other texts,
-less two standard errors; those that are high and not by chance are the model. A text's evidence is its strongest
-word, and a logistic curve fitted to labelled texts turns it into a score.
+Words of restored labelled texts, and their beginnings, get log odds between toxic and other texts, drawn
+two standard errors towards zero; those that aren't by chance are the model. A text's evidence is the sum of
+its words' log odds, over the root of how many words it has (as chance makes sums grow), and its strongest
+word. A logistic curve fitted to labelled texts turns both into a score.
 """
 
 from __future__ import annotations
@@ -18,20 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, id_of, sized_broadcast, staged, text_of
+from .common import mapped, staged, text_of
 from .pretokens import Memo
 
-#: Labelled texts that the classifier is fitted on: all up to so many, else those with the least hash of the text.
+#: Labelled rows that the classifier is fitted on: all up to so many, else those with the least hash of their number.
 TRAINING_ROWS = 20_000
-#: Words and beginnings in the model, the strongest; the log odds that one must have, and the likelihood
-#: ratio statistic that sets it off from chance (a family of near copies gives its words some by itself).
-MODEL_FEATURES, LEAST_ODDS, LEAST_RATIO = 20_000, 2.5, 40.0
+#: A feature is in the model if its likelihood ratio statistic is over 2 ln(features tested) + MARGIN: of that many, chance
+#: alone brings e^(-MARGIN / 2) in. The margin is for families of near copies, which give all their words some.
+MARGIN = 10.0
+#: The log odds from which a word can be a text's strongest.
+STRONG = 2.5
 BEGINNINGS = (4, 5, 6)
-MEMO_PIECES = 100_000
+MEMO_PIECES = 60_000
 
 # What a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -82,7 +84,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """log P(letter | two before), SYMBOLS x SYMBOLS x SYMBOLS, from all texts (at most SYMBOLS**3 counts reach the driver)."""
-    rows = docs.select(text_of().alias("text")).mapInArrow(_count_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select(text_of().alias("text")), _count_trigrams, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SYMBOLS**3)
     for r in rows:
         counts[r["code"]] = r["n"]
@@ -151,6 +153,7 @@ class Restorer:
         return viterbi(bare, self.model) + piece[len(bare) :] if HIDDEN.search(bare) else piece
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """Spaced words with their places; one has four characters or more."""
         return [(m.start(), m.end(), viterbi(m.group(), self.model)) for m in SPACED.finditer(text)]
 
     def text(self, text: str) -> str:
@@ -160,15 +163,13 @@ class Restorer:
         return re.sub(r"\S+", lambda m: self.piece(m.group()), text)
 
 
-def features(words: str) -> set[int]:
-    """Hashes of a restored piece's words and of their beginnings."""
-    out = set()
-    for word in _WORD.findall(words.lower()):
-        out.add(xxhash.xxh64_intdigest(word + "$") >> 1)
-        for n in BEGINNINGS:
-            if len(word) >= n:
-                out.add(xxhash.xxh64_intdigest(word[:n]) >> 1)
-    return out
+def features(word: str) -> list[str]:
+    """A lower-cased word, marked by a $ behind it, and its beginnings."""
+    return [word + "$", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 def restored(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -179,7 +180,7 @@ def restored(docs: DataFrame, model: np.ndarray) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fix.text(t) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, text string")
+    return mapped(docs.select("doc_id", text_of().alias("text")), run, "doc_id long, text string")
 
 
 def _features_of(model: np.ndarray):
@@ -188,107 +189,127 @@ def _features_of(model: np.ndarray):
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pieces = set(text.split()) | {r for _, _, r in fix.spans(text)}
-                found = set().union(*(features(fix.piece(p)) for p in pieces)) if pieces else set()
-                yield pa.RecordBatch.from_pydict({"feature": pa.array(list(found), pa.int64()), "y": pa.array([y] * len(found), pa.int32())})
+                found = list({f for p in pieces for w in words_of(fix.piece(p)) for f in features(w)})
+                yield pa.RecordBatch.from_pydict({"feature": pa.array(found, pa.string()), "y": pa.array([y] * len(found), pa.int32())})
 
     return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(text, y) of labelled rows outside the held-out fifth; equal texts once (toxic if any is), by least hash of the text."""
-    told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    told = told.where("crc32(CAST(doc_id AS STRING)) % 5 <> 0")
-    pairs = docs.select("doc_id", text_of().alias("text")).join(sized_broadcast(told), "doc_id")
-    hashed = pairs.select("doc_id", "y", F.xxhash64("text", F.lit(1)).alias("h"))
-    keep = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).orderBy("h").limit(rows)
-    keep = staged(keep.select("doc_id", "y"), "trained")
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(keep), "doc_id").select("text", "y")
+    """(text, y) of at most ``rows`` labelled rows outside the held-out fifth; equal texts once, toxic if any is."""
+    told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
+    keep = staged(told.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "told")
+    pairs = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(keep), "doc_id")
+    return pairs.groupBy("text").agg(F.max("y").alias("y"))
 
 
 class Scorer:
-    """The strongest word of a text, from weights of features; remembers pieces."""
+    """The evidence of a text, from weights of features; remembers pieces."""
 
-    def __init__(self, model: np.ndarray, weights: dict[int, float]):
+    def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.fix, self.weights, self.memo = Restorer(model), weights, Memo(MEMO_PIECES)
 
-    def of_words(self, words: str) -> float:
-        return max((self.weights[f] for f in features(words) if f in self.weights), default=0.0)
-
-    def evidence(self, text: str) -> float:
+    def of_words(self, text: str) -> tuple[float, float]:
+        """(strongest, sum) over words of restored text; a word counts by the feature that is farthest from zero."""
+        get, top, total = self.weights.get, 0.0, 0.0
+        for word in words_of(text):
+            best = get(word + "$", 0.0)
+            for n in BEGINNINGS:
+                if len(word) >= n and abs(w := get(word[:n], 0.0)) > abs(best):
+                    best = w
+            total += best
+            top = max(top, best)
+        return (top if top >= STRONG else 0.0), total
+
+    def evidence(self, text: str) -> tuple[float, float]:
+        """(strongest word, sum over distinct pieces by the root of their number)."""
         pieces = set(text.split())
+        if not pieces:
+            return 0.0, 0.0
         for p in self.memo.wanted(pieces):
             self.memo[p] = self.of_words(self.fix.piece(p))
-        spaced = (self.of_words(r) for _, _, r in self.fix.spans(text))
-        return max((*map(self.memo.__getitem__, pieces), *spaced), default=0.0)
+        tops, sums = zip(*map(self.memo.__getitem__, pieces), strict=True)
+        top, total = max(tops), sum(sums)
+        for _, _, r in self.fix.spans(text):
+            t, s = self.of_words(r)
+            top, total = max(top, t), total + s
+        return top, total / math.sqrt(len(pieces))
 
 
-def _curve(points: list[tuple[float, int, float]]) -> tuple[float, float]:
-    """Intercept and slope of a logistic curve through (evidence, label, how many), with a little ridge."""
-    x, y, n = (np.array(c, dtype=float) for c in zip(*points, strict=True))
-    z = np.stack([np.ones_like(x), x], axis=1)
+def _curve(points: list[tuple[float, float, int, float]]) -> tuple[float, ...]:
+    """Intercept and slopes of a logistic curve through (strongest, sum, label, how many), with a little ridge."""
+    top, total, y, n = (np.array(c, dtype=float) for c in zip(*points, strict=True))
+    z = np.stack([np.ones_like(top), top, total], axis=1)
 
     def loss(beta: np.ndarray) -> float:
         m = z @ beta
         return float((n * (np.logaddexp(0, m) - y * m)).sum() + 0.05 * (beta**2).sum())
 
-    beta = np.zeros(2)
+    beta = np.zeros(3)
     for _ in range(100):
         p = 1 / (1 + np.exp(-(z @ beta)))
         slope = z.T @ (n * (y - p)) - 0.1 * beta
-        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), slope)
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(3), slope)
         while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
             step = step / 2
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return tuple(map(float, beta))
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, float], tuple[float, float]]:
+def probability(evidence: tuple[float, float], curve: tuple[float, ...]) -> float:
+    at = curve[0] + curve[1] * evidence[0] + curve[2] * evidence[1]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, at))))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], tuple[float, ...]]:
     """The character model, the features' weights, and the curve. Without both labels among the rows, no feature has weight."""
-    model = character_model(for_texts(docs))
+    model = character_model(docs)
     train = staged(training_rows(docs, labels), "training").repartition(32)
     sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     ill, fine = sizes.get(1, 0), sizes.get(0, 0)
     if not ill or not fine:
-        return model, {}, (math.log((ill + 0.5) / (fine + 0.5)) if ill + fine else -2.0, 1.0)
-    by = train.mapInArrow(_features_of(model), "feature long, y int").groupBy("feature").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n"))
+        return model, {}, (math.log((ill + 0.5) / (fine + 0.5)) if ill + fine else -2.0, 0.0, 0.0)
+    by = mapped(train, _features_of(model), "feature string, y int").groupBy("feature").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("n"))
+    by = staged(by, "features")
     odds = F.log((F.col("t") + 0.5) / (ill + 1)) - F.log((F.col("n") + 0.5) / (fine + 1))
-    weight = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
+    error = 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
+    weight = F.signum(odds) * F.greatest(F.abs(odds) - error, F.lit(0.0))
     # 2 sum O ln(O/E) over the two classes of texts with the feature
-    share = ill / (ill + fine)
-    seen = F.col("t") + F.col("n")
-    ratio = 2 * (F.col("t") * F.log(F.col("t") / (seen * share)) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (seen * (1 - share)))).otherwise(0.0))
-    strong = by.where("t >= 5").where(odds >= LEAST_ODDS).where(ratio >= LEAST_RATIO).select("feature", weight.alias("w")).orderBy(F.desc("w"), "feature").limit(MODEL_FEATURES)
+    share, seen = ill / (ill + fine), F.col("t") + F.col("n")
+    part = lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (seen * s))).otherwise(0.0)
+    least = 2 * math.log(max(1, by.count())) + MARGIN
+    strong = by.where(2 * (part("t", share) + part("n", 1 - share)) >= least).select("feature", weight.alias("w")).where("w <> 0")
     weights = {r["feature"]: r["w"] for r in strong.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model, weights)
         for batch in batches:
-            found = [round(score.evidence(t), 1) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["x", "y"])
+            found = [[round(x, 1) for x in score.evidence(t)] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), batch.column(1)], ["top", "total", "y"])
 
-    points = train.mapInArrow(run, "x double, y int").groupBy("x", "y").count().collect()
-    return model, weights, _curve([(r["x"], r["y"], r["count"]) for r in points])
+    points = mapped(train, run, "top double, total double, y int").groupBy("top", "total", "y").count().collect()
+    return model, weights, _curve([(r["top"], r["total"], r["y"], r["count"]) for r in points])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
     Null and empty texts get the score of no evidence. ``labels`` (doc_id, toxic) teaches with rows whose
-    crc32(doc_id as text) mod 5 is not 0; null labels teach nothing, of several for one doc_id the largest
-    counts. held_out of a null doc_id is false. Other columns are ignored.
+    crc32(doc_id as text) mod 5 is not 0, TRAINING_ROWS of them at most; null labels teach nothing, of several
+    for one doc_id the largest counts. held_out of a null doc_id is false. Equal rows stay apart, rows with null or
+    repeated doc_ids too; other columns are ignored; an empty table gives an empty table.
     """
-    model, weights, (intercept, slope) = fitted(docs, labels)
+    model, weights, curve = fitted(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model, weights)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                found = [1 / (1 + math.exp(-max(-30.0, min(30.0, intercept + slope * score.evidence(t))))) for t in batch.column(1)[k : k + 1024].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1024], pa.array(found, pa.float64())], ["doc_id", "score"])
+            found = [probability(score.evidence(t), curve) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = mapped(docs.select("doc_id", text_of().alias("text")), run, "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0"), F.lit(False)).alias("held_out"),
@@ -298,6 +319,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that toxicity() rejects."""
-    gone = staged(toxicity(docs, labels).where("predicted = 1").select(id_of().alias("__gone")).distinct(), "toxic")
-    return docs.join(sized_broadcast(gone), id_of() == F.col("__gone"), "left_anti")
+    """docs without the rows whose text scores 0.5 or more, in one pass and with all their columns.
+
+    Each row is judged by its own text: null and repeated doc_ids, equal rows and columns of any name don't matter.
+    Null and empty texts score as without evidence; an empty table gives an empty table.
+    """
+    model, weights, curve = fitted(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model, weights)
+        for batch in batches:
+            yield batch.filter(pa.array([probability(score.evidence(t or ""), curve) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)

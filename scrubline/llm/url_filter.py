@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, staged
+from .common import mapped, sized_broadcast, staged
 
 #: (rule, verdict): a host suffix, then the beginning of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -96,7 +96,7 @@ def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
     lengths = F.expr(f"explode(sequence(1, least({LONGEST_WORD}, length(run) - start + 1)))").alias("length")
     cut = runs.select("run", starts).select("run", "start", lengths).withColumn("word", F.expr("substring(run, start, length)"))
     known = cut.join(words, "word").groupBy("run").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "n")).alias("found"))
-    return runs.join(known, "run", "left").select("run", "found", F.lit(total).cast("double").alias("total")).mapInArrow(_split, "run string, words array<string>")
+    return mapped(runs.join(known, "run", "left").select("run", "found", F.lit(total).cast("double").alias("total")), _split, "run string, words array<string>")
 
 
 def judged(pages: DataFrame, rules=RULES, training: dict[str, str] = TRAINING) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from scrubline.llm import byte_bpe, decontaminate, exact_dedup, html_text, passages, pii, simhash, token_counts, toxicity, url_filter
-from scrubline.llm.common import components
+from scrubline.llm.common import components, parted, staged
 from scrubline.llm.pretokens import cutter
 
 SCHEMA = "doc_id long, text string, block long, n long, squeezed string, seed string, owner string, id string"
@@ -22,6 +22,28 @@ def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
+CLASHES = "doc_id long, text string, kept string, keep_id string, group_size string, text_sha256 string, fingerprint string, component_id string, print long, score string"
+
+
+def plain_stages(rows, toxic=()):
+    """For each dropping stage, rows (doc_id, text) -> how often each (doc_id, text) must be there after it; None for the id stands last."""
+    order = lambda r: (1 << 63 if r[0] is None else r[0])
+    out = {"drop_toxic": collections.Counter(r for r in rows if not set((r[1] or "").split()) & set(toxic))}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[re.sub(r"[\x20\x09-\x0D]+", "", r[1] or "")].append(r)
+    out["drop_copies"] = collections.Counter(min(g, key=lambda r: (-len(r[1] or ""), order(r))) for g in by.values())
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, p in enumerate(prints):
+            for j, q in enumerate(prints):
+                if (p ^ q).bit_count() <= 2:
+                    group[i] = group[j] = min(group[i], group[j])
+    out["drop_near_copies"] = collections.Counter(min((r for r, g in zip(rows, group, strict=True) if g == k), key=order)[0] for k in set(group))
+    return out
+
+
 def odd_rows():
     """Documents with every oddity: null and empty texts, a null id, a repeated row, ties, a very long text, odd characters."""
     rng = random.Random(7)
@@ -61,15 +83,33 @@ def test_exact_groups(odd):
     want = collections.Counter()
     for t, rows in by.items():
         keep = min(rows)[1]
-        for _, i in rows:
-            want[None if i == 1 << 63 else i, None if keep == 1 << 63 else keep, len(rows), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+        for k, (_, i) in enumerate(sorted(rows)):
+            want[None if i == 1 << 63 else i, None if keep == 1 << 63 else keep, len(rows), k == 0, hashlib.sha256(t.encode()).hexdigest()] += 1
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
 
 
 def test_colliding_fingerprints_are_told_apart(odd, spark):
-    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(100)], "doc_id long, text string").withColumn("squeezed", exact_dedup.squeezed())
-    assert exact_dedup.suspects(docs, bits=2).count() == 100
-    assert exact_dedup.suspects(docs, owners=3, block_rows=7).count() == 100
+    prints = staged(spark.range(100).selectExpr("xxhash64(id % 40) & 3 AS print"), "prints")
+    assert exact_dedup.suspects(prints, bits=2).count() == 4
+    prints = staged(spark.range(100).selectExpr("xxhash64(id % 60) & 4503599627370495 AS print"), "prints")
+    assert exact_dedup.suspects(prints, owners=3, block_rows=7).count() == 40
+
+
+def test_more_suspects_than_are_broadcast(odd):
+    def rows(df):
+        return collections.Counter(map(str, df.collect()))
+
+    assert rows(exact_dedup.exact_groups(odd, 1).select("doc_id", "group_size", "text_sha256")) == rows(exact_dedup.exact_groups(odd).select("doc_id", "group_size", "text_sha256"))
+    assert rows(exact_dedup.drop_copies(odd, 1).select("text")) == rows(exact_dedup.drop_copies(odd).select("text"))
+    assert simhash.drop_near_copies(odd, 1).count() == simhash.drop_near_copies(odd).count()
+
+
+def test_filter_by_keys_holds_all_of_them(spark):
+    keys = staged(spark.range(0, 5000, 5).select(F.xxhash64("id").alias("k")), "keys")
+    df = spark.range(5000).select("id", F.xxhash64("id").alias("k"))
+    some, rest = parted(df, "k", keys, limit=10)
+    ids = {r.id for r in some.collect()}
+    assert ids >= set(range(0, 5000, 5)) and len(ids) < 1200 and ids.isdisjoint(r.id for r in rest.collect()) and rest.count() == 5000 - len(ids)
 
 
 # --- simhash ----------------------------------------------------------------------------------
@@ -135,6 +175,27 @@ def test_contaminated(spark, odd, empty):
     assert decontaminate.contaminated(odd, items).count() == 0
 
 
+def test_stages_keep_just_the_right_rows(spark, toxic_world):
+    _, taught, labels = toxic_world
+    rng = random.Random(41)
+    bad, item = "a nitwit and a nitwit", words(rng, 40)
+    rows = [r[:2] for r in odd_rows()] + [(None, bad), (None, "quite alone here"), (5, "another text of five"), (5, bad), (20, "clean row"), (None, item), (None, "other clean row"), (21, "x " + item), (21, "of the same id"), (22, item[:100]), (None, " ".join(item.split()[:14])), (None, " ".join(item.split()[13:27]))]
+    docs = spark.createDataFrame([(*r, "k", "i", "g", "s", "f", "c", 1, "o") for r in rows], CLASHES).repartition(3)
+    want = plain_stages(rows, {"nitwit"})
+    both = taught.select("doc_id", "text", *[F.lit(None).alias(c) for c in docs.columns[2:]])
+    told = toxicity.drop_toxic(docs.unionByName(both.withColumn("doc_id", F.col("doc_id") + 1000)), labels.withColumn("doc_id", F.col("doc_id") + 1000)).where("kept IS NOT NULL")
+    got = {"drop_toxic": told, "drop_copies": exact_dedup.drop_copies(docs), "drop_near_copies": simhash.drop_near_copies(docs)}
+    for name, df in got.items():
+        assert df.columns == docs.columns
+        found = df.collect()
+        assert all(tuple(r)[2:] == ("k", "i", "g", "s", "f", "c", 1, "o") for r in found)
+        assert collections.Counter(r.doc_id if name == "drop_near_copies" else (r.doc_id, r.text) for r in found) == want[name], name
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = collections.Counter((r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, items).collect())
+    assert clean == collections.Counter(r for r in rows if item not in (r[1] or ""))
+    assert collections.Counter(r.doc_id for r in decontaminate.contaminated(docs, items).collect()) == {None: 1, 21: 1}
+
+
 # --- tokens -----------------------------------------------------------------------------------
 
 PIECES = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", " ", " ", "a", "the", "Word", "é", "ß", "ª", "1", "42", "²", "¼", "Ⅷ", "中文", "😀", "'s", "'LL", ".", "!!", "<|endoftext|>", "​", "\x00", "ि"]
