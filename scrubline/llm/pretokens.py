@@ -40,12 +40,10 @@ class Memo(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        new = set()
-        for k in set(keys).difference(self):
-            if k in self.old:
-                self[k] = self.old[k]
-            else:
-                new.add(k)
+        new = {k for k in set(keys) if k not in self}
+        for k in new & self.old.keys():
+            self[k] = self.old[k]
+            new.remove(k)
         return new
 
 

@@ -33,7 +33,7 @@ MARGIN = 10.0
 #: The log odds from which a word can be a text's strongest.
 STRONG = 2.5
 BEGINNINGS = (4, 5, 6)
-MEMO_PIECES = 60_000
+MEMO_PIECES = 200_000
 
 # What a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -203,16 +203,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     return pairs.groupBy("text").agg(F.max("y").alias("y"))
 
 
+#: The evidence of most words, made once.
+NOTHING = (0.0, 0.0)
+
+
 class Scorer:
     """The evidence of a text, from weights of features; remembers pieces."""
 
     def __init__(self, model: np.ndarray, weights: dict[str, float]):
         self.fix, self.weights, self.memo = Restorer(model), weights, Memo(MEMO_PIECES)
+        self.starts = {f.removesuffix("$")[: BEGINNINGS[0]] for f in weights}
 
     def of_words(self, text: str) -> tuple[float, float]:
         """(strongest, sum) over words of restored text; a word counts by the feature that is farthest from zero."""
+        words = [w for w in words_of(text) if w[: BEGINNINGS[0]] in self.starts]
+        if not words:
+            return NOTHING
         get, top, total = self.weights.get, 0.0, 0.0
-        for word in words_of(text):
+        for word in words:
             best = get(word + "$", 0.0)
             for n in BEGINNINGS:
                 if len(word) >= n and abs(w := get(word[:n], 0.0)) > abs(best):
@@ -225,7 +233,7 @@ class Scorer:
         """(strongest word, sum over distinct pieces by the root of their number)."""
         pieces = set(text.split())
         if not pieces:
-            return 0.0, 0.0
+            return NOTHING
         for p in self.memo.wanted(pieces):
             self.memo[p] = self.of_words(self.fix.piece(p))
         tops, sums = zip(*map(self.memo.__getitem__, pieces), strict=True)
