@@ -29,13 +29,13 @@ from .pretokens import Memo, cutter
 
 #: Bytes from which words are contracted at all places of a rank in one round.
 LONG_WORD = 64
-#: Entries of a worker's cache, about 250 bytes each, twice; older ones go.
-MEMO_WORDS = 120_000
+#: Entries of a worker's cache, about 250 bytes each, twice that many at most; older ones go.
+MEMO_WORDS = 80_000
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4_000_000
-#: Words of one recursive query, and their bytes, which bound its memory.
-QUERY_WORDS, QUERY_BYTES = 20_000, 400_000
-DUCKDB_MEMORY = "192MB"
+SLICE_BYTES = 1_500_000
+#: Words of one recursive query, and their bytes, which bound its memory (in MB; a single longer word gets more).
+QUERY_WORDS, QUERY_BYTES = 10_000, 150_000
+DUCKDB_MEMORY = 64
 
 #: Rows of pairs (word, a, b, pos) of what a round has.
 _PAIRS = "SELECT word, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, generate_subscripts(tokens[2:], 1) AS pos FROM step"
@@ -85,15 +85,15 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         import duckdb
 
-        self.ranks = read_ranks(path)
+        ranks = read_ranks(path)
         self.cut = cutter(pattern)
         self.memo = Memo(MEMO_WORDS)
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
-        pairs = [(self.ranks[b[:i]], self.ranks[b[i:]], r) for b, r in self.ranks.items() for i in range(1, len(b)) if b[:i] in self.ranks and b[i:] in self.ranks]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{DUCKDB_MEMORY}MB", "temp_directory": ""})
+        pairs = [(ranks[b[:i]], ranks[b[i:]], r) for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks]
+        vocabulary = pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "hex": [b.hex() for b in ranks]})
         hasty = {x for a, b, r in pairs for x in (a, b) if r < x}  # tokens in a pair that comes before they do
         merges = pa.table([*(pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)), pa.array([r not in hasty for _, _, r in pairs])], ["a", "b", "merged", "calm"])
-        vocabulary = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [b.hex() for b in self.ranks]})
         for name, t in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", t)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -109,6 +109,8 @@ class Coder:
             while hi < len(order) and hi - lo < QUERY_WORDS and (hi == lo or held + len(words[order[hi]]) <= QUERY_BYTES) and (query is LONG or len(words[order[hi]]) <= LONG_WORD):
                 held += len(words[order[hi]])
                 hi += 1
+            if held > QUERY_BYTES:
+                self.db.execute(f"SET memory_limit = '{DUCKDB_MEMORY + held // 2000}MB'")
             part = [words[i] for i in order[lo:hi]]
             ends = np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.single[np.frombuffer(b"".join(part), dtype=np.uint8)]))

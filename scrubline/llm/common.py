@@ -6,9 +6,9 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from ..ship import ship
 BROADCAST_ROWS = 500_000
 #: Bits of a Bloom filter for each key, its most bits (32 MB), and bits set by a key.
 BLOOM_BITS, BLOOM_MOST, BLOOM_HASHES = 12, 1 << 28, 3
+#: Rows are whole texts, so while a step is written fewer of them are held at once than by default.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000}
 #: Rows of a Parquet row group hold so many bytes at most, so that a writer holds little of the heap.
 ROW_GROUP = 16 << 20
 
@@ -72,6 +74,20 @@ def _removed(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside it readers and Arrow hold at most BATCHES rows at once; then the session is as it was."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    try:
+        for name, rows in BATCHES.items():
+            if not 0 < int(before[name]) <= rows:
+                spark.conf.set(name, str(rows))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
 
@@ -82,7 +98,8 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(4, rows // 100_000))
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    with small_batches(spark):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -134,14 +151,30 @@ def parted(df: DataFrame, key: str, keys: DataFrame, limit: int = BROADCAST_ROWS
     ship(df.sparkSession)
     sent, bits = df.sparkSession.sparkContext.broadcast(table), len(table) * 8
 
-    @F.pandas_udf(BooleanType())
-    def may(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(np.logical_and.reduce([(sent.value[x.to_numpy() >> 3] >> (x.to_numpy() & 7)) & 1 for x in (a, b, c)]).astype(bool))
+    @F.arrow_udf(BooleanType())
+    def may(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        hit = [(sent.value[x >> 3] >> (x & 7)) & 1 for x in (a.to_numpy(), b.to_numpy(), c.to_numpy())]
+        return pa.array(np.logical_and.reduce(hit).astype(bool))
 
     held = may(*_positions(key, bits))
     return df.where(held), df.where(~held)
 
 
+def without(df: DataFrame, gone: DataFrame, limit: int = BROADCAST_ROWS, **keys: Column) -> DataFrame:
+    """df less the rows whose keys are in ``gone`` (staged, its columns are named as ``keys``, its first one is a long).
+
+    Beyond a broadcast only rows that may have the first key are shuffled.
+    """
+    columns, first = df.columns, next(iter(keys))
+    named = df.withColumns({f"__key_{k}": c for k, c in keys.items()})
+    gone = gone.select([F.col(k).alias(f"__key_{k}") for k in keys])
+    on = [f"__key_{k}" for k in keys]
+    if small(gone, limit):
+        return named.join(F.broadcast(gone), on, "left_anti").select(columns)
+    some, rest = parted(named, f"__key_{first}", gone.select(f"__key_{first}").distinct(), limit)
+    return rest.select(columns).unionByName(some.join(gone, on, "left_anti").select(columns))
+
+
 def text_of(col: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -1,15 +1,17 @@
 """Personal data by weak supervision: labelers vote on candidate spans, and a classifier decides.
 
-Base spans are what the fixed patterns and their checks give; they always stay. Wider patterns give
-further candidates (addresses with [at], numbers without a plus, groups with dots, IPv6). Five
-labelers vote on every candidate, base ones too: the strict pattern, the check (Luhn, ranges,
-digits), a gazetteer of beginnings and endings, words before that speak for it, and words that
-speak against it. Expectation-maximisation over the counted vote patterns estimates each labeler's
-reliability without any labels; the posteriors train a naive Bayes classifier over the candidates'
-shape and context, which decides on what isn't base.
-
-All steps are DataFrame functions; positions come from the pieces between matches. What reaches the
-driver are counts of vote patterns and feature values, whose number the code below bounds.
+Base spans are what the fixed patterns and their checks give; they always stay. Candidates are far
+wider: whatever has an at (@, [at], (at)), every dotted or coloned group, every run of digits however
+grouped, base matches that failed their check among them. Seven labelers vote on every candidate, base
+ones too: the base pattern, the usual shape, the check (Luhn, ranges, digits), a gazetteer of endings
+and beginnings, what stands next to it, words before it that speak for it, and words that speak against it.
+Expectation-maximisation over the counted vote patterns estimates each labeler's reliability without any
+labels; the posteriors train a naive Bayes classifier over the candidates' shape and context, which decides
+on what isn't base.
+
+All steps are DataFrame functions. Matches become rows, and a window over a text's rows sums the
+lengths of what is before them; their number bounds the work. What reaches the driver are counts of
+vote patterns and feature values, whose number the code below bounds.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, text_of
@@ -40,71 +42,101 @@ VALID = {
     "card": "length(translate({m}, ' -', '')) BETWEEN 14 AND 19 AND luhn_check(translate({m}, ' -', ''))",
     "phone": "length(translate({m}, '+ ().-', '')) BETWEEN 10 AND 15",
 }
+# Candidates: patterns with their hints. A run of digits is a card from 12 digits on, else a phone.
 WIDER = {
-    "email": r"(?i)[a-z0-9._%+-]{1,64}+ ?+(?:\[at\]|\(at\)|\{at\}) ?+[a-z0-9-]++(?: ?+(?:\[dot\]|\(dot\)|\{dot\}|\.) ?+[a-z0-9-]++){1,8}",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.+=-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "email": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++\s?+(?:@|[\[({]\s?+at\s?+[\])}])\s?+[a-z0-9-]++(?:\s?+(?:\.|[\[({]\s?+dot\s?+[\])}])\s?+[a-z0-9-]++)*+",
+    "ip": r"(?<![0-9A-Za-z.:])(?:[0-9]++(?:\.[0-9]++){2,}+|[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{0,4}+){3,}+)",
+    "digits": r"(?:\+|\()?+[0-9](?:[ ._/()-]{0,2}+[0-9])++",
 }
-WIDER_HINT = {"email": "t RLIKE '(?i)[\\\\[({]at[\\\\])}]'", "ip": "t RLIKE ':[0-9A-Fa-f]+:'", "card": "t RLIKE '[0-9]{4}[._/][0-9]{4}'", "phone": "t RLIKE '[0-9]{3}[ .-][0-9]{4}'"}
-# Gazetteers: endings of addresses, private and special networks, issuers' beginnings, area codes.
+WIDER_HINT = {"email": r"t RLIKE '(?i)@|[\\[({]\\s?at\\s?[\\])}]'", "ip": r"t RLIKE '[0-9]\\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]'", "digits": "t RLIKE '[0-9]'"}
+CARD_DIGITS = 12
+
+# What the labelers go by: SQL over m (the match, lower-cased) and d (its digits).
+SHAPE = {
+    "email": r"m RLIKE '^[a-z0-9._%+-]++(@|\\s?[\\[({]\\s?at\\s?[\\])}]\\s?)[a-z0-9-]++' AND m RLIKE '[^a-z0-9-][a-z]{2,}$'",
+    "ip": r"m RLIKE '^[0-9]{1,3}(\\.[0-9]{1,3}){3}$|^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$|^[0-9a-f:]*::[0-9a-f:]*$'",
+    "card": r"m RLIKE '^[0-9]{13,16}$|^[0-9]{4}([ ._/-])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}$|^[0-9]{4}([ ._/-])[0-9]{6}\\2[0-9]{5}$'",
+    "phone": r"m RLIKE '^\\+[0-9][0-9 ().-]+$|^\\(?[0-9]{3}(\\) ?|[ ./-])[0-9]{3}[ ./-][0-9]{4}$'",
+}
+CHECK = {
+    "email": r"m RLIKE '[@\\])}]\\s?[a-z0-9-]+\\s?(\\.|[\\[({])'",
+    "ip": r"instr(m, ':') > 0 OR forall(split(m, '\\.'), x -> length(ltrim('0', x)) <= 3 AND int(concat('0', ltrim('0', x))) <= 255)",
+    "card": "length(d) BETWEEN 13 AND 19 AND luhn_check(d)",
+    "phone": "length(d) BETWEEN 10 AND 15",
+}
+# Gazetteers: top-level domains and countries' codes in use most, first octets of networks that aren't reserved, issuers' beginnings.
 GAZETTEER = {
-    "email": r"{m} RLIKE '(?i)(com|org|net|edu|gov|io|de|fr|es|uk|info)$'",
-    "ip": r"NOT {m} RLIKE '^(0|127|255|1\\.0\\.0)'",
-    "card": "{m} RLIKE '^(4|5[1-5]|3[47]|6011|65|35|2[2-7])'",
-    "phone": r"{m} RLIKE '^(\\+|\\(?[2-9][0-9]{{2}})'",
+    "email": "m RLIKE '[^a-z](com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|eu|us|uk|ca|au|nz|ie|de|at|ch|fr|be|nl|lu|es|pt|it|gr|pl|cz|sk|hu|ro|bg|se|no|dk|fi|is|ee|lv|lt|ru|ua|tr|il|in|cn|jp|kr|tw|hk|sg|th|vn|id|ph|my|za|ng|ke|eg|ma|br|mx|ar|cl|co|pe)$'",
+    "ip": r"m RLIKE '^(?!10\\.|127\\.)([1-9][0-9]?|1[0-9][0-9]|2[01][0-9]|22[0-3])\\.|^(2[0-9a-f]{3}|3[0-9a-f]{3}|f[cde][0-9a-f]{2}):'",
+    "card": "d RLIKE '^(4|5[1-5]|2[2-7]|3[0-9]|50|5[6-9]|6|8|9)'",
+    "phone": r"m RLIKE '^(\\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\\(?[2-9][0-9]{2}[) ./-])'",
 }
-FOR = {"email": "e?mail|contact|write|adresse|correo|courriel", "ip": "ip|host|server|address|from|login", "card": "card|visa|credit|carte|karte|tarjeta|amex|mastercard|payment", "phone": "phone|tel|call|fax|mobile|cell|dial|telefon|téléfono|whatsapp"}
-AGAINST = "version|release|isbn|issn|section|invoice|order|id|no|ref|serial|build|chapter|license|token|password"
-LABELERS = 5
-
-
-def _spans(kind: str, pattern: str, hint: str) -> str:
-    """SQL of array<struct<start,end,k,m,before>>: all matches of a pattern in column t, by position."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    zipped = f"zip_with(split(t, '{quoted}', -1), regexp_extract_all(t, '{quoted}', 0), (p, m) -> named_struct('p', length(p), 'm', m, 'before', lower(right(p, 40))))"
-    span = f"named_struct('start', a.at + x.p, 'end', a.at + x.p + length(x.m), 'k', {KINDS.index(kind)}, 'm', x.m, 'before', x.before)"
-    empty = "CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, k: INT, m: STRING, before: STRING>>)"
-    folded = f"aggregate({zipped}, named_struct('at', 0, 'out', {empty}), (a, x) -> named_struct('at', a.at + x.p + coalesce(length(x.m), 0), 'out', IF(x.m IS NULL, a.out, concat(a.out, array({span})))), a -> a.out)"
-    return f"CASE WHEN {hint} THEN {folded} ELSE {empty} END"
-
-
-def _valid(kind: str) -> str:
-    return f"filter({_spans(kind, BASE[kind], HINT[kind])}, s -> {VALID[kind].format(m='s.m')})"
+FOR = {
+    "email": "e-?mails?|contacts?|write|mail ?to|reply|adresse|courriel|correo|kontakt|contacto|schreiben|escriba|écrire",
+    "ip": "ips?|hosts?|servers?|address|from|login|clients?|peer|remote|addr|adresse|serveur|servidor|dirección|anmeldung|connexion",
+    "card": "cards?|visa|credit|debit|amex|mastercard|payments?|paid|billing|carte|karte|kreditkarte|tarjeta|paiement|zahlung|pago",
+    "phone": "phones?|tel|telephone|call|fax|mobile|cell|dial|ring|sms|whatsapp|telefon|téléphone|teléfono|handy|portable|móvil|anrufen|appelez|llame",
+}
+AGAINST = "versions?|v|release|licen[sc]e|isbn|issn|doi|sections?|chapters?|figures?|tables?|pages?|invoice|orders?|ids?|nos?|numbers?|refs?|serial|builds?|tokens?|passwords?|secrets?|keys?|hash|sha|md5|kapitel|chapitre|página|seite|versión"
+LABELERS = 7
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, more): arrays of spans by start, then kind; wider spans don't touch base ones.
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of body, in which name stands for value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    Texts are read once: what the patterns match is staged, and all that follows reads that.
-    """
-    texts = docs.select("doc_id", text_of().alias("t"))
-    raw = {f"b{i}": F.expr(_valid(k)) for i, k in enumerate(KINDS)} | {f"w{i}": F.expr(_spans(k, WIDER[k], WIDER_HINT[k])) for i, k in enumerate(KINDS)}
-    raw = staged(texts.select("doc_id", *[c.alias(n) for n, c in raw.items()]), "matches")
-    base, wide = (F.expr("array_sort(concat(" + ", ".join(f"{x}{i}" for i in range(len(KINDS))) + "))") for x in "bw")
-    both = staged(raw.select("doc_id", base.alias("base"), wide.alias("wide")), "spans")
-    return both.select("doc_id", "base", F.expr("filter(wide, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end))").alias("more"))
 
+def _matches(number: int, pattern: str, hint: str) -> str:
+    """SQL of array<struct<j, i, gap, m, before, after>>: all matches of a pattern in column t, with the length of what is before each."""
+    quoted = _quoted(pattern)
+    one = f"named_struct('j', {number}, 'i', i, 'gap', length(x.p[i]), 'm', m, 'before', lower(substring_index(x.p[i], ' ', -4)), 'after', left(x.p[i + 1], 1))"
+    found = _bound(f"named_struct('p', split(t, {quoted}, -1), 'm', regexp_extract_all(t, {quoted}, 0))", "x", f"transform(x.m, (m, i) -> {one})")
+    return f"CASE WHEN {hint} THEN {found} ELSE CAST(array() AS ARRAY<STRUCT<j: INT, i: INT, gap: INT, m: STRING, before: STRING, after: STRING>>) END"
 
-def _by_kind(s: str, sql: dict[str, str]) -> str:
-    return "CASE " + f"{s}.k " + " ".join(f"WHEN {i} THEN {sql[k]}" for i, k in enumerate(KINDS)) + " END"
 
+def _by_kind(sql: dict[str, str]) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {sql[k]}" for i, k in enumerate(KINDS)) + " END"
 
-def votes(s: str, base: str) -> str:
-    """SQL of a string of LABELERS characters: + for, - against, 0 no opinion. ``base``: SQL, is the span a base one."""
-    gazetteer = _by_kind(s, {k: v.format(m=f"{s}.m") for k, v in GAZETTEER.items()})
-    speaks = _by_kind(s, {k: f"{s}.before RLIKE '\\\\b({w})\\\\W*$|\\\\b({w})\\\\b'" for k, w in FOR.items()})
-    check = _by_kind(s, {"email": "true", "ip": base, "card": f"luhn_check(translate({s}.m, ' -._/', ''))", "phone": f"length(translate({s}.m, '+ ().-', '')) BETWEEN 10 AND 15"})
-    return f"concat(IF({base}, '+', '0'), IF({check}, '+', '-'), IF({gazetteer}, '+', '-'), IF({speaks}, '+', '0'), IF({s}.before RLIKE '\\\\b({AGAINST})\\\\W*$', '-', '0'))"
 
+def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id) of every row, and the candidates (row, start, end, k, text, before, after, base), k the number of the kind.
 
-def features(s: str) -> str:
-    """SQL of an array of name=value: digits, separators, what stands before."""
-    digits = f"least(length(regexp_replace({s}.m, '[^0-9]', '')), 20)"
-    separators = f"concat_ws('', array_sort(array_distinct(split(regexp_replace({s}.m, '[0-9A-Za-z]', ''), ''))))"
-    side = f"CASE WHEN {s}.before = '' THEN 'none' WHEN {s}.before RLIKE '[0-9]$' THEN 'digit' WHEN {s}.before RLIKE '\\\\p{{L}}$' THEN 'letter' WHEN {s}.before RLIKE '\\\\s$' THEN 'space' ELSE 'mark' END"
-    speaks = _by_kind(s, {k: f"{s}.before RLIKE '\\\\b({w})\\\\b'" for k, w in FOR.items()})
-    return f"array(concat('digits=', {digits}), concat('separators=', left({separators}, 8)), concat('side=', {side}), concat('for=', {speaks}), concat('against=', {s}.before RLIKE '\\\\b({AGAINST})\\\\W*$'))"
+    Texts are read once: what the patterns match is staged, and all that follows reads that. Candidates that
+    touch a base span are left out.
+    """
+    patterns = [(BASE[k], HINT[k]) for k in KINDS] + [(WIDER[k], WIDER_HINT[k]) for k in WIDER]
+    lists = ", ".join(_matches(j, p, h) for j, (p, h) in enumerate(patterns))
+    texts = docs.select("doc_id", text_of().alias("t"))
+    rows = staged(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.expr(f"flatten(array({lists}))").alias("matches")), "matches")
+    each = rows.where("size(matches) > 0").select("row", F.inline("matches")).repartition("row")
+    upto = Window.partitionBy("row", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("m")).over(upto).cast("int")
+    spans = each.select("row", "j", "m", "before", "after", end.alias("end")).withColumns({"start": F.col("end") - F.length("m"), "base": F.col("j") < len(KINDS)})
+    digits = F.length(F.regexp_replace("m", "[^0-9]", ""))
+    run = F.when((digits < CARD_DIGITS) | F.startswith("m", F.lit("+")), KINDS.index("phone")).otherwise(KINDS.index("card"))
+    kind = F.when(F.col("j") < len(KINDS) + 2, F.col("j") % len(KINDS)).otherwise(run)
+    spans = spans.withColumn("k", kind.cast("int")).where("NOT base OR " + _by_kind({k: VALID[k].format(m="m") for k in KINDS}))
+    before = Window.partitionBy("row").orderBy("start", F.desc("base")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), "base").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(before), F.lit(0))
+    right = F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(behind), F.col("end"))
+    spans = spans.withColumn("alone", F.col("base") | ((left <= F.col("start")) & (right >= F.col("end")))).where("alone")
+    return rows.select("row", "doc_id"), staged(spans.select("row", "start", "end", "k", F.col("m").alias("text"), "before", "after", "base"), "spans")
+
+
+def voted(spans: DataFrame) -> DataFrame:
+    """spans with v, a string of LABELERS characters (+ for, - against, 0 no opinion), and f, an array of name=value."""
+    s = spans.withColumns({"m": F.lower("text"), "d": F.regexp_replace("text", "[^0-9]", "")})
+    said = _by_kind({k: f"before RLIKE '\\\\b({w})\\\\b'" for k, w in FOR.items()})
+    against = f"before RLIKE '\\\\b({AGAINST})\\\\b'"
+    beside = r"""(before RLIKE '[\\p{L}0-9"=_#/]$' OR after RLIKE '[\\p{L}0-9"_/]')"""
+    signs = [f"IF({_by_kind(x)}, '+', '-')" for x in (SHAPE, CHECK, GAZETTEER)]
+    votes = f"concat(IF(base, '+', '0'), {', '.join(signs)}, IF({beside}, '-', '+'), IF({said}, '+', '0'), IF({against}, '-', '0'))"
+    separators = "concat_ws('', array_sort(array_distinct(split(regexp_replace(m, '[0-9a-z]', ''), ''))))"
+    groups = "least(size(regexp_extract_all(m, '[0-9]+', 0)), 9)"
+    side = r"CASE WHEN before = '' THEN 'none' WHEN before RLIKE '[0-9]$' THEN 'digit' WHEN before RLIKE '\\p{L}$' THEN 'letter' WHEN before RLIKE '\\s$' THEN 'space' ELSE 'mark' END"
+    features = f"array(concat('digits=', least(length(d), 20)), concat('separators=', {separators}), concat('groups=', {groups}), concat('side=', {side}), concat('beside=', {beside}), concat('for=', {said}), concat('against=', {against}))"
+    return s.withColumns({"v": F.expr(votes), "f": F.expr(features)}).drop("m", "d")
 
 
 def reliabilities(counts: dict[str, float], rounds: int = 50) -> dict[str, float]:
@@ -131,13 +163,11 @@ def reliabilities(counts: dict[str, float], rounds: int = 50) -> dict[str, float
 
 
 def trained(spans: DataFrame) -> dict[str, float]:
-    """Weights by kind|feature=value, and kind| for the intercept, from all documents' candidates, as found() gives them.
+    """Weights by kind|feature=value, and kind| for the intercept, from all documents' candidates, as voted() gives them.
 
-    At most 4 kinds x 3**5 vote patterns x the features' values are counted.
+    At most 4 kinds x 3**LABELERS vote patterns x the features' values (some hundreds) are counted.
     """
-    spans = spans.select(F.explode(F.expr("concat(transform(base, s -> named_struct('s', s, 'base', true)), transform(more, s -> named_struct('s', s, 'base', false)))")).alias("c")).select("c.s", "c.base")
-    voted = spans.select("s.k", F.expr(votes("s", "base")).alias("v"), F.explode(F.expr(features("s"))).alias("f"))
-    rows = voted.groupBy("k", "v", "f").agg(F.count("*").alias("n")).collect()
+    rows = spans.select("k", "v", F.explode("f").alias("f")).groupBy("k", "v", "f").agg(F.count("*").alias("n")).collect()
     weights: dict[str, float] = {}
     for k in range(len(KINDS)):
         own = [(r["v"], r["f"], r["n"]) for r in rows if r["k"] == k]
@@ -160,17 +190,32 @@ def trained(spans: DataFrame) -> dict[str, float]:
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) for every row: arrays of (start, end, kind, text), positions in code points, end exclusive.
 
-    Null text is empty and holds nothing. Rows stay apart even if they repeat; other columns are ignored.
+    Both are in order of start, then of kind. Added spans touch no base span. Null text is empty and holds nothing.
+    Rows stay apart even if they repeat or have no doc_id; other columns are ignored, whatever their names; an empty
+    table gives an empty table.
     """
-    df = found(docs)
-    weights = trained(df)
+    rows, spans = found(docs)
+    spans = staged(voted(spans), "voted")
+    weights = trained(spans)
     names = sorted(weights)
-    table = f"map_from_arrays(array({', '.join(_quoted(n) for n in names)}), array({', '.join(f'{weights[n]!r}D' for n in names)}))"
-    score = f"aggregate({features('c')}, coalesce(element_at({table}, concat(c.k, '|')), 0D), (a, f) -> a + coalesce(element_at({table}, concat(c.k, '|', f)), 0D))"
-    df = df.withColumn("added", F.expr(f"CASE WHEN size(more) = 0 THEN more ELSE filter(more, c -> {score} > 0D) END"))
+    table = f"map_from_arrays(array({', '.join(map(_quoted, names))}), array({', '.join(f'{weights[n]!r}D' for n in names)}))" if names else "map('', 0D)"
+    score = f"aggregate(f, coalesce(element_at({table}, concat(k, '|')), 0D), (a, x) -> a + coalesce(element_at({table}, concat(k, '|', x)), 0D))"
+    added = spans.where("NOT base").where(f"{score} > 0D")
+    # of added spans that overlap the one of the first kind stays
+    before = Window.partitionBy("row").orderBy("start", "k").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), "k").rowsBetween(Window.unboundedPreceding, -1)
+    free = F.lit(True)
+    for k in range(1, len(KINDS)):
+        end = F.coalesce(F.max(F.when(F.col("k") < k, F.col("end"))).over(before), F.lit(0))
+        start = F.coalesce(F.min(F.when(F.col("k") < k, F.col("start"))).over(after), F.col("end"))
+        free = free & ((F.col("k") != k) | ((end <= F.col("start")) & (start >= F.col("end"))))
+    added = added.withColumn("free", free).where("free")
+    both = spans.where("base").select("row", "start", "k", "end", "text", "base").unionByName(added.select("row", "start", "k", "end", "text", "base"))
+    lists = [F.sort_array(F.collect_list(F.when(F.col("base") == b, F.struct("start", "k", "end", "text")))).alias(n) for b, n in ((True, "b"), (False, "a"))]
+    grouped = both.groupBy("row").agg(*lists)
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    named = "transform({0}, s -> named_struct('start', s.start, 'end', s.end, 'kind', {1}[s.k], 'text', s.m))"
-    return df.select("doc_id", F.expr(named.format("base", kinds)).alias("base"), F.expr(named.format("added", kinds)).alias("added"))
+    named = "transform(coalesce({0}, array()), s -> named_struct('start', s.start, 'end', s.end, 'kind', {1}[s.k], 'text', s.text))"
+    return rows.join(grouped, "row", "left").select("doc_id", F.expr(named.format("b", kinds)).alias("base"), F.expr(named.format("a", kinds)).alias("added"))
 
 
 def _quoted(text: str) -> str:

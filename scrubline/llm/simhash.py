@@ -20,9 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, components, id_of, id_out, mapped, parted, sized_broadcast, staged, text_of
+from .common import BROADCAST_ROWS, components, id_of, id_out, mapped, sized_broadcast, staged, text_of, without
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -130,19 +129,18 @@ def drop_near_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> D
     Null doc_ids come last; null and empty texts are one component. All columns pass, whatever their names (but those
     that begin with two underscores). An empty table gives an empty table.
     """
-    at, names = docs.columns.index("text"), [*docs.columns, "__print"]
+    # written once with a number for each row, so that equal rows can be told apart
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = pa.array([fingerprint((t or "").encode()) for t in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names)
-
-    # written once with a number for each row, so that equal rows can be told apart
-    rows = staged(mapped(docs, run, StructType([*docs.schema.fields, StructField("__print", LongType())])).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = _groups(rows.select(id_of().alias("id"), F.col("__print").alias("print"))).select(F.col("print").alias("__print"), F.col("root").alias("__root"))
-    some, rest = parted(rows, "__print", groups.select("__print"), broadcast_rows)
-    some = some.join(sized_broadcast(groups, broadcast_rows), "__print", "left")
-    own = F.struct(id_of().alias("id"), F.col("__row").alias("row"))
-    first = staged(some.where("__root IS NOT NULL").groupBy("__root").agg(F.min(own).alias("b")).select(F.col("__root").alias("__of"), F.col("b.row").alias("__first")), "first")
-    kept = some.join(sized_broadcast(first, broadcast_rows), F.col("__root") == F.col("__of"), "left").where("__root IS NULL OR __row = __first")
-    return rest.select(docs.columns).unionByName(kept.select(docs.columns))
+            prints = pa.array([fingerprint(t) for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["row", "id", "print"])
+
+    texts = rows.select(F.col("__row").alias("row"), id_of().alias("id"), text_of().cast("binary").alias("t"))
+    found = staged(mapped(texts, run, "row long, id long, print long"), "simhash")
+    groups = sized_broadcast(_groups(found.select("id", "print")), broadcast_rows)
+    members = staged(found.join(groups, "print").select("root", "id", "row"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct("id", "row")).alias("b")).select("root", F.col("b.row").alias("first"))
+    gone = staged(members.join(first, "root").where("row <> first").select("row"), "gone")
+    return without(rows, gone, broadcast_rows, row=F.col("__row")).select(docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, staged, text_of
+from .common import BROADCAST_ROWS, mapped, staged, text_of, without
 from .pretokens import Memo
 
 #: Labelled rows that the classifier is fitted on: all up to so many, else those with the least hash of their number.
@@ -33,7 +33,7 @@ MARGIN = 10.0
 #: The log odds from which a word can be a text's strongest.
 STRONG = 2.5
 BEGINNINGS = (4, 5, 6)
-MEMO_PIECES = 200_000
+MEMO_PIECES = 100_000
 
 # What a character may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -326,18 +326,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose text scores 0.5 or more, in one pass and with all their columns.
+def drop_toxic(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs without the rows whose text scores 0.5 or more; all columns pass, whatever their names (but those that begin with two underscores).
 
-    Each row is judged by its own text: null and repeated doc_ids, equal rows and columns of any name don't matter.
-    Null and empty texts score as without evidence; an empty table gives an empty table.
+    Each row is judged by its own text (told by 128 bits of hashes): null and repeated doc_ids don't matter, equal rows
+    go or stay together. Null and empty texts score as without evidence; an empty table gives an empty table.
     """
     model, weights, curve = fitted(docs, labels)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model, weights)
         for batch in batches:
-            yield batch.filter(pa.array([probability(score.evidence(t or ""), curve) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([probability(score.evidence(t), curve) >= 0.5 for t in batch.column(2).to_pylist()], pa.bool_())).select(["a", "b"])
 
-    return mapped(docs, run, docs.schema)
+    keys = {"a": F.xxhash64(text_of()), "b": F.xxhash64(text_of(), F.lit(1))}
+    judged = docs.select(*[c.alias(k) for k, c in keys.items()], text_of().alias("text"))
+    return without(docs, staged(mapped(judged, run, "a long, b long").distinct(), "toxic"), broadcast_rows, **keys)

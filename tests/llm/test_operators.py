@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers as P
 import pytest
@@ -328,8 +329,54 @@ def test_very_long_runs_are_linear(spark):
 
 
 def test_reliabilities_tell_good_labelers():
-    post = pii.reliabilities({"+++00": 90.0, "++++0": 40.0, "0--00": 80.0, "0-+0-": 20.0})
-    assert post["+++00"] > 0.9 and post["0--00"] < 0.1
+    post = pii.reliabilities({"+++0000": 90.0, "++++000": 40.0, "0--0000": 80.0, "0-+0-00": 20.0})
+    assert post["+++0000"] > 0.9 and post["0--0000"] < 0.1
+
+
+def test_added_spans(spark):
+    """Numbers of a card's form without its check are added, short numbers, versions and parts of longer words aren't; base spans stay apart."""
+    rng = random.Random(19)
+    rows, want = [], {}
+    for i in range(400):
+        w = words(rng, 12).split()
+        number, kind = "".join(rng.choice("123456789") for _ in range(16)), i % 5
+        hidden = {0: number, 1: f"bob{i} [at] mail [dot] com", 2: f"version {i % 7}.{i % 5}", 3: f'token = "a{number}b"', 4: f"mail a{i}@b.org"}[kind]
+        text = " ".join([*w[:6], hidden, *w[6:]])
+        rows.append((i, text))
+        base = plain_spans(text)
+        start = text.index(hidden)
+        want[i] = [] if kind in (2, 3) or base else [(start, start + len(hidden))]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")).collect()}
+    assert sum([(x.start, x.end) for x in got[i].added] == want[i] for i in want) >= 0.98 * len(want)
+    for i, text in rows:
+        assert [(x.start, x.end, x.kind) for x in got[i].base] == [(a, b, k) for a, _, b, k in plain_spans(text)]
+        assert all(text[x.start : x.end] == x.text for x in [*got[i].base, *got[i].added])
+        assert not any(b.start < a.end and a.start < b.end for a in got[i].added for b in got[i].base)
+
+
+def plain_reliabilities(rows, rounds=200):
+    """Expectation-maximisation over single spans instead of counted patterns."""
+    post, n = [0.5] * len(rows), len(rows)
+    prior, rates = 0.5, [({"+": 0.7, "-": 0.1, "0": 0.2}, {"+": 0.2, "-": 0.5, "0": 0.3}) for _ in range(len(rows[0]))]
+    for _ in range(rounds):
+        for j, v in enumerate(rows):
+            yes, no = prior, 1 - prior
+            for (a, b), c in zip(rates, v, strict=True):
+                yes, no = yes * a[c], no * b[c]
+            post[j] = yes / (yes + no)
+        prior = (sum(post) + 1) / (n + 2)
+        for i in range(len(rows[0])):
+            each = [{c: 1 + sum(w for w, v in zip(ws, rows, strict=True) if v[i] == c) for c in "+-0"} for ws in (post, [1 - p for p in post])]
+            rates[i] = tuple({c: x / sum(e.values()) for c, x in e.items()} for e in each)
+    return dict(zip(rows, post, strict=True))
+
+
+def test_reliabilities_equal_plain_ones():
+    rng = random.Random(5)
+    rows = ["".join(rng.choices("+-0", weights=(6, 1, 3) if k % 3 else (1, 6, 3))[0] for _ in range(pii.LABELERS)) for k in range(120)]
+    plain = plain_reliabilities(rows)
+    for v, p in pii.reliabilities(collections.Counter(rows), rounds=200).items():
+        assert abs(p - plain[v]) < 0.01
 
 
 # --- urls and pages ---------------------------------------------------------------------------
@@ -376,6 +423,53 @@ def test_html(spark):
     assert told[7] == "\n".join("x" * 20_000) and all(r.n_chars == len(r.text) for r in got)
 
 
+def site(host, n):
+    """Pages of one host with a repeated line inside the article, a plain menu, and an advert that differs from page to page."""
+    rng = random.Random(host)
+    out = []
+    for i in range(n):
+        body = [words(rng, 12), "Read our weekly letter for more", words(rng, 9), f"Filed under {i % 2}"]
+        page = f"<body><div><p>Front page of {host}</p><p>All other news</p></div><div class=ad>{words(rng, 5)}</div><article><header><h1>{body[0]}</h1></header>" + "".join(f"<p>{b}</p>" for b in body[1:]) + f"<div class='search related'>kept {i}</div></article></body>"
+        out.append((1000 * hash_of(host) + i, f"http://{host}/{i}", page, "\n".join([body[0], body[2], body[3], f"kept {i}"]), "\n".join([*body, f"kept {i}"])))
+    return out
+
+
+def hash_of(text):
+    return sum(map(ord, text))
+
+
+def test_templates_take_what_repeats(spark):
+    rows = site("a.org", 9) + site("bb.org", 5) + site("few.org", 4)
+    pages = spark.createDataFrame([(i, u, h) for i, u, h, _, _ in rows], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_text.extracted(pages).collect()}
+    plain = {r.page_id: r.text for r in html_text.extracted(pages, use_templates=False).collect()}
+    for i, url, _, want, whole in rows:
+        assert got[i] == (whole if "few.org" in url else want) and plain[i] == whole
+
+
+def test_templates_equal_plain_classes(spark):
+    rows = site("a.org", 9) + site("bb.org", 5)
+    rows = [(i, u, h.replace("<p>All", "<p>x<p>All") if i % 7 == 0 else h) for i, u, h, *_ in rows]
+    pages = spark.createDataFrame(rows, "key long, url string, html string").withColumn("host", url_filter.parts_of()[0])
+    got = {r.host: sorted(r.template) for r in html_text.templates(pages).collect()}
+    for host in ("a.org", "bb.org"):
+        of = [dict((t, (n, z)) for t, n, z in html_text.Page(h).tokens()) for _, u, h in rows if host in u]
+        classes = collections.defaultdict(list)
+        for t in set().union(*of):
+            if sum(t in p for p in of) >= 0.8 * len(of):
+                classes[tuple(p.get(t, (0, 0))[0] for p in of)].append(t)
+        size = lambda ts: sum(max(p[t][1] for p in of if t in p) for t in ts)
+        assert got[host] == sorted(t for ts in classes.values() if size(ts) >= 3 for t in ts)
+
+
+def test_pages_are_read_in_linear_time():
+    for source in ("<a " * 350_000, "<b>" * 100_000 + "<p>x</p>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, '<a title="x' * 100_000):
+        start = time.time()
+        html_text.Page(source).text()
+        assert time.time() - start < 20
+    assert html_text.Page("1 < 2 <b>and</b> x <y").text() == "1 < 2 and x <y"
+
+
 # --- passages ---------------------------------------------------------------------------------
 
 
