@@ -41,81 +41,117 @@ def fuzzy_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, F.when(a == "", 0.0).otherwise(1.0)).when((a == "") | (b == ""), 0.0).otherwise(0.5 * jaccard + 0.5 * edit)
 
 
-def candidate_pairs(df: DataFrame, blocks: list[str], columns: list[str]) -> DataFrame:
-    """Pairs id_a < id_b with all block values equal; null values form no block. Large blocks are left to AQE's skew join."""
-    a, b = (df.select(*blocks, F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns if c not in blocks]) for s in "ab")
-    pairs = a.join(b, blocks).where("id_a < id_b")
-    for c in blocks:
-        if c in columns:
-            pairs = pairs.withColumns({f"{c}_a": F.col(c), f"{c}_b": F.col(c)})
-    return pairs
-
-
-def match(pairs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Pairs that a rule matches: the first one's name and confidence. A rule with an empty side is skipped."""
-    hits = []
-    for r in rules:
-        sides = [[_norm(f"{f}_{s}") for f in r.fields] for s in "ab"]
-        if r.kind == "exact":
-            same = sides[0][0] == sides[1][0]
-            given = sides[0][0] != ""
-            for x, y in zip(*(s[1:] for s in sides), strict=True):
-                same, given = same & (x == y), given & (x != "")
-            hits.append(F.when(same & given, F.struct(F.lit(r.name).alias("rule"), F.lit(float(r.weight)).alias("confidence"))))
-        else:
-            x, y = (F.trim(F.concat_ws(" ", *s)) for s in sides)
-            sim = fuzzy_similarity(x, y)
-            # lengths alone bound the similarity: 2t - 1 is the least share of the edit half
-            near = F.least(F.length(x), F.length(y)) >= (2 * r.threshold - 1) * F.greatest(F.length(x), F.length(y))
-            hits.append(F.when((x != "") & (y != "") & near & (sim >= r.threshold), F.struct(F.lit(r.name).alias("rule"), F.round(sim * r.weight, 3).alias("confidence"))))
-    return pairs.withColumn("_m", F.coalesce(*hits)).where("_m IS NOT NULL").select("id_a", "id_b", "_m.rule", "_m.confidence")
+def blocks_of(df: DataFrame, blocks: list[str]) -> DataFrame:
+    """(id, blocks..., first_id, partners): each record's block by its least id, and how many others it may be matched with.
+
+    Null values form no block, so such records are left out. A block of n records stands for its n (n - 1) / 2 pairs.
+    """
+    sizes = df.groupBy(*blocks).agg(F.min("id").alias("first_id"), (F.count("*") - 1).alias("partners"))
+    return df.select("id", *blocks).join(sizes, blocks)
+
+
+def _given(rule: Rule) -> Column:
+    """Are all fields of a rule there? A rule with an empty field is skipped."""
+    out = F.lit(True)
+    for f in rule.fields:
+        out = out & (_norm(f) != "")
+    return out
+
+
+def _texts(df: DataFrame, blocks: list[str], rule: Rule) -> DataFrame:
+    """(blocks..., id, x): a fuzzy rule's joined text."""
+    return df.where(_given(rule)).select(*blocks, "id", F.concat_ws(" ", *[_norm(f) for f in rule.fields]).alias("x"))
 
 
-def by_exact_keys(df: DataFrame, rules: tuple[Rule, ...], limit_to: list[str] | None = None) -> DataFrame:
-    """Links of exact rules without pairs: each row with the least id that shares its key. As many links as rows."""
+def similar_texts(texts: DataFrame, blocks: list[str], threshold: float) -> DataFrame:
+    """(blocks..., x_a, x_b, similarity), x_a < x_b, of distinct texts (blocks..., x) in one block whose similarity reaches the threshold.
+
+    A similarity of t needs a Jaccard similarity of j = 2t - 1 of the bigrams. With these in order of rarity, one of the
+    first n - ceil(j n) + 1 is shared, so only texts that share a rare bigram meet, at sizes and places that leave
+    room for enough common ones. If t is 0.5 or less, texts without a common bigram are left out.
+    """
+    least = max(0.0, 2 * threshold - 1)
+    grams = texts.select(*blocks, "x", F.explode(bigrams(F.col("x"))).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = grams.join(counts, "g").groupBy(*blocks, "x").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    size = F.size("gs")
+    first = F.slice("gs", F.lit(1), size - F.greatest(F.ceil(F.lit(least) * size - 1e-9).cast("int"), F.lit(1)) + 1)
+    keyed = ranked.select(*blocks, "x", size.alias("size"), F.posexplode(first).alias("at", "s"))
+    a, b = (keyed.select(*blocks, F.col("s.g").alias("g"), F.col("x").alias(f"x_{s}"), F.col("size").alias(f"size_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
+    pairs = a.join(b, [*blocks, "g"]).where("x_a < x_b").where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    # common ones: those before this place, this one, and those behind it
+    room = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    pairs = pairs.where(room * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    pairs = pairs.where(F.least(F.length("x_a"), F.length("x_b")) >= least * F.greatest(F.length("x_a"), F.length("x_b"))).select(*blocks, "x_a", "x_b").distinct()
+    return pairs.withColumn("similarity", fuzzy_similarity(F.col("x_a"), F.col("x_b"))).where(F.col("similarity") >= threshold)
+
+
+def matches(df: DataFrame, others: DataFrame | None, blocks: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id_a, id_b, rule, confidence): records of df and ``others`` in one block that a rule matches, by the first rule that does.
+
+    Without ``others`` df meets itself, and id_a < id_b. Exact rules join on their fields, fuzzy ones on rare bigrams; no
+    pairs of a block are made that don't match. Null block values match nothing.
+    """
+    out = None
+    for order, r in enumerate(rules):
+        if r.kind == "exact":
+            keys = [f"_k{i}" for i in range(len(r.fields))]
+            a, b = (d.where(_given(r)).select(*blocks, F.col("id").alias(f"id_{s}"), *[_norm(f).alias(k) for f, k in zip(r.fields, keys, strict=True)]) for s, d in (("a", df), ("b", df if others is None else others)))
+            hits = a.join(b, [*blocks, *keys]).withColumn("confidence", F.lit(float(r.weight)))
+        else:
+            a, b = (_texts(d, blocks, r).select(*blocks, F.col("id").alias(f"id_{s}"), F.col("x").alias(f"x_{s}")) for s, d in (("a", df), ("b", df if others is None else others)))
+            every = a.select(*blocks, F.col("x_a").alias("x"))
+            every = (every if others is None else every.unionByName(b.select(*blocks, F.col("x_b").alias("x")))).distinct()
+            near = similar_texts(every, blocks, r.threshold)
+            turned = near.select(*blocks, F.col("x_b").alias("x_a"), F.col("x_a").alias("x_b"), "similarity")
+            same = every.select(*blocks, F.col("x").alias("x_a"), F.col("x").alias("x_b"), F.lit(1.0).alias("similarity"))
+            hits = a.join(near.unionByName(turned).unionByName(same), [*blocks, "x_a"]).join(b, [*blocks, "x_b"]).withColumn("confidence", F.round(F.col("similarity") * r.weight, 3))
+        hits = hits.where("id_a < id_b" if others is None else "id_a <> id_b").select("id_a", "id_b", F.struct(F.lit(order).alias("order"), F.lit(r.name).alias("rule"), "confidence").alias("m"))
+        out = hits if out is None else out.unionByName(hits)
+    return out.groupBy("id_a", "id_b").agg(F.min("m").alias("m")).select("id_a", "id_b", "m.rule", "m.confidence")
+
+
+def by_exact_keys(df: DataFrame, blocks: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """Links of exact rules inside blocks without pairs: each row with the least id that shares its key. As many links as rows."""
     out = None
     for r in (r for r in rules if r.kind == "exact"):
-        key = [_norm(f).alias(f"_k{i}") for i, f in enumerate(r.fields)]
-        keyed = df.select("id", *key).where(" AND ".join(f"_k{i} <> ''" for i in range(len(key))))
-        least = keyed.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min("id").alias("id_a"))
-        links = keyed.join(least, [f"_k{i}" for i in range(len(key))]).where("id_a < id").select("id_a", F.col("id").alias("id_b"))
+        keys = [f"_k{i}" for i in range(len(r.fields))]
+        keyed = df.where(_given(r)).select(*blocks, "id", *[_norm(f).alias(k) for f, k in zip(r.fields, keys, strict=True)])
+        least = keyed.groupBy(*blocks, *keys).agg(F.min("id").alias("id_a"))
+        links = keyed.join(least, [*blocks, *keys]).where("id_a < id").select("id_a", F.col("id").alias("id_b"))
         out = links if out is None else out.unionByName(links)
     return out
 
 
 def by_fuzzy_text(df: DataFrame, blocks: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """Links of fuzzy rules inside blocks without all pairs: rows of one text are linked to the least id of it, and
-    different texts meet only over a bigram of their prefixes.
-
-    A similarity of t needs a Jaccard similarity of 2t - 1, so of n bigrams in a fixed order one of the first
-    n - ceil((2t - 1) n) + 1 is shared (all of them, if t is 0.5 or less).
-    """
+    """Links of fuzzy rules inside blocks: rows of one text with the least id of it, and the least ids of similar texts."""
     out = None
     for r in (r for r in rules if r.kind == "fuzzy"):
-        text = F.trim(F.concat_ws(" ", *[_norm(f) for f in r.fields]))
-        rows = df.select(*blocks, "id", text.alias("_x")).where("_x <> ''")
-        texts = rows.groupBy(*blocks, "_x").agg(F.min("id").alias("id_a"))
-        same = rows.join(texts, [*blocks, "_x"]).where("id_a < id").select("id_a", F.col("id").alias("id_b"))
-        keys = F.array_sort(F.transform(bigrams(F.col("_x")), lambda g: F.xxhash64(g)))
-        least = max(0.0, 2 * r.threshold - 1)
-        first = F.slice(keys, F.lit(1), F.greatest(F.size(keys) - F.ceil(F.lit(least) * F.size(keys) - 1e-9).cast("int") + (1 if least else 0), F.lit(1)))
-        a, b = (texts.select(*blocks, F.col("id_a").alias(f"id_{s}"), F.col("_x").alias(f"x_{s}"), F.explode(first).alias("_g")) for s in "ab")
-        near = F.least(F.length("x_a"), F.length("x_b")) >= least * F.greatest(F.length("x_a"), F.length("x_b"))
-        pairs = a.join(b, [*blocks, "_g"]).where("id_a < id_b").where(near).select("id_a", "id_b", "x_a", "x_b").distinct()
-        links = same.unionByName(pairs.where(fuzzy_similarity(F.col("x_a"), F.col("x_b")) >= r.threshold).select("id_a", "id_b"))
+        rows = _texts(df, blocks, r)
+        least = rows.groupBy(*blocks, "x").agg(F.min("id").alias("id_a"))
+        same = rows.join(least, [*blocks, "x"]).where("id_a < id").select("id_a", F.col("id").alias("id_b"))
+        near = similar_texts(rows.select(*blocks, "x").distinct(), blocks, r.threshold)
+        a, b = (least.select(*blocks, F.col("x").alias(f"x_{s}"), F.col("id_a").alias(f"id_{s}")) for s in "ab")
+        links = same.unionByName(near.join(a, [*blocks, "x_a"]).join(b, [*blocks, "x_b"]).select("id_a", "id_b"))
         out = links if out is None else out.unionByName(links)
     return out
 
 
-def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a local master without it gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return root.rstrip("/")
 
 
 def _written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df written to the folder that all executors share, and read again: a round's lineage ends here. Few rows go to few files."""
     if rows is not None:
         df = df.coalesce(max(4, rows // 100_000))
-    path = f"{_shared(df.sparkSession)}/links-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/links-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -124,7 +160,7 @@ def link_components(df: DataFrame, links: DataFrame, rounds: int = 60) -> DataFr
     """df with group_id: the least id connected by links (id_a, id_b), its own without any.
 
     Large-star and small-star rounds: first every larger neighbour, then every smaller one, moves to the least of
-    the neighbourhood. Minima combine in the map stage, so a hub costs a row for each task.
+    the neighbourhood. Minima combine in the map stage, so a hub costs a row for each task. An error after ``rounds``.
     """
     edges = _written(links.select(F.greatest("id_a", "id_b").alias("hi"), F.least("id_a", "id_b").alias("lo")).where("hi <> lo").distinct())
     for _ in range(rounds):
@@ -140,12 +176,12 @@ def link_components(df: DataFrame, links: DataFrame, rounds: int = 60) -> DataFr
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).unionByName(least.select("hi", F.col("least").alias("lo")))
         edges = _written(small.where("hi <> lo").distinct(), now["n"])
+    else:
+        raise RuntimeError(f"links are still open after {rounds} rounds")
     roots = edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("group_id"))
     return df.join(roots, "id", "left").withColumn("group_id", F.coalesce("group_id", "id"))
 
 
-def link_candidates(df: DataFrame, candidates: DataFrame, blocks: list[str], columns: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id_a, id_b, rule, confidence): each record's hits among given candidates, by rules, inside blocks."""
-    a = df.select(*blocks, F.col("id").alias("id_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = candidates.select(*blocks, F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    return match(a.join(b, blocks).where("id_a <> id_b"), rules)
+def link_candidates(df: DataFrame, candidates: DataFrame, blocks: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id_a, id_b, rule, confidence): each record's hits among given candidates, by rules, inside blocks; not with itself."""
+    return matches(df, candidates, blocks, rules)

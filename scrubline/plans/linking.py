@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,7 +16,6 @@ from .registry import Registry
 reg = Registry()
 QUERIES, ORACLES = reg.queries, reg.oracles
 
-COLUMNS = ["address", "city", "email"]
 BLOCK = ["postal_code"]
 
 
@@ -33,48 +31,44 @@ def _similarity(x: str, y: str) -> str:
     )
 
 
-PAIRS = ", n AS (SELECT id, postal_code, lower(trim(coalesce(email, ''))) AS e, trim(concat_ws(' ', lower(trim(coalesce(address, ''))), lower(trim(coalesce(city, ''))))) AS x FROM listings), p AS (SELECT a.id AS id_a, b.id AS id_b, a.e AS ea, b.e AS eb, a.x AS xa, b.x AS xb FROM n a JOIN n b ON a.postal_code = b.postal_code AND a.id < b.id)"
-MATCHES = PAIRS + f", s AS (SELECT *, {_similarity('xa', 'xb')} AS sim FROM p), m AS (SELECT id_a, id_b, CASE WHEN ea = eb AND ea <> '' THEN 'email' WHEN xa <> '' AND xb <> '' AND sim >= 0.9 THEN 'address' END AS rule, CASE WHEN ea = eb AND ea <> '' THEN 1::DOUBLE ELSE round(sim * 0.9, 3) END AS confidence FROM s)"
+PAIRS = ", n AS (SELECT id, postal_code, lower(trim(coalesce(email, ''))) AS e, lower(trim(coalesce(address, ''))) AS ad, lower(trim(coalesce(city, ''))) AS ci, concat_ws(' ', lower(trim(coalesce(address, ''))), lower(trim(coalesce(city, '')))) AS x FROM listings), p AS (SELECT a.id AS id_a, b.id AS id_b, a.e AS ea, b.e AS eb, a.x AS xa, b.x AS xb, a.ad <> '' AND a.ci <> '' AND b.ad <> '' AND b.ci <> '' AS given FROM n a JOIN n b ON a.postal_code = b.postal_code AND a.id < b.id)"
+MATCHES = PAIRS + f", s AS (SELECT *, {_similarity('xa', 'xb')} AS sim FROM p), m AS (SELECT id_a, id_b, CASE WHEN ea = eb AND ea <> '' THEN 'email' WHEN given AND sim >= 0.9 THEN 'address' END AS rule, CASE WHEN ea = eb AND ea <> '' THEN 1::DOUBLE ELSE round(sim * 0.9, 3) END AS confidence FROM s)"
 
 
-@reg.add(PAIRS + " SELECT id_a, id_b FROM p", "listings")
+@reg.add(", b AS (SELECT postal_code, min(id) AS first_id, count(*) - 1 AS partners FROM listings GROUP BY 1) SELECT id, postal_code, first_id, partners FROM listings JOIN b USING (postal_code)", "listings")
 def candidate_pairs(t) -> DataFrame:
-    return linkage.candidate_pairs(t.listings, BLOCK, COLUMNS).select("id_a", "id_b")
+    return linkage.blocks_of(t.listings, BLOCK)
 
 
 @reg.add(MATCHES + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
 def match_rules(t) -> DataFrame:
-    return linkage.match(linkage.candidate_pairs(t.listings, BLOCK, COLUMNS))
+    return linkage.matches(t.listings, None, BLOCK)
 
 
-@reg.add(PAIRS + f" SELECT id_a, id_b, round({_similarity('xa', 'xb')}, 6) AS similarity FROM p", "listings")
+@reg.add(PAIRS + f", s AS (SELECT DISTINCT least(xa, xb) AS x_a, greatest(xa, xb) AS x_b, {_similarity('xa', 'xb')} AS sim FROM p WHERE given AND xa <> xb) SELECT x_a, x_b, round(sim, 6) AS similarity FROM s WHERE sim >= 0.8", "listings")
 def fuzzy_similarity(t) -> DataFrame:
-    pairs = linkage.candidate_pairs(t.listings, BLOCK, COLUMNS)
-    x, y = (F.trim(F.concat_ws(" ", *[F.lower(F.trim(F.coalesce(f"{c}_{s}", F.lit("")))) for c in ("address", "city")])) for s in "ab")
-    return pairs.select("id_a", "id_b", F.round(linkage.fuzzy_similarity(x, y), 6).alias("similarity"))
-
-
-LINKS = MATCHES + ", k AS (SELECT lower(trim(email)) AS e, min(id) AS lo FROM listings WHERE coalesce(trim(email), '') <> '' GROUP BY 1), l AS (SELECT id_a, id_b FROM m WHERE rule = 'address' UNION SELECT lo, id FROM listings JOIN k ON k.e = lower(trim(email)) WHERE lo < id)"
+    """Distinct addresses of one postal code at a similarity of 0.8 or more."""
+    rule = linkage.Rule("address", ("address", "city"), "fuzzy")
+    texts = linkage._texts(t.listings, BLOCK, rule).select(*BLOCK, "x").distinct()
+    return linkage.similar_texts(texts, BLOCK, 0.8).select("x_a", "x_b", F.round("similarity", 6).alias("similarity")).distinct()
 
 
 @reg.add(
-    LINKS + ", b AS (SELECT id_a AS x, id_b AS y FROM l UNION SELECT id_b, id_a FROM l) SELECT id, (SELECT min(r.y) FROM r WHERE r.x = id) AS group_id FROM listings",
+    MATCHES.replace("WITH ", "WITH RECURSIVE ", 1) + ", b AS (SELECT id_a AS x, id_b AS y FROM m WHERE rule IS NOT NULL UNION SELECT id_b, id_a FROM m WHERE rule IS NOT NULL), r(x, y) AS (SELECT id, id FROM listings UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y) SELECT x AS id, min(y) AS group_id FROM r GROUP BY x",
     "listings",
 )
 def link_components(t) -> DataFrame:
-    links = linkage.by_fuzzy_text(t.listings, BLOCK, linkage.RULES).unionByName(linkage.by_exact_keys(t.listings, linkage.RULES))
+    links = linkage.by_fuzzy_text(t.listings, BLOCK, linkage.RULES).unionByName(linkage.by_exact_keys(t.listings, BLOCK, linkage.RULES))
     return linkage.link_components(t.listings.select("id"), links)
 
 
-# the closure of the links, as a recursive query
-_CTES, _BODY = ORACLES["link_components"].rsplit(" SELECT id, (", 1)
-ORACLES["link_components"] = _CTES.replace("WITH ", "WITH RECURSIVE ", 1) + ", r(x, y) AS (SELECT id, id FROM listings UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y) SELECT id, (" + _BODY
-ORACLES["link_components"] = ORACLES["link_components"].replace("SELECT id, (SELECT min(r.y) FROM r WHERE r.x = id) AS group_id FROM listings", "SELECT x AS id, min(y) AS group_id FROM r GROUP BY x")
+# the closure of the matches needs a recursive query
+ORACLES["link_components"] = ORACLES["link_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@reg.add(MATCHES.replace("a.id < b.id", "a.id <> b.id AND a.id % 10 = 0 AND b.id % 2 = 1") + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
+@reg.add(MATCHES.replace("a.id < b.id", "a.id <> b.id") + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
 def link_candidates(t) -> DataFrame:
-    return linkage.link_candidates(t.listings.where("id % 10 = 0"), t.listings.where("id % 2 = 1"), BLOCK, COLUMNS)
+    return linkage.link_candidates(t.listings, t.listings, BLOCK)
 
 
 @reg.add(
@@ -100,8 +94,7 @@ def plan_lookup(t) -> DataFrame:
 
 
 def _place(t) -> str:
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{linkage.shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(t) -> DataFrame:

@@ -144,7 +144,7 @@ def clean(df: DataFrame, domain: Domain, overrides: DataFrame, fsa_map: DataFram
     enriched = learning.enrich(looked, open_, results.withColumn("rank", F.lit(1)))
     again = triaged(enriched, domain).select(*first.columns)
     out = settled.unionByName(again)
-    links = linkage.by_fuzzy_text(out, domain.blocks, domain.rules).unionByName(linkage.by_exact_keys(out, domain.rules))
+    links = linkage.by_fuzzy_text(out, domain.blocks, domain.rules).unionByName(linkage.by_exact_keys(out, domain.blocks, domain.rules))
     out = linkage.link_components(out, links)
     return out.withColumn("flags", F.when(F.col("route") == "done", F.array().cast("array<string>")).otherwise(checks.needs_escalation())).withColumn("audit_entries", F.size("audit").cast("long"))
 

@@ -100,8 +100,8 @@ def test_similarity(spark, a, b, want):
 
 
 def test_links_are_transitive_and_nulls_do_not_link(spark):
-    df = spark.createDataFrame([(1, "x", None), (2, "x", None), (3, "y", None), (4, None, None), (5, None, None)], "id long, email string, address string")
-    links = linkage.by_exact_keys(df, linkage.RULES).unionByName(spark.createDataFrame([(2, 3)], "id_a long, id_b long"))
+    df = spark.createDataFrame([(1, "x", None), (2, "x", None), (3, "y", None), (4, None, None), (5, None, None)], "id long, email string, address string").withColumn("block", F.lit("b"))
+    links = linkage.by_exact_keys(df, ["block"], linkage.RULES).unionByName(spark.createDataFrame([(2, 3)], "id_a long, id_b long"))
     got = {r["id"]: r["group_id"] for r in linkage.link_components(df, links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
@@ -173,10 +173,58 @@ def test_cycles_and_missing_steps_are_errors():
         pipeline.Domain("d", (step("a", 1, "low", ("b",)),)).ordered()
 
 
-def test_fuzzy_links_connect_what_all_pairs_do(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").selectExpr("c_custkey AS id", "c_custkey % 3 AS block", "concat(c_custkey % 40, ' King Street') AS address", "'Toronto' AS city", "'' AS email")
-    rules = (linkage.Rule("address", ("address", "city"), "fuzzy", 0.85),)
-    all_pairs = linkage.match(linkage.candidate_pairs(df, ["block"], ["address", "city"]), rules).select("id_a", "id_b")
-    few = linkage.by_fuzzy_text(df, ["block"], rules)
-    groups = [{r["id"]: r["group_id"] for r in linkage.link_components(df, links).collect()} for links in (all_pairs, few)]
-    assert groups[0] == groups[1] and few.count() < all_pairs.count()
+def plain_matches(rows, block, rules):
+    """All pairs of a block, the first rule that matches; rules with an empty field are skipped."""
+    norm = lambda v: (v or "").strip().lower()
+
+    def similarity(x, y):
+        if x == y:
+            return 1.0
+        grams = [{t[i : i + 2] for i in range(len(t) - 1)} or {t} for t in (x, y)]
+        table = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            table, before = [i], table
+            for j, d in enumerate(y, 1):
+                table.append(min(before[j] + 1, table[-1] + 1, before[j - 1] + (c != d)))
+        return 0.5 * len(grams[0] & grams[1]) / len(grams[0] | grams[1]) + 0.5 * (1 - table[-1] / max(len(x), len(y)))
+
+    out = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[block] is None or a[block] != b[block]:
+                continue
+            for r in rules:
+                x, y = ([norm(v[f]) for f in r.fields] for v in (a, b))
+                if not all([*x, *y]):
+                    continue
+                sim = float(x == y) if r.kind == "exact" else similarity(" ".join(x), " ".join(y))
+                if sim >= (1 if r.kind == "exact" else r.threshold):
+                    out[min(a["id"], b["id"]), max(a["id"], b["id"])] = (r.name, r.weight if r.kind == "exact" else round(sim * r.weight, 3))
+                    break
+    return out
+
+
+def test_matches_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    streets = ["12 King Street", "12 King Stret", "14 King Street", "9 Queen Road", "9 Queen Roade", "", None]
+    rows = [{"id": i, "block": rng.choice(["a", "b", None]), "email": rng.choice(["x@y.z", "q@r.s", "", None]), "address": rng.choice(streets), "city": rng.choice(["Toronto", "Torontoo", "", None])} for i in range(90)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, block string, email string, address string, city string")
+    rules = (linkage.Rule("email", ("email",)), linkage.Rule("address", ("address", "city"), "fuzzy", 0.8, 0.9))
+    want = plain_matches(rows, "block", rules)
+    got = {(r.id_a, r.id_b): (r.rule, r.confidence) for r in linkage.matches(df, None, ["block"], rules).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 0.002 for k in got)
+    both = {(r.id_a, r.id_b) for r in linkage.link_candidates(df, df, ["block"], rules).collect()}
+    assert both == {p for k in want for p in (k, k[::-1])}
+    links = linkage.by_fuzzy_text(df, ["block"], rules).unionByName(linkage.by_exact_keys(df, ["block"], rules))
+    every = spark.createDataFrame(list(want), "id_a long, id_b long")
+    groups = [{r.id: r.group_id for r in linkage.link_components(df, x).collect()} for x in (links, every)]
+    assert groups[0] == groups[1] and links.count() < every.count()
+
+
+def test_a_rule_with_an_empty_field_and_other_blocks_do_not_link(spark):
+    rows = [(1, "p1", "a@b.c", "12 King Street", ""), (2, "p1", "", "12 King Street", ""), (3, "p2", "a@b.c", "1 Other Road", "Ottawa")]
+    df = spark.createDataFrame(rows, "id long, block string, email string, address string, city string")
+    assert linkage.matches(df, None, ["block"]).count() == 0
+    assert linkage.by_fuzzy_text(df, ["block"], linkage.RULES).unionByName(linkage.by_exact_keys(df, ["block"], linkage.RULES)).count() == 0
