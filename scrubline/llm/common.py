@@ -125,10 +125,15 @@ def _positions(key: str, bits: int) -> list[Column]:
     return [F.xxhash64(F.col(key), F.lit(i)).bitwiseAND(bits - 1) for i in range(BLOOM_HASHES)]
 
 
-def bloom(keys: DataFrame, key: str, rows: int) -> np.ndarray:
+def slices_of(key: str, bits: int) -> list[Column]:
+    """Positions of a key that is a hash itself: parts of its bits, which workers can take without Spark's hash."""
+    return [F.shiftrightunsigned(key, 18 * i).bitwiseAND(bits - 1) for i in range(BLOOM_HASHES)]
+
+
+def bloom(keys: DataFrame, key: str, rows: int, positions: Callable[[str, int], list[Column]] = _positions) -> np.ndarray:
     """A Bloom filter of a long column: bits built by the partitions, 32 MB at most on the driver and in each executor."""
     bits = min(BLOOM_MOST, 1 << max(15, (rows * BLOOM_BITS).bit_length()))
-    at = keys.select(F.explode(F.array(*_positions(key, bits))).alias("at")).select((F.col("at") + 1).alias("at"))  # bitmaps count from 1
+    at = keys.select(F.explode(F.array(*positions(key, bits))).alias("at")).select((F.col("at") + 1).alias("at"))  # bitmaps count from 1
     maps = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
     out = np.zeros(bits // 8, np.uint8)
     for r in maps.toLocalIterator():

@@ -511,6 +511,53 @@ def test_every_shared_run_of_the_least_length_is_found(spark):
     assert got == {10 * g + i: 10 * g + 2 for g in range(40) if g % 4 != 3 for i in (2, 3)}
 
 
+def test_a_fuzzy_passage_whose_sentences_are_first_elsewhere(spark):
+    rng = random.Random(37)
+    sentences = [words(rng, 28) for _ in "abc"]
+    passage = lambda: f"{sentences[0]} {words(rng, 4)} {sentences[1]} {words(rng, 4)} {sentences[2]}"
+    docs = [(i, f"{words(rng, 30)} {sentences[i % 3]} {words(rng, 30)}") for i in (1, 2, 3, 11, 12, 13)] + [(i, f"{words(rng, 50)} {passage()} {words(rng, 50)}") for i in (10, 14)]
+    for parts in (1, 5, 50):
+        got = {r.doc_id: r.spans for r in passages.repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()}
+        assert set(got) == {10, 14}
+        for spans in got.values():
+            start, end = map(int, spans.split(":"))
+            assert abs(start - 50) <= 3 and abs(end - 142) <= 3
+
+
+def changed(rng, text, every, spread_evenly):
+    w = text.split()
+    at = range(every // 2, len(w), every) if spread_evenly else rng.sample(range(len(w)), len(w) // every)
+    for i in at:
+        w[i] = words(rng, 1) + "q"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_recall_of_fuzzy_passages(spark, parts):
+    """Planted pairs against each other: passages of 45 to 90 words that agree in 0.83 to 0.95 of their words."""
+    rng = random.Random(43)
+    rows, want = [], collections.defaultdict(list)
+    for g in range(240):
+        every, size = (6, 8, 10, 20)[g % 4], (45, 60, 90)[g % 3]
+        text = words(rng, size)
+        rows += [(10 * g, f"{words(rng, 60)} {text} {words(rng, 60)}"), (10 * g + 1, f"{words(rng, 40)} {changed(rng, text, every, g % 2)} {words(rng, 70)}")]
+        want[every].append(10 * g)
+    got = {r.doc_id: r.class_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+    found = {every: sum(got.get(i) == got.get(i + 1) == i for i in ids) / len(ids) for every, ids in want.items()}
+    print(found)
+    assert found[20] >= 0.95 and found[10] >= 0.9 and sum(found.values()) / 4 >= 0.8
+    assert all(c // 10 == i // 10 for i, c in got.items())
+
+
+def test_rows_of_one_id_are_held_apart(spark):
+    rng = random.Random(47)
+    passage = words(rng, 60)
+    rows = [(1, f"{passage} {words(rng, 20)}"), (1, words(rng, 80)), (None, words(rng, 80)), (None, f"{words(rng, 20)} {passage}"), (None, f"{words(rng, 20)} {passage}") ]
+    rows.append(rows[-1])
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == [(1, 1), (None, 1), (None, 1)]
+
+
 def test_odd_rows_do_not_break_passages(odd):
     got = {r.doc_id: r.class_id for r in passages.repeated(odd).collect()}
     assert got[4] == got[6] == got[13] == 4 and got[7] == got[8] == 7 and 2 not in got
