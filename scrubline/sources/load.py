@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.places import POSTAL_LETTERS, lookup
 
-SYSTEM_TABLES = "raw_data cleaned_data audit_log flags column_metadata column_profiles spell_corrections query_pattern_memory source_registry plan_cache search_cache address_lookup".split()
+# The framework's own tables.
+SYSTEM_TABLES = (
+    "raw_data", "cleaned_data", "audit_log", "flags", "column_metadata", "column_profiles", "spell_corrections", "query_pattern_memory",
+    "source_registry", "plan_cache", "search_cache", "address_lookup",
+)
 
 
 def read_table(spark: SparkSession, kind: str, place: str, **options: str) -> DataFrame:
