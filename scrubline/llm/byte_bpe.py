@@ -151,28 +151,34 @@ def slices(texts: list[str], size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-#: A worker's coder, kept from task to task; one at a time.
+#: A worker's coder, where it is kept from task to task; one at a time.
 _coder: dict[tuple[str, str], Coder] = {}
 
 
-def _batches_of(batches: Iterator[pa.RecordBatch], path: str, pattern: str, out):
+def _batches_of(batches: Iterator[pa.RecordBatch], path: str, pattern: str, out, keep: bool):
     if (coder := _coder.get((path, pattern))) is None:
         _coder.clear()
         coder = _coder[path, pattern] = Coder(path, pattern)
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            yield out(batch.column(0)[lo:hi], coder.texts(texts[lo:hi]))
+    try:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                yield out(batch.column(0)[lo:hi], coder.texts(texts[lo:hi]))
+    finally:
+        if not keep:
+            _coder.clear()
+            coder.db.close()
 
 
-def _coded(docs: DataFrame, path: str, pattern: str, out, kind: str) -> DataFrame:
-    return mapped(docs.select("doc_id", text_of().alias("text")), lambda b: _batches_of(b, path, pattern, out), kind, rows=2_000)
+def _coded(docs: DataFrame, path: str, pattern: str, out, kind: str, keep: bool) -> DataFrame:
+    return mapped(docs.select("doc_id", text_of().alias("text")), lambda b: _batches_of(b, path, pattern, out, keep), kind, rows=2_000)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every whole text.
 
-    ``path``: a rank file on every worker, ``pattern``: what cuts texts. Null and empty texts have no ids and
+    ``path``: a rank file on every worker, ``pattern``: what cuts texts, ``keep``: workers keep what they have learned (about
+    100 MB) when a task ends, for the next one. Null and empty texts have no ids and
     decode to the empty text. Rows keep their number, equal ones and null or repeated doc_ids too; other columns
     are ignored, whatever their names; an empty table gives an empty table.
     """
@@ -181,10 +187,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         ids = [list(map(int, i.split(","))) if i else [] for i, _, _ in coded]
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32())), pa.array([d.decode() for _, _, d in coded], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return _coded(docs, path, pattern, out, "doc_id long, ids array<int>, decoded string")
+    return _coded(docs, path, pattern, out, "doc_id long, ids array<int>, decoded string", keep)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encode(), with ids and text as their hashes."""
 
     def out(doc_ids, coded):
@@ -192,4 +198,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         n, ids, decoded = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _coded(docs, path, pattern, out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _coded(docs, path, pattern, out, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +39,21 @@ def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str, rows:
             for lo in range(0, b.num_rows, rows):
                 yield b[lo : lo + rows]
 
-    return df.mapInArrow(lambda batches: run(cut(batches)), schema)
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(cut(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

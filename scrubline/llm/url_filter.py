@@ -3,12 +3,14 @@
 Host labels and path segments are runs of letters, often several words in one. Unigram counts over
 all page titles and the training names say how likely a word is, and the Viterbi path over a
 run's substrings splits it. Substrings meet the unigram table in a join, so neither is held whole
-by anyone. Multinomial naive Bayes, taught by labelled names, judges the words.
+by anyone. Multinomial naive Bayes judges the words. It is taught by the pages that a rule decides, all of them,
+with their rule's own words left out, and for words that these don't have by a list of labelled ones.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from .common import mapped, sized_broadcast, staged
 #: (rule, verdict): a host suffix, then the beginning of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-# Words of names that teach the judge: a default training set. Words that any host may have are in both classes.
+# Words of names that teach the judge beside the pages that rules decide: a default training set. Words that any host may have are in both classes.
 _STRONG = "adult porn xxx sex sexy nude escort webcam casino poker betting bets slots jackpot lottery gambling pills viagra cialis pharma replica warez crack keygen torrent malware phishing spam scam payday ads adserver doubleclick tracker"
 _WEAK = "hot cam dating bet gamble win free prize cheap discount pill loan hack x track click popup banner promo bonus deal offer farm"
 _GOOD = "news wiki school university library science research museum health weather sport music book books art history city travel garden food recipe family photo forum docs help support article about contact archive code open project"
@@ -28,8 +30,8 @@ _COMMON = "www m blog shop home web index page html php en de fr es com net org
 TRAINING = {"block": 4 * f"{_STRONG} " + f"{_WEAK} {_COMMON}", "allow": 4 * f"{_GOOD} " + _COMMON}
 #: The share of names to block that is expected beforehand.
 BLOCK_PRIOR = 0.2
-#: The longest word that is looked for inside a run, and what a run of n unknown letters costs.
-LONGEST_WORD = 24
+#: What is added to a word's share of its class, so that rare words say little. Shares, not counts: verdicts don't change with the table's size.
+SMOOTHING = 1e-3
 
 
 def parts_of(url: str = "url") -> tuple[Column, Column]:
@@ -65,62 +67,93 @@ def unigrams(pages: DataFrame, training: dict[str, str]) -> DataFrame:
     return counted.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def viterbi(run: str, found: list[tuple[int, int, float]], total: float) -> list[str]:
+    """A run's words on the likeliest path, from its substrings (start, length, log probability) that are words.
+
+    A stretch of letters in no word is as likely as a word of its length would be among ten per letter.
+    """
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for start, length, p in found:
+        ends.setdefault(start + length, []).append((start, p))
+    letter = math.log(10)
+    best = [(0.0, 0)]
+    unknown = (0.0, 0)  # the best place for a stretch of unknown letters to begin, as if at the run's start
+    for i in range(1, len(run) + 1):
+        option = (unknown[0] - math.log(total) - i * letter, unknown[1])
+        best.append(max([option, *((best[j][0] + p, j) for j, p in ends.get(i, ()))]))
+        unknown = max(unknown, (best[i][0] + i * letter, i))
+    words, i = [], len(run)
+    while i:
+        words.append(run[best[i][1] : i])
+        i = best[i][1]
+    return words[::-1]
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """run, [(start, length, log probability)] -> its words on the likeliest path; unknown letters stand alone in a word."""
     for batch in batches:
         out = []
         for run, found, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ends: dict[int, list[tuple[int, float]]] = {}
-            for f in found or ():
-                if f is not None:
-                    ends.setdefault(f["start"] + f["length"], []).append((f["start"], math.log(f["n"] / total)))
-            best = [(0.0, 0, True)] + [(-math.inf, 0, True)] * len(run)
-            for i in range(1, len(run) + 1):
-                # a stretch of letters in no word: as a word of its length would be among ten per letter
-                options = [(best[j][0] - math.log(total) - (i - j) * math.log(10), j, False) for j in range(max(0, i - LONGEST_WORD), i)]
-                options += [(best[j][0] + p, j, True) for j, p in ends.get(i, ())]
-                best[i] = max(options)
-            words, i = [], len(run)
-            while i:
-                words.append(run[best[i][1] : i])
-                i = best[i][1]
-            out.append(words[::-1])
+            out.append(viterbi(run, [(f["start"], f["length"], math.log(f["n"] / total)) for f in found or () if f is not None], total))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
 
 
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, words) for each distinct run of ``runs``; words: (word, n)."""
+    """(run, words) for each distinct run of ``runs``; words: (word, n). Substrings are tried at the lengths that words have."""
     total = words.agg(F.sum("n")).first()[0] or 1
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect()) or [1]
     runs = runs.select("run").distinct()
     starts = F.explode(F.expr("sequence(1, length(run))")).alias("start")
-    lengths = F.expr(f"explode(sequence(1, least({LONGEST_WORD}, length(run) - start + 1)))").alias("length")
-    cut = runs.select("run", starts).select("run", "start", lengths).withColumn("word", F.expr("substring(run, start, length)"))
+    tried = F.explode(F.array(*map(F.lit, lengths))).alias("length")
+    cut = runs.select("run", starts).select("run", "start", tried).where("start + length - 1 <= length(run)").withColumn("word", F.expr("substring(run, start, length)"))
     known = cut.join(words, "word").groupBy("run").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "n")).alias("found"))
     return mapped(runs.join(known, "run", "left").select("run", "found", F.lit(total).cast("double").alias("total")), _split, "run string, words array<string>")
 
 
+def word_weights(told: DataFrame, training: dict[str, str]) -> DataFrame:
+    """(word, weight): log odds of block. told: (word, n_block, n_allow), counts over pages that rules decide.
+
+    A word's share of a class is the mean of its share of the pages' words and of the list's; with only one of both, that one's.
+    """
+    taught = {k: v.split() for k, v in training.items()}
+    sizes = told.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(k) for k in ("block", "allow")]).first()
+    rows = [(w, *(taught[k].count(w) / max(1, len(taught[k])) for k in ("block", "allow"))) for w in sorted({w for v in taught.values() for w in v})]
+    both = told.join(told.sparkSession.createDataFrame(rows, "word string, l_block double, l_allow double"), "word", "full")
+
+    def share(k: str) -> Column:
+        page, own = F.coalesce(f"n_{k}", F.lit(0)) / max(1, sizes[k]), F.coalesce(f"l_{k}", F.lit(0.0))
+        weights = (bool(sizes[k]) / (bool(sizes[k]) + bool(taught[k]))) if sizes[k] or taught[k] else 0.0
+        return weights * page + (1 - weights) * own + SMOOTHING
+
+    return both.select("word", F.log(share("block") / share("allow")).alias("weight"))
+
+
 def judged(pages: DataFrame, rules=RULES, training: dict[str, str] = TRAINING) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_words, score) for every row of ``pages`` (page_id, url, html).
 
     A null url, or one without ``://``, has an empty host and path, fits no rule, and is judged by the priors.
-    score: log odds of block. Rows stay apart even if they repeat; other columns are ignored.
+    score: log odds of block. Rows stay apart even if they repeat; other columns are ignored, whatever their names; an
+    empty table gives an empty table.
     """
     host, path = parts_of()
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("h"), path.alias("p"))
     base = base.select("page_id", F.coalesce("h", F.lit("")).alias("host"), F.coalesce("p", F.lit("")).alias("path"))
+    rule, verdict = ruled("host", "path", rules)
+    keyed = base.withColumns({"hr": F.concat_ws(" ", runs_of(F.col("host"))), "pr": F.concat_ws(" ", runs_of(F.col("path"))), "rule": rule, "by_rule": verdict})
     # judged once for each set of runs: pages of a host differ in numbers mostly
-    shapes = base.select(runs_of(F.col("host")).alias("host_runs"), runs_of(F.col("path")).alias("path_runs")).distinct()
-    shapes = staged(shapes.select(F.concat_ws(" ", "host_runs").alias("hr"), F.concat_ws(" ", "path_runs").alias("pr"), F.concat("host_runs", "path_runs").alias("all_runs"), F.size("host_runs").alias("hosts")), "shapes")
+    shapes = keyed.groupBy("hr", "pr").agg(*[F.count_if(F.col("by_rule") == k).alias(f"n_{k}") for k in ("block", "allow")])
+    host_runs, path_runs = (F.array_remove(F.split(c, " "), "") for c in ("hr", "pr"))
+    shapes = staged(shapes.select("hr", "pr", "n_block", "n_allow", F.concat(host_runs, path_runs).alias("all_runs"), F.size(host_runs).alias("hosts")), "shapes")
     runs = shapes.select(F.explode(F.array_distinct("all_runs")).alias("run"))
     words = staged(unigrams(pages, training), "unigrams")
     split = staged(segmented(runs, words), "segmented")
-    # the judge: Laplace-smoothed word counts of the two classes
-    taught = {k: v.split() for k, v in training.items()}
-    vocabulary = sorted({w for v in taught.values() for w in v})
-    weight = {w: math.log((taught["block"].count(w) + 1) / (len(taught["block"]) + len(vocabulary))) - math.log((taught["allow"].count(w) + 1) / (len(taught["allow"]) + len(vocabulary))) for w in vocabulary}
+    # the judge: shares of words in the two classes, the rules' own words left out
+    own = sorted({w for text, _ in rules for w in re.findall(r"[^\W\d_]+", text.lower())})
+    seen = shapes.where("n_block + n_allow > 0").select("n_block", "n_allow", F.explode("all_runs").alias("run")).groupBy("run").agg(F.sum("n_block").alias("n_block"), F.sum("n_allow").alias("n_allow"))
+    told = seen.join(split, "run").select("n_block", "n_allow", F.explode("words").alias("word")).where(~F.col("word").isin(own) if own else F.lit(True))
+    told = told.groupBy("word").agg(F.sum("n_block").alias("n_block"), F.sum("n_allow").alias("n_allow"))
+    weights = staged(word_weights(staged(told, "told"), training), "weights")
     prior = math.log(BLOCK_PRIOR / (1 - BLOCK_PRIOR))
-    weights = pages.sparkSession.createDataFrame(list(weight.items()), "word string, weight double")
-    each = split.select("run", F.explode("words").alias("word")).join(F.broadcast(weights), "word", "left").groupBy("run").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
+    each = split.select("run", F.explode("words").alias("word")).join(sized_broadcast(weights), "word", "left").groupBy("run").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
     each = split.join(each, "run", "left").select("run", "words", F.coalesce("w", F.lit(0.0)).alias("w"))
     at = shapes.select("hr", "pr", "hosts", F.posexplode_outer("all_runs").alias("at", "run"))
     scored = at.join(sized_broadcast(each), "run", "left").groupBy("hr", "pr").agg(
@@ -128,8 +161,6 @@ def judged(pages: DataFrame, rules=RULES, training: dict[str, str] = TRAINING) -
         F.array_sort(F.collect_list(F.when(F.col("at") < F.col("hosts"), F.struct("at", "words")))).alias("hw"),
     )
     scored = staged(scored.select("hr", "pr", "score", F.expr("flatten(transform(hw, x -> x.words))").alias("host_words")), "judged")
-    rule, verdict = ruled("host", "path", rules)
-    keyed = base.withColumns({"hr": F.concat_ws(" ", runs_of(F.col("host"))), "pr": F.concat_ws(" ", runs_of(F.col("path"))), "rule": rule, "by_rule": verdict})
     return keyed.join(sized_broadcast(scored, 50_000), ["hr", "pr"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "host_words", "score"
     )

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import time
@@ -409,6 +411,39 @@ def test_words_and_verdicts_do_not_change_with_size(spark):
         assert [got[i].verdict for i in range(len(hosts))] == ["block"] * 4 + ["allow"], size
 
 
+def test_viterbi_is_the_best_of_all_splits():
+    rng = random.Random(3)
+    for _ in range(200):
+        run = "".join(rng.choice("ab") for _ in range(rng.randint(1, 8)))
+        vocabulary = {w: rng.random() for w in ("a", "b", "ab", "ba", "aab", "bab", "abba") if rng.random() < 0.6}
+        total = sum(vocabulary.values()) * 3 + 1
+        log = lambda w: math.log(vocabulary[w] / total) if w in vocabulary else -math.log(total) - len(w) * math.log(10)
+        splits = [[run[i:j] for i, j in zip([0, *cut], [*cut, len(run)], strict=True)] for n in range(len(run)) for cut in itertools.combinations(range(1, len(run)), n)]
+        # a word may also be taken for a stretch of unknown letters
+        value = lambda ws: sum(max(log(w), -math.log(total) - len(w) * math.log(10)) for w in ws)
+        found = [(i, len(w), math.log(p / total)) for w, p in vocabulary.items() for i in range(len(run)) if run.startswith(w, i)]
+        got = url_filter.viterbi(run, found, total)
+        assert "".join(got) == run and abs(value(got) - max(map(value, splits))) < 1e-9
+
+
+def test_pages_that_rules_decide_teach_the_judge(spark):
+    """Scores equal naive Bayes worked out plainly, with each name a word of the titles."""
+    names = ["amber", "birch", "cedar", "delta", "ember", "fjord"]
+    rng = random.Random(8)
+    urls = [f"http://{rng.choice(names[:4])}.com/de/{rng.choice(names)}" for _ in range(60)] + [f"http://{rng.choice(names[2:])}.org/{rng.choice(names)}" for _ in range(60)] + [f"http://{a}.net/{b}" for a in names for b in names]
+    pages = spark.createDataFrame([(i, u, f"<title>{' '.join(names)}</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judged(pages).collect()}
+    listed = {k: v.split() for k, v in url_filter.TRAINING.items()}
+    told = {"block": collections.Counter(), "allow": collections.Counter()}
+    for u in urls[:120]:
+        told["block" if "/de/" in u else "allow"].update(w for w in re.findall("[a-z]+", u.split("://")[1]) if w not in ("org", "com", "de", "fr", "es", "en", "example"))
+    share = lambda w, k: 0.5 * told[k][w] / sum(told[k].values()) + 0.5 * listed[k].count(w) / len(listed[k]) + url_filter.SMOOTHING
+    for i, u in list(enumerate(urls))[120:]:
+        want = math.log(0.25) + sum(math.log(share(w, "block") / share(w, "allow")) for w in re.findall("[a-z]+", u.split("://")[1]))
+        assert abs(got[i].score - want) < 1e-6 and got[i].verdict == ("block" if want > 0 else "allow")
+    assert {got[i].verdict for i in range(120, len(urls))} == {"block", "allow"}
+
+
 ARTICLE = "<h1>T &amp; x</h1><p>a&nbsp;b  <b>c</b>\n d<p>e<ul><li>f<li>g</ul>"
 
 
