@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,18 @@ def city_lookup(df: DataFrame, city_map: DataFrame) -> DataFrame:
 
 
 def null_safe_match(df: DataFrame, other: DataFrame, columns: list[str], id_column: str = "id") -> DataFrame:
-    """(id, matched_id) for rows of df that have an equal row in other, null equal to null; the least matched id."""
-    on = F.lit(True)
-    for c in columns:
-        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return df.alias("a").join(other.alias("b"), on).groupBy(F.col(f"a.{id_column}").alias("id")).agg(F.min(f"b.{id_column}").alias("matched_id"))
+    """(id, matched_id) for rows of df that have an equal row in other, null equal to null: the least id but its own.
+
+    Each key of ``other`` is brought down to its two least ids first, so equal rows don't make pairs.
+    """
+    keys = [f"_k{i}" for i in range(len(columns))]
+    keyed = lambda d: d.select(F.col(id_column).alias("id"), *[F.col(c).alias(k) for c, k in zip(columns, keys, strict=True)])
+    on = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    least = keyed(other).groupBy(*keys).agg(F.min("id").alias("one"))
+    more = keyed(other).alias("o").join(least.alias("l"), on("o", "l")).where("o.id > l.one").groupBy(*[F.col(f"o.{k}").alias(k) for k in keys]).agg(F.min("o.id").alias("two"))
+    both = least.alias("l").join(more.alias("m"), on("l", "m"), "left").select(*[f"l.{k}" for k in keys], "one", "two")
+    found = keyed(df).alias("a").join(both.alias("b"), on("a", "b"))
+    return found.select("a.id", F.when(F.col("a.id") == F.col("b.one"), F.col("b.two")).otherwise(F.col("b.one")).alias("matched_id")).where("matched_id IS NOT NULL")
 
 
 def geocode_join(df: DataFrame, geocodes: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
@@ -99,21 +108,31 @@ def query_outcomes(events: DataFrame, memory: DataFrame | None = None) -> DataFr
     return memory.select(new.columns).unionByName(new).groupBy(*keys).agg(F.sum("success_count").alias("success_count"), F.sum("failure_count").alias("failure_count"), F.max("last_used_at").alias("last_used_at"))
 
 
-def source_trust(events: DataFrame, order: list[str]) -> DataFrame:
-    """(domain, url_host, trust_score): from 0.5, +0.02 a success and -0.01 a failure, kept in [0, 1] at every step but the first.
+def trust_steps(events: DataFrame, order: list[str]) -> DataFrame:
+    """(domain, url_host, shift, low, high): what all outcomes of a host do to its score t, as one function clamp(t + shift) to [low, high].
 
-    A run of steps is a function clamp(t + shift) to [low, high]; such functions compose to one of their kind. Days of
-    events fold in order for each host and day, and days in order for each host, so no task folds a host's whole history.
+    A success adds 0.02, a failure takes 0.01, and each step is kept in [0, 1]. Such functions compose to one of their kind:
+    minutes fold their events in order, days their minutes, hosts their days, so no task sees a host's whole history.
     """
     step = F.when(F.col("success"), 0.02).otherwise(-0.01)
-    keyed = events.select("domain", "url_host", F.to_date("ts").alias("day"), F.struct(*order, step.alias("step")).alias("e"))
-    identity = "named_struct('shift', 0D, 'low', -1000D, 'high', 1000D)"
-    # after f: t -> min(max(t + shift, low), high), a step s gives shift + s, low + s and high + s, each kept in [0, 1] for the bounds
-    fold = f"""aggregate(array_sort(collect_list(e)), {identity}, (f, x) -> named_struct('shift', f.shift + x.step,
-        'low', greatest(0D, least(1D, f.low + x.step)), 'high', greatest(0D, least(1D, f.high + x.step))))"""
-    days = keyed.groupBy("domain", "url_host", "day").agg(F.expr(fold).alias("f"))
-    whole = "aggregate(array_sort(collect_list(named_struct('day', day, 'f', f))), 0.5D, (t, d) -> least(greatest(t + d.f.shift, d.f.low), d.f.high))"
-    return days.groupBy("domain", "url_host").agg(F.round(F.expr(whole), 6).alias("trust_score"))
+    one = F.struct(step.alias("shift"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    parts = events.select("domain", "url_host", F.date_trunc("minute", "ts").alias("minute"), F.struct(*order).alias("at"), one.alias("f"))
+    fold = """aggregate(array_sort(collect_list(named_struct('at', at, 'f', f))), named_struct('shift', 0D, 'low', -1000D, 'high', 1000D), (a, x) -> named_struct(
+        'shift', a.shift + x.f.shift, 'low', greatest(x.f.low, least(x.f.high, a.low + x.f.shift)), 'high', greatest(x.f.low, least(x.f.high, a.high + x.f.shift))))"""
+    minutes = parts.groupBy("domain", "url_host", F.col("minute").alias("m")).agg(F.expr(fold).alias("f"))
+    days = minutes.select("domain", "url_host", F.to_date("m").alias("d"), F.col("m").alias("at"), "f").groupBy("domain", "url_host", "d").agg(F.expr(fold).alias("f"))
+    whole = days.select("domain", "url_host", F.col("d").alias("at"), "f").groupBy("domain", "url_host").agg(F.expr(fold).alias("f"))
+    return whole.select("domain", "url_host", "f.shift", "f.low", "f.high")
+
+
+def trusted(score: str = "score") -> Column:
+    """A score after the steps of its row."""
+    return F.least(F.greatest(F.col(score) + F.col("shift"), F.col("low")), F.col("high"))
+
+
+def source_trust(events: DataFrame, order: list[str]) -> DataFrame:
+    """(domain, url_host, trust_score): from 0.5 on by ``trust_steps``."""
+    return trust_steps(events, order).withColumn("score", F.lit(0.5)).select("domain", "url_host", F.round(trusted(), 6).alias("trust_score"))
 
 
 def cache_stats(keys: DataFrame, cache: DataFrame) -> DataFrame:

@@ -45,13 +45,15 @@ def build_dictionary(t) -> DataFrame:
 
 
 @reg.add(
-    """, terms AS (SELECT lower(city) AS term, count(*) AS n FROM listings WHERE city IS NOT NULL AND city <> '' AND id % 8 = 0 GROUP BY 1),
+    """, terms AS (SELECT lower(city) AS term, count(*) AS n FROM listings WHERE city IS NOT NULL AND city <> '' GROUP BY 1 HAVING count(*) * 20 >= (SELECT count(*) FROM listings)),
 v AS (SELECT DISTINCT lower(city) AS value FROM listings WHERE length(city) > 1 AND lower(city) NOT IN (SELECT term FROM terms))
 SELECT value, term AS suggestion, 1 AS distance FROM (SELECT value, term, row_number() OVER (PARTITION BY value ORDER BY n DESC, term) AS r FROM v JOIN terms ON damerau_levenshtein(value, term) = 1) WHERE r = 1""",
     "listings",
 )
 def spell_dictionary(t) -> DataFrame:
-    terms = t.listings.where("city <> '' AND id % 8 = 0").groupBy(F.lower("city").alias("term")).agg(F.count("*").alias("n"))
+    """Terms are cities that a twentieth of all listings have."""
+    least = t.listings.count() / 20
+    terms = t.listings.where("city <> ''").groupBy(F.lower("city").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return learning.spell_dictionary(t.listings, "city", terms)
 
 
@@ -396,16 +398,25 @@ def parse_evidence(t) -> DataFrame:
     return t.search_results.select("record_id", "gap", e["value"].alias("value"), e["source_url"].alias("source_url")).where("value IS NOT NULL")
 
 
+LISTING = ("id", "name", "age", "address", "city", "postal_code", "municipality", "state_province", "country", "phone", "email", "municipality_confidence", "year")
+
+
 @reg.add(
     """, r(column_name, p, inferred_role, role_confidence) AS (VALUES """
     + ", ".join(f"('{k}', {i}, '{r}', {c}::DOUBLE)" for i, (k, (r, c)) in enumerate(pipeline.ROLES.items()))
-    + """), c AS (SELECT unnest(['id','raw_data_id','name','age','city','address','postal_code','country','phone','reason','severity','imported_at','raised_by','mystery']) AS column_name)
-SELECT c.column_name, coalesce(arg_min(r.inferred_role, p), 'generic_text') AS inferred_role, coalesce(arg_min(r.role_confidence, p), 0.30::DOUBLE) AS role_confidence FROM c LEFT JOIN r ON c.column_name LIKE replace(r.column_name, '_', '\\_') ESCAPE '\\' GROUP BY 1""".replace("\\\\", "\\"),
+    + """), c AS (SELECT unnest(["""
+    + ", ".join(f"'{c}'" for c in LISTING)
+    + """]) AS column_name, unnest(["""
+    + ", ".join(f"count({c})" for c in LISTING)
+    + """]) AS filled FROM listings)
+SELECT c.column_name, any_value(c.filled) AS filled, coalesce(arg_min(r.inferred_role, p), 'generic_text') AS inferred_role, coalesce(arg_min(r.role_confidence, p), 0.30::DOUBLE) AS role_confidence FROM c LEFT JOIN r ON c.column_name LIKE replace(r.column_name, '_', '\\_') ESCAPE '\\' GROUP BY 1""".replace("\\\\", "\\"),
     "listings",
 )
 def infer_column_role(t) -> DataFrame:
-    names = "id raw_data_id name age city address postal_code country phone reason severity imported_at raised_by mystery".split()
-    return pipeline.infer_roles(t.spark.createDataFrame([(n,) for n in names], "column_name string")).select("column_name", "inferred_role", "role_confidence")
+    """Roles of the columns of listings, with how many of their values are there."""
+    counts = t.listings.agg(*[F.count(c).alias(c) for c in LISTING])
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in LISTING])).alias("x")).select("x.*")
+    return pipeline.infer_roles(long).select("column_name", "filled", "inferred_role", "role_confidence")
 
 
 @reg.add(
@@ -440,7 +451,10 @@ def error_isolation(t) -> DataFrame:
 
 @reg.add()
 def domain_config(t) -> DataFrame:
-    return pipeline.steps_table(t.spark)
+    """The domains' steps in running order, with how many values each changed in listings."""
+    first = pipeline.deterministic(t.listings, t.spell_overrides)
+    changed = first.select(F.explode("audit").alias("a")).groupBy(F.lit("real_estate").alias("domain"), F.col("a.skill").alias("step")).agg(F.count("*").alias("changed"))
+    return pipeline.steps_table(t.spark).join(changed, ["domain", "step"], "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
 
 
 @reg.add(

@@ -51,7 +51,7 @@ SELECT event_id,
   CAST(ts AS DATE) AS event_date,
   CASE event_id % 3 WHEN 0 THEN 'Scotiabank Arena' WHEN 1 THEN 'Scotiabnk Arena' ELSE 'Bell Centre' END AS venue_name,
   CASE event_id % 6 WHEN 0 THEN 'Leafs' WHEN 1 THEN 'Habs' WHEN 2 THEN 'Sens' WHEN 3 THEN 'Oilers' WHEN 4 THEN 'Raptors' ELSE 'Yankees' END AS home_team
-FROM events WHERE event_id % 10 = 0
+FROM events
 """,
     "ticket_products": r"""
 SELECT p_partkey AS product_id,
@@ -82,7 +82,7 @@ SELECT o_orderkey AS id, o_custkey AS raw_data_id,
     "search_results": r"""
 SELECT doc_id AS record_id, CASE doc_id % 5 WHEN 0 THEN 'postal_unresolved' WHEN 1 THEN 'municipality_ambiguous' WHEN 2 THEN 'unknown_country' WHEN 3 THEN 'unknown_email_domain' ELSE 'unknown_phone_format' END AS gap,
   concat(CASE doc_id % 4 WHEN 0 THEN 'Deliveries to North York and Toronto. ' WHEN 1 THEN 'The City of Markham is in York Region, Canada. ' WHEN 2 THEN 'Acme Widgets is a company. Dial +44 country code. ' ELSE '' END,
-  substr(text,1,80), ' URL: https://example.org/', CAST(doc_id AS STRING)) AS text FROM documents
+  text, ' URL: https://example.org/', CAST(doc_id AS STRING)) AS text FROM documents
 """,
     "judge_scores": r"""
 SELECT event_id AS test_case_id, user_id % 4 AS run_id, round(CAST(event_id % 101 AS DOUBLE) / 100, 2) AS correctness, round(CAST(event_id % 11 AS DOUBLE) / 10, 2) AS format,

@@ -113,9 +113,11 @@ def stream_lookup(t) -> DataFrame:
     return feeds.run_available(lookups.fsa_lookup(feed, t.fsa_map).select("event_id", "fsa_municipality"), _place(t))
 
 
-@reg.add()
+@reg.add("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, 'gap_' || event_type AS route, count(*) AS records FROM events GROUP BY 1, 2")
 def stream_route_counts(t) -> DataFrame:
-    return feeds.run_available(feeds.route_counts(feeds.outcomes_of(_events(t))), _place(t))
+    """Counts by window as each batch changes them, the last ones: open windows too."""
+    out = feeds.run_available(feeds.route_counts(feeds.outcomes_of(_events(t))), _place(t), "update")
+    return out.groupBy("start", "route").agg(F.max_by("records", "batch").alias("records"))
 
 
 @reg.add("SELECT DISTINCT user_id, event_type FROM events")
@@ -124,6 +126,9 @@ def stream_insert_ignore(t) -> DataFrame:
     return feeds.run_available(out, _place(t)).select("user_id", "event_type")
 
 
-@reg.add()
+@reg.add(
+    """, o AS (SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'real_estate' WHEN 1 THEN 'sports_ticketing' ELSE '_common' END AS domain, concat('host', CAST(user_id % 5 AS VARCHAR), '.org') AS url_host, CASE WHEN value > 10.0 THEN 0.02::DOUBLE ELSE -0.01::DOUBLE END AS step FROM events)
+SELECT domain, url_host, round(list_reduce(list(step ORDER BY ts, event_id), lambda s, x: least(1::DOUBLE, greatest(0::DOUBLE, s + x)), 0.5::DOUBLE), 6) AS trust_score FROM o GROUP BY 1, 2"""
+)
 def stream_outcomes(t) -> DataFrame:
-    return feeds.run_available(feeds.source_trust(feeds.outcomes_of(_events(t))), _place(t), "update").groupBy("domain", "url_host").agg(F.max_by("trust_score", "batch").alias("trust_score"))
+    return feeds.run_trust(feeds.outcomes_of(_events(t)), ["ts", "event_id"], _place(t))

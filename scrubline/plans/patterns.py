@@ -43,7 +43,7 @@ def rule_gaps(t) -> DataFrame:
 )
 def most_specific_gap(t) -> DataFrame:
     gaps = t.listings.select("id", F.concat(F.lit("missing:city"), F.coalesce(F.concat(F.lit("|"), F.lower("country")), F.lit(""))).alias("gap"))
-    known = t.listings.where("country = 'CA'").limit(1).select(F.explode(F.array(F.struct(F.lit("missing:city|ca").alias("gap"), F.lit("ask the post").alias("value")), F.struct(F.lit("missing:city").alias("gap"), F.lit("ask anyone").alias("value")))).alias("x")).select("x.*")
+    known = t.listings.agg(F.count_if(F.col("country") == "CA").alias("n")).where("n > 0").select(F.explode(F.array(F.struct(F.lit("missing:city|ca").alias("gap"), F.lit("ask the post").alias("value")), F.struct(F.lit("missing:city").alias("gap"), F.lit("ask anyone").alias("value")))).alias("x")).select("x.*")
     return patterns.most_specific(gaps, known)
 
 

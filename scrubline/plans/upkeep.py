@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,10 +253,16 @@ def apply_annotations(t) -> DataFrame:
     return load.apply_annotations(c.select("table_name", "column_name"), meta, results)
 
 
-@reg.add("SELECT unnest(['customer', 'orders', 'part']) AS table_name, unnest([1, 1, 0]) AS score")
+_LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@reg.add(
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, {1 if n in ('customer', 'orders') else 0} AS score FROM {n}" for n in _LISTED) + ") WHERE table_name <> 'region'"
+)
 def diff_tables(t) -> DataFrame:
-    every = t.spark.createDataFrame([(n,) for n in ("customer", "orders", "part", "audit_log", "region")], "table_name string")
-    return load.score_tables(load.diff_tables(every, ["region"]), "clean the orders of customers")
+    """Given tables that aren't registered, with their rows, scored by the words of a request."""
+    sizes = reduce(DataFrame.unionByName, [getattr(t, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows")) for n in _LISTED])
+    return load.score_tables(load.diff_tables(sizes, ["region"]), "clean the orders of customers")
 
 
 @reg.add(
@@ -299,11 +307,11 @@ ADDRESS = ["address", "city", "postal_code", "municipality", "state_province", "
 
 
 @reg.add(
-    "SELECT a.id, min(b.id) AS matched_id FROM listings a JOIN listings b ON " + " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ADDRESS) + " WHERE a.id % 2 = 0 AND b.id % 3 = 0 GROUP BY 1",
+    "SELECT a.id, min(b.id) AS matched_id FROM listings a JOIN listings b ON " + " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ADDRESS) + " AND a.id <> b.id GROUP BY 1",
     "listings",
 )
 def null_safe_match(t) -> DataFrame:
-    return lookups.null_safe_match(t.listings.where("id % 2 = 0"), t.listings.where("id % 3 = 0"), ADDRESS)
+    return lookups.null_safe_match(t.listings, t.listings, ADDRESS)
 
 
 def _geocodes(t) -> DataFrame:
@@ -363,7 +371,10 @@ def query_outcomes(t) -> DataFrame:
     return lookups.query_outcomes(t.query_outcomes)
 
 
-@reg.add()
+@reg.add(
+    "SELECT domain, url_host, round(list_reduce(list(CASE WHEN success THEN 0.02::DOUBLE ELSE -0.01::DOUBLE END ORDER BY ts, event_id), lambda s, x: least(1::DOUBLE, greatest(0::DOUBLE, s + x)), 0.5::DOUBLE), 6) AS trust_score FROM query_outcomes GROUP BY 1, 2",
+    "query_outcomes",
+)
 def source_trust(t) -> DataFrame:
     return lookups.source_trust(t.query_outcomes, ["ts", "event_id"])
 
@@ -404,11 +415,10 @@ def per_record_query_cap(t) -> DataFrame:
 
 
 @reg.add(
-    "SELECT a.vec_id AS query_id, arg_max(b.vec_id, (list_cosine_similarity(a.embedding, b.embedding), -b.vec_id)) AS vec_id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 AND list_cosine_similarity(a.embedding, b.embedding) > 0.15 GROUP BY 1"
+    "SELECT a.vec_id AS query_id, arg_max(b.vec_id, (list_cosine_similarity(a.embedding, b.embedding), -b.vec_id)) AS vec_id FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) > 0.15 GROUP BY 1"
 )
 def semantic_cache_lookup(t) -> DataFrame:
-    q, base = t.embeddings.where("vec_id % 100 = 0"), t.embeddings.where("vec_id % 100 <> 0")
-    return vectors.nearest_within(q, base, 0.15).select("query_id", "vec_id")
+    return vectors.nearest_within(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, 0.15).select("query_id", "vec_id")
 
 
 @reg.add(

@@ -1,17 +1,18 @@
 """Streams of records and outcomes.
 
 Stateless steps are the batch functions themselves. What follows holds state: windowed counts and
-first-of-a-key rows behind a watermark, and trust scores by host.
+first-of-a-key rows behind a watermark, and trust scores by host, which each batch changes as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators import lookups
+
+#: Files that a batch of a feed reads at most.
+BATCH_FILES = 1_000
 
 
 def read_feed(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
@@ -21,8 +22,8 @@ def read_feed(spark: SparkSession, path: str, like: DataFrame | None = None) ->
         folder, _, name = path.rpartition("/")
         whole = spark._jvm.org.apache.hadoop.fs.Path(path)
         if whole.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(whole).isFile():
-            return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    return spark.readStream.schema(schema).parquet(path)
+            return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", BATCH_FILES).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
 
 
 def outcomes_of(events: DataFrame) -> DataFrame:
@@ -43,18 +44,30 @@ def first_of_key(df: DataFrame, keys: list[str], ts: str = "ts", late: str = "2
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _trust(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    score = state.get[0] if state.exists else 0.5
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    for ok in rows["success"]:
-        score = min(1.0, max(0.0, score + (0.02 if ok else -0.01)))
-    state.update((score,))
-    yield pd.DataFrame({"domain": [key[0]], "url_host": [key[1]], "trust_score": [round(score, 6)]})
+def run_trust(events: DataFrame, order: list[str], place: str) -> DataFrame:
+    """(domain, url_host, trust_score) after a stream of outcomes: each batch's outcomes are folded by host, and then change the host's score.
+
+    Scores are kept as a table for each batch under ``place``, which is all the state there is; a batch that is run again
+    writes the same table again.
+    """
+    spark = events.sparkSession
+    kind = "domain string, url_host string, score double"
+
+    def table(n: int) -> str:
+        return f"{place}/scores/batch={n}"
 
+    def step(batch: DataFrame, n: int) -> None:
+        own = batch.sparkSession
+        before = own.read.schema(kind).parquet(table(n - 1)) if n else own.createDataFrame([], kind)
+        after = before.join(lookups.trust_steps(batch, order), ["domain", "url_host"], "full").withColumn("score", F.coalesce("score", F.lit(0.5)))
+        after.select("domain", "url_host", F.coalesce(lookups.trusted(), "score").alias("score")).write.mode("overwrite").parquet(table(n))
+        done[0] = n
 
-def source_trust(df: DataFrame) -> DataFrame:
-    """(domain, url_host, trust_score) after each batch, the score kept as state of the host."""
-    return df.groupBy("domain", "url_host").applyInPandasWithState(_trust, "domain string, url_host string, trust_score double", "score double", "update", GroupStateTimeout.NoTimeout)
+    done = [-1]
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(kind).parquet(table(done[0])) if done[0] >= 0 else spark.createDataFrame([], kind)
+    return out.select("domain", "url_host", F.round("score", 6).alias("trust_score"))
 
 
 def run_available(df: DataFrame, place: str, mode: str = "append") -> DataFrame:
