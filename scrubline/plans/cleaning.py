@@ -431,16 +431,29 @@ def _first_routes(t) -> DataFrame:
     return pipeline.triaged(first, pipeline.REAL_ESTATE).groupBy("route").agg(F.count("*").alias("records"))
 
 
+def _given(t) -> pipeline.Given:
+    return pipeline.Given(t.spell_overrides, t.fsa_map, t.search_results)
+
+
 @reg.add()
 def clean_pipeline(t) -> DataFrame:
-    out = pipeline.clean(t.listings, pipeline.REAL_ESTATE, t.spell_overrides, t.fsa_map, t.search_results)
+    out = pipeline.clean(t.listings, pipeline.REAL_ESTATE, _given(t))
     return out.select("id", "address", "city", "postal_code", "municipality", "country", "route", "group_id", F.array_join("flags", ",").alias("flags"), F.col("audit_entries"))
 
 
+@reg.add()
+def clean_tickets(t) -> DataFrame:
+    """The second domain's configuration over ticket events and the products of the same number."""
+    rows = t.ticket_events.join(t.ticket_products, F.col("event_id") == F.col("product_id"), "left").withColumnRenamed("event_id", "id")
+    out = pipeline.clean(rows, pipeline.SPORTS_TICKETING, pipeline.Given())
+    return out.select("id", "event_name", "ticket_category", "group_id", "audit_entries")
+
+
 @reg.add()
 def run_report(t) -> DataFrame:
-    out = pipeline.clean(t.listings, pipeline.REAL_ESTATE, t.spell_overrides, t.fsa_map, t.search_results)
-    return lookups.run_report(out)
+    """Counts by route; groups aren't in it, so nothing is linked."""
+    out = pipeline.routed(t.listings, pipeline.REAL_ESTATE, _given(t))
+    return lookups.run_report(out.withColumn("audit_entries", F.size("audit").cast("long")))
 
 
 @reg.add("SELECT id, age, CASE WHEN age IS NULL THEN 'age is not a number' END AS error FROM (SELECT id, TRY_CAST(CASE WHEN id % 10 = 0 THEN age::VARCHAR || 'x' ELSE age::VARCHAR END AS INT) AS age FROM listings)", "listings")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ class Step:
 
 @dataclass(frozen=True)
 class Domain:
-    """A domain's steps and the parameters of its triage and linkage."""
+    """A domain's steps and the parameters of its triage (none without required fields) and linkage."""
 
     name: str
     steps: tuple[Step, ...]
@@ -58,13 +60,18 @@ REAL_ESTATE = Domain(
         Step("standardize_address", 1, "low"),
         Step("fsa_lookup", 2, "medium", ("standardize_address",)),
         Step("geographic_validate", 1, "low", ("standardize_address",)),
-        Step("enrich", 2, "high", ("fsa_lookup",)),
-        Step("link", 3, "medium", ("spell_override", "standardize_address")),
+        Step("enrich", 3, "high", ("fsa_lookup",)),
+        Step("link", 4, "medium", ("spell_override", "standardize_address")),
     ),
     ["name", "address", "city", "postal_code", "country"],
     ["postal_code"],
 )
-SPORTS_TICKETING = Domain("sports_ticketing", (Step("normalize_event_name", 1, "low"), Step("categorize_product", 1, "low"), Step("link", 3, "medium", ("normalize_event_name",))))
+SPORTS_TICKETING = Domain(
+    "sports_ticketing",
+    (Step("normalize_event_name", 2, "low"), Step("categorize_product", 2, "low"), Step("link", 4, "low", ("normalize_event_name",))),
+    blocks=["event_date"],
+    rules=(linkage.Rule("venue_team_date", ("venue_name", "home_team", "event_date"), "fuzzy", 0.85, 0.90),),
+)
 DOMAINS = {d.name: d for d in (REAL_ESTATE, SPORTS_TICKETING)}
 
 # LIKE pattern of a column name -> role and how sure, first hit counts.
@@ -111,13 +118,67 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumn("error", error).withColumns(casts)
 
 
-def deterministic(df: DataFrame, overrides: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Given:
+    """The tables that steps look things up in; a domain needs those of its own steps."""
+
+    overrides: DataFrame | None = None
+    fsa_map: DataFrame | None = None
+    results: DataFrame | None = None
+
+
+AUDIT = "array<struct<skill: string, field: string, original: string, corrected: string, confidence: double>>"
+
+
+def audited(df: DataFrame, step: str, column: str, change: Callable[[DataFrame], DataFrame], sure: Column | float = 1.0) -> DataFrame:
+    """df after ``change``, with an entry in audit where it changed the column."""
+    new = change(df.withColumn("_before", F.col(column)))
+    sure = sure if isinstance(sure, Column) else F.lit(sure)
+    entry = F.when(~F.col("_before").eqNullSafe(F.col(column)), F.struct(F.lit(step).alias("skill"), F.lit(column).alias("field"), F.col("_before").cast("string").alias("original"), F.col(column).cast("string").alias("corrected"), sure.cast("double").alias("confidence")))
+    return new.withColumn("audit", F.concat("audit", checks.array_of(entry))).drop("_before")
+
+
+def _fsa_lookup(df: DataFrame, given: Given) -> DataFrame:
+    looked = lookups.fsa_lookup(df, given.fsa_map)
+    missing = checks.classify_gaps({"country": None, "postal_code": "country", "municipality": "country"})
+    gaps = checks.identify_gaps(missing, F.col("unknown_fsa"), F.col("municipality_confidence"))
+    # without a municipality the code's own is taken
+    return looked.withColumn("gaps", gaps).withColumn("municipality", F.when(is_blank_or_na("municipality"), F.coalesce("fsa_municipality", "municipality")).otherwise(F.col("municipality")))
+
+
+def _enrich(df: DataFrame, given: Given) -> DataFrame:
+    open_ = df.where("municipality_confidence < 0.70").select("id", F.posexplode("gaps").alias("gap_pos", "gap"))
+    return learning.enrich(df, open_, given.results.withColumn("rank", F.lit(1)))
+
+
+def _categorize(df: DataFrame, given: Given) -> DataFrame:
+    category, sure = text.product_category("product_name", "ticket_type", "ticket_category")
+    return audited(df.withColumn("_sure", sure), "categorize_product", "ticket_category", lambda d: d.withColumn("ticket_category", category), F.col("_sure")).drop("_sure")
+
+
+#: Steps by name; a domain's configuration says which of them run, and in what order.
+STEPS: dict[str, Callable[[DataFrame, Given], DataFrame]] = {
+    "spell_override": lambda df, given: audited(df, "spell_override", "city", lambda d: learning.spell_override(d, "city", given.overrides)),
+    "standardize_address": lambda df, given: audited(df, "standardize_address", "address", lambda d: d.withColumn("address", text.standardize_address("address"))),
+    "geographic_validate": lambda df, given: df.withColumns(checks.geographic_checks()),
+    "fsa_lookup": _fsa_lookup,
+    "enrich": _enrich,
+    "normalize_event_name": lambda df, given: audited(df, "normalize_event_name", "event_name", lambda d: d.withColumn("event_name", text.normalize_event_name("event_name"))),
+    "categorize_product": _categorize,
+}
+
+
+def run_steps(df: DataFrame, domain: Domain, given: Given, phases: tuple[int, ...]) -> DataFrame:
+    """df after the domain's steps of some phases, in the order of its configuration."""
+    for step in domain.ordered():
+        if step.phase in phases and step.name != "link":
+            df = STEPS[step.name](df, given)
+    return df
+
+
+def deterministic(df: DataFrame, overrides: DataFrame, domain: Domain = REAL_ESTATE) -> DataFrame:
     """First phase: corrected city, standard address, and audit of what changed; checks are added."""
-    new = learning.spell_override(df.withColumn("_city", F.col("city")), "city", overrides)
-    new = new.withColumn("_address", F.col("address")).withColumn("address", text.standardize_address("address"))
-    entry = lambda f, step: F.when(~F.col(f"_{f}").eqNullSafe(F.col(f)), F.struct(F.lit(step).alias("skill"), F.lit(f).alias("field"), F.col(f"_{f}").alias("original"), F.col(f).alias("corrected"), F.lit(1.0).alias("confidence")))
-    audit = checks.array_of(entry("city", "spell_override"), entry("address", "standardize_address"))
-    return new.withColumn("audit", audit).drop("_city", "_address").withColumns(checks.geographic_checks())
+    return run_steps(df.withColumn("audit", F.array().cast(AUDIT)), domain, Given(overrides), (1,))
 
 
 def triaged(df: DataFrame, domain: Domain) -> DataFrame:
@@ -126,27 +187,32 @@ def triaged(df: DataFrame, domain: Domain) -> DataFrame:
     return df.withColumn("_r", r).withColumns({"route": F.col("_r.route"), "route_confidence": F.col("_r.confidence")}).drop("_r")
 
 
-def clean(df: DataFrame, domain: Domain, overrides: DataFrame, fsa_map: DataFrame, results: DataFrame) -> DataFrame:
-    """The whole sequence over records: every input row comes out once, with route, flags, group_id, error and audit_entries.
+def routed(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
+    """Records after all steps but linkage, with route, error and audit: every input row comes out once.
 
-    Rows that the first triage sends to done or unsalvageable skip the lookups; the others are looked up, enriched and
-    triaged again. Bad rows keep their values and carry an error.
+    Rows that the first triage sends to done or unsalvageable skip the second and third phase; the others are looked up,
+    enriched and triaged again. A domain without required fields has no triage. Bad rows keep their values and carry an error.
     """
-    domain.ordered()
-    first = triaged(deterministic(df.withColumn("error", F.when(F.col("id").isNull(), "no id")), overrides), domain)
+    df = df.withColumns({"error": F.when(F.col("id").isNull(), "no id"), "audit": F.array().cast(AUDIT)})
+    first = run_steps(df, domain, given, (1,))
+    if not domain.required:
+        return run_steps(first, domain, given, (2, 3)).withColumns({"route": F.lit("done"), "route_confidence": F.lit(1.0)})
+    first = triaged(first, domain)
     settled, review = first.where("route <> 'needs_review'"), first.where("route = 'needs_review'")
-    looked = lookups.fsa_lookup(review, fsa_map)
-    missing = checks.classify_gaps({"country": None, "postal_code": "country", "municipality": "country"})
-    gaps = checks.identify_gaps(missing, F.col("unknown_fsa"), F.col("municipality_confidence"))
-    # without a municipality the code's own is taken
-    looked = looked.withColumn("gaps", gaps).withColumn("municipality", F.when(is_blank_or_na("municipality"), F.coalesce("fsa_municipality", "municipality")).otherwise(F.col("municipality")))
-    open_ = looked.where("municipality_confidence < 0.70").select("id", F.posexplode("gaps").alias("gap_pos", "gap"))
-    enriched = learning.enrich(looked, open_, results.withColumn("rank", F.lit(1)))
-    again = triaged(enriched, domain).select(*first.columns)
-    out = settled.unionByName(again)
-    links = linkage.by_fuzzy_text(out, domain.blocks, domain.rules).unionByName(linkage.by_exact_keys(out, domain.blocks, domain.rules))
-    out = linkage.link_components(out, links)
-    return out.withColumn("flags", F.when(F.col("route") == "done", F.array().cast("array<string>")).otherwise(checks.needs_escalation())).withColumn("audit_entries", F.size("audit").cast("long"))
+    again = triaged(run_steps(review, domain, given, (2, 3)), domain).select(*first.columns)
+    return settled.unionByName(again)
+
+
+def clean(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
+    """``routed`` with flags, audit_entries and, where the domain links, group_id."""
+    out = routed(df, domain, given)
+    if any(s.name == "link" for s in domain.ordered()):
+        links = [x for x in (linkage.by_fuzzy_text(out, domain.blocks, domain.rules), linkage.by_exact_keys(out, domain.blocks, domain.rules)) if x is not None]
+        out = linkage.link_components(out, reduce(DataFrame.unionByName, links))
+    flags = F.array().cast("array<string>")
+    if domain.required:
+        flags = F.when(F.col("route") == "done", flags).otherwise(checks.needs_escalation())
+    return out.withColumn("flags", flags).withColumn("audit_entries", F.size("audit").cast("long"))
 
 
 def steps_table(spark: SparkSession) -> DataFrame:

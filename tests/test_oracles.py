@@ -49,6 +49,16 @@ def test_pipeline_keeps_every_record(spark):
     assert all(by[g] == g for g in by.values())
 
 
+def test_tickets_are_cleaned_by_their_configuration(spark):
+    out = QUERIES["clean_tickets"](spark, SF_DIR).collect()
+    names = {r["event_id"]: r["event_name"] for r in QUERIES["normalize_event_name"](spark, SF_DIR).collect()}
+    assert {r["id"]: r["event_name"] for r in out} == names and len(out) == len(names)
+    kinds = {r["product_id"]: r["ticket_category"] for r in QUERIES["categorize_product"](spark, SF_DIR).collect()}
+    assert all(r["ticket_category"] == kinds[r["id"]] for r in out if r["id"] in kinds)
+    by = {r["id"]: r["group_id"] for r in out}
+    assert all(by[g] == g for g in by.values()) and len(set(by.values())) < len(by)
+
+
 def test_report_adds_up(spark):
     assert sum(r["records"] for r in QUERIES["run_report"](spark, SF_DIR).collect()) == 150
 
