@@ -7,7 +7,9 @@ import math
 import random
 import re
 import time
+import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -274,6 +276,33 @@ def test_held_out_accuracy(toxic_world):
     assert len(held) > 100 and sum(r.predicted == (r.doc_id % 6 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_evidence_is_the_plain_sum():
+    score = toxicity.Scorer(np.zeros((toxicity.SYMBOLS,) * 3, np.float32), {"idiot$": 5.0, "nice$": -2.0, "stup": 4.0, "weak$": 2.0})
+    assert score.evidence("An idiot stupid stupid nice word") == (5.0, (5.0 + 4.0 - 2.0) / math.sqrt(5))
+    assert score.evidence("weak word") == (0.0, 2.0 / math.sqrt(2)) and score.evidence(" ") == (0.0, 0.0)
+
+
+def test_weights_equal_plain_ones(toxic_world):
+    rows, docs, labels = toxic_world
+    model, weights, _ = toxicity.fitted(docs, labels)
+    fix = toxicity.Restorer(model)
+    train = {t: int(i % 6 == 0) for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    ill, fine = sum(train.values()), len(train) - sum(train.values())
+    counts = collections.defaultdict(lambda: [0, 0])
+    for t, y in train.items():
+        for f in {f for p in set(t.split()) for w in toxicity.words_of(fix.piece(p)) for f in toxicity.features(w)}:
+            counts[f][1 - y] += 1
+    want = {}
+    for f, (t, n) in counts.items():
+        seen, share = t + n, ill / (ill + fine)
+        ratio = 2 * sum(c * math.log(c / (seen * s)) for c, s in ((t, share), (n, 1 - share)) if c)
+        odds = math.log((t + 0.5) / (ill + 1)) - math.log((n + 0.5) / (fine + 1))
+        w = math.copysign(max(0.0, abs(odds) - 2 * math.sqrt(1 / (t + 0.5) + 1 / (n + 0.5))), odds)
+        if w and ratio >= 2 * math.log(len(counts)) + toxicity.MARGIN:
+            want[f] = w
+    assert want.keys() == weights.keys() and all(abs(want[f] - weights[f]) < 1e-9 for f in want)
+
+
 def test_hidden_words_are_restored(toxic_world):
     _, docs, labels = toxic_world
     fix = toxicity.Restorer(toxicity.character_model(docs))
