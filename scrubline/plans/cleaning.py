@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, places, text
 from ..functions.missing import is_blank
-from ..operators import learning, lookups, tables
+from ..operators import fields, learning, lookups, tables
 from . import pipeline
 from .registry import Registry
 
@@ -487,3 +487,28 @@ def municipality_changes(t) -> DataFrame:
 )
 def research_table_format(t) -> DataFrame:
     return tables.format_rows(t.listings)
+
+
+_RULES = {
+    "country": fields.FieldRule(places.COUNTRY_ALIASES),
+    "postal_code": fields.FieldRule(valid=(r"^[A-Z]\d[A-Z]\s?\d[A-Z]\d$", r"^\d{5}(-\d{4})?$"), reject=(r"^.{1,3}$",)),
+    "city": fields.FieldRule(reject=(r"^[a-zA-Z]$",)),
+}
+
+
+@reg.add(
+    f""", v AS (SELECT id, 'country' AS field, country AS raw FROM listings UNION ALL SELECT id, 'postal_code', postal_code FROM listings UNION ALL SELECT id, 'city', city FROM listings),
+s AS (SELECT v.*, {sql_case('lower(trim(raw))', places.COUNTRY_ALIASES)} AS mapped, o.fixed FROM v LEFT JOIN spell_overrides o ON field = 'city' AND o.wrong = lower(trim(raw)) WHERE coalesce(trim(raw), '') <> '')
+SELECT id, field, CASE WHEN field = 'country' AND mapped IS NOT NULL THEN mapped WHEN field = 'city' AND NOT regexp_matches(raw, '^[a-zA-Z]$') AND fixed IS NOT NULL THEN fixed ELSE raw END AS value,
+  CASE WHEN field = 'country' AND mapped = raw THEN 'valid' WHEN field = 'country' AND mapped IS NOT NULL THEN 'mapped'
+       WHEN field = 'postal_code' AND regexp_matches(raw, '^[A-Z]\\d[A-Z]\\s?\\d[A-Z]\\d$|^\\d{{5}}(-\\d{{4}})?$') THEN 'valid'
+       WHEN field = 'city' AND NOT regexp_matches(raw, '^[a-zA-Z]$') AND fixed IS NOT NULL THEN 'learned' ELSE 'open' END AS outcome FROM s
+UNION ALL SELECT id, 'email', NULL, 'skipped: sensitive field' FROM listings WHERE coalesce(trim(email), '') <> ''""",
+    "listings",
+    "spell_overrides",
+)
+def clean_fields(t) -> DataFrame:
+    """Countries by their map, postal codes by their patterns, cities by learned corrections; emails are sensitive."""
+    types = fields.field_types(["id", "country", "postal_code", "city", "email"], sensitive={"email"})
+    learned = t.spell_overrides.select(F.lit("city").alias("field_type"), F.col("wrong").alias("raw"), F.col("fixed").alias("corrected"), F.lit(0.95).alias("confidence"), F.lit(True).alias("enabled"))
+    return fields.clean_fields(t.listings, types, _RULES, learned).select("id", "field", "value", "outcome")

@@ -228,3 +228,22 @@ def test_a_rule_with_an_empty_field_and_other_blocks_do_not_link(spark):
     df = spark.createDataFrame(rows, "id long, block string, email string, address string, city string")
     assert linkage.matches(df, None, ["block"]).count() == 0
     assert linkage.by_fuzzy_text(df, ["block"], linkage.RULES).unionByName(linkage.by_exact_keys(df, ["block"], linkage.RULES)).count() == 0
+
+
+def test_fields_are_cleaned_by_type(spark):
+    from scrubline.operators import fields
+
+    types = fields.field_types(["zip", "sex", "ssn", "note", "country"], {"zip": "postal_code"}, {"ssn"}, {"sex": "gender"})
+    assert types == {"zip": "postal_code", "sex": "gender", "ssn": "sensitive", "country": "country"}
+    rules = {"gender": fields.FieldRule({"m": "Male", "male": "Male"}, reject=("^[a-zA-Z]$",)), "postal_code": fields.FieldRule(valid=("^[0-9]{5}$",))}
+    df = spark.createDataFrame([(1, "12345", "m", "secret", None), (2, "1", "T", "secret", ""), (3, " ", "femme", None, "x"), (4, "9", "Q", None, "y")], "id long, zip string, sex string, ssn string, country string")
+    learned = spark.createDataFrame([("gender", "femme", "Female", 0.95, True), ("gender", "q", "Other", 0.95, False)], "field_type string, raw string, corrected string, confidence double, enabled boolean")
+    told = spark.createDataFrame([(2, "sex", "Male", 0.95), (2, "zip", "00001", 0.75), (4, "zip", "00009", 0.5)], "id long, field string, corrected string, confidence double")
+    out = fields.clean_fields(df, types, rules, learned, told)
+    got = {(r.id, r.field): (r.value, r.outcome) for r in out.collect()}
+    assert got == {
+        (1, "zip"): ("12345", "valid"), (1, "sex"): ("Male", "mapped"), (1, "ssn"): (None, "skipped: sensitive field"), (2, "ssn"): (None, "skipped: sensitive field"), (2, "zip"): ("00001", "needs_review"),
+        (2, "sex"): ("Male", "resolved"), (3, "sex"): ("Female", "learned"), (3, "country"): ("x", "open"), (4, "zip"): ("9", "unresolvable"), (4, "sex"): ("Q", "open"), (4, "country"): ("y", "open"),
+    }
+    assert [(r.raw, r.corrected) for r in fields.newly_learned(out).collect()] == [("t", "Male")]
+    assert all(r.original is None for r in out.where("field = 'ssn'").collect())
