@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, passages, pii, simhash, token_counts, toxicity, url_filter
+from . import byte_bpe, decontaminate, exact_dedup, html_text, max_score, merkle, oracles, passages, pii, simhash, token_counts, toxicity, url_filter, zone_maps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_maps.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return max_score.top_inner(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +84,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_top_inner_products": op13_top_inner_products,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +105,7 @@ ds AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[i : i + k - 1], ' ')
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item - 1e-9
 """,
+    "op11_centroid_clusters": oracles.clusters(),
+    "op12_merkle_manifest": oracles.merkle(),
+    "op13_top_inner_products": oracles.top_inner(),
 }
