@@ -6,11 +6,13 @@ host, form an equivalence class. The vector is kept as an exclusive or of hashes
 partitions add up for themselves, so a host with a third of all pages costs its largest task no more
 than its number of different tokens.
 
-A class is valid if it is on nearly all pages of a host with enough pages, and large: a block brings in
-all its words. Classes nest, since a token's path holds the tokens around it. The tokens of valid
-classes are the template. What is left between them are slots; a page's text is what stands in its slots,
-in those inside an article where there is one. Menus, adverts and the like that differ from page to page,
-and so are no template, are known by their tags and names.
+Only different pages count: pages with the same tokens are one. A class is valid if it is on nearly all of
+a host's pages, these are enough, and it is large: a block brings in all its words. Classes nest, since a
+token's path holds the tokens around it. The tokens of valid classes are the template. What is left between
+them are slots; a page's text is what stands in its slots, in those inside an article where there is one.
+Where most of an article, or all of a page, would be template, its pages are copies of one text rather than
+pages of one template, and it stays whole. Menus, adverts and the like that differ from page to page, and so
+are no template, are known by their tags and names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import mapped, small, staged
 from .url_filter import parts_of
 
-#: The share of a host's pages that a template token is on, the pages that a host must have, and the tokens of a class.
+#: The share of a host's different pages that a template token is on, how many there must be, and the tokens of a class.
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.8, 5, 3
+#: The share of an article's words that may be template.
+IN_ARTICLE = 0.25
 #: Hosts whose templates may be broadcast, and their tokens (16 bytes each).
 BROADCAST_HOSTS, BROADCAST_TOKENS = 100_000, 1_000_000
 
@@ -201,27 +205,38 @@ class Page:
         mains = set(self.main) - {0}
         shared = {m for m in mains if self.path[m] in template}
         inside = (shared or mains) or {0}
-        blocks = ((e, b) for e, b in self.all_blocks() if self.main[e] in inside)
-        return "\n".join(b for e, b in blocks if not template or _hash(self.path[e], b) not in template)
+        blocks = [(e, b) for e, b in self.all_blocks() if self.main[e] in inside]
+        if template:
+            size, common = Counter(), Counter()
+            for e, b in blocks:
+                size[self.main[e]] += b.count(" ") + 1
+                common[self.main[e]] += (b.count(" ") + 1) * (_hash(self.path[e], b) in template)
+            slots = {m for m in size if common[m] <= size[m] * IN_ARTICLE or not m and common[m] < size[m]}
+            blocks = [(e, b) for e, b in blocks if self.main[e] not in slots or _hash(self.path[e], b) not in template]
+        return "\n".join(b for _, b in blocks)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for key, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for host, source in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
             if source:
-                rows += [(host, token, size, _hash(key, n)) for token, n, size in Page(source).tokens()]
+                found = Page(source).tokens()
+                body = _hash(*sorted((t, n) for t, n, _ in found))
+                rows += [(host, token, size, _hash(body, n)) for token, n, size in found]
         kinds = (("host", pa.string()), ("token", pa.int64()), ("size", pa.int64()), ("mark", pa.int64()))
         yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the tokens of each host's valid classes; pages with (key, host, html), hosts with few pages have none.
+    """(host, template): the tokens of each host's valid classes; pages with host and html, hosts with few different pages have none.
 
     A token on SUPPORT of a host's pages is one of 1 / SUPPORT times a page's tokens at most, so a template is as large as a page.
+    Pages with the same tokens have the same marks, and count once.
     """
-    seen = mapped(pages.where("host <> ''"), _tokens, "host string, token long, size long, mark long", rows=200)
-    tokens = staged(seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("size").alias("size"), F.bit_xor("mark").alias("vector")), "tokens")
+    seen = mapped(pages.where("host <> ''").select("host", "html"), _tokens, "host string, token long, size long, mark long", rows=200)
+    once = seen.groupBy("host", "token", "mark").agg(F.max("size").alias("size"))
+    tokens = staged(once.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("size").alias("size"), F.bit_xor("mark").alias("vector")), "tokens")
     # the page itself is a token, path 0
     whole = tokens.where("token = 0 AND pages >= %d" % LEAST_PAGES).select("host", F.col("pages").alias("of"))
     common = tokens.join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
@@ -246,11 +261,12 @@ def extracted(pages: DataFrame, use_templates: bool = True) -> DataFrame:
 
     text: the main text, blocks joined by a line feed, character references decoded, white space in a block as
     one space; empty for null or empty html. Pages without a host (null url, or none) have no template; nor have hosts
-    with under LEAST_PAGES pages. Equal rows stay apart, other columns are ignored, an empty table gives an empty table.
+    with under LEAST_PAGES different pages. Equal rows stay apart and count once for a template, other columns are ignored,
+    an empty table gives an empty table.
     """
     base = pages.select("page_id", "url", "html", F.coalesce(parts_of()[0], F.lit("")).alias("host"))
     if use_templates:
-        found = staged(templates(base.select(F.xxhash64("page_id", "url", "html").alias("key"), "host", "html")), "templates")
+        found = staged(templates(base), "templates")
         tokens = found.agg(F.sum(F.size("template"))).first()[0] or 0
         told = base.join(F.broadcast(found) if small(found, BROADCAST_HOSTS) and tokens <= BROADCAST_TOKENS else found, "host", "left")
     else:

@@ -520,12 +520,43 @@ def test_templates_equal_plain_classes(spark):
         of = [dict((t, (n, z)) for t, n, z in html_text.Page(h).tokens()) for _, u, h in rows if host in u]
         classes = collections.defaultdict(list)
         for t in set().union(*of):
-            if sum(t in p for p in of) >= 0.8 * len(of):
+            if sum(t in p for p in of) >= html_text.SUPPORT * len(of):
                 classes[tuple(p.get(t, (0, 0))[0] for p in of)].append(t)
         size = lambda ts: sum(max(p[t][1] for p in of if t in p) for t in ts)
         assert got[host] == sorted(t for ts in classes.values() if size(ts) >= 3 for t in ts)
 
 
+def extracted(spark, pages):
+    return [r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).sort("page_id").collect()]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    """Hosts that repeat one article, word by word, but for a word, or with one page held many times, keep it whole."""
+    rng = random.Random(61)
+    title, first, second = words(rng, 5), words(rng, 40), words(rng, 30)
+    page = lambda t, a, b: f"<body><p>Front page of all the news</p><article><h1>{t}</h1><p>{a}</p><p>{b}</p></article></body>"
+    equal = [(i, f"http://eq.org/{i}", page(title, first, second)) for i in range(6)] + [(6, "http://eq.org/6", page(title, first + " more", second))]
+    near = [(10 + i, f"http://near.org/{i}", page(title, first, f"{second} x{i}")) for i in range(8)]
+    whole = "\n".join([title, first, second])
+    assert extracted(spark, equal) == [whole] * 6 + ["\n".join([title, first + " more", second])]
+    assert extracted(spark, near) == [f"{whole} x{i}" for i in range(8)]
+    bare = [(20 + i, f"http://bare.org/{i}", f"<body><p>{first}</p></body>") for i in range(6)]
+    assert extracted(spark, bare) == [first] * 6
+    rows = site("a.org", 9)
+    held = [(i, u, h) for i, u, h, *_ in rows for _ in range(1 + 3 * (i == rows[0][0]))]
+    assert sorted(set(extracted(spark, held))) == sorted(r[3] for r in rows) and len(held) == 12
+
+
+def test_templates_find_the_slots_of_pages_without_an_article(spark):
+    rng = random.Random(67)
+    bodies = [[words(rng, 15), words(rng, 25)] for _ in range(12)]
+    shell = "<body><div class=top><p>Harbour Weekly</p><p>Town and coast since 1921</p></div><div class=text>{}</div><div class=low><p>Printed on the quay by hand</p></div></body>"
+    pages = [(i, f"http://slots.org/{i}", shell.format("".join(f"<p>{b}</p>" for b in body))) for i, body in enumerate(bodies)]
+    assert extracted(spark, pages) == ["\n".join(b) for b in bodies]
+    few = extracted(spark, pages[: html_text.LEAST_PAGES - 1])
+    assert all("Harbour Weekly" in t for t in few)
+
+
 def test_pages_are_read_in_linear_time():
     for source in ("<a " * 350_000, "<b>" * 100_000 + "<p>x</p>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, '<a title="x' * 100_000):
         start = time.time()
