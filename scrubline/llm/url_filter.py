@@ -3,8 +3,9 @@
 Host labels and path segments are runs of letters, often several words in one. Unigram counts over
 all page titles and the training names say how likely a word is, and the Viterbi path over a
 run's substrings splits it. Substrings meet the unigram table in a join, so neither is held whole
-by anyone. Multinomial naive Bayes judges the words. It is taught by the pages that a rule decides, all of them,
-with their rule's own words left out, and for words that these don't have by a list of labelled ones.
+by anyone. Multinomial naive Bayes judges the words. It is taught by the hosts whose pages a rule decides, all of
+them, with the rules' own words left out, and by a list of labelled words. A host teaches a word once, however
+many pages it has, and what a word says is what is sure of it: its log odds less some of their standard errors.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ _COMMON = "www m blog shop home web index page html php en de fr es com net org
 TRAINING = {"block": 4 * f"{_STRONG} " + f"{_WEAK} {_COMMON}", "allow": 4 * f"{_GOOD} " + _COMMON}
 #: The share of names to block that is expected beforehand.
 BLOCK_PRIOR = 0.2
-#: What is added to a word's share of its class, so that rare words say little. Shares, not counts: verdicts don't change with the table's size.
-SMOOTHING = 1e-3
+#: What is added to a word's share of its list, so that one weak word alone does not block.
+SMOOTHING = 2.5e-3
+#: Hosts that must have a word for these to teach it, and the standard errors that its log odds are shrunk by.
+LEAST_HOSTS, ERRORS = 5, 2.0
 
 
 def parts_of(url: str = "url") -> tuple[Column, Column]:
@@ -109,22 +112,23 @@ def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
     return mapped(runs.join(known, "run", "left").select("run", "found", F.lit(total).cast("double").alias("total")), _split, "run string, words array<string>")
 
 
-def word_weights(told: DataFrame, training: dict[str, str]) -> DataFrame:
-    """(word, weight): log odds of block. told: (word, n_block, n_allow), counts over pages that rules decide.
+def word_weights(told: DataFrame, hosts: dict[str, int], training: dict[str, str]) -> DataFrame:
+    """(word, weight): log odds of block. told: (word, n_block, n_allow), how many decided hosts have a word; hosts: how many there are.
 
-    A word's share of a class is the mean of its share of the pages' words and of the list's; with only one of both, that one's.
+    The hosts' log odds, shrunk towards zero by ERRORS standard errors, and those of the list add up: a word that hosts of
+    both classes have by chance, or that few have, weighs nothing.
     """
     taught = {k: v.split() for k, v in training.items()}
-    sizes = told.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(k) for k in ("block", "allow")]).first()
     rows = [(w, *(taught[k].count(w) / max(1, len(taught[k])) for k in ("block", "allow"))) for w in sorted({w for v in taught.values() for w in v})]
     both = told.join(told.sparkSession.createDataFrame(rows, "word string, l_block double, l_allow double"), "word", "full")
-
-    def share(k: str) -> Column:
-        page, own = F.coalesce(f"n_{k}", F.lit(0)) / max(1, sizes[k]), F.coalesce(f"l_{k}", F.lit(0.0))
-        weights = (bool(sizes[k]) / (bool(sizes[k]) + bool(taught[k]))) if sizes[k] or taught[k] else 0.0
-        return weights * page + (1 - weights) * own + SMOOTHING
-
-    return both.select("word", F.log(share("block") / share("allow")).alias("weight"))
+    yes, no = (F.coalesce(f"n_{k}", F.lit(0)) + 0.5 for k in ("block", "allow"))
+    odds = F.log(yes / (hosts["block"] + 1)) - F.log(no / (hosts["allow"] + 1))
+    sure = F.greatest(F.abs(odds) - ERRORS * F.sqrt(1 / yes + 1 / no), F.lit(0.0))
+    seen = F.when(F.col("n_block") + F.col("n_allow") >= LEAST_HOSTS, F.signum(odds) * sure).otherwise(0.0)
+    if not (hosts["block"] and hosts["allow"]):
+        seen = F.lit(0.0)
+    listed = F.log((F.coalesce("l_block", F.lit(0.0)) + SMOOTHING) / (F.coalesce("l_allow", F.lit(0.0)) + SMOOTHING))
+    return both.select("word", (seen + listed).alias("weight"))
 
 
 def judged(pages: DataFrame, rules=RULES, training: dict[str, str] = TRAINING) -> DataFrame:
@@ -146,12 +150,17 @@ def judged(pages: DataFrame, rules=RULES, training: dict[str, str] = TRAINING) -
     runs = shapes.select(F.explode(F.array_distinct("all_runs")).alias("run"))
     words = staged(unigrams(pages, training), "unigrams")
     split = staged(segmented(runs, words), "segmented")
-    # the judge: shares of words in the two classes, the rules' own words left out
+    # the judge: hosts of both classes by the words they have, the rules' own words left out
     own = sorted({w for text, _ in rules for w in re.findall(r"[^\W\d_]+", text.lower())})
-    seen = shapes.where("n_block + n_allow > 0").select("n_block", "n_allow", F.explode("all_runs").alias("run")).groupBy("run").agg(F.sum("n_block").alias("n_block"), F.sum("n_allow").alias("n_allow"))
-    told = seen.join(split, "run").select("n_block", "n_allow", F.explode("words").alias("word")).where(~F.col("word").isin(own) if own else F.lit(True))
-    told = told.groupBy("word").agg(F.sum("n_block").alias("n_block"), F.sum("n_allow").alias("n_allow"))
-    weights = staged(word_weights(staged(told, "told"), training), "weights")
+    classes = [F.max((F.col(f"n_{k}") > 0).cast("int")).alias(f"n_{k}") for k in ("block", "allow")]
+    sums = [F.sum(f"n_{k}").alias(f"n_{k}") for k in ("block", "allow")]
+    decided = shapes.where("n_block + n_allow > 0")
+    sizes = decided.groupBy("hr").agg(*classes).agg(*sums).first()
+    hosts = {k: sizes[f"n_{k}"] or 0 for k in ("block", "allow")}
+    taught = decided.select("hr", "n_block", "n_allow", F.explode("all_runs").alias("run")).groupBy("hr", "run").agg(*classes).join(split, "run")
+    taught = taught.select("hr", "n_block", "n_allow", F.explode(F.array_distinct("words")).alias("word")).where(~F.col("word").isin(own) if own else F.lit(True))
+    told = taught.groupBy("hr", "word").agg(*[F.max(f"n_{k}").alias(f"n_{k}") for k in ("block", "allow")]).groupBy("word").agg(*sums)
+    weights = staged(word_weights(staged(told, "told"), hosts, training), "weights")
     prior = math.log(BLOCK_PRIOR / (1 - BLOCK_PRIOR))
     each = split.select("run", F.explode("words").alias("word")).join(sized_broadcast(weights), "word", "left").groupBy("run").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
     each = split.join(each, "run", "left").select("run", "words", F.coalesce("w", F.lit(0.0)).alias("w"))

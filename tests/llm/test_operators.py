@@ -455,22 +455,54 @@ def test_viterbi_is_the_best_of_all_splits():
         assert "".join(got) == run and abs(value(got) - max(map(value, splits))) < 1e-9
 
 
-def test_pages_that_rules_decide_teach_the_judge(spark):
-    """Scores equal naive Bayes worked out plainly, with each name a word of the titles."""
+def test_hosts_that_rules_decide_teach_the_judge(spark):
+    """Scores equal shrunk log odds worked out plainly, each word once a host, however many pages it has."""
     names = ["amber", "birch", "cedar", "delta", "ember", "fjord"]
     rng = random.Random(8)
-    urls = [f"http://{rng.choice(names[:4])}.com/de/{rng.choice(names)}" for _ in range(60)] + [f"http://{rng.choice(names[2:])}.org/{rng.choice(names)}" for _ in range(60)] + [f"http://{a}.net/{b}" for a in names for b in names]
-    pages = spark.createDataFrame([(i, u, f"<title>{' '.join(names)}</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in url_filter.judged(pages).collect()}
-    listed = {k: v.split() for k, v in url_filter.TRAINING.items()}
-    told = {"block": collections.Counter(), "allow": collections.Counter()}
-    for u in urls[:120]:
-        told["block" if "/de/" in u else "allow"].update(w for w in re.findall("[a-z]+", u.split("://")[1]) if w not in ("org", "com", "de", "fr", "es", "en", "example"))
-    share = lambda w, k: 0.5 * told[k][w] / sum(told[k].values()) + 0.5 * listed[k].count(w) / len(listed[k]) + url_filter.SMOOTHING
-    for i, u in list(enumerate(urls))[120:]:
-        want = math.log(0.25) + sum(math.log(share(w, "block") / share(w, "allow")) for w in re.findall("[a-z]+", u.split("://")[1]))
-        assert abs(got[i].score - want) < 1e-6 and got[i].verdict == ("block" if want > 0 else "allow")
-    assert {got[i].verdict for i in range(120, len(urls))} == {"block", "allow"}
+    hosts = [(f"{rng.choice(names[:4])}{'x' * rng.randrange(30)}q.{rng.choice(names[:4])}.com", "/de/") for _ in range(90)] + [(f"{rng.choice(names[2:])}{'x' * rng.randrange(30)}q.{rng.choice(names[2:])}.org", "/") for _ in range(90)]
+    urls = [f"http://{h}{p}{i}" for h, p in hosts for i in range(1 + 20 * (h[0] == "a"))] + [f"http://{a}.net/{b}" for a in names for b in names]
+    pages = spark.createDataFrame([(i, u, f"<title>{' '.join([*names, *('x' * k + 'q' for k in range(30))])}</title>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {urls[r.page_id]: r for r in url_filter.judged(pages).collect()}
+    told = {k: {h: set(re.findall("amber|birch|cedar|delta|ember|fjord", h)) for h, p in hosts if p == q} for k, q in (("block", "/de/"), ("allow", "/"))}
+
+    def weight(w):
+        yes, no = (sum(w in ws for ws in told[k].values()) for k in ("block", "allow"))
+        odds = math.log((yes + 0.5) / (len(told["block"]) + 1)) - math.log((no + 0.5) / (len(told["allow"]) + 1))
+        return 0.0 if yes + no < url_filter.LEAST_HOSTS else math.copysign(max(0.0, abs(odds) - url_filter.ERRORS * math.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))), odds)
+
+    common = math.log((1 / len(url_filter.TRAINING["block"].split()) + url_filter.SMOOTHING) / (1 / len(url_filter.TRAINING["allow"].split()) + url_filter.SMOOTHING))
+    for a in names:
+        for b in names:
+            assert abs(got[f"http://{a}.net/{b}"].score - (math.log(0.25) + common + weight(a) + weight(b))) < 1e-6
+    assert weight("amber") > 0 > weight("fjord")
+
+
+@pytest.mark.parametrize("size", [60, 1500])
+def test_planted_hosts_are_told_apart(spark, size):
+    """Hosts of listed words, of a word that only blocked hosts have, and of random names and fragments, at two sizes."""
+    rng = random.Random(71)
+    syllables = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "u", "an", "er", "ion")]
+    name = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    good, bad = url_filter._GOOD.split(), url_filter._STRONG.split()
+    rows, want = [], {}
+
+    def page(url):
+        rows.append((len(rows), url, f"<title>{' '.join([name(), 'tion', 'er', *rng.sample(good, 3), rng.choice(bad), 'zorbix'])}</title>"))
+        return len(rows) - 1
+
+    for _ in range(size):  # decided by rules: random names, some hosts with many pages, and a word of the blocked ones
+        for url in (f"http://{name()}{rng.choice(['zorbix', '', ''])}.com/de/x", f"http://{name()}.org/x"):
+            for _ in range(rng.choice((1, 1, 1, 12))):
+                page(url)
+    for _ in range(size):
+        want[page(f"http://{name()}.net/{name()}")] = "allow"
+        want[page(f"http://{rng.choice(good)}{name()}.example.com/{rng.choice(good)}")] = "allow"
+        want[page(f"http://{rng.choice(bad)}{rng.choice(bad)}.net/")] = "block"
+        if size > 100:
+            want[page(f"http://{name()}zorbix.net/")] = "block"
+    got = {r.page_id: r.verdict for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hits = sum(got[i] == v == "block" for i, v in want.items())
+    assert hits / sum(got[i] == "block" for i in want) >= 0.95 and hits / sum(v == "block" for v in want.values()) >= 0.95
 
 
 ARTICLE = "<h1>T &amp; x</h1><p>a&nbsp;b  <b>c</b>\n d<p>e<ul><li>f<li>g</ul>"
