@@ -394,8 +394,7 @@ SELECT record_id, gap, value, regexp_extract(text, 'https?://\S+') AS source_url
     "search_results",
 )
 def parse_evidence(t) -> DataFrame:
-    e = learning.parse_evidence(F.col("gap"), F.col("text"))
-    return t.search_results.select("record_id", "gap", e["value"].alias("value"), e["source_url"].alias("source_url")).where("value IS NOT NULL")
+    return learning.read_evidence(t.search_results).select("record_id", "gap", "e.value", "e.source_url")
 
 
 LISTING = ("id", "name", "age", "address", "city", "postal_code", "municipality", "state_province", "country", "phone", "email", "municipality_confidence", "year")
