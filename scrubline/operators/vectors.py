@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import is_blank
+from . import retrieval
 from .tables import upsert
 
-#: Queries up to which a block of them goes to every task.
-QUERY_ROWS = 10_000
-
-
 def cosine(a: str, b: str) -> Column:
     """Cosine similarity of two arrays, over their own values; null for a zero vector."""
     dot = f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, v) -> s + v)"
@@ -23,36 +18,24 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"try_divide({dot}, sqrt({norm.format(a)}) * sqrt({norm.format(b)}))")
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """queries in blocks of about half of QUERY_ROWS by a hash of their ids, or whole if they are few enough."""
-    n = -(-queries.count() // QUERY_ROWS)
-    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(2 * n)) == i) for i in range(2 * n)]
-
-
-def _against_all(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """Similarity of a block of queries to every row of base."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return base.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("similarity", cosine("q", "embedding"))
-
-
 def topk_cosine(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank) of the k nearest rows; ties by vec_id. Tasks keep k of their own first. Any
-    number of queries: a block of them goes to every task, and base is read once for each block."""
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    blocks = [_against_all(q, base).select("query_id", "vec_id", "similarity").withColumn("rank", order).where(F.col("rank") <= k) for q in _blocks(queries)]
-    return reduce(DataFrame.unionByName, blocks)
+    """(query_id, vec_id, similarity, rank) of the k nearest rows of base to each query, exactly; ties by vec_id."""
+    index = retrieval.build_index(base)
+    return retrieval.search(index, queries, k) if index else _none(base)
 
 
 def nearest_within(queries: DataFrame, base: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(query_id, vec_id, similarity): the nearest row over the threshold; queries without one are left out. Blocks as in topk_cosine."""
-    nearest = F.max(F.struct("similarity", (-F.col("vec_id")).alias("minus"))).alias("b")
-    best = reduce(DataFrame.unionByName, [_against_all(q, base).where(F.col("similarity") > threshold).groupBy("query_id").agg(nearest) for q in _blocks(queries)])
-    return best.select("query_id", (-F.col("b.minus")).alias("vec_id"), F.col("b.similarity").alias("similarity"))
+    """(query_id, vec_id, similarity): the nearest row over the threshold, exactly; queries without one are left out."""
+    index = retrieval.build_index(base)
+    return (retrieval.search(index, queries, 1, threshold) if index else _none(base)).drop("rank")
+
+
+def _none(base: DataFrame) -> DataFrame:
+    return base.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
 
 
 def candidates(queries: DataFrame, base: DataFrame, threshold: float, tables: int = 8, bucket: float = 0.5) -> DataFrame:
-    """Like nearest_within over pairs that share a bucket of random projections, for more queries than a block; recall
-    is below one and depends on tables and bucket."""
+    """Like nearest_within over pairs that share a bucket of random projections; recall is below one and depends on tables and bucket."""
     unit = F.expr("transform(embedding, x -> CAST(x AS DOUBLE) / sqrt(aggregate(embedding, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v)))")
     a, b = (df.select("vec_id", array_to_vector(unit).alias("v")) for df in (queries, base))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(b)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import lookups, spatial, tables, vectors
+from ..operators import lookups, retrieval, spatial, tables, vectors
 from ..sources import load
 from .registry import Registry
 
@@ -428,6 +428,24 @@ def address_topk(t) -> DataFrame:
     return vectors.topk_cosine(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, 3).select("query_id", "vec_id", "rank")
 
 
+_WORDS = r"[x FOR x IN list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) IF length(x) >= 4]"
+
+
+@reg.add(
+    f""", d AS (SELECT vec_id, lang AS domain, 0.5::DOUBLE + (n_chars % 50) / 100.0::DOUBLE AS confidence, {_WORDS} AS terms, CAST(embedding AS DOUBLE[]) AS e FROM documents JOIN embeddings ON doc_id = vec_id),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(q.e, d.e) AS c, (0.5::DOUBLE * list_cosine_similarity(q.e, d.e) + 0.5::DOUBLE * len(list_intersect(q.terms, d.terms)) / greatest(1, len(q.terms))) * d.confidence AS score
+  FROM d q JOIN d ON q.vec_id % 100 = 0 AND q.domain = d.domain AND q.vec_id <> d.vec_id)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE c > 0.05) WHERE rank <= 5"""
+)
+def hybrid_retrieve(t) -> DataFrame:
+    """Patterns are documents with vectors: their language is the domain, and their length gives a confidence."""
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"))), lambda w: F.length(w) >= 4)
+    sure = F.lit(0.5) + (F.col("n_chars") % 50) / F.lit(100.0)
+    known = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select("vec_id", "embedding", F.col("lang").alias("domain"), sure.alias("confidence"), words.alias("terms"))
+    index = retrieval.build_index(known)
+    return retrieval.hybrid_retrieve(known.where("vec_id % 100 = 0"), index, least_cosine=0.05).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 @reg.add(
     ", s AS (SELECT id, address, city, 'old' AS note FROM listings WHERE id % 2 = 0), r AS (SELECT max(id) AS id, address, city FROM listings WHERE id % 3 = 0 AND coalesce(address, '') <> '' GROUP BY address, city) SELECT coalesce(s.address, r.address) AS address, coalesce(s.city, r.city) AS city, CASE WHEN r.id IS NOT NULL THEN 'new' ELSE 'old' END AS note, count(*) AS n FROM s FULL JOIN r ON s.address IS NOT DISTINCT FROM r.address AND s.city IS NOT DISTINCT FROM r.city GROUP BY ALL",
     "listings",

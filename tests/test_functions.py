@@ -156,15 +156,6 @@ def test_lsh_candidates_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
-def test_more_queries_than_a_block_get_the_same_rows(spark, monkeypatch):
-    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    q = base.where("vec_id % 5 = 0")
-    want = sorted(vectors.topk_cosine(q, base, 3).collect()), sorted(vectors.nearest_within(q, base, 0.15).collect())
-    monkeypatch.setattr(vectors, "QUERY_ROWS", 40)
-    got = sorted(vectors.topk_cosine(q, base, 3).collect()), sorted(vectors.nearest_within(q, base, 0.15).collect())
-    assert len(vectors._blocks(q)) > 2 and got == want and len(got[0]) == 3 * q.count()
-
-
 def test_cycles_and_missing_steps_are_errors():
     step = pipeline.Step
     with pytest.raises(ValueError, match="cycle"):
