@@ -110,6 +110,18 @@ def fill_template(template: str | Column, fields: dict[str, str | Column]) -> Co
     return F.when(~out.rlike(r"\{\w+\}"), out)
 
 
+def values_of(fields: list[str]) -> Column:
+    """A map of a record's fields that aren't blank, as text, for ``fill_from``."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("key"), col(f).cast("string").alias("value")) for f in fields])
+    return F.map_from_entries(F.filter(pairs, lambda p: ~is_blank(p["value"])))
+
+
+def fill_from(template: Column, values: Column) -> Column:
+    """{field} replaced by what a map has for it; null if it lacks a field. The expression's size doesn't depend on the fields."""
+    parts = F.arrays_zip(F.split(template, r"\{\w+\}").alias("text"), F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), 1).alias("name"))
+    return F.aggregate(parts, F.lit(""), lambda s, p: F.concat(s, p["text"], F.when(p["name"].isNull(), "").otherwise(F.element_at(values, p["name"]))))
+
+
 def extract_json(c: str | Column) -> Column:
     """The JSON object in a free text: a fenced block, else from the last brace that opens one; null if none parses."""
     fenced = F.regexp_extract(col(c), r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)

@@ -72,9 +72,14 @@ def normalize_country(df: DataFrame, column: str) -> DataFrame:
 
 
 def propose_corrections(before: DataFrame, after: DataFrame, columns: list[str], max_edits: int = 2) -> DataFrame:
-    """(wrong, fixed) from texts that changed by few edits: both there, four characters or more, without digits, lower-cased."""
+    """(wrong, fixed, n) from texts that changed by few edits between two tables with one row an id."""
     both = before.alias("b").join(after.alias("a"), "id")
-    long = both.select(F.explode(F.array(*[F.struct(F.lower(F.trim(F.col(f"b.{c}"))).alias("wrong"), F.lower(F.trim(F.col(f"a.{c}"))).alias("fixed")) for c in columns])).alias("x")).select("x.*")
+    return small_changes(both, [(f"b.{c}", f"a.{c}") for c in columns], max_edits)
+
+
+def small_changes(df: DataFrame, pairs: list[tuple[str, str]], max_edits: int = 2) -> DataFrame:
+    """(wrong, fixed, n) from pairs of columns, before and after: both there, four characters or more, without digits, lower-cased."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lower(F.trim(F.col(b))).alias("wrong"), F.lower(F.trim(F.col(a))).alias("fixed")) for b, a in pairs])).alias("x")).select("x.*")
     keep = ~is_blank("wrong") & ~is_blank("fixed") & (F.col("wrong") != F.col("fixed")) & (F.length("wrong") >= 4) & ~F.col("wrong").rlike("[0-9]")
     return long.where(keep).where(F.levenshtein("wrong", "fixed", max_edits) >= 0).groupBy("wrong", "fixed").agg(F.count("*").alias("n"))
 
@@ -120,19 +125,10 @@ def read_evidence(results: DataFrame, gap: str = "gap", text: str = "text") -> D
     return results.select("*", F.explode(F.array_compact(F.array(parse_evidence(F.col(gap), F.col(text))))).alias("e"))
 
 
-def enrich(records: DataFrame, gaps: DataFrame, results: DataFrame) -> DataFrame:
-    """records (id, municipality, country) for review, with fields overwritten by the first result of each gap that can be
-    read, and evidence counts. gaps: (id, gap, gap_pos); results: (record_id, gap, text, rank)."""
-    hits = gaps.join(results.withColumnRenamed("record_id", "id"), ["id", "gap"]).withColumn("e", parse_evidence(F.col("gap"), F.col("text"))).where("e IS NOT NULL")
-    first = hits.groupBy("id", "gap", "gap_pos").agg(F.min_by("e", "rank").alias("e"))
-    by = first.groupBy("id").agg(*[F.min_by(F.when(F.col("e.field") == f, F.col("e.value")), F.when(F.col("e.field") == f, F.col("gap_pos"))).alias(f"_{f}") for f in ("municipality", "country")], F.count("*").alias("evidence"))
-    out = records.join(by, "id", "left")
-    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in ("municipality", "country") else c for c in records.columns], F.coalesce("evidence", F.lit(0)).alias("evidence"))
-
-
 def plan_lookup(signatures: DataFrame, plans: DataFrame, now: Column, known: list[str]) -> DataFrame:
-    """signatures (id, signature) with the steps of the plan that hasn't expired, known ones in the known order."""
-    live = plans.where(F.col("expires_at") > now).select("signature", "steps")
+    """signatures (id, signature) with the steps of the plan that hasn't expired, known ones in the known order; of several
+    plans of a signature that which expires last, then the greatest."""
+    live = plans.where(F.col("expires_at") > now).groupBy("signature").agg(F.max(F.struct("expires_at", "steps")).alias("p")).select("signature", "p.steps")
     order = F.array(*[F.lit(k) for k in known])
     return signatures.join(live, "signature", "left").select("id", "signature", F.array_join(F.filter(order, lambda k: F.array_contains("steps", k)), ",").alias("plan"))
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import discard, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -137,32 +137,13 @@ def by_fuzzy_text(df: DataFrame, blocks: list[str], rules: tuple[Rule, ...]) ->
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local master without it gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return root.rstrip("/")
-
-
-def _written(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df written to the folder that all executors share, and read again: a round's lineage ends here. Few rows go to few files."""
-    if rows is not None:
-        df = df.coalesce(max(4, rows // 100_000))
-    path = f"{shared_dir(df.sparkSession)}/links-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def link_components(df: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """df with group_id: the least id connected by links (id_a, id_b), its own without any.
 
     Large-star and small-star rounds: first every larger neighbour, then every smaller one, moves to the least of
     the neighbourhood. Minima combine in the map stage, so a hub costs a row for each task. An error after ``rounds``.
     """
-    edges = _written(links.select(F.greatest("id_a", "id_b").alias("hi"), F.least("id_a", "id_b").alias("lo")).where("hi <> lo").distinct())
+    edges = written(links.select(F.greatest("id_a", "id_b").alias("hi"), F.least("id_a", "id_b").alias("lo")).where("hi <> lo").distinct(), "links")
     for _ in range(rounds):
         # done when every id has one edge, and those it leads to have none
         ends = edges.select(F.col("hi").alias("at"), F.lit(1).alias("up")).unionByName(edges.select(F.col("lo").alias("at"), F.lit(0).alias("up")))
@@ -175,7 +156,8 @@ def link_components(df: DataFrame, links: DataFrame, rounds: int = 60) -> DataFr
         large = ends.where("to > at").join(least, "at").select(F.col("to").alias("hi"), "lo").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).unionByName(least.select("hi", F.col("least").alias("lo")))
-        edges = _written(small.where("hi <> lo").distinct(), now["n"])
+        before, edges = edges, written(small.where("hi <> lo").distinct(), "links", now["n"])
+        discard(before)
     else:
         raise RuntimeError(f"links are still open after {rounds} rounds")
     roots = edges.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("group_id"))

@@ -56,10 +56,11 @@ def null_safe_match(df: DataFrame, other: DataFrame, columns: list[str], id_colu
 
 
 def geocode_join(df: DataFrame, geocodes: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
-    """df with lat, lon and geocode_confidence of the row for its key that isn't older than the limit: 0.90 if the city is
-    in its display name, else 0.70; 0.0 without a row; null where street and postal code are both blank."""
+    """df with lat, lon and geocode_confidence of the row for its key that isn't older than the limit, the newest: 0.90 if the
+    city is in its display name, else 0.70; 0.0 without a row; null where street and postal code are both blank."""
     key = geocode_key("address", "city", "postal_code", "country", F.lit("ca"))
-    live = geocodes.where(F.col("fetched_at") > now - F.make_dt_interval(F.lit(ttl_days))).select("query_hash", "lat", "lon", "display_name")
+    live = geocodes.where(F.col("fetched_at") > now - F.make_dt_interval(F.lit(ttl_days)))
+    live = live.groupBy("query_hash").agg(F.max(F.struct("fetched_at", "display_name", "lat", "lon")).alias("g")).select("query_hash", "g.lat", "g.lon", "g.display_name")
     out = df.withColumn("query_hash", key).join(live, "query_hash", "left")
     asked = ~(is_blank("address") & is_blank("postal_code"))
     inside = F.instr(F.lower("display_name"), F.lower(F.coalesce("city", F.lit("")))) > 0
@@ -83,6 +84,13 @@ def run_report(df: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).select("route", "records", "errors", "audit_entries", F.round(F.col("records") / F.col("all_records"), 4).alias("share"))
 
 
+def run_summary(df: DataFrame) -> DataFrame:
+    """One row: a run in words, from records with route and error."""
+    by = df.groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    one = by.agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.coalesce(F.sum(F.when(F.col("route") != "done", F.col("n"))), F.lit(0)).alias("flagged"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "route", "n"))), ", ").alias("routes"))
+    return one.select(F.format_string("Cleaned %d/%d records. Routes: %s. %d flagged. %d errors.", F.col("n") - F.col("errors"), "n", "routes", "flagged", "errors").alias("summary"))
+
+
 def flag_summary(flags: DataFrame) -> DataFrame:
     return flags.groupBy("flag_type", "severity").agg(F.count("*").alias("n"), F.count_if(F.col("resolved_at").isNull()).alias("unresolved"))
 

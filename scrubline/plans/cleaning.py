@@ -320,12 +320,12 @@ def extract_json(t) -> DataFrame:
 
 
 @reg.add(
-    """, s AS (SELECT CASE WHEN coalesce(trim(country), '') = '' THEN '' ELSE 'country' END || CASE WHEN coalesce(trim(city), '') = '' THEN '' ELSE ',city' END AS present, round(municipality_confidence, 1) AS c FROM listings)
-SELECT n AS shape_size, count(*) AS shapes FROM (SELECT present, c, count(*) AS n FROM s GROUP BY ALL) GROUP BY n""",
-    "listings",
-)
+    """, s AS (SELECT CASE WHEN coalesce(trim(country), '') = '' THEN '' ELSE 'country' END || CASE WHEN coalesce(trim(city), '') = '' THEN '' ELSE ',city' END AS present, round(municipality_confidence, 1) AS c, route, list_sort(gaps) AS gaps FROM dirty)
+SELECT n AS shape_size, count(*) AS shapes FROM (SELECT present, c, route, gaps, count(*) AS n FROM s GROUP BY ALL) GROUP BY n""",
+    "listings", "fsa_map", "dirty",
+)
 def record_signature(t) -> DataFrame:
-    signed = pipeline.record_signature(t.listings, ["country", "city"], "municipality_confidence", "real_estate")
+    signed = pipeline.record_signature(t.dirty, ["country", "city"], "municipality_confidence", "real_estate")
     return signed.groupBy("signature").agg(F.count("*").alias("shape_size")).groupBy("shape_size").agg(F.count("*").alias("shapes"))
 
 
@@ -384,12 +384,16 @@ SQL_MUNI = "|".join(learning.MUNICIPALITIES)
 SQL_PLACE = sql_title(r"trim(regexp_extract(text, '(?:municipality|city|town|village)\s+(?:of\s+)?([A-Z][a-zA-Z\s]+?)(?:\.|,|\s+is|\s+has)', 1, 'i'))")
 
 
-@reg.add(
-    rf""", v AS (SELECT record_id, gap, text, CASE gap WHEN 'postal_unresolved' THEN {sql_title(rf"regexp_extract(text, '\b({SQL_MUNI})\b', 1, 'i')")}
+#: The value that a text gives for a gap.
+SQL_EVIDENCE = rf"""CASE gap WHEN 'postal_unresolved' THEN {sql_title(rf"regexp_extract(text, '\b({SQL_MUNI})\b', 1, 'i')")}
  WHEN 'municipality_ambiguous' THEN CASE WHEN length({SQL_PLACE}) BETWEEN 3 AND 50 THEN {SQL_PLACE} END
  WHEN 'unknown_country' THEN CASE WHEN regexp_matches(text, '\bCanada\b', 'i') THEN 'CA' WHEN regexp_matches(text, '\bUnited States\b|\bUSA\b|\bU\.S\.A\b', 'i') THEN 'US' WHEN regexp_matches(text, '\bUnited Kingdom\b|\bUK\b|\bGB\b', 'i') THEN 'GB' END
  WHEN 'unknown_email_domain' THEN trim(regexp_extract(text, '([A-Z][a-zA-Z\s]+?)\s+is\s+(?:a|an)\s+(?:company|organization|corporation)', 1, 'i'))
- ELSE CASE WHEN regexp_matches(text, '\+(\d{{1,3}})\s+(?:country|code|dial)', 'i') THEN '+' || regexp_extract(text, '\+(\d{{1,3}})\s+(?:country|code|dial)', 1, 'i') END END AS value FROM search_results)
+ ELSE CASE WHEN regexp_matches(text, '\+(\d{{1,3}})\s+(?:country|code|dial)', 'i') THEN '+' || regexp_extract(text, '\+(\d{{1,3}})\s+(?:country|code|dial)', 1, 'i') END END"""
+
+
+@reg.add(
+    rf""", v AS (SELECT record_id, gap, text, {SQL_EVIDENCE} AS value FROM search_results)
 SELECT record_id, gap, value, regexp_extract(text, 'https?://\S+') AS source_url FROM v WHERE coalesce(value, '') <> ''""",
     "search_results",
 )
@@ -431,7 +435,34 @@ def _first_routes(t) -> DataFrame:
 
 
 def _given(t) -> pipeline.Given:
-    return pipeline.Given(t.spell_overrides, t.fsa_map, t.search_results)
+    """All tables; plans by signature and resolutions are made from the listings themselves."""
+    geocodes = t.listings.select(text.geocode_key("address", "city", "postal_code", "country", F.lit("ca")).alias("query_hash"), F.lit("43.6").alias("lat"), F.lit("-79.4").alias("lon"), F.col("city").alias("display_name"), F.expr("timestamp'2024-12-20 00:00:00'").alias("fetched_at"))
+    resolutions = t.listings.where("id % 2 = 0").select("id", F.col("municipality"), F.lit("CA").alias("country"), F.when(F.col("postal_code").isNull(), "M4N 2A7").alias("postal_code"), F.lit("").alias("city"), F.lit(None).cast("string").alias("address"))
+    return pipeline.Given(t.spell_overrides, t.fsa_map, t.query_templates, t.web_results, geocodes, None, resolutions, budget=100)
+
+
+ROUTES = f""", o AS (SELECT l.*, m.fsa IS NOT NULL AS known, trim(coalesce(postal_code, '')) <> '' AS given FROM listings l LEFT JOIN (SELECT DISTINCT fsa FROM fsa_map) m ON m.fsa = substr(upper(regexp_replace(postal_code, '\\s', '', 'g')), 1, 3)),
+k AS (SELECT *, <COMPLETE> AS p, CASE WHEN coalesce(postal_code, '') <> '' OR coalesce(state_province, '') <> '' THEN 0.85::DOUBLE END AS v FROM o),
+one AS (SELECT *, least(0.9::DOUBLE, municipality_confidence, v) AS c FROM k),
+r1 AS (SELECT *, CASE WHEN p < 0.7 THEN 'unsalvageable' WHEN c >= 0.85 AND p >= 0.8 THEN 'done' WHEN c >= 0.6 THEN 'needs_review' ELSE 'unsalvageable' END AS first FROM one),
+two AS (SELECT *, least(0.9::DOUBLE, CASE WHEN given THEN CASE WHEN known THEN 0.95 ELSE 0.0 END ELSE municipality_confidence END, v) AS c2 FROM r1),
+routes AS (SELECT id, CASE WHEN first <> 'needs_review' THEN first WHEN c2 >= 0.85 AND p >= 0.8 THEN 'done' WHEN c2 >= 0.6 THEN 'needs_review' ELSE 'unsalvageable' END AS route FROM two)"""
+
+
+@reg.add(ROUTES.replace("<COMPLETE>", SQL_COMPLETE) + " SELECT id, route FROM routes", "listings", "fsa_map")
+def clean_pipeline_routes(t) -> DataFrame:
+    """The final route of every record after all phases: lookups decide, queries and resolutions fill fields."""
+    return pipeline.routed(t.listings, pipeline.REAL_ESTATE, _given(t)).select("id", "route")
+
+
+@reg.add(
+    ROUTES.replace("<COMPLETE>", SQL_COMPLETE) + """, n AS (SELECT route, count(*) AS n FROM routes GROUP BY route)
+SELECT 'Cleaned ' || sum(n) || '/' || sum(n) || ' records. Routes: ' || string_agg(route || ' ' || n, ', ' ORDER BY route) || '. ' || CAST(sum(n) FILTER (route <> 'done') AS VARCHAR) || ' flagged. 0 errors.' AS summary FROM n""",
+    "listings",
+    "fsa_map",
+)
+def run_summary(t) -> DataFrame:
+    return lookups.run_summary(pipeline.routed(t.listings, pipeline.REAL_ESTATE, _given(t)))
 
 
 @reg.add()

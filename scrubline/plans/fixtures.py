@@ -83,13 +83,38 @@ SELECT o_orderkey AS id, o_custkey AS raw_data_id,
 SELECT doc_id AS record_id, CASE doc_id % 5 WHEN 0 THEN 'postal_unresolved' WHEN 1 THEN 'municipality_ambiguous' WHEN 2 THEN 'unknown_country' WHEN 3 THEN 'unknown_email_domain' ELSE 'unknown_phone_format' END AS gap,
   concat(CASE doc_id % 4 WHEN 0 THEN 'Deliveries to North York and Toronto. ' WHEN 1 THEN 'The City of Markham is in York Region, Canada. ' WHEN 2 THEN 'Acme Widgets is a company. Dial +44 country code. ' ELSE '' END,
   text, ' URL: https://example.org/', CAST(doc_id AS STRING)) AS text FROM documents
+""",
+    "dirty": r"""
+SELECT l.*, CASE WHEN m.fsa IS NULL AND trim(coalesce(postal_code, '')) <> '' THEN true ELSE false END AS unknown_fsa,
+  CASE WHEN (CASE WHEN coalesce(name, '') <> '' THEN 1 ELSE 0 END) + (CASE WHEN coalesce(address, '') <> '' THEN 1 ELSE 0 END) + (CASE WHEN coalesce(city, '') <> '' THEN 1 ELSE 0 END)
+    + (CASE WHEN coalesce(postal_code, '') <> '' THEN 1 ELSE 0 END) + (CASE WHEN coalesce(country, '') <> '' THEN 1 ELSE 0 END) >= 4 AND coalesce(municipality_confidence, 0.9) >= 0.6 THEN 'needs_review' ELSE 'done' END AS route,
+  split(concat_ws(',', CASE WHEN m.fsa IS NULL AND trim(coalesce(postal_code, '')) <> '' THEN 'postal_unresolved' END, CASE WHEN municipality_confidence < 0.7 THEN 'municipality_ambiguous' END,
+    CASE WHEN coalesce(country, '') IN ('CA', 'canada', 'Canada', 'USA') THEN NULL ELSE 'unknown_country' END, CASE WHEN email LIKE '%@mail.%' THEN 'unknown_email_domain' END,
+    CASE WHEN phone = '555-1234' THEN 'unknown_phone_format' END), ',') AS gaps
+FROM listings l LEFT JOIN (SELECT DISTINCT fsa FROM fsa_map) m ON m.fsa = substr(upper(replace(postal_code, ' ', '')), 1, 3)
+""",
+    "query_templates": r"""
+SELECT * FROM (VALUES ('real_estate', 'postal_unresolved', '{postal_code} canada postal code municipality', 30, 10), ('real_estate', 'postal_unresolved', 'site:wikipedia.org {postal_code} FSA', 3, 7), ('real_estate', 'postal_unresolved', 'never asked {postal_code}', 1, 9),
+  ('real_estate', 'municipality_ambiguous', '{postal_code} municipality {state_province}', 8, 2), ('real_estate', 'municipality_ambiguous', '{city} {state_province} municipality boundary', 5, 5),
+  ('real_estate', 'unknown_country', '{address} {city} country code', 6, 4), ('real_estate', 'unknown_country', '{city} {state_province} country', 5, 5), ('_common', 'unknown_country', 'not {city}', 9, 1),
+  ('_common', 'unknown_email_domain', '{email} organization', 4, 6), ('_common', 'unknown_email_domain', '{name} company', 2, 8), ('_common', 'unknown_phone_format', '{phone} {city} dial code', 5, 5)) AS t(domain, gap_type, query_template, success_count, failure_count)
+""",
+    "web_results": r"""
+SELECT query, CASE WHEN length(query) % 3 = 0 THEN 'nothing of use here' WHEN kind = 1 THEN concat('Deliveries to ', city, ', ', CASE WHEN length(query) % 2 = 0 THEN 'Etobicoke' ELSE 'Markham' END, ' and beyond URL: https://post.example.org/', CAST(length(query) AS STRING))
+    WHEN kind = 2 THEN concat('The city of ', CASE WHEN length(query) % 2 = 0 THEN 'Oak Park' ELSE 'King' END, ' is here. URL: https://maps.example.org/x') WHEN kind = 3 THEN concat('A place in ', CASE WHEN length(query) % 2 = 0 THEN 'Canada' ELSE 'the United States' END, ', URL: http://geo.example.net')
+    WHEN kind = 4 THEN 'Acme Mail is an organization. URL: https://who.example.com/a?b' ELSE 'Dial +44 country code' END AS text
+FROM (SELECT 1 AS kind, city, concat(postal_code, '  canada postal code Municipality.') AS query FROM listings UNION ALL SELECT 1, city, concat('site:wikipedia.org ', lower(postal_code), ' fsa') FROM listings
+  UNION ALL SELECT 2, city, concat(postal_code, ' municipality ', state_province) FROM listings UNION ALL SELECT 2, city, concat(city, ' ', state_province, ' municipality boundary') FROM listings
+  UNION ALL SELECT 3, city, concat(address, ' ', city, ' country code') FROM listings UNION ALL SELECT 3, city, concat(city, ' ', state_province, ' country') FROM listings
+  UNION ALL SELECT 4, city, concat(email, ' organization') FROM listings UNION ALL SELECT 4, city, concat(name, ' company') FROM listings UNION ALL SELECT 5, city, concat(phone, ' ', city, ' dial code') FROM listings) AS q
+WHERE query IS NOT NULL AND length(query) % 5 <> 0
 """,
     "judge_scores": r"""
 SELECT event_id AS test_case_id, user_id % 4 AS run_id, round(CAST(event_id % 101 AS DOUBLE) / 100, 2) AS correctness, round(CAST(event_id % 11 AS DOUBLE) / 10, 2) AS format,
   round(CAST(event_id % 7 AS DOUBLE) / 6, 3) AS instruction_following FROM events
 """,
 }
-NEEDS = {"fsa_map": ("listings",)}
+NEEDS = {"fsa_map": ("listings",), "dirty": ("listings", "fsa_map"), "web_results": ("listings",)}
 
 
 def with_names(names: tuple[str, ...]) -> list[str]:

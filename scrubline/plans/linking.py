@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import learning, linkage, lookups
+from ..operators import enrichment, learning, linkage, lookups, scratch
 from ..streaming import feeds
 from . import pipeline
 from .registry import Registry
@@ -71,16 +71,62 @@ def link_candidates(t) -> DataFrame:
     return linkage.link_candidates(t.listings, t.listings, BLOCK)
 
 
-@reg.add(
-    r""", g AS (SELECT id, municipality, country FROM listings WHERE municipality_confidence < 0.7), e AS (SELECT record_id, CASE WHEN gap = 'unknown_country' THEN CASE WHEN regexp_matches(text, '\bCanada\b', 'i') THEN 'CA' WHEN regexp_matches(text, '\bUnited States\b|\bUSA\b|\bU\.S\.A\b', 'i') THEN 'US' WHEN regexp_matches(text, '\bUnited Kingdom\b|\bUK\b|\bGB\b', 'i') THEN 'GB' END END AS v FROM search_results)
-SELECT id, municipality, coalesce(v, country) AS country, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS evidence FROM g LEFT JOIN e ON record_id = id""",
-    "listings",
-    "search_results",
+BUDGET = 200
+SQL_QUERY = r"regexp_replace(regexp_replace(trim(lower({})), '\s+', ' ', 'g'), '[.,;:!?]+$', '')"
+_FIELDS = ("address", "city", "postal_code", "state_province", "name", "email", "phone")
+
+
+def _filled(template: str) -> str:
+    out = template
+    for f in _FIELDS:
+        out = f"replace({out}, '{{{f}}}', CASE WHEN coalesce(trim({f}), '') <> '' THEN {f} ELSE '{{{f}}}' END)"
+    return out
+
+
+#: What each record asks, in order, with what it finds; then within its own limit and the budget. Needs DIRTY and cleaning's EVIDENCE.
+ASKS = (
+    f""", x AS (SELECT gaps, l.*, unnest(gaps) AS gap, unnest(range(len(gaps))) AS gap_pos FROM dirty l WHERE municipality_confidence >= 0.6 AND municipality_confidence < 0.7 AND route = 'needs_review'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY domain, gap_type ORDER BY success_count / (success_count + failure_count) DESC, success_count DESC, query_template) AS rank FROM query_templates),
+own AS (SELECT gap_type, rank, query_template FROM ranked r WHERE rank <= 2 AND domain = coalesce((SELECT min(domain) FROM ranked q WHERE q.domain = 'real_estate' AND q.gap_type = r.gap_type), '_common')),
+f AS (SELECT x.*, rank, query_template, {_filled('query_template')} AS query FROM x JOIN own ON gap_type = gap),
+w AS (SELECT {SQL_QUERY.format('query')} AS key, min(text) AS text FROM web_results GROUP BY 1),
+e AS (SELECT f.*, w.text, <EVIDENCE> AS value FROM f LEFT JOIN w ON key = {SQL_QUERY.format('query')} WHERE query NOT LIKE '%{{%'),
+s AS (SELECT *, min(CASE WHEN coalesce(value, '') <> '' THEN rank END) OVER (PARTITION BY id, gap) AS won FROM e),
+a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap_pos, rank) AS seq FROM s WHERE won IS NULL OR rank <= won),
+g AS (SELECT *, row_number() OVER (ORDER BY seq, id) AS spent FROM a WHERE seq <= 3),
+asked AS (SELECT *, coalesce(value, '') <> '' AS success, regexp_extract(text, 'https?://\\S+') AS url FROM g WHERE spent <= {BUDGET})"""
 )
+
+
+def sql_asks() -> str:
+    from .cleaning import SQL_EVIDENCE
+
+    return ASKS.replace("<EVIDENCE>", SQL_EVIDENCE)
+
+
+def _enriched(t) -> enrichment.Enriched:
+    return enrichment.enrich(t.dirty.withColumn("data_confidence", F.least(F.lit(0.9), "municipality_confidence")), t.query_templates, t.web_results, "real_estate", BUDGET)
+
+
+@reg.add(
+    sql_asks() + """ SELECT d.id, coalesce(max(CASE WHEN success AND gap IN ('postal_unresolved', 'municipality_ambiguous') AND last THEN value END), any_value(d.municipality)) AS municipality, coalesce(max(CASE WHEN success AND gap = 'unknown_country' THEN value END), any_value(d.country)) AS country,
+ max(CASE WHEN success AND gap = 'unknown_email_domain' THEN value END) AS email_org, max(CASE WHEN success AND gap = 'unknown_phone_format' THEN value END) AS phone_country_code, count(*) FILTER (success) AS evidence
+FROM dirty d LEFT JOIN (SELECT *, gap_pos = max(CASE WHEN success AND gap IN ('postal_unresolved', 'municipality_ambiguous') THEN gap_pos END) OVER (PARTITION BY id) AS last FROM asked) k ON d.id = k.id GROUP BY d.id""",
+    "listings", "fsa_map", "dirty", "query_templates", "web_results",
+)
 def enrich_from_evidence(t) -> DataFrame:
-    records = t.listings.where("municipality_confidence < 0.7").select("id", "municipality", "country")
-    gaps = records.select("id", F.lit("unknown_country").alias("gap"), F.lit(0).alias("gap_pos"))
-    return learning.enrich(records, gaps, t.search_results.withColumn("rank", F.lit(1)))
+    """Every record, with what its gaps were answered by, within three queries a record and a budget for all."""
+    return _enriched(t).records.select("id", *enrichment.FIELDS, F.size("evidence").cast("long").alias("evidence"))
+
+
+@reg.add(
+    sql_asks() + """, lost AS (SELECT id, gap, min(rank) AS rank FROM asked GROUP BY id, gap HAVING NOT bool_or(success) AND count(*) = (SELECT count(*) FROM a WHERE a.id = asked.id AND a.gap = asked.gap))
+SELECT 'real_estate' AS domain, gap AS gap_type, query_template, success, url_host, count(*) AS n FROM (SELECT gap, query_template, success, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS url_host FROM asked WHERE success
+ UNION ALL SELECT gap, query_template, success, NULL FROM asked JOIN lost USING (id, gap, rank)) GROUP BY ALL""",
+    "listings", "fsa_map", "dirty", "query_templates", "web_results",
+)
+def enrichment_outcomes(t) -> DataFrame:
+    return _enriched(t).outcomes.groupBy("domain", "gap_type", "query_template", "success", "url_host").agg(F.count("*").alias("n"))
 
 
 @reg.add(", s AS (SELECT id, coalesce(trim(city), '') <> '' AS c FROM listings) SELECT id, CASE WHEN c THEN 'standardize_address,fsa_lookup' ELSE '' END AS plan FROM s", "listings")
@@ -94,7 +140,7 @@ def plan_lookup(t) -> DataFrame:
 
 
 def _place(t) -> str:
-    return f"{linkage.shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    return f"{scratch.shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(t) -> DataFrame:

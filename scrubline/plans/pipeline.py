@@ -1,4 +1,9 @@
-"""Domains and the cleaning pipeline: clean, check, triage, look up, enrich, triage again, link, report."""
+"""Domains and the cleaning pipeline.
+
+Records are cleaned and checked, and triaged. Those for review are looked up, enriched from search results and
+triaged again; what is still for review runs the steps of its plan, and then is escalated. Records are linked, and
+corrections learned from what changed after the first phase. A phase works on the rows that need it, all at once.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, text
 from ..functions.missing import filled, is_blank_or_na
-from ..operators import learning, linkage, lookups
+from ..operators import enrichment, learning, linkage, lookups
+from ..operators.numbering import first_by
+from ..operators.scratch import discard, written
 
 
 @dataclass(frozen=True)
@@ -29,6 +36,7 @@ class Domain:
     name: str
     steps: tuple[Step, ...]
     required: list[str] = field(default_factory=list)
+    learnable: tuple[str, ...] = ()
     blocks: list[str] = field(default_factory=list)
     rules: tuple[linkage.Rule, ...] = linkage.RULES
 
@@ -60,15 +68,18 @@ REAL_ESTATE = Domain(
         Step("standardize_address", 1, "low"),
         Step("fsa_lookup", 2, "medium", ("standardize_address",)),
         Step("geographic_validate", 1, "low", ("standardize_address",)),
+        Step("geocode", 2, "high", ("standardize_address",)),
         Step("enrich", 3, "high", ("fsa_lookup",)),
-        Step("link", 4, "medium", ("spell_override", "standardize_address")),
+        Step("escalate", 5, "high", ("fsa_lookup",)),
+        Step("link", 6, "medium", ("spell_override", "standardize_address")),
     ),
     ["name", "address", "city", "postal_code", "country"],
+    ("city", "municipality"),
     ["postal_code"],
 )
 SPORTS_TICKETING = Domain(
     "sports_ticketing",
-    (Step("normalize_event_name", 2, "low"), Step("categorize_product", 2, "low"), Step("link", 4, "low", ("normalize_event_name",))),
+    (Step("normalize_event_name", 2, "low"), Step("categorize_product", 2, "low"), Step("link", 6, "low", ("normalize_event_name",))),
     blocks=["event_date"],
     rules=(linkage.Rule("venue_team_date", ("venue_name", "home_team", "event_date"), "fuzzy", 0.85, 0.90),),
 )
@@ -105,9 +116,12 @@ def apply_resolutions(df: DataFrame, resolutions: DataFrame, fields: list[str])
 
 
 def record_signature(df: DataFrame, fields: list[str], confidence: str, domain: str, version: int = 1) -> DataFrame:
-    """(id, signature): a SHA-256 of which fields are there, the confidence to one place, the domain and a version."""
+    """(id, signature): a SHA-256 of which fields are there, the confidence to one place, the route and the sorted gaps (where
+    df has these), the domain and a version. Records of one shape have one."""
     present = F.array_sort(checks.array_of(*[F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) != "", f) for f in fields]))
-    shape = F.to_json(F.struct(present.alias("fields"), F.round(confidence, 1).alias("confidence"), F.lit(domain).alias("domain"), F.lit(version).alias("version")))
+    more = [F.col("route")] if "route" in df.columns else []
+    more += [F.array_sort("gaps").alias("gaps")] if "gaps" in df.columns else []
+    shape = F.to_json(F.struct(present.alias("fields"), F.round(confidence, 1).alias("confidence"), *more, F.lit(domain).alias("domain"), F.lit(version).alias("version")))
     return df.select("id", F.sha2(shape, 256).alias("signature"))
 
 
@@ -120,11 +134,20 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Given:
-    """The tables that steps look things up in; a domain needs those of its own steps."""
+    """The tables that steps look things up in, the time, and what each expensive step may spend; a step without its table is left out."""
 
     overrides: DataFrame | None = None
     fsa_map: DataFrame | None = None
+    templates: DataFrame | None = None
     results: DataFrame | None = None
+    geocodes: DataFrame | None = None
+    plans: DataFrame | None = None
+    resolutions: DataFrame | None = None
+    now: str = "2025-01-01 00:00:00"
+    budget: int | None = None
+
+    def at(self) -> Column:
+        return F.lit(self.now).cast("timestamp")
 
 
 AUDIT = "array<struct<skill: string, field: string, original: string, corrected: string, confidence: double>>"
@@ -138,17 +161,50 @@ def audited(df: DataFrame, step: str, column: str, change: Callable[[DataFrame],
     return new.withColumn("audit", F.concat("audit", checks.array_of(entry))).drop("_before")
 
 
-def _fsa_lookup(df: DataFrame, given: Given) -> DataFrame:
-    looked = lookups.fsa_lookup(df, given.fsa_map)
+def noted(df: DataFrame, step: str, entry: Column, sure: Column | float, of: str | Column = "") -> DataFrame:
+    """df with an entry in audit where ``entry`` isn't null."""
+    said = F.struct(F.lit(step).alias("skill"), (F.lit(of) if isinstance(of, str) else of).alias("field"), F.lit(None).cast("string").alias("original"), entry.alias("corrected"), (sure if isinstance(sure, Column) else F.lit(sure)).cast("double").alias("confidence"))
+    return df.withColumn("audit", F.concat("audit", checks.array_of(F.when(entry.isNotNull(), said))))
+
+
+def _gaps(df: DataFrame) -> Column:
+    """A record's gaps: what is missing, what the lookup left open, and hints if it has some."""
     missing = checks.classify_gaps({"country": None, "postal_code": "country", "municipality": "country"})
-    gaps = checks.identify_gaps(missing, F.col("unknown_fsa"), F.col("municipality_confidence"))
-    # without a municipality the code's own is taken
-    return looked.withColumn("gaps", gaps).withColumn("municipality", F.when(is_blank_or_na("municipality"), F.coalesce("fsa_municipality", "municipality")).otherwise(F.col("municipality")))
+    unknown = F.col("unknown_fsa") if "unknown_fsa" in df.columns else F.lit(False)
+    return checks.identify_gaps(missing, unknown, F.col("municipality_confidence"), F.col("gap_hints") if "gap_hints" in df.columns else None)
+
+
+def _fsa_lookup(df: DataFrame, given: Given) -> DataFrame:
+    """The municipality of the code where there is none; the lookup's confidence is the municipality's, 0.0 if it failed."""
+    kept = df.drop("fsa", "fsa_municipality", "fsa_confidence", "unknown_fsa")
+    looked = lookups.fsa_lookup(kept, given.fsa_map)
+    sure = F.coalesce("fsa_confidence", "municipality_confidence")
+    found = F.when(is_blank_or_na("municipality"), F.coalesce("fsa_municipality", "municipality")).otherwise(F.col("municipality"))
+    return looked.withColumns({"municipality": found, "municipality_confidence": sure})
+
+
+def _geocode(df: DataFrame, given: Given) -> DataFrame:
+    out = lookups.geocode_join(df.drop("lat", "lon", "geocode_confidence"), given.geocodes, given.at())
+    return noted(out, "geocode", F.when(F.col("lat").isNotNull(), F.concat_ws(" ", "lat", "lon")), F.col("geocode_confidence"))
 
 
-def _enrich(df: DataFrame, given: Given) -> DataFrame:
-    open_ = df.where("municipality_confidence < 0.70").select("id", F.posexplode("gaps").alias("gap_pos", "gap"))
-    return learning.enrich(df, open_, given.results.withColumn("rank", F.lit(1)))
+def _enrich(df: DataFrame, given: Given) -> enrichment.Enriched:
+    out = enrichment.enrich(df.withColumn("gaps", _gaps(df)).drop("evidence"), given.templates, given.results, "real_estate", given.budget)
+    return enrichment.Enriched(out.records.withColumn("audit", F.concat("audit", enrichment.audit_entries())).drop("unasked"), out.outcomes)
+
+
+RESOLVED = ("municipality", "country", "postal_code", "city", "address")
+
+
+def _escalate(df: DataFrame, given: Given) -> DataFrame:
+    """Values that someone looked up for a record, by id; hints that the record no longer gives are cleared."""
+    hints = checks.flags_from_gaps("gaps")
+    df = df.withColumn("_hints", F.when(F.size(hints) > 0, hints).otherwise(F.array(F.lit("low_confidence_research"))))
+    one = given.resolutions.groupBy("id").agg(*[F.min(F.nullif(F.col(f), F.lit(""))).alias(f) for f in RESOLVED])
+    out = apply_resolutions(df, one, list(RESOLVED))
+    told = checks.escalation_outcome(F.col("_hints"), checks.needs_escalation())
+    out = out.withColumn("_told", told).withColumn("escalation_flags", F.concat("_told.surviving", checks.array_of(F.when(F.col("_told.cleared"), "resolved_after_escalation"))))
+    return noted(out, "escalate", F.when(F.col("_told.cleared"), "resolved").otherwise("not resolved"), F.when(F.col("_told.cleared"), 0.85).otherwise(0.40), F.array_join("resolved_fields", ",")).drop("_hints", "_told", "resolved_fields", "resolution_confidence")
 
 
 def _categorize(df: DataFrame, given: Given) -> DataFrame:
@@ -162,17 +218,37 @@ STEPS: dict[str, Callable[[DataFrame, Given], DataFrame]] = {
     "standardize_address": lambda df, given: audited(df, "standardize_address", "address", lambda d: d.withColumn("address", text.standardize_address("address"))),
     "geographic_validate": lambda df, given: df.withColumns(checks.geographic_checks()),
     "fsa_lookup": _fsa_lookup,
-    "enrich": _enrich,
+    "geocode": _geocode,
+    "enrich": lambda df, given: _enrich(df, given).records,
+    "escalate": _escalate,
     "normalize_event_name": lambda df, given: audited(df, "normalize_event_name", "event_name", lambda d: d.withColumn("event_name", text.normalize_event_name("event_name"))),
     "categorize_product": _categorize,
 }
 
 
+#: What a step can't run without.
+TABLES = {"spell_override": ("overrides",), "fsa_lookup": ("fsa_map",), "geocode": ("geocodes",), "enrich": ("templates", "results"), "escalate": ("resolutions",)}
+
+
+def _can(step: Step, given: Given) -> bool:
+    return step.name in STEPS and all(getattr(given, t) is not None for t in TABLES.get(step.name, ()))
+
+
+def within_budget(df: DataFrame, step: Step, given: Given) -> DataFrame:
+    """df after an expensive step for the first rows by id that the budget allows; the others say so in their audit."""
+    run = STEPS[step.name]
+    if step.cost != "high" or given.budget is None or step.name == "enrich":  # which spends by query
+        return run(df, given)
+    granted, _ = first_by(df, F.lit(True), given.budget)
+    granted = F.coalesce(granted, F.lit(False))
+    return run(df.where(granted), given).unionByName(noted(df.where(~granted), step.name, F.lit("budget exhausted"), 0.0), allowMissingColumns=True)
+
+
 def run_steps(df: DataFrame, domain: Domain, given: Given, phases: tuple[int, ...]) -> DataFrame:
     """df after the domain's steps of some phases, in the order of its configuration."""
     for step in domain.ordered():
-        if step.phase in phases and step.name != "link":
-            df = STEPS[step.name](df, given)
+        if step.phase in phases and _can(step, given):
+            df = within_budget(df, step, given)
     return df
 
 
@@ -182,30 +258,84 @@ def deterministic(df: DataFrame, overrides: DataFrame, domain: Domain = REAL_EST
 
 
 def triaged(df: DataFrame, domain: Domain) -> DataFrame:
-    """df with route and route_confidence."""
-    r = checks.triage(checks.completeness(domain.required), checks.data_confidence([F.col("municipality_confidence")], [F.col("geographic_validated")]))
-    return df.withColumn("_r", r).withColumns({"route": F.col("_r.route"), "route_confidence": F.col("_r.confidence")}).drop("_r")
+    """df with route, route_confidence and data_confidence."""
+    sure = checks.data_confidence([F.col("municipality_confidence")], [F.col("geographic_validated")])
+    r = checks.triage(checks.completeness(domain.required), sure)
+    return df.withColumns({"_r": r, "data_confidence": sure}).withColumns({"route": F.col("_r.route"), "route_confidence": F.col("_r.confidence")}).drop("_r")
 
 
-def routed(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
-    """Records after all steps but linkage, with route, error and audit: every input row comes out once.
+def planned(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
+    """df with ``plan`` (step names) after the steps that each row's plan names: a plan holds for all rows of one signature.
+
+    Each step that any plan names runs once, over the rows whose plan names it, in the domain's order.
+    """
+    steps = [s for s in domain.ordered() if _can(s, given)]
+    fields = [f.name for f in df.schema if f.dataType.typeName() in ("string", "long", "integer") and f.name not in ("id", "route", "error", "fsa", "fsa_municipality")]
+    signed = record_signature(df, fields, "data_confidence", domain.name)
+    plans = learning.plan_lookup(signed, given.plans, given.at(), [s.name for s in steps]).select("id", "plan")
+    df = written(df.join(plans.dropDuplicates(["id"]), "id", "left"), "planned")
+    used = {r[0] for r in df.select(F.explode(F.split("plan", ","))).distinct().collect()}
+    for step in (s for s in steps if s.name in used):
+        named = F.coalesce(F.array_contains(F.split("plan", ","), step.name), F.lit(False))
+        ran = within_budget(df.where(named), step, given)
+        before, df = df, written(df.where(~named).unionByName(ran, allowMissingColumns=True), "planned")
+        discard(before)
+    return df
+
+
+@dataclass(frozen=True)
+class Run:
+    """records, and what is learned from them: outcomes of queries, and corrections (wrong, fixed, n); None if there is nothing to learn from."""
+
+    records: DataFrame
+    outcomes: DataFrame | None = None
+    proposals: DataFrame | None = None
 
-    Rows that the first triage sends to done or unsalvageable skip the second and third phase; the others are looked up,
-    enriched and triaged again. A domain without required fields has no triage. Bad rows keep their values and carry an error.
+
+def process(df: DataFrame, domain: Domain, given: Given) -> Run:
+    """All phases but linkage: every input row comes out once, with route, error and audit.
+
+    Rows that a triage sends to done or unsalvageable skip what follows. A domain without required fields has no triage.
+    Bad rows keep their values and carry an error.
     """
     df = df.withColumns({"error": F.when(F.col("id").isNull(), "no id"), "audit": F.array().cast(AUDIT)})
     first = run_steps(df, domain, given, (1,))
     if not domain.required:
-        return run_steps(first, domain, given, (2, 3)).withColumns({"route": F.lit("done"), "route_confidence": F.lit(1.0)})
-    first = triaged(first, domain)
-    settled, review = first.where("route <> 'needs_review'"), first.where("route = 'needs_review'")
-    again = triaged(run_steps(review, domain, given, (2, 3)), domain).select(*first.columns)
-    return settled.unionByName(again)
+        return Run(written(run_steps(first, domain, given, (2, 3)).withColumns({"route": F.lit("done"), "route_confidence": F.lit(1.0)}), "records"))
+    snapshot = {f"_was_{c}": F.col(c) for c in domain.learnable}
+    first = written(triaged(first.withColumns(snapshot), domain), "first")
+    second = run_steps(first.where("route = 'needs_review'"), domain, given, (2,))
+    outcomes = None
+    if all(getattr(given, t) is not None for t in TABLES["enrich"]) and any(s.name == "enrich" for s in domain.steps):
+        enriched = _enrich(written(second, "second"), given)
+        second, outcomes = enriched.records, enriched.outcomes
+    else:
+        second = second.withColumn("gaps", _gaps(second))
+    second = written(triaged(second, domain), "again")
+    review = second.where("route = 'needs_review'")
+    if given.plans is not None:
+        review = triaged(planned(review, domain, given), domain)
+    last = [s for s in domain.ordered() if s.phase == 5 and _can(s, given)]
+    if last:
+        review = written(review, "review")
+        stuck = review.where("route = 'needs_review'")
+        for step in last:
+            stuck = within_budget(stuck, step, given)
+        review = review.where("route <> 'needs_review'").unionByName(triaged(stuck, domain), allowMissingColumns=True)
+    parts = [first.where("route <> 'needs_review'"), second.where("route <> 'needs_review'"), review]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = written(out, "records")
+    proposals = learning.small_changes(out.where("error IS NULL"), [(f"_was_{c}", c) for c in domain.learnable]) if domain.learnable else None
+    return Run(out.drop(*snapshot), outcomes, proposals)
 
 
-def clean(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
-    """``routed`` with flags, audit_entries and, where the domain links, group_id."""
-    out = routed(df, domain, given)
+def routed(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
+    """The records of ``process``."""
+    return process(df, domain, given).records
+
+
+def linked(out: DataFrame, domain: Domain) -> DataFrame:
+    """Records (written) with flags, audit_entries and, where the domain links, group_id."""
     if any(s.name == "link" for s in domain.ordered()):
         links = [x for x in (linkage.by_fuzzy_text(out, domain.blocks, domain.rules), linkage.by_exact_keys(out, domain.blocks, domain.rules)) if x is not None]
         out = linkage.link_components(out, reduce(DataFrame.unionByName, links))
@@ -215,6 +345,11 @@ def clean(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
     return out.withColumn("flags", flags).withColumn("audit_entries", F.size("audit").cast("long"))
 
 
+def clean(df: DataFrame, domain: Domain, given: Given) -> DataFrame:
+    """The whole pipeline's records."""
+    return linked(routed(df, domain, given), domain)
+
+
 def steps_table(spark: SparkSession) -> DataFrame:
     """(domain, position, step, phase, cost, needs) in running order."""
     rows = [(d.name, i, s.name, s.phase, s.cost, ",".join(s.needs)) for d in DOMAINS.values() for i, s in enumerate(d.ordered(), 1)]

