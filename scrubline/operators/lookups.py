@@ -116,6 +116,11 @@ def query_outcomes(events: DataFrame, memory: DataFrame | None = None) -> DataFr
     return memory.select(new.columns).unionByName(new).groupBy(*keys).agg(F.sum("success_count").alias("success_count"), F.sum("failure_count").alias("failure_count"), F.max("last_used_at").alias("last_used_at"))
 
 
+#: Functions clamp(t + shift) to [low, high], in the order of ``at``, as one.
+FOLD = """aggregate(array_sort(collect_list(named_struct('at', at, 'f', f))), named_struct('shift', 0D, 'low', -1000D, 'high', 1000D), (a, x) -> named_struct(
+    'shift', a.shift + x.f.shift, 'low', greatest(x.f.low, least(x.f.high, a.low + x.f.shift)), 'high', greatest(x.f.low, least(x.f.high, a.high + x.f.shift))))"""
+
+
 def trust_steps(events: DataFrame, order: list[str]) -> DataFrame:
     """(domain, url_host, shift, low, high): what all outcomes of a host do to its score t, as one function clamp(t + shift) to [low, high].
 
@@ -125,11 +130,9 @@ def trust_steps(events: DataFrame, order: list[str]) -> DataFrame:
     step = F.when(F.col("success"), 0.02).otherwise(-0.01)
     one = F.struct(step.alias("shift"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     parts = events.select("domain", "url_host", F.date_trunc("minute", "ts").alias("minute"), F.struct(*order).alias("at"), one.alias("f"))
-    fold = """aggregate(array_sort(collect_list(named_struct('at', at, 'f', f))), named_struct('shift', 0D, 'low', -1000D, 'high', 1000D), (a, x) -> named_struct(
-        'shift', a.shift + x.f.shift, 'low', greatest(x.f.low, least(x.f.high, a.low + x.f.shift)), 'high', greatest(x.f.low, least(x.f.high, a.high + x.f.shift))))"""
-    minutes = parts.groupBy("domain", "url_host", F.col("minute").alias("m")).agg(F.expr(fold).alias("f"))
-    days = minutes.select("domain", "url_host", F.to_date("m").alias("d"), F.col("m").alias("at"), "f").groupBy("domain", "url_host", "d").agg(F.expr(fold).alias("f"))
-    whole = days.select("domain", "url_host", F.col("d").alias("at"), "f").groupBy("domain", "url_host").agg(F.expr(fold).alias("f"))
+    minutes = parts.groupBy("domain", "url_host", F.col("minute").alias("m")).agg(F.expr(FOLD).alias("f"))
+    days = minutes.select("domain", "url_host", F.to_date("m").alias("d"), F.col("m").alias("at"), "f").groupBy("domain", "url_host", "d").agg(F.expr(FOLD).alias("f"))
+    whole = days.select("domain", "url_host", F.col("d").alias("at"), "f").groupBy("domain", "url_host").agg(F.expr(FOLD).alias("f"))
     return whole.select("domain", "url_host", "f.shift", "f.low", "f.high")
 
 

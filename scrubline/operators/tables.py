@@ -19,16 +19,21 @@ def query_rows(df: DataFrame, filters: dict[str, object], limit: int = 50, order
 
 
 def _one_per_key(rows: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key: an aggregate, so that partitions combine first."""
+    """The first (or last) row of each key: an aggregate, so that partitions combine first. Of equal order the least (greatest) row."""
     cols = [c for c in rows.columns if c not in keys]
-    pick = (F.max_by if last else F.min_by)(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_r")
+    whole = F.struct(*[F.col(c) for c in cols])
+    pick = (F.max if last else F.min)(F.struct(F.col(order).alias("o"), whole.alias("r")))["r"].alias("_r")
     return rows.groupBy(*keys).agg(pick).select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in rows.columns])
 
 
+def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows whose key target doesn't have; of rows with one key the first by ``order``."""
+    return _one_per_key(rows, keys, order).join(target.select(*keys), keys, "left_anti").select(*rows.columns)
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """target and the rows whose key it doesn't have; of rows with one key the first by ``order``, which isn't kept."""
-    new = _one_per_key(rows, keys, order).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(new.select(*target.columns))
+    return target.unionByName(new_rows(target, rows, keys, order).select(*target.columns))
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str], order: str) -> DataFrame:

@@ -168,6 +168,12 @@ def stream_route_counts(t) -> DataFrame:
 
 @reg.add("SELECT DISTINCT user_id, event_type FROM events")
 def stream_insert_ignore(t) -> DataFrame:
+    """New keys of a feed in a stored table."""
+    return feeds.run_insert_ignore(_events(t).select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "event_id", _place(t)).select("user_id", "event_type")
+
+
+@reg.add("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_of_key(t) -> DataFrame:
     out = feeds.first_of_key(_events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"])
     return feeds.run_available(out, _place(t)).select("user_id", "event_type")
 
@@ -177,4 +183,7 @@ def stream_insert_ignore(t) -> DataFrame:
 SELECT domain, url_host, round(list_reduce(list(step ORDER BY ts, event_id), lambda s, x: least(1::DOUBLE, greatest(0::DOUBLE, s + x)), 0.5::DOUBLE), 6) AS trust_score FROM o GROUP BY 1, 2"""
 )
 def stream_outcomes(t) -> DataFrame:
-    return feeds.run_trust(feeds.outcomes_of(_events(t)), ["ts", "event_id"], _place(t))
+    """Scores of the minutes that ended on the stream, and after them those that are still open."""
+    order = ["ts", "event_id"]
+    scores, _ = feeds.run_trust(feeds.outcomes_of(_events(t)), order, _place(t))
+    return feeds.with_open_minutes(scores, feeds.outcomes_of(t.events), order)
