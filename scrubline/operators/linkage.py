@@ -63,22 +63,31 @@ def _texts(df: DataFrame, blocks: list[str], rule: Rule) -> DataFrame:
     return df.where(_given(rule)).select(*blocks, "id", F.concat_ws(" ", *[_norm(f) for f in rule.fields]).alias("x"))
 
 
+def _bits(grams: Column) -> Column:
+    """64 bits of a set of bigrams, each of which sets one: sets differ in as many members as their bits differ, or in more."""
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda s, g: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))))
+
+
 def similar_texts(texts: DataFrame, blocks: list[str], threshold: float) -> DataFrame:
     """(blocks..., x_a, x_b, similarity), x_a < x_b, of distinct texts (blocks..., x) in one block whose similarity reaches the threshold.
 
-    A similarity of t needs a Jaccard similarity of j = 2t - 1 of the bigrams. With these in order of rarity, one of the
-    first n - ceil(j n) + 1 is shared, so only texts that share a rare bigram meet, at sizes and places that leave
-    room for enough common ones. If t is 0.5 or less, texts without a common bigram are left out.
+    A similarity of t needs a Jaccard similarity of j = 2t - 1 of the bigrams. With these in order of rarity in their block,
+    one of the first n - ceil(j n) + 1 is shared, so only texts that share a rare bigram meet, at sizes and places that
+    leave room for enough common ones, and whose bits differ in no more than the sets may. If t is 0.5 or less, texts
+    without a common bigram are left out.
     """
     least = max(0.0, 2 * threshold - 1)
     grams = texts.select(*blocks, "x", F.explode(bigrams(F.col("x"))).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
-    ranked = grams.join(counts, "g").groupBy(*blocks, "x").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    counts = grams.groupBy(*blocks, "g").agg(F.count("*").alias("n"))
+    ranked = grams.join(counts, [*blocks, "g"]).groupBy(*blocks, "x").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    ranked = ranked.withColumn("bits", _bits(F.transform("gs", lambda g: g["g"])))
     size = F.size("gs")
     first = F.slice("gs", F.lit(1), size - F.greatest(F.ceil(F.lit(least) * size - 1e-9).cast("int"), F.lit(1)) + 1)
-    keyed = ranked.select(*blocks, "x", size.alias("size"), F.posexplode(first).alias("at", "s"))
-    a, b = (keyed.select(*blocks, F.col("s.g").alias("g"), F.col("x").alias(f"x_{s}"), F.col("size").alias(f"size_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
+    keyed = ranked.select(*blocks, "x", "bits", size.alias("size"), F.posexplode(first).alias("at", "s"))
+    a, b = (keyed.select(*blocks, F.col("s.g").alias("g"), F.col("x").alias(f"x_{s}"), F.col("bits").alias(f"bits_{s}"), F.col("size").alias(f"size_{s}"), F.col("at").alias(f"at_{s}")) for s in "ab")
     pairs = a.join(b, [*blocks, "g"]).where("x_a < x_b").where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    # sets of a Jaccard similarity of j differ in (1 - j) / (1 + j) of their sizes at most
+    pairs = pairs.where(F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-9)
     # common ones: those before this place, this one, and those behind it
     room = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     pairs = pairs.where(room * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-9)
@@ -86,29 +95,66 @@ def similar_texts(texts: DataFrame, blocks: list[str], threshold: float) -> Data
     return pairs.withColumn("similarity", fuzzy_similarity(F.col("x_a"), F.col("x_b"))).where(F.col("similarity") >= threshold)
 
 
-def matches(df: DataFrame, others: DataFrame | None, blocks: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id_a, id_b, rule, confidence): records of df and ``others`` in one block that a rule matches, by the first rule that does.
+@dataclass(frozen=True)
+class Classes:
+    """Matches in factors: members (rule, class_id, id, side) and pairs (rule, class_a, class_b, confidence, records_a, records_b,
+    others_a, others_b), class_a <= class_b.
 
-    Without ``others`` df meets itself, and id_a < id_b. Exact rules join on their fields, fuzzy ones on rare bigrams; no
-    pairs of a block are made that don't match. Null block values match nothing.
+    A class is the rows of a block that are equal to a rule, by its fields or its text, and is named by its least id. A pair
+    of a class with itself stands for all pairs inside it, one of two classes for all between them. Side 1 are the others.
     """
-    out = None
-    for order, r in enumerate(rules):
-        if r.kind == "exact":
-            keys = [f"_k{i}" for i in range(len(r.fields))]
-            a, b = (d.where(_given(r)).select(*blocks, F.col("id").alias(f"id_{s}"), *[_norm(f).alias(k) for f, k in zip(r.fields, keys, strict=True)]) for s, d in (("a", df), ("b", df if others is None else others)))
-            hits = a.join(b, [*blocks, *keys]).withColumn("confidence", F.lit(float(r.weight)))
-        else:
-            a, b = (_texts(d, blocks, r).select(*blocks, F.col("id").alias(f"id_{s}"), F.col("x").alias(f"x_{s}")) for s, d in (("a", df), ("b", df if others is None else others)))
-            every = a.select(*blocks, F.col("x_a").alias("x"))
-            every = (every if others is None else every.unionByName(b.select(*blocks, F.col("x_b").alias("x")))).distinct()
-            near = similar_texts(every, blocks, r.threshold)
-            turned = near.select(*blocks, F.col("x_b").alias("x_a"), F.col("x_a").alias("x_b"), "similarity")
-            same = every.select(*blocks, F.col("x").alias("x_a"), F.col("x").alias("x_b"), F.lit(1.0).alias("similarity"))
-            hits = a.join(near.unionByName(turned).unionByName(same), [*blocks, "x_a"]).join(b, [*blocks, "x_b"]).withColumn("confidence", F.round(F.col("similarity") * r.weight, 3))
-        hits = hits.where("id_a < id_b" if others is None else "id_a <> id_b").select("id_a", "id_b", F.struct(F.lit(order).alias("order"), F.lit(r.name).alias("rule"), "confidence").alias("m"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("id_a", "id_b").agg(F.min("m").alias("m")).select("id_a", "id_b", "m.rule", "m.confidence")
+
+    members: DataFrame
+    pairs: DataFrame
+
+
+def match_classes(df: DataFrame, others: DataFrame | None, blocks: list[str], rules: tuple[Rule, ...] = RULES) -> Classes:
+    """What ``rules`` match in blocks of df, or between df and ``others``: as many members as rows, and pairs of different texts only.
+
+    A rule with an empty field is skipped, null block values match nothing. A pair of rows that several rules match is in
+    each of them, and belongs to the first (``expanded``).
+    """
+    members = pairs = None
+    for r in rules:
+        text = F.concat_ws(" " if r.kind == "fuzzy" else "\x1f", *[_norm(f) for f in r.fields]).alias("x")
+        sides = [d.where(_given(r)).select(*blocks, "id", text, F.lit(s).alias("side")) for s, d in enumerate((df, others)) if d is not None]
+        rows = (sides[0] if others is None else sides[0].unionByName(sides[1])).dropna(subset=blocks)
+        classes = rows.groupBy(*blocks, "x").agg(F.min("id").alias("class_id"), F.count_if(F.col("side") == 0).alias("records"), F.count_if(F.col("side") == 1).alias("others"))
+        own = rows.join(classes, [*blocks, "x"]).select(F.lit(r.name).alias("rule"), "class_id", "id", "side")
+        several = F.col("records") > 1 if others is None else (F.col("records") > 0) & (F.col("others") > 0)
+        a, b = (classes.select(*blocks, *[F.col(c).alias(f"{n}_{s}") for c, n in (("x", "x"), ("class_id", "class"), ("records", "records"), ("others", "others"))]) for s in "ab")
+        inside = classes.where(several).select("class_id", F.lit(1.0).alias("similarity"), "records", "others")
+        found = inside.select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"), "similarity", *[F.col(c).alias(f"{c}_{s}") for s in "ab" for c in ("records", "others")])
+        if r.kind == "fuzzy":
+            near = similar_texts(classes.select(*blocks, "x"), blocks, r.threshold).join(a, [*blocks, "x_a"]).join(b, [*blocks, "x_b"])
+            if others is not None:
+                near = near.where("records_a > 0 AND others_b > 0 OR records_b > 0 AND others_a > 0")
+            turned = F.col("class_a") > F.col("class_b")
+            swap = {f"{n}_{s}": F.when(turned, F.col(f"{n}_{t}")).otherwise(F.col(f"{n}_{s}")) for n in ("class", "records", "others") for s, t in ("ab", "ba")}
+            found = found.unionByName(near.select("similarity", *[c.alias(n) for n, c in swap.items()]))
+        confidence = F.round(F.col("similarity") * r.weight, 3) if r.kind == "fuzzy" else F.lit(float(r.weight))
+        found = found.select(F.lit(r.name).alias("rule"), "class_a", "class_b", confidence.alias("confidence"), *[f"{c}_{s}" for c in ("records", "others") for s in "ab"])
+        members, pairs = (own, found) if members is None else (members.unionByName(own), pairs.unionByName(found))
+    return Classes(members, pairs)
+
+
+def expanded(classes: Classes, rules: tuple[Rule, ...] = RULES, both: bool = False) -> DataFrame:
+    """(id_a, id_b, rule, confidence): all pairs of rows that classes stand for, each by the first rule that matches it.
+
+    Within one table id_a < id_b; with ``both``, a record and one of the others. As many rows as pairs: for small classes.
+    """
+    order = F.coalesce(*[F.when(F.col("rule") == r.name, i) for i, r in enumerate(rules)])
+    a, b = (classes.members.select("rule", F.col("class_id").alias(f"class_{s}"), F.col("id").alias(f"id_{s}"), F.col("side").alias(f"side_{s}")) for s in "ab")
+    turned = classes.pairs.where("class_a <> class_b").select("rule", F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), "confidence")
+    every = classes.pairs.select("rule", "class_a", "class_b", "confidence").unionByName(turned)
+    hits = every.join(a, ["rule", "class_a"]).join(b, ["rule", "class_b"])
+    hits = hits.where("side_a = 0 AND side_b = 1 AND id_a <> id_b" if both else "id_a < id_b")
+    return hits.groupBy("id_a", "id_b").agg(F.min(F.struct(order.alias("order"), "rule", "confidence")).alias("m")).select("id_a", "id_b", "m.rule", "m.confidence")
+
+
+def matches(df: DataFrame, others: DataFrame | None, blocks: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``match_classes``, expanded to pairs of rows."""
+    return expanded(match_classes(df, others, blocks, rules), rules, others is not None)
 
 
 def by_exact_keys(df: DataFrame, blocks: list[str], rules: tuple[Rule, ...]) -> DataFrame:

@@ -40,9 +40,21 @@ def candidate_pairs(t) -> DataFrame:
     return linkage.blocks_of(t.listings, BLOCK)
 
 
-@reg.add(MATCHES + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
+#: Classes of equal e-mails and equal addresses in a postal code, and the pairs of similar ones.
+CLASSES = PAIRS.split(", p AS (")[0] + f""", c AS (SELECT 'email' AS rule, postal_code, e AS t, min(id) AS k, count(*) AS n FROM n WHERE e <> '' AND postal_code IS NOT NULL GROUP BY ALL UNION ALL SELECT 'address', postal_code, x, min(id), count(*) FROM n WHERE ad <> '' AND ci <> '' AND postal_code IS NOT NULL GROUP BY ALL),
+s AS (SELECT least(a.k, b.k) AS class_a, greatest(a.k, b.k) AS class_b, {_similarity('a.t', 'b.t')} AS sim, CASE WHEN a.k < b.k THEN a.n ELSE b.n END AS n_a, CASE WHEN a.k < b.k THEN b.n ELSE a.n END AS n_b FROM c a JOIN c b ON a.rule = 'address' AND b.rule = 'address' AND a.postal_code = b.postal_code AND a.t < b.t),
+q AS (SELECT rule, k AS class_a, k AS class_b, CASE rule WHEN 'email' THEN 1::DOUBLE ELSE 0.9::DOUBLE END AS confidence, n AS n_a, n AS n_b FROM c UNION ALL SELECT 'address', class_a, class_b, round(sim * 0.9, 3), n_a, n_b FROM s WHERE sim >= 0.9)"""
+
+
+@reg.add(CLASSES + " SELECT rule, class_a, class_b, confidence, n_a AS records_a, n_b AS records_b FROM q WHERE class_a <> class_b OR n_a > 1", "listings")
 def match_rules(t) -> DataFrame:
-    return linkage.matches(t.listings, None, BLOCK)
+    """Matches as pairs of classes: a block of equal rows is one row here, and as many in match_members."""
+    return linkage.match_classes(t.listings, None, BLOCK).pairs.drop("others_a", "others_b")
+
+
+@reg.add(CLASSES + " SELECT n.id, rule, k AS class_id FROM n JOIN c ON n.postal_code = c.postal_code AND (rule = 'email' AND e = t OR rule = 'address' AND ad <> '' AND ci <> '' AND x = t)", "listings")
+def match_members(t) -> DataFrame:
+    return linkage.match_classes(t.listings, None, BLOCK).members.select("id", "rule", "class_id")
 
 
 @reg.add(PAIRS + f", s AS (SELECT DISTINCT least(xa, xb) AS x_a, greatest(xa, xb) AS x_b, {_similarity('xa', 'xb')} AS sim FROM p WHERE given AND xa <> xb) SELECT x_a, x_b, round(sim, 6) AS similarity FROM s WHERE sim >= 0.8", "listings")
@@ -66,9 +78,10 @@ def link_components(t) -> DataFrame:
 ORACLES["link_components"] = ORACLES["link_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@reg.add(MATCHES.replace("a.id < b.id", "a.id <> b.id") + " SELECT * FROM m WHERE rule IS NOT NULL", "listings")
+@reg.add(CLASSES + " SELECT rule, class_a, class_b, confidence, n_a AS records_a, n_b AS records_b, n_a AS others_a, n_b AS others_b FROM q", "listings")
 def link_candidates(t) -> DataFrame:
-    return linkage.link_candidates(t.listings, t.listings, BLOCK)
+    """Every listing against all listings as candidates, in classes."""
+    return linkage.match_classes(t.listings, t.listings, BLOCK).pairs
 
 
 BUDGET = 200

@@ -69,6 +69,16 @@ BOXES = "SELECT n_nationkey AS polygon_id, (n_nationkey % 5) * 20.0::DOUBLE AS x
 
 @reg.add(f"WITH b AS ({BOXES}), p AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 1300) / 10.0::DOUBLE + 0.05 AS x, (c_custkey * 53 % 1100) / 10.0::DOUBLE + 0.05 AS y FROM customer) SELECT point_id, arg_min(polygon_id, ord) AS polygon_id FROM p JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY 1")
 def point_in_polygon_join(t) -> DataFrame:
+    return spatial.point_in_polygon(*_places(t)).select("point_id", "polygon_id")
+
+
+@reg.add(f"WITH b AS ({BOXES}), p AS (SELECT c_custkey AS point_id, (c_custkey * 37 % 1300) / 10.0::DOUBLE + 0.05 AS x, (c_custkey * 53 % 1100) / 10.0::DOUBLE + 0.05 AS y FROM customer), h AS (SELECT DISTINCT point_id FROM p JOIN b ON x >= x0 AND x < x1 AND y >= y0 AND y < y1) SELECT (SELECT count(*) FROM h) AS matched, (SELECT count(*) FROM p) - (SELECT count(*) FROM h) AS unmatched")
+def points_outside(t) -> DataFrame:
+    """How many points polygons hold, and how many none does."""
+    return spatial.located(*_places(t))[1]
+
+
+def _places(t) -> tuple[DataFrame, DataFrame]:
     k = F.col("n_nationkey")
     x0, y0 = (k % 5) * 20.0, F.floor(k / 5) * 20.0
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -76,7 +86,7 @@ def point_in_polygon_join(t) -> DataFrame:
     polygons = t.nation.select(k.alias("polygon_id"), k.alias("ord"), ring.alias("ring"))
     c = F.col("c_custkey")
     points = t.customer.select(c.alias("point_id"), ((c * 37 % 1300) / 10.0 + 0.05).alias("x"), ((c * 53 % 1100) / 10.0 + 0.05).alias("y"))
-    return spatial.point_in_polygon(points, polygons).select("point_id", "polygon_id")
+    return points, polygons
 
 
 @reg.add("WITH tgt AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1) SELECT k, v FROM tgt UNION ALL SELECT k, 'order ' || o FROM r WHERE k NOT IN (SELECT k FROM tgt)")

@@ -238,3 +238,15 @@ def test_fields_are_cleaned_by_type(spark):
     }
     assert [(r.raw, r.corrected) for r in fields.newly_learned(out).collect()] == [("t", "Male")]
     assert all(r.original is None for r in out.where("field = 'ssn'").collect())
+
+
+def test_matches_of_a_hot_key_grow_with_rows(spark):
+    """Equal rows are members of a class: no more rows come out than go in, and the classes stand for every pair."""
+    n = 3000
+    rows = spark.range(n).select("id", F.lit("b").alias("block"), F.lit("x@y.z").alias("email"), F.when(F.col("id") % 2 == 0, "12 King Street").otherwise("12 King Stret").alias("address"), F.lit("Toronto").alias("city"))
+    classes = linkage.match_classes(rows, None, ["block"])
+    pairs = {(r.rule, r.class_a, r.class_b): (r.records_a, r.records_b) for r in classes.pairs.collect()}
+    assert pairs == {("email", 0, 0): (n, n), ("address", 0, 0): (n // 2, n // 2), ("address", 1, 1): (n // 2, n // 2), ("address", 0, 1): (n // 2, n // 2)}
+    assert classes.members.count() == 2 * n
+    some = linkage.match_classes(rows.where("id < 30"), None, ["block"])
+    assert linkage.expanded(some).count() == 30 * 29 // 2
