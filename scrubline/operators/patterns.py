@@ -68,6 +68,33 @@ def promoted(uses: DataFrame, key: list[str], now: Column) -> DataFrame:
     return out.withColumns({"state": state, "strength": F.col("rate") * F.pow(F.lit(0.95), F.date_diff(now, F.to_date("last_used")))})
 
 
+def pattern_states(uses: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, day, uses, state): what each pattern is at the end of every day on which it was used; uses: (key, ts, order, source, success).
+
+    A candidate, or one that was demoted, is promoted at 5 uses and 3 sources in all, three in four of them successes and of
+    the last ten too; a promoted one is demoted when its last ten succeed 0.15 less often than all. A day is so a function of
+    the state, and the days of a pattern are folded in order. Minutes and then days keep their last ten uses only, and a source
+    counts on its first day, so no task sees all uses of a pattern.
+    """
+    day = F.to_date("ts")
+    last = lambda c: F.slice(F.reverse(F.array_sort(c)), 1, 10)
+    each = uses.select(*key, day.alias("day"), F.date_trunc("minute", "ts").alias("minute"), "source", F.col("success").cast("int").alias("ok"), F.struct("ts", order, F.col("success").cast("int").alias("ok")).alias("u"))
+    minutes = each.groupBy(*key, "day", "minute").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"), last(F.collect_list("u")).alias("last"))
+    days = minutes.groupBy(*key, "day").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"), last(F.flatten(F.collect_list("last"))).alias("last"))
+    sources = each.groupBy(*key, "source").agg(F.min("day").alias("day")).groupBy(*key, "day").agg(F.count("*").alias("new_sources"))
+    so_far = Window.partitionBy(*key).orderBy("day")
+    # each day has a use at least, so ten days have the last ten
+    known = days.join(sources, [*key, "day"], "left").withColumns({"uses": F.sum("n").over(so_far), "won": F.sum("ok").over(so_far), "sources": F.sum(F.coalesce("new_sources", F.lit(0))).over(so_far), "ten": last(F.flatten(F.collect_list("last").over(so_far.rowsBetween(-9, 0))))})
+    recent = F.aggregate("ten", F.lit(0), lambda s, u: s + u["ok"]) / F.size("ten")
+    rate = F.col("won") / F.col("uses")
+    up = (F.col("uses") >= 5) & (F.col("sources") >= 3) & (rate >= 0.75) & (recent >= 0.75)
+    down = rate - recent > 0.15
+    line = known.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("day", "uses", up.alias("up"), down.alias("down")))).alias("days"))
+    step = """aggregate(days, array(named_struct('day', CAST(NULL AS DATE), 'uses', 0L, 'state', 'candidate')), (a, d) -> concat(a, array(named_struct('day', d.day, 'uses', d.uses, 'state',
+        CASE WHEN element_at(a, -1).state = 'promoted' THEN IF(d.down, 'demoted', 'promoted') WHEN d.up THEN 'promoted' ELSE element_at(a, -1).state END))))"""
+    return line.select(*key, F.explode(F.expr(f"slice({step}, 2, size(days))")).alias("d")).select(*key, "d.*")
+
+
 def hinted_confidence(confidence: Column, hint: Column, cap: float = 0.84) -> Column:
     """Confidence raised to the hint, at most to the cap, and never lowered."""
     return F.greatest(confidence, F.least(hint, F.lit(cap)))

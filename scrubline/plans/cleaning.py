@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, places, text
 from ..functions.missing import is_blank
-from ..operators import fields, learning, lookups, tables
+from ..operators import fields, isolation, learning, lookups, tables
 from . import pipeline
 from .registry import Registry
 
@@ -492,6 +492,19 @@ def error_isolation(t) -> DataFrame:
     return pipeline.typed(raw, {"age": "int"}).select("id", "age", "error")
 
 
+def _months(batch) -> dict[str, list]:
+    """For a step's test: the age as a number of months; it fails on texts that are no number."""
+    return {"months": [None if v is None else 12 * int(v) for v in batch.column(batch.schema.names.index("age")).to_pylist()]}
+
+
+@reg.add("SELECT id, CASE WHEN id % 10 = 0 THEN age || 'x' ELSE age::VARCHAR END AS age, CASE WHEN id % 10 <> 0 THEN 12 * age END AS months, id % 10 = 0 AND age IS NOT NULL AS failed, CASE WHEN id % 10 = 0 AND age IS NOT NULL THEN 1 ELSE 0 END AS audit_entries FROM listings", "listings")
+def step_isolation(t) -> DataFrame:
+    """A step in Python that raises on some rows: these have an error and an audit entry, the others their values."""
+    raw = t.listings.select("id", F.expr("CASE WHEN id % 10 = 0 THEN concat(CAST(age AS STRING), 'x') ELSE CAST(age AS STRING) END").alias("age"))
+    out = isolation.isolated(raw, "months", _months, "months long")
+    return out.select("id", "age", "months", F.col("error").isNotNull().alias("failed"), F.size("audit").alias("audit_entries"))
+
+
 @reg.add()
 def domain_config(t) -> DataFrame:
     """The domains' steps in running order, with how many values each changed in listings."""

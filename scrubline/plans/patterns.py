@@ -61,6 +61,20 @@ def promoted_patterns(t) -> DataFrame:
     return out.select(*KEYS, "uses", "sources", F.round("strength", 6).alias("strength"), "state")
 
 
+@reg.add(
+    f""", e AS (SELECT {K}, ts::DATE AS day, ts, event_id, url_host, success::INT AS ok, count(*) OVER w AS uses, sum(success::INT) OVER w AS won, list(success::INT) OVER (PARTITION BY {K} ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ten,
+  row_number() OVER (PARTITION BY {K}, url_host ORDER BY ts, event_id) = 1 AS first_use FROM query_outcomes WINDOW w AS (PARTITION BY {K} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, sum(first_use::INT) OVER (PARTITION BY {K} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sources, row_number() OVER (PARTITION BY {K}, day ORDER BY ts DESC, event_id DESC) AS back FROM e),
+d AS (SELECT *, won / uses AS rate, list_sum(ten) / len(ten) AS recent FROM s WHERE back = 1),
+c AS (SELECT *, CASE WHEN uses >= 5 AND sources >= 3 AND rate >= 0.75 AND recent >= 0.75 THEN 2 ELSE 0 END + CASE WHEN rate - recent > 0.15 THEN 1 ELSE 0 END AS code FROM d),
+f AS (SELECT *, list_reduce(list(code) OVER (PARTITION BY {K} ORDER BY day ROWS UNBOUNDED PRECEDING), lambda s, x: CASE WHEN s = 1 THEN CASE WHEN x % 2 = 1 THEN 2 ELSE 1 END WHEN x >= 2 THEN 1 ELSE s END, 0) AS st FROM c)
+SELECT {K}, day, uses, ['candidate', 'promoted', 'demoted'][st + 1] AS state FROM f""",
+    "query_outcomes",
+)
+def pattern_states(t) -> DataFrame:
+    return patterns.pattern_states(t.query_outcomes.withColumn("source", F.col("url_host")), KEYS, "event_id")
+
+
 @reg.add(f"SELECT {K}, count(*) AS uses, round(avg(success::INT), 6) AS hit_rate, date_diff('day', max(ts)::DATE, {NOW}) > 7 AS idle FROM query_outcomes GROUP BY ALL", "query_outcomes")
 def pattern_health(t) -> DataFrame:
     return patterns.pattern_health(t.query_outcomes, KEYS, F.expr(NOW))

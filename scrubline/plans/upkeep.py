@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import lookups, retrieval, spatial, tables, vectors
+from ..operators import buckets, lookups, retrieval, scratch, spatial, tables, vectors
 from ..sources import load
 from .registry import Registry
 
@@ -106,6 +107,18 @@ def upsert(t) -> DataFrame:
     return tables.upsert(target, rows, ["k"], ["v"], "o_orderkey")
 
 
+@reg.add(
+    "WITH tgt AS (SELECT o_custkey AS k, min(o_orderkey) AS v FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, c_name FROM customer)"
+    " SELECT coalesce(tgt.k, r.k) AS k, coalesce(c_name, 'order ' || v) AS v FROM tgt FULL JOIN r ON tgt.k = r.k"
+)
+def stored_upsert(t) -> DataFrame:
+    """A stored table of customers with orders, in buckets, after an upsert of all customers."""
+    first = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.concat(F.lit("order "), F.min("o_orderkey")).alias("v"))
+    table = buckets.Stored(t.spark, f"{scratch.shared_dir(t.spark)}/stored-{uuid.uuid4().hex}", ("k",), 16).create(first)
+    table.upsert(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit(1).alias("n")), ["v"], "n")
+    return table.read()
+
+
 @reg.add("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def uncleaned_only(t) -> DataFrame:
     return tables.uncleaned_only(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("raw_data_id")))
