@@ -16,6 +16,7 @@ STREET_TYPES = {
     "ct": "Court", "ctr": "Center", "pk": "Park", "pkwy": "Parkway", "ter": "Terrace", "pl": "Place", "sq": "Square",
 }
 TRAILING_TYPES = {"St": "Street", "Ave": "Avenue", "Blvd": "Boulevard", "Rd": "Road", "Dr": "Drive", "Ln": "Lane", "Pl": "Place", "Cir": "Circle", "Ct": "Court", "Terr": "Terrace"}
+# Team names and what is meant; patterns of product names in order.
 TEAM_ALIASES = {
     "leafs": "toronto maple leafs", "maple leafs": "toronto maple leafs", "toronto leafs": "toronto maple leafs", "habs": "montreal canadiens",
     "canadiens": "montreal canadiens", "sens": "ottawa senators", "senators": "ottawa senators", "jets": "winnipeg jets", "flames": "calgary flames",
@@ -70,10 +71,15 @@ def team_name(c: Column, aliases: dict[str, str] = TEAM_ALIASES) -> Column:
     return reduce(lambda out, kv: F.when(key == kv[0], kv[1]).otherwise(out), reversed(aliases.items()), F.trim(c))
 
 
+def sides_of(c: str | Column) -> tuple[Column, Column]:
+    """The two sides of an event's name; empty if it has none."""
+    pattern = r"(?i)^(.+?)\s+(?:vs\.?|@|at)\s+(.+)$"
+    return F.regexp_extract(F.trim(col(c)), pattern, 1), F.regexp_extract(F.trim(col(c)), pattern, 2)
+
+
 def normalize_event_name(c: str | Column, aliases: dict[str, str] = TEAM_ALIASES) -> Column:
     """'A vs B' with canonical names, from A (vs, vs., @, at) B; other texts stay. Equal up to case: stays."""
-    pattern = r"(?i)^(.+?)\s+(?:vs\.?|@|at)\s+(.+)$"
-    left, right = F.regexp_extract(F.trim(col(c)), pattern, 1), F.regexp_extract(F.trim(col(c)), pattern, 2)
+    left, right = sides_of(c)
     new = F.concat(team_name(left, aliases), F.lit(" vs "), team_name(right, aliases))
     return F.when((left != "") & (F.lower(new) != F.lower(col(c))), new).otherwise(col(c))
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.missing import is_blank
 from ..functions.places import COUNTRY_ALIASES, country_code
-from ..functions.text import title_case
+from ..functions.text import sides_of, team_name, title_case
 from .tables import insert_ignore
 
 
@@ -125,6 +125,16 @@ def read_evidence(results: DataFrame, gap: str = "gap", text: str = "text") -> D
     return results.select("*", F.explode(F.array_compact(F.array(parse_evidence(F.col(gap), F.col(text))))).alias("e"))
 
 
+def normalize_events(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """df with ``column`` as 'A vs B' in canonical names, by aliases (alias, canonical) before the built-in ones; of several the least."""
+    table = F.broadcast(aliases.groupBy(F.lower(F.trim("alias")).alias("_alias")).agg(F.min("canonical").alias("_name"))) if aliases.limit(OVERRIDES + 1).count() <= OVERRIDES else aliases.groupBy(F.lower(F.trim("alias")).alias("_alias")).agg(F.min("canonical").alias("_name"))
+    out = df.withColumns({f"_{side}": part for side, part in zip("lr", sides_of(column), strict=True)})
+    for side in "lr":
+        out = out.join(table, F.lower(F.trim(f"_{side}")) == F.col("_alias"), "left").withColumn(f"_{side}", F.when(F.col(f"_{side}") != "", F.coalesce("_name", team_name(F.col(f"_{side}"))))).drop("_alias", "_name")
+    new = F.concat("_l", F.lit(" vs "), "_r")
+    return out.withColumn(column, F.when(F.lower(new) != F.lower(F.col(column)), new).otherwise(F.col(column))).drop("_l", "_r")
+
+
 def plan_lookup(signatures: DataFrame, plans: DataFrame, now: Column, known: list[str]) -> DataFrame:
     """signatures (id, signature) with the steps of the plan that hasn't expired, known ones in the known order; of several
     plans of a signature that which expires last, then the greatest."""

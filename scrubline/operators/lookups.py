@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import additive_score
 from ..functions.missing import filled, is_blank
-from ..functions.text import geocode_key
+from ..functions.text import extract_json, geocode_key
 
 
 def fsa_of(postal: str | Column) -> Column:
@@ -70,10 +71,20 @@ def geocode_join(df: DataFrame, geocodes: DataFrame, now: Column, ttl_days: int
 
 def resolve_municipality(df: DataFrame) -> DataFrame:
     """The first of cache, boundary and geocode that gives one, with its source and confidence; else for review.
-    df: fsa_municipality, boundary_municipality, geocode_confidence, municipality."""
-    source = F.when(F.col("fsa_municipality").isNotNull(), "cache").when(F.col("boundary_municipality").isNotNull(), "boundary").when(F.col("geocode_confidence") >= 0.90, "geocode").otherwise("review")
-    value = F.coalesce("fsa_municipality", "boundary_municipality", F.when(F.col("geocode_confidence") >= 0.90, F.col("city")), filled("municipality"))
-    sure = F.when(source == "cache", 0.95).when(source == "boundary", 0.85).when(source == "geocode", F.col("geocode_confidence")).otherwise(0.0)
+    df: fsa_municipality, boundary_municipality, geocode_confidence, municipality, address.
+
+    A boundary scores by what agrees with it (``additive_score``); under 0.60 without a municipality given to compare it
+    with, it is not believed but escalated.
+    """
+    upstream = filled(F.trim("municipality"))
+    agrees = F.lower(upstream) == F.lower(F.col("boundary_municipality"))
+    score = additive_score(F.col("fsa_municipality").eqNullSafe(F.col("boundary_municipality")), F.col("boundary_municipality").isNotNull(), F.coalesce(agrees, F.lit(False)), ~is_blank("address"), F.coalesce(~agrees, F.lit(False)))["score"]
+    unsure = (score < 0.60) & upstream.isNull()
+    sources = {"cache": F.col("fsa_municipality").isNotNull(), "boundary": F.col("boundary_municipality").isNotNull() & ~unsure, "escalate": F.col("boundary_municipality").isNotNull(), "geocode": F.col("geocode_confidence") >= 0.90}
+    source = F.coalesce(*[F.when(c, n) for n, c in sources.items()], F.lit("review"))
+    values = {"cache": (F.col("fsa_municipality"), F.lit(0.95)), "boundary": (F.col("boundary_municipality"), score), "escalate": (F.lit(None).cast("string"), score), "geocode": (F.col("city"), F.col("geocode_confidence"))}
+    value = F.coalesce(*[F.when(source == n, v) for n, (v, _) in values.items()], F.when(source != "escalate", filled("municipality")))
+    sure = F.coalesce(*[F.when(source == n, c) for n, (_, c) in values.items()], F.lit(0.0))
     return df.withColumns({"resolved_municipality": value, "resolved_by": source, "resolved_confidence": sure})
 
 
@@ -101,6 +112,36 @@ def score_cases(scores: DataFrame) -> DataFrame:
     return scores.withColumn("overall", overall).withColumn("verdict", F.when(F.col("overall") >= 0.8, "pass").when(F.col("overall") >= 0.5, "partial").otherwise("fail"))
 
 
+DIMENSIONS = ("correctness", "format", "instruction_following")
+_JUDGED = "struct<dimensions: struct<correctness: double, format: double, instruction_following: double>, overall_verdict: string, judge_reasoning: string, criteria_results: array<struct<criterion: string, pass: boolean, score: double, reason: string>>>"
+
+
+def score_judgements(answers: DataFrame) -> DataFrame:
+    """answers (raw, criteria, error) with the three scores, overall, verdict, criteria_results and judge_error, from a judge's free text.
+
+    A missing score is 0.5. The verdict is the judge's own, else by the mean. A judge that gives no results for the criteria has
+    them inferred from the mean. A text without JSON, no text, or an error: all scores 0.5, partial, no results, and judge_error.
+    """
+    told = F.from_json(extract_json("raw"), _JUDGED)
+    out = answers.withColumn("_j", told).withColumn("judge_error", F.coalesce(F.col("error"), F.when(F.col("raw").isNull(), "Judge not run").when(F.col("_j").isNull(), F.concat(F.lit("Parse failed. Raw: "), F.substring("raw", 1, 200)))))
+    fine = F.col("judge_error").isNull()
+    out = out.withColumns({d: F.when(fine, F.round(F.coalesce(F.col(f"_j.dimensions.{d}"), F.lit(0.5)), 3)).otherwise(0.5) for d in DIMENSIONS})
+    exact = sum((F.coalesce(F.col(f"_j.dimensions.{d}"), F.lit(0.5)) for d in DIMENSIONS[1:]), F.coalesce(F.col(f"_j.dimensions.{DIMENSIONS[0]}"), F.lit(0.5))) / F.lit(3.0)
+    mean = F.when(fine, exact).otherwise(0.5)
+    by_mean = F.when(mean >= 0.8, "pass").when(mean >= 0.5, "partial").otherwise("fail")
+    inferred = F.transform("criteria", lambda c: F.struct(c.alias("criterion"), (mean >= 0.5).alias("pass"), mean.alias("score"), F.lit("Inferred from dimension scores").alias("reason")))
+    given = F.col("_j.criteria_results")
+    none = F.array().cast("array<struct<criterion: string, pass: boolean, score: double, reason: string>>")
+    results = F.when(~fine, none).when(F.size(given) > 0, given).otherwise(F.coalesce(inferred, none))
+    return out.withColumns({"overall": F.round(mean, 3), "verdict": F.when(fine, F.coalesce(F.col("_j.overall_verdict"), by_mean)).otherwise("partial"), "criteria_results": results}).drop("_j")
+
+
+def verdict_counts(scored: DataFrame) -> DataFrame:
+    """(verdict, n): how often each verdict was given, zero too."""
+    one = scored.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("pass", "partial", "fail")])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(v).alias("n")) for v in ("pass", "partial", "fail")])).alias("x")).select("x.*")
+
+
 def eval_summary(scores: DataFrame) -> DataFrame:
     """(dimension, mean, least, most, n) over judged cases, to three places."""
     long = scores.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("v")) for d in ("correctness", "format", "instruction_following")])).alias("x"))

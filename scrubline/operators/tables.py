@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import violations
 from ..functions.missing import filled, is_blank
 
 
@@ -100,6 +101,16 @@ def update_fields(df: DataFrame, updates: DataFrame, fields: list[str], rejects:
     return done, both.where(refused).select("id", F.col("_why").alias("reasons"))
 
 
+def update_reasons(fields: list[str]) -> Column:
+    """What keeps an update from being written, for ``update_fields``: only given values are checked, state and phone by the
+    country as it would be."""
+    asked = lambda f: F.coalesce(F.col(f"_{f}").cast("string"), F.lit("")) != "" if f in fields else F.lit(False)
+    told = violations()
+    by = {"age": ("age",), "country": ("country",), "state_province": ("state_abbreviation", "state_unknown"), "phone": ("nl_phone",)}
+    wanted = F.array_compact(F.array(*[F.when(asked(f), n) for f, names in by.items() for n in names]))
+    return F.array_intersect(told, wanted)
+
+
 def delete_guarded(df: DataFrame, cleaned: DataFrame, deletes: DataFrame) -> DataFrame:
     """df without the rows whose delete (id, confirm, override) is confirmed by 'yes', and not of a cleaned row unless overridden."""
     used = cleaned.select(F.col("raw_data_id").alias("id")).distinct().withColumn("_used", F.lit(True))

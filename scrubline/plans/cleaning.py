@@ -57,6 +57,17 @@ def spell_dictionary(t) -> DataFrame:
     return learning.spell_dictionary(t.listings, "city", terms)
 
 
+@reg.add(
+    """WITH terms AS (SELECT * FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term, count(*) AS n FROM documents GROUP BY 1) WHERE n >= 5),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS value FROM benchmark), w AS (SELECT value FROM v WHERE length(value) > 1 AND value NOT IN (SELECT term FROM terms))
+SELECT value, term AS suggestion, 1 AS distance FROM (SELECT value, term, row_number() OVER (PARTITION BY value ORDER BY n DESC, term) AS r FROM w JOIN terms ON damerau_levenshtein(value, term) = 1) WHERE r = 1"""
+)
+def spell_from_documents(t) -> DataFrame:
+    """Words of the benchmark that documents don't have, by the dictionary of the documents."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word"))
+    return learning.spell_dictionary(words, "word", learning.build_dictionary(t.documents))
+
+
 def _sql_standard() -> str:
     out = "address"
     for k, v in {**text.QUADRANTS, **text.STREET_TYPES}.items():
@@ -116,6 +127,18 @@ def normalize_event_name(t) -> DataFrame:
     return t.ticket_events.select("event_id", text.normalize_event_name("event_name").alias("event_name"))
 
 
+@reg.add(
+    rf""", a AS (SELECT lower(trim(home_team)) AS alias, 'the ' || min(home_team) AS name FROM ticket_events GROUP BY 1), s AS (SELECT event_id, event_name, regexp_extract(trim(event_name), '^(.+?)\s+(?:vs\.?|@|at)\s+(.+)$', 1, 'i') AS l, regexp_extract(trim(event_name), '^(.+?)\s+(?:vs\.?|@|at)\s+(.+)$', 2, 'i') AS r FROM ticket_events),
+n AS (SELECT s.*, coalesce(x.name, {_sql_team('l')}) || ' vs ' || coalesce(y.name, {_sql_team('r')}) AS new FROM s LEFT JOIN a x ON x.alias = lower(trim(l)) LEFT JOIN a y ON y.alias = lower(trim(r)))
+SELECT event_id, CASE WHEN l <> '' AND lower(new) <> lower(event_name) THEN new ELSE event_name END AS event_name FROM n""",
+    "ticket_events",
+)
+def normalize_event_aliases(t) -> DataFrame:
+    """Names by a table of aliases, the home teams, before the built-in ones."""
+    aliases = t.ticket_events.select(F.col("home_team").alias("alias"), F.concat(F.lit("the "), "home_team").alias("canonical"))
+    return learning.normalize_events(t.ticket_events.select("event_id", "event_name"), "event_name", aliases.distinct())
+
+
 @reg.add(
     ", s AS (SELECT *, coalesce(nullif(product_name, ''), nullif(ticket_type, '')) AS x FROM ticket_products), c AS (SELECT *, CASE "
     + " ".join(f"WHEN regexp_matches(x, '{p}', 'i') THEN '{k}'" for k, p in text.PRODUCT_PATTERNS.items())

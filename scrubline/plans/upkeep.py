@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..operators import buckets, lookups, retrieval, scratch, spatial, tables, vectors
 from ..sources import load
+from . import cleaning, pipeline
 from .registry import Registry
 
 reg = Registry()
@@ -27,10 +28,29 @@ def read_table(t) -> DataFrame:
     return load.read_table(t.spark, "parquet", f"{t.sf_dir}/region.parquet")
 
 
-@reg.add(", r AS (SELECT ' ' || upper(wrong) || ' ' AS wrong, upper(fixed) AS fixed FROM spell_overrides) SELECT lower(trim(wrong)) AS wrong, lower(trim(fixed)) AS fixed, 'manual_seed' AS source, 1::DOUBLE AS confidence, 'real_estate' AS domain FROM r", "spell_overrides")
+@reg.add(
+    ", seen AS (SELECT DISTINCT lower(city) AS wrong FROM listings WHERE city <> '') SELECT wrong, wrong AS fixed, 'seen' AS source, 0.5::DOUBLE AS confidence, 'real_estate' AS domain FROM seen UNION ALL SELECT wrong, fixed, CASE WHEN length(wrong) > 8 THEN 'mine' ELSE 'manual_seed' END, 1::DOUBLE, 'real_estate' FROM spell_overrides WHERE wrong NOT IN (SELECT wrong FROM seen)",
+    "listings", "spell_overrides",
+)
 def load_corrections_csv(t) -> DataFrame:
-    raw = t.spell_overrides.select(F.concat(F.lit(" "), F.upper("wrong"), F.lit(" ")).alias("wrong"), F.upper("fixed").alias("right"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("confidence"))
-    return load.corrections(raw, "real_estate")
+    """A file of corrections read into a table that has the cities' own spellings."""
+    place = f"{scratch.shared_dir(t.spark)}/corrections-{uuid.uuid4().hex}"
+    raw = t.spell_overrides.select(F.concat(F.lit(" "), F.upper("wrong"), F.lit(" ")).alias("wrong"), F.upper("fixed").alias("right"), F.when(F.length("wrong") > 8, "mine").alias("source"), F.lit(None).cast("double").alias("confidence"))
+    raw.write.option("header", "true").csv(place)
+    seen = t.listings.where("city <> ''").select(F.lower("city").alias("wrong")).distinct()
+    target = seen.select("wrong", F.col("wrong").alias("fixed"), F.lit("seen").alias("source"), F.lit(0.5).alias("confidence"), F.lit("real_estate").alias("domain"))
+    return load.load_corrections(t.spark, place, "real_estate", target)
+
+
+@reg.add(
+    ", k AS (SELECT DISTINCT domain, url_host FROM query_outcomes WHERE success) SELECT domain, url_host, 0.5::DOUBLE AS trust_score FROM k UNION SELECT domain, url_host, 0.8::DOUBLE FROM query_outcomes o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.domain = o.domain AND k.url_host = o.url_host)",
+    "query_outcomes",
+)
+def load_trusted_sources(t) -> DataFrame:
+    """Packs trust all hosts; those that answered before are in the registry already."""
+    known = t.query_outcomes.where("success").select("domain", "url_host", F.lit(0.5).alias("trust_score")).distinct()
+    packs = t.query_outcomes.groupBy("domain").agg(F.collect_set("url_host").alias("trusted_sources"))
+    return load.trusted_sources(packs, known)
 
 
 @reg.add(
@@ -44,14 +64,18 @@ def load_query_packs(t) -> DataFrame:
 
 
 @reg.add(
-    ", m AS (SELECT flag_type AS table_name, severity AS column_name, count(*) AS n FROM flags GROUP BY 1, 2) SELECT 'd' AS domain, table_name, column_name, 'seen ' || n AS description, '{\"missing\":true}' AS gap_detection FROM m",
+    ", m AS (SELECT flag_type AS table_name, severity AS column_name, count(*) AS n FROM flags GROUP BY 1, 2), o AS (SELECT DISTINCT 'd' AS domain, flag_type AS table_name, 'id' AS column_name, 'an id' AS description, NULL::VARCHAR AS gap_detection FROM flags UNION SELECT 'e', flag_type, severity, 'another domain', NULL FROM flags)"
+    " SELECT * FROM o UNION ALL SELECT 'd' AS domain, table_name, column_name, 'seen ' || n AS description, '{\"missing\":true}' AS gap_detection FROM m",
     "flags",
 )
 def load_column_metadata(t) -> DataFrame:
+    """Nested metadata upserted into a table with older descriptions, other columns and another domain."""
     rows = t.flags.groupBy(F.col("flag_type").alias("table_name"), F.col("severity").alias("column")).agg(F.count("*").alias("n"))
     nested = rows.groupBy("table_name").agg(F.collect_list(F.struct("column", F.concat(F.lit("seen "), F.col("n")).alias("description"), F.struct(F.lit(True).alias("missing")).alias("gap_detection"))).alias("columns"))
     nested = nested.groupBy(F.lit("d").alias("domain")).agg(F.map_from_entries(F.collect_list(F.struct("table_name", "columns"))).alias("tables"))
-    return load.column_metadata(nested)
+    old = lambda domain, column, text: t.flags.select(F.lit(domain).alias("domain"), F.col("flag_type").alias("table_name"), column.alias("column_name"), F.lit(text).alias("description"), F.lit(None).cast("string").alias("gap_detection")).distinct()
+    target = old("d", F.lit("id"), "an id").unionByName(old("d", F.col("severity"), "older")).unionByName(old("e", F.col("severity"), "another domain"))
+    return load.load_column_metadata(nested, target)
 
 
 @reg.add(
@@ -140,29 +164,48 @@ def merge_results(t) -> DataFrame:
     return tables.merge_results(raw, out, ["municipality"]).select("id", "municipality", "validation_notes")
 
 
-@reg.add(", f AS (SELECT id, unnest([x FOR x IN [CASE WHEN coalesce(trim(country), '') = '' THEN 'country' END, CASE WHEN coalesce(trim(municipality), '') = '' THEN 'municipality' END] IF x IS NOT NULL]) AS flags FROM listings) SELECT id, flags FROM f", "listings")
+@reg.add(
+    f""", d AS (SELECT l.*, {cleaning.sql_spell('city')} AS city2, {cleaning._sql_standard()} AS address2 FROM listings l LEFT JOIN spell_overrides o ON lower(city) = o.wrong)
+SELECT 'cleaned' AS kind, id, NULL AS what FROM d UNION ALL SELECT 'audit', id, 'spell_override' FROM d WHERE city2 IS DISTINCT FROM city UNION ALL SELECT 'audit', id, 'standardize_address' FROM d WHERE address2 IS DISTINCT FROM address
+UNION ALL SELECT 'flag', id, 'country' FROM d WHERE coalesce(trim(country), '') = '' UNION ALL SELECT 'flag', id, 'municipality' FROM d WHERE coalesce(trim(municipality), '') = ''""",
+    "listings", "spell_overrides",
+)
 def persist_cleaned(t) -> DataFrame:
+    """Cleaned rows, their audit and their flags as written to the three tables of a run."""
     from ..functions.missing import is_blank
 
+    place = f"{scratch.shared_dir(t.spark)}/run-{uuid.uuid4().hex}"
     flags = checks.array_of(*[F.when(is_blank(c), c) for c in ("country", "municipality")])
-    return tables.exploded(t.listings.select("id", flags.alias("flags")), "flags", "id")
+    tables.persist(pipeline.deterministic(t.listings, t.spell_overrides).withColumn("flags", flags), place, "r1")
+    read = lambda name, what: t.spark.read.parquet(f"{place}/{name}").select(F.lit(name.rstrip("s")).alias("kind"), "id", what.cast("string").alias("what"))
+    return read("cleaned", F.lit(None)).unionByName(read("audit", F.col("skill"))).unionByName(read("flags", F.col("flags")))
 
 
-@reg.add(
-    "SELECT id, CASE WHEN id % 4 = 0 AND NOT (id % 8 = 0) THEN 30 ELSE age END AS age FROM listings",
-    "listings",
-)
+#: Updates of listings by the orders of the customer with the same number.
+SQL_UPDATES = """, u AS (SELECT o_custkey AS id, CAST(count(*) * 9 AS INT) AS age, CASE WHEN max(o_orderkey) % 3 = 0 THEN 'Netherlands' WHEN max(o_orderkey) % 3 = 1 THEN 'USA' END AS country,
+ CASE min(o_orderkey) % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'California' WHEN 2 THEN 'Nowhere' END AS state_province, CASE min(o_orderkey) % 3 WHEN 0 THEN '+31 20 1' WHEN 1 THEN '020 1' END AS phone FROM orders GROUP BY 1),
+e AS (SELECT l.id, u.id AS asked, u.age AS a2, u.country AS c2, u.state_province AS s2, u.phone AS p2, l.age, l.country, l.state_province, l.phone, coalesce(u.country, l.country) AS c FROM listings l LEFT JOIN u ON l.id = u.id),
+v AS (SELECT *, [x FOR x IN [CASE WHEN a2 NOT BETWEEN 1 AND 120 THEN 'age' END, CASE WHEN c IN ('USA', 'usa') AND s2 IS NOT NULL THEN CASE s2 WHEN 'CA' THEN 'state_abbreviation' WHEN 'Nowhere' THEN 'state_unknown' END END, CASE WHEN c = 'Netherlands' AND p2 = '020 1' THEN 'nl_phone' END] IF x IS NOT NULL] AS why FROM e)"""
+_UPDATED = ["age", "country", "state_province", "phone"]
+
+
+def _updated(t) -> tuple[DataFrame, DataFrame]:
+    low, high = F.min("o_orderkey"), F.max("o_orderkey")
+    asked = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(
+        (F.count("*") * 9).cast("int").alias("age"), F.when(high % 3 == 0, "Netherlands").when(high % 3 == 1, "USA").alias("country"),
+        F.when(low % 4 == 0, "CA").when(low % 4 == 1, "California").when(low % 4 == 2, "Nowhere").alias("state_province"), F.when(low % 3 == 0, "+31 20 1").when(low % 3 == 1, "020 1").alias("phone"),
+    )
+    return tables.update_fields(t.listings.select("id", *_UPDATED), asked, _UPDATED, tables.update_reasons(_UPDATED))
+
+
+@reg.add(SQL_UPDATES + " SELECT id, " + ", ".join(f"CASE WHEN len(why) = 0 THEN coalesce({n}, {c}) ELSE {c} END AS {c}" for n, c in (("a2", "age"), ("c2", "country"), ("s2", "state_province"), ("p2", "phone"))) + " FROM v", "listings")
 def update_fields(t) -> DataFrame:
-    updates = t.listings.where("id % 4 = 0").select("id", F.expr("CASE WHEN id % 8 = 0 THEN 200 ELSE 30 END").alias("age"))
-    df = t.listings.select("id", "age")
-    return tables.update_fields(df, updates, ["age"], checks.array_of(F.when(~F.col("age").between(1, 120), "age")))[0]
+    return _updated(t)[0]
 
 
-@reg.add("SELECT id, 'age' AS reasons FROM listings WHERE id % 8 = 0", "listings")
+@reg.add(SQL_UPDATES + " SELECT id, array_to_string(why, ',') AS reasons FROM v WHERE asked IS NOT NULL AND len(why) > 0", "listings")
 def update_rejects(t) -> DataFrame:
-    updates = t.listings.where("id % 4 = 0").select("id", F.expr("CASE WHEN id % 8 = 0 THEN 200 ELSE 30 END").alias("age"))
-    rejected = tables.update_fields(t.listings.select("id", "age"), updates, ["age"], checks.array_of(F.when(~F.col("age").between(1, 120), "age")))[1]
-    return rejected.select("id", F.array_join("reasons", ",").alias("reasons"))
+    return _updated(t)[1].select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @reg.add("SELECT c_custkey AS id FROM customer WHERE NOT (c_custkey > 0 AND c_custkey % 3 <> 0 AND (c_custkey % 5 = 0 OR c_custkey NOT IN (SELECT o_custkey FROM orders)))")
@@ -276,6 +319,19 @@ def apply_annotations(t) -> DataFrame:
     return load.apply_annotations(c.select("table_name", "column_name"), meta, results)
 
 
+@reg.add(
+    f", c AS ({COLS}), f AS (SELECT table_name FROM c WHERE n % 5 = 0) SELECT table_name, column_name, CASE WHEN n % 3 = 0 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM c WHERE n % 2 <> 0 AND table_name NOT IN (SELECT table_name FROM f)",
+    "flags",
+)
+def low_annotations(t) -> DataFrame:
+    """What is annotated at less than 0.70; tables whose annotation failed get nothing."""
+    c = _columns(t)
+    meta = c.where("n % 2 = 0").select("table_name", "column_name", F.lit("old").alias("description"), F.lit(1.0).alias("confidence"))
+    results = c.where("n % 3 = 0").select("table_name", "column_name", F.lit("new").alias("description"), F.lit(0.6).alias("confidence"))
+    applied = load.apply_annotations(c.select("table_name", "column_name"), meta, results, failed=c.where("n % 5 = 0").select("table_name"))
+    return load.low_annotations(applied).select("table_name", "column_name", "confidence")
+
+
 _LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -358,11 +414,15 @@ def geocode_join(t) -> DataFrame:
     return lookups.geocode_join(t.listings, _geocodes(t), F.expr("timestamp'2025-01-31 00:00:00'")).select("id", "lat", "geocode_confidence")
 
 
-@reg.add()
+@reg.add(
+    SQL_GEO + """, m AS (SELECT fsa, min(normalized_municipality) AS n FROM fsa_map GROUP BY 1), r AS (SELECT v.*, m.n, CASE WHEN coalesce(trim(address), '') <> '' OR coalesce(trim(postal_code), '') <> '' THEN d IS NOT NULL AND trim(city) <> '' AND contains(lower(d), lower(city)) END AS sure FROM v LEFT JOIN m ON fsa = substr(upper(replace(postal_code, ' ', '')), 1, 3))
+SELECT id, CASE WHEN n IS NOT NULL THEN 'cache' WHEN sure THEN 'geocode' ELSE 'review' END AS resolved_by, CASE WHEN n IS NOT NULL THEN n WHEN sure THEN city ELSE nullif(municipality, '') END AS resolved_municipality, CASE WHEN n IS NOT NULL THEN 0.95::DOUBLE WHEN sure THEN 0.9::DOUBLE ELSE 0::DOUBLE END AS resolved_confidence FROM r""",
+    "listings", "fsa_map",
+)
 def resolve_municipality(t) -> DataFrame:
     df = lookups.boundary_lookup(lookups.fsa_lookup(t.listings, t.fsa_map), t.fsa_map)
     df = lookups.geocode_join(df, _geocodes(t), F.expr("timestamp'2025-01-31 00:00:00'"))
-    return lookups.resolve_municipality(df).groupBy("resolved_by").agg(F.count("*").alias("n"), F.min("resolved_confidence").alias("least"))
+    return lookups.resolve_municipality(df).select("id", "resolved_by", "resolved_municipality", "resolved_confidence")
 
 
 @reg.add("SELECT flag_type, severity, count(*) AS n, count(*) FILTER (resolved_at IS NULL) AS unresolved FROM flags GROUP BY 1, 2", "flags")
@@ -386,6 +446,30 @@ def eval_summary(t) -> DataFrame:
     return lookups.eval_summary(t.judge_scores)
 
 
+_JUDGE = """, q AS (SELECT test_case_id, user AS u, correctness AS c, format AS f, instruction_following AS i FROM (SELECT *, test_case_id % 7 AS user FROM judge_scores)),
+x AS (SELECT *, CASE WHEN u IN (5, 6) THEN 0.5::DOUBLE ELSE c END AS c2, CASE WHEN u IN (1, 5, 6) THEN 0.5::DOUBLE ELSE f END AS f2, CASE WHEN u IN (5, 6) THEN 0.5::DOUBLE ELSE i END AS i2 FROM q), m AS (SELECT *, (c2 + f2 + i2) / 3.0::DOUBLE AS mean FROM x),
+j AS (SELECT *, CASE WHEN u IN (5, 6) THEN 'partial' WHEN u = 2 THEN 'fail' WHEN mean >= 0.8 THEN 'pass' WHEN mean >= 0.5 THEN 'partial' ELSE 'fail' END AS verdict FROM m)"""
+
+
+def _judged(t) -> DataFrame:
+    """A judge's answers: plain, without a score, with its own verdict, fenced, within a sentence, unreadable, and none."""
+    kind = F.col("test_case_id") % 7
+    scores = F.struct("correctness", F.when(kind != 1, F.col("format")).alias("format"), "instruction_following").alias("dimensions")
+    told = F.to_json(F.struct(scores, F.when(kind == 2, "fail").alias("overall_verdict")))
+    raw = F.when(kind == 3, F.concat(F.lit("```json\n"), told, F.lit("\n```"))).when(kind == 4, F.concat(F.lit("I say "), told, F.lit(" and that is it"))).when(kind == 5, "no answer at all").when(kind != 6, told)
+    return lookups.score_judgements(t.judge_scores.select("test_case_id", raw.alias("raw"), F.array(F.lit("be right")).alias("criteria"), F.lit(None).cast("string").alias("error")))
+
+
+@reg.add(_JUDGE + " SELECT test_case_id, round(mean, 3) AS overall, verdict, u IN (5, 6) AS failed, CASE WHEN u IN (5, 6) THEN 0 ELSE 1 END AS criteria, CASE WHEN u NOT IN (5, 6) THEN mean >= 0.5 END AS passed FROM j", "judge_scores")
+def judge_answers(t) -> DataFrame:
+    return _judged(t).select("test_case_id", "overall", "verdict", F.col("judge_error").isNotNull().alias("failed"), F.size("criteria_results").alias("criteria"), F.get("criteria_results", F.lit(0))["pass"].alias("passed"))
+
+
+@reg.add(_JUDGE + " SELECT v AS verdict, (SELECT count(*) FROM j WHERE verdict = v) AS n FROM (VALUES ('pass'), ('partial'), ('fail')) AS t(v)", "judge_scores")
+def verdict_counts(t) -> DataFrame:
+    return lookups.verdict_counts(_judged(t))
+
+
 SQL_MEMORY = "SELECT domain, gap_type, query_template, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count, max(ts) AS last_used_at FROM query_outcomes GROUP BY 1, 2, 3"
 
 

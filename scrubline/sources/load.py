@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.places import POSTAL_LETTERS, lookup
+from ..operators import tables
 
 # The framework's own tables.
 SYSTEM_TABLES = (
@@ -32,6 +33,24 @@ def corrections(rows: DataFrame, domain: str) -> DataFrame:
     return rows.select(F.lower(F.trim("wrong")).alias("wrong"), F.lower(F.trim("right")).alias("fixed"), F.coalesce("source", F.lit("manual_seed")).alias("source"), F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"), F.lit(domain).alias("domain"))
 
 
+def load_corrections(spark: SparkSession, path: str, domain: str, target: DataFrame) -> DataFrame:
+    """target (wrong, fixed, source, confidence, domain) and the corrections of a CSV file with a header, where it has no row for a
+    word in the domain; of a word that the file repeats the first by its correction counts. Lines without a word are left out."""
+    rows = spark.read.option("header", "true").schema("wrong string, right string, source string, confidence double").csv(path)
+    return tables.insert_ignore(target, corrections(rows, domain).where("coalesce(wrong, '') <> '' AND coalesce(fixed, '') <> ''"), ["wrong", "domain"], "fixed")
+
+
+def trusted_sources(packs: DataFrame, registry: DataFrame, trust: float = 0.8) -> DataFrame:
+    """registry (domain, url_host, trust_score) and the trusted sources of packs (domain, trusted_sources) that it doesn't know."""
+    rows = packs.select("domain", F.explode("trusted_sources").alias("url_host"), F.lit(trust).alias("trust_score"))
+    return tables.insert_ignore(registry, rows, ["domain", "url_host"], "trust_score")
+
+
+def load_column_metadata(nested: DataFrame, target: DataFrame) -> DataFrame:
+    """target (domain, table_name, column_name, description, gap_detection) after an upsert of nested metadata."""
+    return tables.upsert(target, column_metadata(nested), ["domain", "table_name", "column_name"], ["description", "gap_detection"], "description")
+
+
 def query_packs(packs: DataFrame) -> DataFrame:
     """(domain, gap_type, query_template) of packs (domain, gap_types: map of gap to seed queries)."""
     return packs.select("domain", F.explode("gap_types").alias("gap_type", "seeds")).select("domain", "gap_type", F.explode("seeds").alias("query_template"))
@@ -71,9 +90,24 @@ def score_tables(names: DataFrame, request: str) -> DataFrame:
     return names.withColumn("score", F.size(F.array_intersect(words, asked))).orderBy(F.desc("score"), "table_name")
 
 
-def apply_annotations(columns: DataFrame, metadata: DataFrame, results: DataFrame, force: bool = False) -> DataFrame:
-    """(table_name, column_name, description, confidence): what is there stays unless forced, then results (300 characters at most), else the name at 0.3."""
+#: Annotations under this confidence are listed for someone to look at.
+LOW_CONFIDENCE = 0.70
+
+
+def low_annotations(applied: DataFrame) -> DataFrame:
+    return applied.where(F.col("confidence") < LOW_CONFIDENCE)
+
+
+def apply_annotations(columns: DataFrame, metadata: DataFrame, results: DataFrame, force: bool = False, failed: DataFrame | None = None) -> DataFrame:
+    """(table_name, column_name, description, confidence): what is there stays unless forced, then results (300 characters at most), else the name at 0.3.
+
+    failed: tables (table_name) whose annotation failed as a whole; they get nothing, so that they are asked for again.
+    """
     keys = ["table_name", "column_name"]
+    if failed is not None:
+        gone = failed.select("table_name").distinct()
+        results = results.join(gone, "table_name", "left_anti")
+        columns = columns.join(gone, "table_name", "left_anti").unionByName(columns.join(metadata.select(*keys), keys, "left_semi").join(gone, "table_name", "left_semi"))
     old = metadata.select(*keys, F.col("description").alias("_old"), F.col("confidence").alias("_old_c"))
     new = results.select(*keys, F.substring("description", 1, 300).alias("_new"), F.col("confidence").alias("_new_c"))
     both = columns.join(old, keys, "left").join(new, keys, "left")

@@ -250,3 +250,12 @@ def test_matches_of_a_hot_key_grow_with_rows(spark):
     assert classes.members.count() == 2 * n
     some = linkage.match_classes(rows.where("id < 30"), None, ["block"])
     assert linkage.expanded(some).count() == 30 * 29 // 2
+
+
+def test_an_unsure_boundary_escalates(spark):
+    from scrubline.operators import lookups
+
+    rows = [(1, None, "York", None, "", "1 Oak St", "X"), (2, None, "York", None, "york", "1 Oak St", "X"), (3, None, "York", 0.9, "Leeds", "", "X"), (4, "Hull", "York", 0.9, "", "", "X"), (5, None, None, 0.9, "", "", "X"), (6, None, None, 0.7, "Old", "", "X"), (7, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, fsa_municipality string, boundary_municipality string, geocode_confidence double, municipality string, address string, city string")
+    got = {r.id: (r.resolved_by, r.resolved_municipality, r.resolved_confidence) for r in lookups.resolve_municipality(df).collect()}
+    assert got == {1: ("escalate", None, 0.45), 2: ("boundary", "York", 0.65), 3: ("boundary", "York", 0.10), 4: ("cache", "Hull", 0.95), 5: ("geocode", "X", 0.9), 6: ("review", "Old", 0.0), 7: ("review", None, 0.0)}
