@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: What a component is multiplied by.
 SCALE = 1024
-#: Components are held as 64-bit integers with room to spare: those at or over this size count as not finite.
-LARGEST = float(1 << 52)
+#: Components are held as 64-bit integers, and sums of their products as numbers of 38 digits: those at or over this size count as not finite.
+LARGEST = float(1 << 48)
 #: Doubles hold integers up to here exactly, and so sums of products that stay under it.
 EXACT = 1 << 53
 MOST = (1 << 63) - 1

@@ -16,6 +16,7 @@ whichever vectors these are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_of, id_out, mapped, staged
-from .integers import kind_of, longs, matrix, usable
+from .integers import MOST, kind_of, matrix, usable
 
 #: Vectors in a shard, queries that go to all tasks at once, vectors that thresholds begin with, and terms probed at once.
 SHARD_ROWS, QUERY_ROWS, SEED_ROWS, PROBE_TERMS = 4_096, 8_192, 2_048, 8
@@ -195,14 +196,15 @@ def top_inner(vectors: DataFrame, queries: DataFrame, k: int = 10, query_rows: i
             ids, told, least = sent.value
             tops, _ = _tops(_shards(batches, told), ids, told, least, k)
             flat = [(q, v, s) for q, top in zip(ids, tops, strict=True) for s, v in top]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array([f[0] for f in flat], pa.int64()), "vec_id": pa.array([f[1] for f in flat], pa.int64()), "score": pa.array(longs(f[2] for f in flat), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array([f[0] for f in flat], pa.int64()), "vec_id": pa.array([f[1] for f in flat], pa.int64()), "score": pa.array([Decimal(f[2]) for f in flat], pa.decimal128(38, 0))})
 
-        out = mapped(shards, run, "query_id long, vec_id long, score long")
+        out = mapped(shards, run, "query_id long, vec_id long, score decimal(38,0)")
         if n > 1:  # a block's broadcast goes when its result is written
             out = staged(out, "tops")
             sent.destroy()
         found = out if found is None else found.unionByName(out)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    within = F.greatest(F.least(F.col("score"), F.lit(MOST)), F.lit(-MOST - 1))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_out(F.col("vec_id")).alias("vec_id"), "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_out(F.col("vec_id")).alias("vec_id"), within.cast("long").alias("score"))

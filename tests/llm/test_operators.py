@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from scrubline.llm import byte_bpe, decontaminate, exact_dedup, html_text, passages, pii, simhash, token_counts, toxicity, url_filter
+from scrubline.llm import byte_bpe, decontaminate, exact_dedup, html_text, integers, max_score, merkle, passages, pii, queries, simhash, token_counts, toxicity, url_filter, zone_maps
 from scrubline.llm.common import components, parted, staged
 from scrubline.llm.pretokens import cutter
 
@@ -709,10 +709,42 @@ def test_recall_of_fuzzy_passages(spark, parts):
     got = {r.doc_id: r.class_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
     found = {every: sum(got.get(i) == got.get(i + 1) == i for i in ids) / len(ids) for every, ids in want.items()}
     print(found)
-    assert found[20] >= 0.95 and found[10] >= 0.9 and sum(found.values()) / 4 >= 0.8
+    assert found[20] >= 0.95 and found[10] >= 0.95 and found[8] >= 0.9 and found[6] >= 0.85
     assert all(c // 10 == i // 10 for i, c in got.items())
 
 
+def common_run(a, b, size=passages.MIN_WORDS, least=passages.IDENTITY):
+    """Do any two stretches of ``size`` words agree in a share ``least``, by the longest common subsequence of all pairs of them?"""
+    for j in range(len(b) - size + 1):
+        at = collections.defaultdict(int)
+        for n, w in enumerate(b[j : j + size]):
+            at[w] |= 1 << n
+        for i in range(len(a) - size + 1):
+            if sum(w in at for w in a[i : i + size]) < least * size:
+                continue
+            row = 0
+            for w in a[i : i + size]:
+                x = at[w] | row
+                row = x & ((x - ((row << 1) | 1)) ^ x)
+            if row.bit_count() >= least * size:
+                return True
+    return False
+
+
+def test_fuzzy_passages_against_all_pairs_of_stretches(spark):
+    rng = random.Random(83)
+    rows = []
+    for g in range(30):
+        text = words(rng, rng.choice((48, 60, 75, 25)))
+        other = changed(rng, text, rng.choice((8, 10, 20)), g % 2) if g % 3 else words(rng, 50)
+        rows += [(10 * g, f"{words(rng, 20)} {text} {words(rng, 25)}"), (10 * g + 1, f"{words(rng, 30)} {other} {words(rng, 15)}")]
+    want = {g for g in range(30) if common_run(rows[2 * g][1].split(), rows[2 * g + 1][1].split())}
+    got = {r.doc_id: r.class_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i // 10 for i in got}
+    assert all(c // 10 == i // 10 for i, c in got.items())
+    assert len(want) >= 10 and len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(found)
+
+
 def test_rows_of_one_id_are_held_apart(spark):
     rng = random.Random(47)
     passage = words(rng, 60)
@@ -745,3 +777,213 @@ def test_common_words():
             for j, w in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if v == w else max(table[i][j + 1], table[i + 1][j])
         assert passages.common_words(np.array(a), np.array(b)) == table[-1][-1]
+
+
+# --- vectors ----------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, cluster string, score string, place string"
+
+
+def vector_rows(n=300, size=64, seed=3, big=False):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(9, size))
+    m = (centers[rng.integers(0, 9, n)] + 0.4 * rng.normal(size=(n, size))).astype(np.float32)
+    if big:
+        m[::7] *= np.float32(1e7)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    same = rows[5][1]
+    rows += [(1000 + i, same) for i in range(n // 3)]  # a third of all rows is one vector
+    rows += [rows[2], rows[2]]  # repeated rows
+    return rows
+
+
+def odd_vectors(size=64):
+    return [(2000, None), (2001, []), (2002, [1.0] * 3), (2003, [float("nan")] * size), (2004, [float("inf")] + [0.0] * (size - 1)), (2005, [None] + [0.5] * (size - 1)), (None, [0.25] * size)]
+
+
+def framed(spark, rows):
+    return spark.createDataFrame([(*r, "a", "b", "c") for r in rows], VECTORS)
+
+
+def whole(v):
+    return [math.floor(1024 * float(x)) for x in v]
+
+
+def plain_clusters(rows, k, rounds, seed=3):
+    rows = [(i, whole(v)) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    key = lambda r: (r[0] is None, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1])
+    centers = [v for _, v in sorted(rows, key=key)[:k]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    near = lambda: [min((far(v, c), j) for j, c in enumerate(centers)) for _, v in rows]
+    for _ in range(rounds):
+        at = near()
+        for j in range(len(centers)):
+            own = [v for (_, v), (_, a) in zip(rows, at, strict=True) if a == j]
+            if own:
+                centers[j] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    return [(i, j, d) for (i, _), (d, j) in zip(rows, near(), strict=True)], centers
+
+
+@pytest.mark.parametrize(("parts", "big"), [(1, False), (5, False), (3, True)])
+def test_clusters_equal_plain_rounds(spark, parts, big):
+    rows = vector_rows(big=big) + odd_vectors()
+    got = zone_maps.clustered(framed(spark, rows).repartition(parts), rounds=4).collect()
+    want, centers = plain_clusters(rows, 8, 4)
+    cut = lambda x: min(x, (1 << 63) - 1)
+    order = lambda r: (r[0] is None, *((x or 0) for x in r))
+    assert sorted(((r.vec_id, r.cluster, r.distance) for r in got), key=order) == sorted(((i, j, cut(d)) for i, j, d in want), key=order)
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centers]
+    inertia = [sum(d for _, j, d in want if j == k) for k in range(len(centers))]
+    assert all(r.centroid_sha256 == names[r.cluster] and r.cluster_inertia == cut(inertia[r.cluster]) and r.inertia == cut(sum(inertia)) for r in got)
+
+
+def test_clusters_of_few_and_no_vectors(spark):
+    rows = vector_rows()[:3]
+    got = {r.vec_id: (r.cluster, r.distance) for r in zone_maps.clustered(framed(spark, rows)).collect()}
+    assert sorted(c for c, _ in got.values()) == [0, 1, 2] and {d for _, d in got.values()} == {0}
+    assert zone_maps.clustered(framed(spark, [])).count() == 0 == zone_maps.clustered(framed(spark, odd_vectors()[:-1])).count()
+
+
+def test_boxes_rule_out_centroids(spark):
+    rows = [(i, v) for i, v in enumerate(np.random.default_rng(1).normal(size=(20_000, 2)).astype(np.float32).tolist())]
+    seen = []
+    zone_maps.clustered(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), size=2, k=40, rounds=2, watch=lambda n, sums: seen.append(sums[0, zone_maps.COMPARED]))
+    assert len(seen) == 2 and max(seen) < 0.5 * len(rows) * 40
+    for _ in range(200):
+        low, high = np.sort(np.random.default_rng(_).integers(-50, 50, (2, 3)), axis=0)
+        centers = np.random.default_rng(_ + 1000).integers(-80, 80, (6, 3))
+        inside = np.random.default_rng(_ + 2000).integers(low, high + 1, (40, 3))
+        at, _far = zone_maps.nearest(inside, centers, np.arange(6))
+        assert set(at) <= set(zone_maps.candidates(low, high, centers))
+
+
+def test_hilbert_neighbours_are_neighbours():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+        keys = zone_maps.hilbert(cells, bits)
+        assert sorted(keys) == list(range(len(cells)))
+        line = cells[np.argsort(keys)]
+        assert (np.abs(np.diff(line, axis=0)).sum(axis=1) == 1).all()
+
+
+def plain_top(vectors, asked, k):
+    good = [(i, whole(v)) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, v in sorted({q: v for q, v in asked}.items()):
+        v = whole(v)
+        scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i is None, i or 0) for i, w in good if i != q))[:k]
+        out += [(q, n, None if none else i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, none, i) in enumerate(scored, 1)]
+    return out
+
+
+@pytest.mark.parametrize(("parts", "query_rows", "big"), [(1, 8192, False), (4, 3, False), (3, 8192, True)])
+def test_top_scores_equal_all_pairs(spark, parts, query_rows, big):
+    rows = vector_rows(big=big) + odd_vectors()
+    asked = [r for r in rows if r[0] is not None and r[0] % 25 == 0 and r[0] < 2000]
+    vectors, ask = framed(spark, rows).repartition(parts), framed(spark, [*asked, asked[0], (2000, None), (None, [1.0] * 64)])
+    got = [tuple(r) for r in max_score.top_inner(vectors, ask, 7, query_rows, seed_rows=20).sort("query_id", "rank").collect()]
+    assert got == plain_top(rows, asked, 7)
+
+
+def test_top_scores_of_few_and_no_vectors(spark):
+    two = framed(spark, [(0, [1.0, 2.0]), (100, [3.0]), (7, [])])
+    got = [tuple(r) for r in max_score.top_inner(two, two.where("vec_id % 100 = 0"), 10).sort("query_id", "rank").collect()]
+    assert got == [(0, 1, 100, 3 * 1024 * 1024), (0, 2, 7, 0), (100, 1, 0, 3 * 1024 * 1024), (100, 2, 7, 0)]
+    assert max_score.top_inner(two.limit(0), two).count() == 0 == max_score.top_inner(two, two.limit(0)).count()
+
+
+def test_non_essential_lists_are_left_out():
+    rng = np.random.default_rng(4)
+    cells = rng.integers(-50, 50, (4000, 32)) * (2.0 ** -np.arange(32) * 1000 + 1).astype(int)
+    shard = max_score.Shard(np.arange(4000), cells)
+    query = (cells[17] // 10).astype(float)
+    everything, _ = shard.best(-1, query, 10, None)
+    least = everything[-1][0]
+    some, looked = shard.best(-1, query, 10, least)
+    assert some == everything and looked < 0.5 * cells.size
+    assert integers.longs([1 << 70, -(1 << 70), 3]) == [(1 << 63) - 1, -(1 << 63), 3]
+
+
+# --- merkle -----------------------------------------------------------------------------------
+
+
+def plain_tree(leaves):
+    """(root, each leaf's siblings up to the root as (left, right))."""
+    paths, at, level = [[] for _ in leaves], list(range(len(leaves))), leaves
+    while len(level) > 1:
+        for i, a in enumerate(at):
+            run = level[a - a % 8 : a - a % 8 + 8]
+            paths[i].append(("".join(run[: a % 8]), "".join(run[a % 8 + 1 :])))
+            at[i] = a // 8
+        level = [merkle.digest(*level[i : i + 8]) for i in range(0, len(level), 8)]
+    return level[0], paths
+
+
+def plain_manifest(rows):
+    said = lambda vs: merkle.digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in vs))
+    low = lambda t: None if t is None else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    trees = collections.defaultdict(list)
+    for i, source, lang, n, text in rows:
+        hit = i is not None and zlib.crc32(str(i).encode()) % 3 == 0
+        trees[lang].append((i is not None, i or 0, said((i, source, lang, n, text)), said((i, source, lang, n, low(text) if hit else text))))
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    built = {}
+    for lang in langs:
+        trees[lang].sort()
+        built[lang] = plain_tree([t[2] for t in trees[lang]])
+    root, tops = plain_tree([built[x][0] for x in langs])
+    out = []
+    for lang, above in zip(langs, tops, strict=True):
+        sub, paths = built[lang]
+        for (known, i, leaf, now), path in zip(trees[lang], paths, strict=True):
+            folded = merkle.folded(now, path + above)
+            out.append((i if known else None, leaf, sub, root, merkle.digest(*(d for s in path + above for d in s)), folded, folded == root))
+    return out
+
+
+DOCUMENT = "doc_id long, source string, lang string, n_chars long, text string, tree string, root string, idx long"
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_manifest_equals_plain_trees(spark, parts, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["web", None]), rng.choice(["en"] * 700 + ["de"] * 9 + [None] + ["Zz", "é", "z"]), i, rng.choice(["Some Text", "lower", "", None, "É X"])) for i in range(1500)]
+    rows += [(3, "web", "en", 1, "Again"), (3, "web", "en", 1, "Again"), (None, None, None, None, None), (None, "s", "en", 1, "No Id"), (77_777, "s", "lone", 1, "X" * 200_000)]
+    docs = spark.createDataFrame([(*r, "a", "b", 1) for r in rows], DOCUMENT).repartition(parts)
+    order = lambda r: tuple((x is not None, x or 0) for x in r)
+    got = sorted((tuple(r) for r in merkle.verified(docs).collect()), key=order)
+    assert got == sorted(plain_manifest(rows), key=order)
+    assert {r[6] for r in got} == {True, False}
+
+
+def test_manifest_of_none_and_one(spark):
+    assert merkle.verified(spark.createDataFrame([], DOCUMENT)).count() == 0
+    one = merkle.verified(spark.createDataFrame([(1, "s", "en", 1, "t", "", "", 1)], DOCUMENT)).collect()
+    assert len(one) == 1 and one[0].leaf == one[0].subroot == one[0].root == one[0].folded_root and one[0].proof_sha256 == merkle.digest("")
+
+
+def test_positions_are_those_of_the_log():
+    for n in [*range(1, 80), 511, 512]:
+        levels = merkle.height(n)
+        leaves = [merkle.digest(str(i)) for i in range(n)]
+        log = merkle.append_log(leaves, levels)
+        level, places = leaves, set()
+        for k in range(levels + 1):
+            for i, d in enumerate(level):
+                places.add(at := merkle.position(k, i, n, levels))
+                assert log[at] == d
+            level = [merkle.digest(*level[i : i + 8]) for i in range(0, len(level), 8)]
+        assert places == set(range(len(log))) and merkle.position(levels, 0, n, levels) == len(log) - 1
+
+
+def test_queries_of_this_round_equal_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name in ("op11_centroid_clusters", "op12_merkle_manifest", "op13_top_inner_products"):
+        got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        want = con.execute(queries.ORACLES[name])
+        names = [c[0] for c in want.description]
+        assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall()), name
