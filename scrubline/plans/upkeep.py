@@ -114,21 +114,21 @@ def _places(t) -> tuple[DataFrame, DataFrame]:
     return points, polygons
 
 
-@reg.add("WITH tgt AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders GROUP BY 1) SELECT k, v FROM tgt UNION ALL SELECT k, 'order ' || o FROM r WHERE k NOT IN (SELECT k FROM tgt)")
+@reg.add("WITH tgt AS (SELECT o_custkey AS k, 'order ' || min(o_orderkey) AS v FROM orders GROUP BY 1) SELECT k, v FROM tgt UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT k FROM tgt)")
 def insert_ignore(t) -> DataFrame:
-    target = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
-    rows = t.orders.select(F.col("o_custkey").alias("k"), F.concat(F.lit("order "), "o_orderkey").alias("v"), "o_orderkey")
-    return tables.insert_ignore(target, rows, ["k"], "o_orderkey")
+    """Customers into a table of those with orders."""
+    return tables.insert_ignore(_ordered(t), t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), ["k"], "v")
 
 
-@reg.add(
-    "WITH tgt AS (SELECT c_custkey AS k, c_name AS v, 'old' AS w FROM customer WHERE c_custkey % 2 = 0), r AS (SELECT o_custkey AS k, max(o_orderkey) AS o FROM orders GROUP BY 1)"
-    " SELECT coalesce(tgt.k, r.k) AS k, CASE WHEN r.k IS NOT NULL THEN 'order ' || o ELSE v END AS v, coalesce(w, 'new') AS w FROM tgt FULL JOIN r ON tgt.k = r.k"
-)
+def _ordered(t) -> DataFrame:
+    return t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.concat(F.lit("order "), F.min("o_orderkey")).alias("v"))
+
+
+@reg.add("WITH tgt AS (SELECT o_custkey AS k FROM orders GROUP BY 1) SELECT c_custkey AS k, c_name AS v, CASE WHEN tgt.k IS NULL THEN 'new' ELSE 'old' END AS w FROM customer LEFT JOIN tgt ON tgt.k = c_custkey")
 def upsert(t) -> DataFrame:
-    target = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit("old").alias("w"))
-    rows = t.orders.select(F.col("o_custkey").alias("k"), F.concat(F.lit("order "), "o_orderkey").alias("v"), F.lit("new").alias("w"), "o_orderkey")
-    return tables.upsert(target, rows, ["k"], ["v"], "o_orderkey")
+    """Customers into a table of those with orders, whose names they overwrite."""
+    rows = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit("new").alias("w"), F.lit(1).alias("n"))
+    return tables.upsert(_ordered(t).withColumn("w", F.lit("old")), rows, ["k"], ["v"], "n")
 
 
 @reg.add(
@@ -137,8 +137,7 @@ def upsert(t) -> DataFrame:
 )
 def stored_upsert(t) -> DataFrame:
     """A stored table of customers with orders, in buckets, after an upsert of all customers."""
-    first = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.concat(F.lit("order "), F.min("o_orderkey")).alias("v"))
-    table = buckets.Stored(t.spark, f"{scratch.shared_dir(t.spark)}/stored-{uuid.uuid4().hex}", ("k",), 16).create(first)
+    table = buckets.Stored(t.spark, f"{scratch.shared_dir(t.spark)}/stored-{uuid.uuid4().hex}", ("k",), 16).create(_ordered(t))
     table.upsert(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit(1).alias("n")), ["v"], "n")
     return table.read()
 
@@ -232,7 +231,7 @@ def record_history(t) -> DataFrame:
 
 
 @reg.add(
-    "WITH c AS (SELECT c_custkey AS k, 5::BIGINT AS h FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v, count(*) AS n FROM orders GROUP BY 1)"
+    "WITH c AS (SELECT s_suppkey AS k, 5::BIGINT AS h FROM supplier), w AS (SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS v, count(*) AS n FROM orders GROUP BY 1)"
     " SELECT coalesce(c.k, w.k)::VARCHAR AS lookup_key, CASE WHEN w.k IS NOT NULL THEN v::VARCHAR ELSE 'old' END AS lookup_value, CASE WHEN c.h IS NULL THEN n - 1 ELSE c.h + coalesce(n, 0) END AS hit_count FROM c FULL JOIN w ON c.k = w.k"
 )
 def cache_upsert(t) -> DataFrame:
@@ -240,7 +239,7 @@ def cache_upsert(t) -> DataFrame:
 
 
 def _cache(t):
-    cache = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("lookup_key"), F.lit("old").alias("lookup_value"), F.lit(5).cast("long").alias("hit_count"), F.lit("2024-01-01").cast("timestamp").alias("expires_at"))
+    cache = t.supplier.select(F.col("s_suppkey").cast("string").alias("lookup_key"), F.lit("old").alias("lookup_value"), F.lit(5).cast("long").alias("hit_count"), F.lit("2024-01-01").cast("timestamp").alias("expires_at"))
     writes = t.orders.select(F.col("o_custkey").cast("string").alias("lookup_key"), F.col("o_orderkey").cast("string").alias("lookup_value"), F.lit("2026-01-01").cast("timestamp").alias("expires_at"), F.col("o_orderkey").alias("ts"))
     return cache, writes
 
@@ -345,12 +344,12 @@ def diff_tables(t) -> DataFrame:
 
 
 @reg.add(
-    r""", f AS (SELECT id, CASE WHEN id % 4 = 1 THEN 'x | 1 | 2 | no id' ELSE '| ' || id || ' | ' || coalesce(postal_code, 'N/A') || ' | ' || coalesce(municipality, '') || ' | seen |' END AS line FROM listings)
-SELECT id, CASE WHEN upper(postal_code) = 'N/A' THEN NULL ELSE postal_code END AS postal_code, CASE WHEN upper(municipality) IN ('N/A', '') THEN NULL ELSE municipality END AS municipality, 'seen' AS notes FROM listings WHERE id % 4 <> 1""",
+    r""", f AS (SELECT id, CASE WHEN municipality IS NULL THEN 'x | 1 | 2 | no id' ELSE '| ' || id || ' | ' || coalesce(postal_code, 'N/A') || ' | ' || coalesce(municipality, '') || ' | seen |' END AS line FROM listings)
+SELECT id, CASE WHEN upper(postal_code) = 'N/A' THEN NULL ELSE postal_code END AS postal_code, CASE WHEN upper(municipality) IN ('N/A', '') THEN NULL ELSE municipality END AS municipality, 'seen' AS notes FROM listings WHERE municipality IS NOT NULL""",
     "listings",
 )
 def text_table_parse(t) -> DataFrame:
-    line = F.expr("CASE WHEN id % 4 = 1 THEN 'x | 1 | 2 | no id' ELSE concat('| ', id, ' | ', coalesce(postal_code, 'N/A'), ' | ', coalesce(municipality, ''), ' | seen |') END")
+    line = F.expr("CASE WHEN municipality IS NULL THEN 'x | 1 | 2 | no id' ELSE concat('| ', id, ' | ', coalesce(postal_code, 'N/A'), ' | ', coalesce(municipality, ''), ' | seen |') END")
     block = t.listings.select(F.concat(F.lit("| id | postal | municipality | notes |\n|---|---|---|---|\n"), line).alias("reply"))
     return tables.parse_text_table(block, "reply")
 
@@ -554,10 +553,10 @@ def hybrid_retrieve(t) -> DataFrame:
 
 
 @reg.add(
-    ", s AS (SELECT id, address, city, 'old' AS note FROM listings WHERE id % 2 = 0), r AS (SELECT max(id) AS id, address, city FROM listings WHERE id % 3 = 0 AND coalesce(address, '') <> '' GROUP BY address, city) SELECT coalesce(s.address, r.address) AS address, coalesce(s.city, r.city) AS city, CASE WHEN r.id IS NOT NULL THEN 'new' ELSE 'old' END AS note, count(*) AS n FROM s FULL JOIN r ON s.address IS NOT DISTINCT FROM r.address AND s.city IS NOT DISTINCT FROM r.city GROUP BY ALL",
+    ", s AS (SELECT id, address, city, 'old' AS note FROM listings WHERE phone IS NOT NULL), r AS (SELECT max(id) AS id, address, city FROM listings WHERE phone IS NULL AND coalesce(address, '') <> '' GROUP BY address, city) SELECT coalesce(s.address, r.address) AS address, coalesce(s.city, r.city) AS city, CASE WHEN r.id IS NOT NULL THEN 'new' ELSE 'old' END AS note, count(*) AS n FROM s FULL JOIN r ON s.address IS NOT DISTINCT FROM r.address AND s.city IS NOT DISTINCT FROM r.city GROUP BY ALL",
     "listings",
 )
 def address_upsert(t) -> DataFrame:
-    rows = t.listings.where("id % 3 = 0").select("id", "address", "city", F.lit("new").alias("note"))
-    out = vectors.address_upsert(t.listings.where("id % 2 = 0").select("address", "city", F.lit("old").alias("note")), rows, ["address", "city"], ["note"], "id")
+    rows = t.listings.where("phone IS NULL").select("id", "address", "city", F.lit("new").alias("note"))
+    out = vectors.address_upsert(t.listings.where("phone IS NOT NULL").select("address", "city", F.lit("old").alias("note")), rows, ["address", "city"], ["note"], "id")
     return out.groupBy("address", "city", "note").agg(F.count("*").alias("n"))
