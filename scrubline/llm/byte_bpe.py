@@ -179,7 +179,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> Data
     ``path``: a rank file on every worker, ``pattern``: what cuts texts, ``keep``: workers keep what they have learned (about
     100 MB) when a task ends, for the next one. Null and empty texts have no ids and
     decode to the empty text. Rows keep their number, equal ones and null or repeated doc_ids too; other columns
-    are ignored, whatever their names; an empty table gives an empty table.
+    are ignored, whatever their names; an empty table gives an empty table. A text of any length is coded whole; the time
+    is linear in it but for single words: one of n random letters takes time in the square of n (20,000: half a minute).
     """
 
     def out(doc_ids, coded):

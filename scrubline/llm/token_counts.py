@@ -121,7 +121,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; null text is empty: 0 bytes, 0 tokens.
 
     ``path``: a file of the tokenizers library (.json) or of sentencepiece (.model), on every worker.
-    Equal rows stay apart, other columns are ignored.
+    Equal rows stay apart, null and repeated doc_ids too, other columns are ignored, an empty table gives an empty table. Texts
+    are counted whole, however long: a batch holds few of them, and a text is cut into pieces that are counted one by one.
     """
     docs = docs.select("doc_id", text_of().alias("text"))
     splits = Counting(path).splits
