@@ -134,7 +134,7 @@ def enrich_from_evidence(t) -> DataFrame:
 
 @reg.add(
     sql_asks() + """, lost AS (SELECT id, gap, min(rank) AS rank FROM asked GROUP BY id, gap HAVING NOT bool_or(success) AND count(*) = (SELECT count(*) FROM a WHERE a.id = asked.id AND a.gap = asked.gap))
-SELECT 'real_estate' AS domain, gap AS gap_type, query_template, success, url_host, count(*) AS n FROM (SELECT gap, query_template, success, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS url_host FROM asked WHERE success
+SELECT 'real_estate' AS domain, gap AS gap_type, query_template, success, url_host, count(*) AS n FROM (SELECT gap, query_template, success, nullif(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '') AS url_host FROM asked WHERE success
  UNION ALL SELECT gap, query_template, success, NULL FROM asked JOIN lost USING (id, gap, rank)) GROUP BY ALL""",
     "listings", "fsa_map", "dirty", "query_templates", "web_results",
 )
