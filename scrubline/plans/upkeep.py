@@ -124,11 +124,16 @@ def _ordered(t) -> DataFrame:
     return t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.concat(F.lit("order "), F.min("o_orderkey")).alias("v"))
 
 
-@reg.add("WITH tgt AS (SELECT o_custkey AS k FROM orders GROUP BY 1) SELECT c_custkey AS k, c_name AS v, CASE WHEN tgt.k IS NULL THEN 'new' ELSE 'old' END AS w FROM customer LEFT JOIN tgt ON tgt.k = c_custkey")
+@reg.add(
+    "WITH r AS (SELECT 'customer' AS kind, o_custkey AS k, 'order ' || max(o_orderkey) AS v FROM orders GROUP BY 2 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier), tgt AS (SELECT 'customer' AS kind, c_custkey AS k, c_name AS v FROM customer)"
+    " SELECT coalesce(tgt.kind, r.kind) AS kind, coalesce(tgt.k, r.k) AS k, coalesce(r.v, tgt.v) AS v, CASE WHEN tgt.k IS NULL THEN 'new' ELSE 'old' END AS w FROM tgt FULL JOIN r ON tgt.kind = r.kind AND tgt.k = r.k"
+)
 def upsert(t) -> DataFrame:
-    """Customers into a table of those with orders, whose names they overwrite."""
-    rows = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit("new").alias("w"), F.lit(1).alias("n"))
-    return tables.upsert(_ordered(t).withColumn("w", F.lit("old")), rows, ["k"], ["v"], "n")
+    """Every order, of which a customer's last one counts, and every supplier into a table of all customers, which has no suppliers."""
+    target = t.customer.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.lit("old").alias("w"))
+    orders = t.orders.select(F.lit("customer").alias("kind"), F.col("o_custkey").alias("k"), F.concat(F.lit("order "), "o_orderkey").alias("v"), F.lit("new").alias("w"), F.col("o_orderkey").alias("n"))
+    suppliers = t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"), F.lit("new").alias("w"), F.lit(0).cast("long").alias("n"))
+    return tables.upsert(target, orders.unionByName(suppliers), ["kind", "k"], ["v"], "n")
 
 
 @reg.add(

@@ -90,3 +90,17 @@ def test_states_equal_a_loop_over_uses(spark):
     got = {(r.p, r.day): (r.uses, r.state) for r in patterns.pattern_states(spark.createDataFrame(rows, "i long, p string, ts timestamp, source string, success boolean").repartition(5), ["p"], "i").collect()}
     assert got == want and {s for _, s in want.values()} == {"candidate", "promoted", "demoted"}
     assert any(want[k][1] == "promoted" and any(q == k[0] and d < k[1] and s == "demoted" for (q, d), (_, s) in want.items()) for k in want)
+
+
+def test_upsert_takes_every_order_and_new_keys(spark):
+    """Every customer is there, with its last order if it has one, and every supplier is added."""
+    from scrubline.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    read = lambda n, *c: [tuple(r) for r in spark.read.parquet(f"{sf}/{n}.parquet").select(*c).collect()]
+    want = {("customer", k): (v, "old") for k, v in read("customer", "c_custkey", "c_name")}
+    for o, k in sorted(read("orders", "o_orderkey", "o_custkey")):
+        want["customer", k] = (f"order {o}", want.get(("customer", k), ("", "new"))[1])
+    want |= {("supplier", k): (v, "new") for k, v in read("supplier", "s_suppkey", "s_name")}
+    rows = QUERIES["upsert"](spark, sf).collect()
+    assert len(rows) == len(want) and {(r.kind, r.k): (r.v, r.w) for r in rows} == want
