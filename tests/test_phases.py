@@ -144,3 +144,20 @@ def test_a_plan_runs_its_steps_over_the_rows_that_name_it(spark):
     out = {r.id: r for r in pipeline.planned(review, pipeline.REAL_ESTATE, dataclasses.replace(base, plans=plans)).collect()}
     assert out[4].plan == "spell_override,escalate" and not out[5].plan
     assert [a.skill for a in out[4].audit if a.skill == "escalate"] == ["escalate"] * 2 and "escalate" in [a.skill for a in out[5].audit]
+
+
+def test_few_and_many_queries_find_the_same(spark, monkeypatch):
+    """Results are looked at for what is asked only; many queries are joined with all answers, written once."""
+    results = spark.createDataFrame([(" Code  K1A.", "b"), ("code k1a", "a"), ("code k1a", ""), ("other", "x"), ("bad", "Error: x"), (None, "y")], "query string, text string")
+    asked = spark.createDataFrame([("code k1a",), ("bad",), ("never",)], "key string")
+    assert [tuple(r) for r in enrichment.one_result(results, asked).collect()] == [("code k1a", "a")]
+    assert {tuple(r) for r in enrichment.one_result(results).collect() if r.key} == {("code k1a", "a"), ("other", "x")}
+    rows = [(i, "needs_review", 0.65, ["postal_unresolved"], f"K{i}A", None) for i in range(8)]
+    frame = spark.createDataFrame(rows, "id long, route string, data_confidence double, gaps array<string>, postal_code string, municipality string")
+    templates = spark.createDataFrame([("d", "postal_unresolved", "code {postal_code}", 3, 1)], "domain string, gap_type string, query_template string, success_count int, failure_count int")
+    found = spark.createDataFrame([(f"code k{i}a", "Deliveries to Toronto.") for i in range(0, 8, 2)], "query string, text string")
+    seen = []
+    for bound in (enrichment.RESULTS, 0):
+        monkeypatch.setattr(enrichment, "RESULTS", bound)
+        seen.append(sorted((r.id, r.municipality, len(r.evidence)) for r in enrichment.enrich(frame, templates, found, "d").records.collect()))
+    assert seen[0] == seen[1] == [(i, None if i % 2 else "Toronto", 1 - i % 2) for i in range(8)]
