@@ -713,6 +713,22 @@ def test_recall_of_fuzzy_passages(spark, parts):
     assert all(c // 10 == i // 10 for i, c in got.items())
 
 
+@pytest.mark.parametrize("copied", [False, True])
+def test_passages_changed_at_even_steps(spark, copied):
+    """Runs of 4 or 5 words that are the same between words that differ, so that no seed has a like word next to it; also with the passage in other texts as it is."""
+    rng = random.Random(47)
+    rows, want = [], []
+    for g in range(80):
+        every, size = (5, 6)[g % 2], (45, 60, 90)[g % 3]
+        text = words(rng, size)
+        rows += [(10 * g, f"{words(rng, 60)} {text} {words(rng, 60)}"), (10 * g + 1, f"{words(rng, 40)} {changed(rng, text, every, True)} {words(rng, 70)}")]
+        rows += [(10 * g + i, f"{words(rng, 30)} {text} {words(rng, 30)}") for i in (2, 3) if copied]
+    rows += [(10_000 + i, rows[i][1]) for i in range(0, 20, 2)]  # equal texts
+    got = {r.doc_id: r.class_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sum(got.get(10 * g) == got.get(10 * g + 1) == 10 * g for g in range(80)) >= 76
+    assert all(got[i] == got[rows[i - 10_000][0]] for i in range(10_000, 10_020, 2))
+
+
 def common_run(a, b, size=passages.MIN_WORDS, least=passages.IDENTITY):
     """Do any two stretches of ``size`` words agree in a share ``least``, by the longest common subsequence of all pairs of them?"""
     for j in range(len(b) - size + 1):
