@@ -775,6 +775,50 @@ def test_odd_rows_do_not_break_passages(odd):
     assert got[4] == got[6] == got[13] == 4 and got[7] == got[8] == 7 and 2 not in got
 
 
+class Sent:
+    """A broadcast filter that holds all seeds, or those whose hashes a number divides."""
+
+    def __init__(self, by=1):
+        self.value, self.by = self, by
+
+    def holds(self, h):
+        return h % np.uint64(self.by) == 0
+
+
+def test_texts_that_are_hashed_at_once_are_held_apart(monkeypatch):
+    """The steps of many short texts at once, in few calls, against each text alone."""
+    import pyarrow as pa
+
+    rng = random.Random(97)
+    texts = ["", " ", "x", "x x x x x", "x x x x x x", "x", " \n\t x", "É é\u2003ß İ", "a" * 300, "b" + " " * 400 + "c d e f"]
+    texts += [rng.choice(texts) if i % 5 == 0 else words(rng, rng.choice((1, 3, 4, 5, 45, 90))) for i in range(300)]
+    batch = lambda lo, hi: pa.RecordBatch.from_pydict({"id": pa.array(range(lo, hi), pa.int64()), "t": texts[lo:hi]})
+    calls, alone = [], passages.shingles
+    monkeypatch.setattr(passages, "shingles", lambda *a: calls.append(1) or alone(*a))
+    ids = Sent()
+    ids.value = np.full(8, 255, np.uint8)
+
+    def counted(b):
+        return [(r, x) for got in passages._counted(7)([b.select(["t"])]) for r, v in zip(*got.to_pydict().values(), strict=True) for x in np.frombuffer(v, "<u4").tolist()]
+
+    def seen(b):
+        return [(r, x) for got in passages._occurrences(Sent(3), 7)([b]) for r, v in zip(*got.to_pydict().values(), strict=True) for x in np.frombuffer(v, passages._SEED).tolist()]
+
+    def again(by):
+        def run(b):
+            rows = [tuple(r.values()) for got in passages._again(Sent(), Sent(by), ids, 7)([b]) for r in got.to_pylist()]
+            return [(r[0], x) for r in rows if r[1] for x in np.frombuffer(r[1], passages._RUN).tolist()] + [r[2:] for r in rows if r[1] is None]
+
+        return run
+
+    for step in (counted, seen, again(1), again(5)):
+        calls.clear()
+        together = step(batch(0, len(texts)))
+        assert len(calls) <= 3
+        each = [r for i in range(len(texts)) for r in step(batch(i, i + 1))]
+        assert len(each) > 300 and collections.Counter(map(repr, together)) == collections.Counter(map(repr, each))
+
+
 def test_chains_are_the_best_ones():
     import numpy as np
 
