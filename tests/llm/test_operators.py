@@ -819,6 +819,25 @@ def test_texts_that_are_hashed_at_once_are_held_apart(monkeypatch):
         assert len(each) > 300 and collections.Counter(map(repr, together)) == collections.Counter(map(repr, each))
 
 
+def test_tasks_grow_with_the_text_and_a_bucket_is_linked_in_parts(spark, monkeypatch):
+    """What a task holds at once stays the same when a table grows: texts have more tasks, and a large bucket gives the same links in parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(passages, "TASK_BYTES", 1000)
+    texts = lambda n: spark.createDataFrame([(i, "x" * 500) for i in range(n)], "id long, t string")
+    assert [passages.tasks_of(texts(n)) for n in (1, 200, 2000)] == [32, 100, 1000]
+    rng = np.random.default_rng(3)
+    rows = np.zeros(150_000, passages._SEED)
+    rows["rest"], rows["id"] = rng.integers(0, 50_000, len(rows)), rng.integers(0, 1000, len(rows))
+    rows["at"], rows["left"], rows["right"] = rng.integers(0, 99, len(rows)), rng.integers(1 << 60, 1 << 61, len(rows)), rng.choice(rng.integers(1 << 60, 1 << 61, 20), len(rows))
+    calls, alone = [], passages.linked
+    monkeypatch.setattr(passages, "linked", lambda part: calls.append(len(part)) or alone(part))
+    links = [b for b in passages._linked(7)([passages.packed(np.zeros(len(rows), np.int32), rows)]) if b.column("id").null_count == 0]
+    assert sum(calls) == len(rows) and max(calls) < 40_000
+    whole = alone(rows)
+    assert sum(b.num_rows for b in links) == len(whole[1]) > 1000
+
+
 def test_chains_are_the_best_ones():
     import numpy as np
 
