@@ -838,6 +838,43 @@ def test_tasks_grow_with_the_text_and_a_bucket_is_linked_in_parts(spark, monkeyp
     assert sum(b.num_rows for b in links) == len(whole[1]) > 1000
 
 
+def test_all_pairs_of_many_occurrences_of_a_seed():
+    """However many there are: against each pair compared, and no seed of a passage is left out for the words round it."""
+    assert len(passages.within(np.zeros(100, np.int64))[0]) == 100 * 99 // 2
+    rng = np.random.default_rng(5)
+    pack = lambda a: np.bitwise_or.reduce(a.astype(np.uint64) << (4 * np.arange(15, -1, -1)).astype(np.uint64), axis=1)
+    n = 700
+    base = rng.integers(1, 16, (10, 20))
+
+    def side():
+        out = np.array([base[k][s : s + 16] for k, s in zip(rng.integers(0, 10, n), rng.integers(0, 3, n), strict=True)])
+        out = np.where(rng.random((n, 16)) < rng.choice([0, 0.2, 0.35, 0.6], (n, 1)), rng.integers(1, 16, (n, 16)), out)
+        return pack(np.where((rng.random((n, 1)) < 0.2) & (np.arange(16) >= rng.integers(5, 16, (n, 1))), 0, out))
+
+    left, right = side(), side()
+    left[:100], right[50:150] = left[100:200], right[200:300]
+    left[300:340], right[320:360] = left[340], right[340]
+    group, doc, root = np.sort(rng.integers(0, 3, n)), rng.integers(0, 400, n), rng.integers(0, 2, n) * rng.integers(1, 6, n)
+    got = {(min(p), max(p)) for i, j, _, _ in passages.rest_of(group, doc, root, left, right) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    i, j = np.triu_indices(n, 1)
+    a, b = passages.alike(left[i], left[j]), passages.alike(right[i], right[j])
+    want = ((a >= 10) & (a < 16)) | ((b >= 10) & (b < 16)) | ((a == 16) & (b == 16))
+    want &= (group[i] == group[j]) & (doc[i] != doc[j]) & ((root[i] != root[j]) | (root[i] == 0))
+    assert got == set(zip(i[want].tolist(), j[want].tolist(), strict=True)) and len(got) > 1000
+
+    lost = links = 0
+    for trial in range(200):  # passages of 40 words, 8 of which differ
+        x = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+        y = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+        y[80:120] = x[80:120]
+        y[80 + (rng.choice(np.arange(1, 39), 8, replace=False) if trial % 2 else np.arange(4, 40, 5))] += np.uint64(1 << 32)
+        begin, at = np.array([0, 200]), np.flatnonzero(np.convolve(x == y, np.ones(4), "valid") == 4)
+        sides = [np.stack(v, 1).ravel() for v in zip(*(passages.around(w, begin, at, np.zeros(len(at), np.int64), 3) for w in (x, y)), strict=True)]
+        may = passages.may_pass(sides, np.arange(0, 2 * len(at), 2), np.arange(1, 2 * len(at), 2))
+        links, lost = links + len(at), lost + (~may).sum()
+    assert links > 1000 and not lost
+
+
 def test_chains_are_the_best_ones():
     import numpy as np
 
